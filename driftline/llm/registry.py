@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, fingerprints, language_id, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op3_quality": quality.op3_quality,
         "op5_mixing": mixing.op5_mixing,
+        "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
 
