@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, quality, toxicity
+from . import exact_dedup, fingerprints, language_id, mixing, ngram_join, pieces, quality, toxicity
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -12,7 +18,10 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
+        "pipeline": _pipeline,
     }
 
 
@@ -20,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_ngram_join": ngram_join.ORACLE_SQL,
     }
