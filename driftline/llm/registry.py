@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, ngram_join, pieces, quality, toxicity
+from . import exact_dedup, fingerprints, language_id, lm_score, mixing, ngram_join, pieces, quality, suffix_dedup, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -14,7 +14,9 @@ def _pipeline(spark, sf_dir: str):
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_lm_score": lm_score.op2_lm_score,
         "op3_quality": quality.op3_quality,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
