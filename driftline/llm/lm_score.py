@@ -198,12 +198,12 @@ def _train(windows: Windows, start: np.ndarray, number: int):
     return run
 
 
-def _average(key, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _average(group: pa.Table) -> pa.Table:
+    """One mean of the weights of a share of the tasks; PARTS bounds what goes to the driver."""
     total, n = 0.0, 0
-    for batch in groups:
-        for k, w in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-            total, n = total + k * np.frombuffer(w, np.float32).astype(np.float64), n + k
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "weights"])
+    for k, w in zip(group.column("n").to_pylist(), group.column("weights"), strict=True):
+        total, n = total + k * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64), n + k
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Windows, Network]:
