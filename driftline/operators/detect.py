@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import REPRO_MODES, Constraints, Stopping
-from ..errors import InvalidInput, NotSupported
+from ..errors import EngineError, InvalidInput, NotSupported
 from ..functions.cost_kernels import COSTS, matrix
 from ..functions.native import missing
 from .offline_kernels import DETECTORS, SELF_COSTED, Outcome, detect
@@ -23,8 +23,12 @@ RESULT = (
 )
 
 
-def detect_series(s: DataFrame, detector: str = "pelt", cost: str = "l2", stopping=None, constraints=None, repro_mode: str = "balanced", options: dict | None = None, cost_options: dict | None = None) -> DataFrame:
-    """One result row per series of s (series_id, t, x or array x). One series is one task's work; series run in parallel."""
+def detect_series(s: DataFrame, detector: str = "pelt", cost: str = "l2", stopping=None, constraints=None, repro_mode: str = "balanced", options: dict | None = None, cost_options: dict | None = None, errors: str = "raise") -> DataFrame:
+    """One result row per series of s (series_id, t, x or array x). One series is one task's work; series run in parallel.
+
+    errors: raise stops at the first series that a detector refuses; row gives such a series no breakpoints and the reason
+    among its warnings, so that it cannot fail the others.
+    """
     stopping, constraints = Stopping.of(stopping), Constraints.of(constraints)
     if repro_mode not in REPRO_MODES:
         raise InvalidInput(f"unknown repro mode {repro_mode!r}")
@@ -36,10 +40,15 @@ def detect_series(s: DataFrame, detector: str = "pelt", cost: str = "l2", stoppi
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", kind="stable")
-        x = matrix(np.array(pdf["x"].tolist(), dtype=np.float64))
-        got = detect(x, detector, cost, stopping, constraints, repro_mode, options, cost_options)
+        try:
+            x = matrix(np.array(pdf["x"].tolist(), dtype=np.float64))
+            got = detect(x, detector, cost, stopping, constraints, repro_mode, options, cost_options)
+        except EngineError as e:
+            if errors == "raise":
+                raise
+            got = Outcome([], None, [], [f"{e.code}: {e}"])
         diagnostics = {"schema_version": SCHEMA_VERSION, "algorithm": detector, "cost_model": cost, "repro_mode": repro_mode, "notes": got.notes, "warnings": got.warnings, "params_json": params}
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "n": len(x), "breakpoints": got.breakpoints, "change_points": got.change_points, "objective": got.objective, "diagnostics": diagnostics}])
+        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "n": len(pdf), "breakpoints": got.breakpoints, "change_points": got.change_points, "objective": got.objective, "diagnostics": diagnostics}])
 
     return s.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, RESULT)
 

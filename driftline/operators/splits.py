@@ -19,13 +19,13 @@ def candidate_splits(s: DataFrame, min_segment_len: int = 2, jump: int = 1) -> D
 def split_gains(s: DataFrame, min_segment_len: int = 2, jump: int = 1, chunk: int | None = None) -> DataFrame:
     """series_id, n, split, ts and gain (in squared fixed-point units) for each candidate, by whole-number sums."""
     whole = native.running(s.select("series_id", "t", "ts", "x_fp"), {"a": F.col("x_fp"), "b": F.col("x_fp") * F.col("x_fp")}, chunk)
-    total = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x_fp").alias("A"))
+    total = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x_fp").alias("whole"))
     cut = whole.join(total, "series_id").withColumn("split", F.col("t"))
     left = F.col("a") - F.col("x_fp")  # the sum before the split
-    right = F.col("A") - left
+    right = F.col("whole") - left
     m, k = F.col("n"), F.col("split")
     ok = (k % jump == 0) & (k >= min_segment_len) & (m - k >= min_segment_len)
-    gain = left.cast("double") * left / k + right.cast("double") * right / (m - k) - F.col("A").cast("double") * F.col("A") / m
+    gain = left.cast("double") * left / k + right.cast("double") * right / (m - k) - F.col("whole").cast("double") * F.col("whole") / m
     return cut.where(ok).select("series_id", "n", "split", "ts", gain.alias("gain"))
 
 
