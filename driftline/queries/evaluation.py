@@ -1,3 +1,120 @@
-"""Queries."""
+"""Metrics of change points and alerts against a stand-in truth: multiples of 20 rows for each user's series."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as E
+from ..operators import generate as G
+from ..operators import splits as S
+from ..sources import tables as T
+from .base import USERS
+from .detectors import _scores
+
+
+def _frames(spark, d):
+    s = T.events(spark, d, "user_id")
+    n = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    truth = s.where((F.col("t") > 0) & (F.col("t") % 20 == 0)).select("series_id", F.col("t").alias("cp"))
+    found = S.ranked(S.window_scores(s, 10), 3).select("series_id", F.col("split").alias("cp"))
+    return s, n, truth, found
+
+
+def f1(spark, d):
+    _, n, truth, found = _frames(spark, d)
+    r = lambda c: F.round(c, 6).alias(c)
+    return E.f1(truth, found, n, 2).select("series_id", r("precision"), r("recall"), r("f1"))
+
+
+def hausdorff(spark, d):
+    _, _, truth, found = _frames(spark, d)
+    return E.hausdorff(truth, found)
+
+
+def annotation_error(spark, d):
+    _, _, truth, found = _frames(spark, d)
+    return E.annotation_error(truth, found).select("series_id", F.round("annotation_error", 6).alias("annotation_error"))
+
+
+def rand_index(spark, d):
+    _, n, truth, found = _frames(spark, d)
+    return E.rand_index(truth, found, n).select("series_id", F.round("rand_index", 6).alias("rand_index"))
+
+
+def offline_metrics(spark, d):
+    _, n, truth, found = _frames(spark, d)
+    return E.offline_metrics(truth, found, n, 2).groupBy().agg(F.count(F.lit(1)).alias("series"), F.round(F.avg("hausdorff"), 4).alias("hausdorff"), F.round(F.avg("rand_index"), 4).alias("rand_index"), F.round(F.avg("annotation_error"), 4).alias("annotation_error"))
+
+
+def _steps(s):
+    return s.select("series_id", "t", (F.col("x_fp") > 9000).alias("alert"), F.least(F.floor(F.col("x_fp") / 1000) / 20, F.lit(1.0)).alias("p_change"))
+
+
+def online_metrics(spark, d):
+    s, n, truth, _ = _frames(spark, d)
+    out = E.online_metrics(_steps(s), truth, n)
+    return out.select("series_id", "detected", "missed", F.round("mean_delay", 6).alias("mean_delay"), "false_alarms", F.round("false_alarm_rate", 6).alias("false_alarm_rate"), F.round("arl0", 6).alias("arl0"))
+
+
+def roc(spark, d):
+    s, _, truth, _ = _frames(spark, d)
+    out = E.roc(_steps(s), truth, 3)
+    return out.select(F.round("threshold", 6).alias("threshold"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+def calibration(spark, d):
+    s = T.events(spark, d)
+    p = s.select(F.col("series_id").alias("family"), F.least(F.floor(F.col("x_fp") / 100) / 512, F.lit(1.0)).alias("confidence"), (F.col("t") % 3 == 0).cast("double").alias("correct"))
+    return E.calibration(p).select("family", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"), "n")
+
+
+def even_change_points(spark, d):
+    return spark.createDataFrame([(k, c) for k in range(1, 6) for c in G.even_change_points(300, k)], "k bigint, cp bigint")
+
+
+def generated(spark, d):
+    """Every kind of generator: rows and finite values."""
+    out = None
+    for kind in ("mean", "variance", "linear", "ar1", "heavy_tail", "poisson", "bernoulli"):
+        g = G.generate(spark, kind, series=2, n=120).groupBy("series_id").agg(F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nan"))
+        g = g.select(F.lit(kind).alias("kind"), "series_id", "n", "nan")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+_T = f"""WITH {USERS}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0)"""
+_F = _scores(USERS, 5) + """, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0),
+fd AS (SELECT series_id, split AS cp FROM q QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score DESC, split) <= 3)"""
+_MATCH = _F.replace("WITH ", "WITH RECURSIVE ", 1) + """, arr AS (
+  SELECT n.series_id, coalesce((SELECT list(cp ORDER BY cp) FROM tr WHERE tr.series_id = n.series_id), []) AS a, coalesce((SELECT list(cp ORDER BY cp) FROM fd WHERE fd.series_id = n.series_id), []) AS b FROM n
+), m AS (
+  SELECT series_id, a, b, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS hits FROM arr
+  UNION ALL
+  SELECT series_id, a, b, CASE WHEN abs(a[i] - b[j]) <= 2 OR a[i] < b[j] THEN i + 1 ELSE i END, CASE WHEN abs(a[i] - b[j]) <= 2 OR a[i] >= b[j] THEN j + 1 ELSE j END, hits + CASE WHEN abs(a[i] - b[j]) <= 2 THEN 1 ELSE 0 END
+  FROM m WHERE i <= len(a) AND j <= len(b)
+), h AS (SELECT series_id, max(hits) AS h, any_value(len(a)) AS na, any_value(len(b)) AS nb FROM m GROUP BY 1), pr AS (
+  SELECT series_id, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN nb = 0 THEN 0 ELSE h / nb END AS p, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 THEN 0 ELSE h / na END AS r FROM h
+) SELECT series_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr"""
+_NEAR = _F + """, ab AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM tr a JOIN fd b ON a.series_id = b.series_id GROUP BY 1, 2),
+ba AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM fd a JOIN tr b ON a.series_id = b.series_id GROUP BY 1, 2)"""
+_RAND = _F + """, lab AS (
+  SELECT s.series_id, s.t, (SELECT count(*) FROM tr WHERE tr.series_id = s.series_id AND tr.cp <= s.t) AS a, (SELECT count(*) FROM fd WHERE fd.series_id = s.series_id AND fd.cp <= s.t) AS b FROM s
+), ri AS (SELECT x.series_id, avg(CASE WHEN (x.a = y.a) = (x.b = y.b) THEN 1 ELSE 0 END) AS r FROM lab x JOIN lab y ON x.series_id = y.series_id AND x.t < y.t GROUP BY 1)"""
+
+QUERIES = {
+    "eval_f1": (f1, _MATCH),
+    "eval_hausdorff": (hausdorff, _NEAR + " SELECT series_id, CASE WHEN x.d IS NULL OR y.d IS NULL THEN NULL ELSE greatest(x.d, y.d) END AS hausdorff FROM (SELECT series_id, max(d) AS d FROM ab GROUP BY 1) x FULL JOIN (SELECT series_id, max(d) AS d FROM ba GROUP BY 1) y USING (series_id)"),
+    "eval_annotation_error": (annotation_error, _NEAR + " SELECT series_id, round(avg(d), 6) AS annotation_error FROM ab GROUP BY 1"),
+    "eval_rand_index": (rand_index, _RAND + " SELECT series_id, round(r, 6) AS rand_index FROM ri"),
+    "eval_offline_metrics": (offline_metrics, None),
+    "eval_online_metrics": (online_metrics, _T + """, al AS (SELECT series_id, t FROM s WHERE x_fp > 9000), o AS (SELECT al.series_id, al.t, max(tr.cp) AS cp FROM al LEFT JOIN tr ON tr.series_id = al.series_id AND tr.cp <= al.t GROUP BY 1, 2),
+h AS (SELECT *, cp IS NOT NULL AND row_number() OVER (PARTITION BY series_id, cp ORDER BY t) = 1 AS hit FROM o), g AS (SELECT series_id, count(*) FILTER (WHERE hit) AS detected, count(*) FILTER (WHERE NOT hit) AS fa, avg(t - cp) FILTER (WHERE hit) AS d FROM h GROUP BY 1), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1)
+SELECT n.series_id, coalesce(detected, 0) AS detected, coalesce(k, 0) - coalesce(detected, 0) AS missed, round(d, 6) AS mean_delay, coalesce(fa, 0) AS false_alarms, round(coalesce(fa, 0) / n, 6) AS false_alarm_rate, round(CASE WHEN fa > 0 THEN n / fa END, 6) AS arl0 FROM n LEFT JOIN g USING (series_id) LEFT JOIN k USING (series_id)"""),
+    "eval_roc": (roc, _T + """, p AS (SELECT series_id, t, least((x_fp // 1000) / 20, 1) AS p, EXISTS (SELECT 1 FROM tr WHERE tr.series_id = s.series_id AND s.t BETWEEN tr.cp AND tr.cp + 3) AS pos FROM s), th AS (SELECT DISTINCT p AS th FROM p UNION SELECT max(p) + 1 FROM p UNION SELECT min(p) - 1 FROM p)
+SELECT round(th, 6) AS threshold, round(count(*) FILTER (WHERE pos AND p >= th) / count(*) FILTER (WHERE pos), 6) AS tpr, round(count(*) FILTER (WHERE NOT pos AND p >= th) / count(*) FILTER (WHERE NOT pos), 6) AS fpr FROM th, p GROUP BY th"""),
+    "eval_calibration": (calibration, """WITH s AS (SELECT event_type AS family, least((CAST(round(value * 100) AS BIGINT) // 100) / 512, 1) AS c, CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ok FROM events),
+b AS (SELECT family, least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS c, avg(ok) AS a, sum((c - ok) ^ 2) AS sq FROM s GROUP BY GROUPING SETS ((1, 2), (2)))
+SELECT family, round(sum(n * abs(c - a)) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier, sum(n)::BIGINT AS n FROM b GROUP BY 1"""),
+    "even_change_points": (even_change_points, "SELECT k, i * 300 // (k + 1) AS cp FROM range(1, 6) a(k), range(1, 6) b(i) WHERE i <= k"),
+    "generated": (generated, "SELECT kind, CAST(i AS VARCHAR) AS series_id, 120 AS n, 0 AS nan FROM (VALUES ('mean'), ('variance'), ('linear'), ('ar1'), ('heavy_tail'), ('poisson'), ('bernoulli')) v(kind), range(2) r(i)"),
+}

@@ -1,3 +1,106 @@
-"""Queries."""
+"""Profiles, advice and pipelines."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnostics as P
+from ..plans.recommend import recommend
+from ..plans.spec import PipelineSpec, ensemble, execute, validate
+from ..sources import tables as T
+from .base import BLOCKS, ERRORS, EVENTS
+
+
+def missing_overview(spark, d):
+    return P.missing_overview(T.with_gaps(T.events(spark, d), "block")).select("series_id", "n", "missing", F.round("nan_rate", 6).alias("nan_rate"), "longest", "pattern")
+
+
+def autocorrelations(spark, d):
+    return P.autocorrelations(T.events(spark, d), [1, 2, 3, 7]).select("series_id", "lag", F.round("acf", 6).alias("acf"))
+
+
+def pacf(spark, d):
+    return P.pacf(P.autocorrelations(T.events(spark, d), range(1, 6)), 3).where("lag <= 2").select("series_id", "lag", F.round("pacf", 6).alias("pacf"))
+
+
+def dominant_period(spark, d):
+    return P.dominant_period(P.autocorrelations(T.events(spark, d), range(1, 33)), 0.0).select("series_id", "period", F.round("strength", 6).alias("strength"))
+
+
+def period_votes(spark, d):
+    return P.period_votes(P.dominant_period(P.autocorrelations(T.events(spark, d, "user_id"), range(1, 13)), 0.0)).select("period", F.round("strength", 5).alias("strength"), "place")
+
+
+def residual_lag1(spark, d):
+    return P.residual_lag1(T.events(spark, d)).select("series_id", F.round("residual_lag1_autocorr", 5).alias("residual_lag1_autocorr"))
+
+
+def shape(spark, d):
+    return P.shape(T.events(spark, d)).select("series_id", "valid", F.round("kurtosis_proxy", 4).alias("kurtosis_proxy"), F.round("outlier_rate_iqr", 6).alias("outlier_rate_iqr"), F.round("mad_to_std_ratio", 5).alias("mad_to_std_ratio"))
+
+
+def drift(spark, d):
+    return P.drift(T.events(spark, d)).select("series_id", F.round("regime_change_proxy", 4).alias("regime_change_proxy"), F.round("change_density_score", 4).alias("change_density_score"))
+
+
+def hints(spark, d):
+    return P.hints(T.error_flags(spark, d))
+
+
+def diagnostics(spark, d):
+    return P.diagnostics(T.events(spark, d)).drop("period")
+
+
+def signal_flags(spark, d):
+    return P.strongest_signal(P.signal_flags(P.diagnostics(T.events(spark, d)))).select("series_id", "huge_n", "medium_n", "autocorrelated", "heavy_tail", "change_dense", "few_strong_changes", "masking_risk", "low_signal", "conflicting_signals", "strongest")
+
+
+def preprocessing_advice(spark, d):
+    return P.preprocessing_advice(T.events(spark, d))
+
+
+def recommendations(spark, d):
+    return recommend(P.diagnostics(T.events(spark, d)))
+
+
+def recommendations_online(spark, d):
+    return recommend(P.diagnostics(T.events(spark, d)), "speed", online=True)
+
+
+def pipeline_spec(spark, d):
+    spec = PipelineSpec.parse({"detector": {"kind": "pelt"}, "cost": "l2", "stopping": {"pen": 9000.0}, "preprocess": {"winsorize": {}}})
+    return execute(T.events(spark, d, "user_id"), spec).select("series_id", F.size("change_points").alias("changes"))
+
+
+def consensus(spark, d):
+    specs = [{"detector": "pelt", "stopping": {"pen": 9000.0}}, {"detector": "binseg", "stopping": {"pen": 9000.0}}, {"detector": "dynp", "stopping": {"k": 1}}]
+    return ensemble(T.events(spark, d, "user_id"), specs)
+
+
+def validation(spark, d):
+    return validate(T.events(spark, d, "user_id"), [{"detector": "pelt", "stopping": {"pen": 9000.0}}, {"detector": "binseg", "stopping": {"pen": 9000.0}}])
+
+
+_ACF = "SELECT series_id, {k} AS lag, round(corr(x, l{k}), 6) AS acf FROM l GROUP BY 1"
+_LAGS = f"WITH {EVENTS}, l AS (SELECT series_id, x, lag(x, 1) OVER w AS l1, lag(x, 2) OVER w AS l2, lag(x, 3) OVER w AS l3, lag(x, 7) OVER w AS l7 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+_ALL = f"WITH {EVENTS}, k AS (SELECT unnest(range(1, 33)) AS lag), c AS (SELECT a.series_id, lag, corr(b.x, a.x) AS acf FROM s a, k, s b WHERE b.series_id = a.series_id AND b.t = a.t + lag GROUP BY 1, 2), p AS (SELECT *, acf > lag(acf) OVER w AND acf >= lead(acf) OVER w AND acf > 0 AS peak FROM c WINDOW w AS (PARTITION BY series_id ORDER BY lag)), t AS (SELECT *, max(acf) OVER (PARTITION BY series_id) AS top FROM p WHERE peak)"
+
+QUERIES = {
+    "missing_overview": (missing_overview, f"WITH {BLOCKS}, i AS (SELECT series_id, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM g WHERE x IS NULL), r AS (SELECT series_id, max(n) AS longest FROM (SELECT series_id, k, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1), c AS (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS missing FROM g GROUP BY 1) SELECT series_id, n, missing, round(missing / n, 6) AS nan_rate, coalesce(longest, 0) AS longest, CASE WHEN missing = 0 THEN 'none' WHEN coalesce(longest, 0) >= greatest(8, ceil(missing / 4)) THEN 'block' ELSE 'random' END AS pattern FROM c LEFT JOIN r USING (series_id)"),
+    "autocorrelations": (autocorrelations, _LAGS + " " + " UNION ALL ".join(_ACF.format(k=k) for k in (1, 2, 3, 7))),
+    "pacf": (pacf, _LAGS + ", r AS (SELECT series_id, corr(x, l1) AS a, corr(x, l2) AS b FROM l GROUP BY 1) SELECT series_id, 1 AS lag, round(a, 6) AS pacf FROM r UNION ALL SELECT series_id, 2, round((b - a * a) / (1 - a * a), 6) FROM r"),
+    "dominant_period": (dominant_period, _ALL + " SELECT series_id, min(lag) AS period, round(arg_min(acf, lag), 6) AS strength FROM t WHERE acf >= 0.95 * top GROUP BY 1"),
+    "period_votes": (period_votes, _ALL.replace("event_type", "user_id").replace("range(1, 33)", "range(1, 13)") + ", d AS (SELECT series_id, min(lag) AS period, arg_min(acf, lag) AS st FROM t WHERE acf >= 0.95 * top GROUP BY 1), v AS (SELECT period, sum(st) AS st FROM d GROUP BY 1) SELECT period, round(st, 5) AS strength, row_number() OVER (ORDER BY st DESC, period) AS place FROM v QUALIFY place <= 3"),
+    "residual_lag1": (residual_lag1, f"WITH {EVENTS}, f AS (SELECT series_id, regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM s GROUP BY 1), r AS (SELECT s.series_id, t, x - a - b * t AS x FROM s JOIN f USING (series_id)), l AS (SELECT series_id, x, lag(x) OVER (PARTITION BY series_id ORDER BY t) AS y FROM r) SELECT series_id, round(corr(x, y), 5) AS residual_lag1_autocorr FROM l GROUP BY 1"),
+    "shape": (shape, f"WITH {EVENTS}, m AS (SELECT series_id, avg(x) AS mu, median(x) AS med, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM s GROUP BY 1) SELECT s.series_id, count(*) AS valid, round(avg((x - mu) ^ 4) / avg((x - mu) ^ 2) ^ 2, 4) AS kurtosis_proxy, round(count(*) FILTER (WHERE x < lo - 1.5 * (hi - lo) OR x > hi + 1.5 * (hi - lo)) / count(*), 6) AS outlier_rate_iqr, round(median(abs(x - med)) * 1.4826 / stddev_pop(x), 5) AS mad_to_std_ratio FROM s JOIN m USING (series_id) GROUP BY 1"),
+    "drift": (drift, f"WITH {EVENTS}, r AS (SELECT series_id, t, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), l AS (SELECT *, lag(m, 24) OVER p AS pm, lag(v, 24) OVER p AS pv FROM r WHERE t >= 23 WINDOW p AS (PARTITION BY series_id ORDER BY t)), sd AS (SELECT series_id, stddev_pop(x) AS sd FROM s GROUP BY 1), q AS (SELECT l.series_id, abs(m - pm) / sd + abs(v - pv) / (sd * sd) AS d FROM l JOIN sd USING (series_id) WHERE pm IS NOT NULL) SELECT series_id, round(avg(d), 4) AS regime_change_proxy, round(count(*) FILTER (WHERE d > 1) / count(*), 4) AS change_density_score FROM q GROUP BY 1"),
+    "hints": (hints, f"WITH {ERRORS} SELECT series_id, true AS binary_like, false AS count_like FROM s GROUP BY 1"),
+    "diagnostics": (diagnostics, None),
+    "signal_flags": (signal_flags, None),
+    "preprocessing_advice": (preprocessing_advice, None),
+    "recommendations": (recommendations, None),
+    "recommendations_online": (recommendations_online, None),
+    "pipeline_spec": (pipeline_spec, None),
+    "ensemble": (consensus, None),
+    "validate": (validation, None),
+}

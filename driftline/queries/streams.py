@@ -1,3 +1,54 @@
-"""Queries."""
+"""The online detectors as streams over event files, run to the end of what is there."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..config import LatePolicy
+from ..sources import tables as T
+from ..streaming import processors as S
+from .base import USERS
+from .detectors import _CUSUM, _arrivals
+
+
+def folder(spark, label: str) -> str:
+    """A fresh folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or str(spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stream_of(spark, rows, out: str, files: int = 3):
+    """rows as a stream: written as a few files in the order of arrival, and read one file a batch."""
+    rows.repartitionByRange(files, "arrival_seq").write.mode("overwrite").parquet(f"{out}/rows")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{out}/rows")
+
+
+def _run(spark, rows, detector, **options):
+    out = folder(spark, "stream")
+    steps = S.detect_stream(stream_of(spark, rows, out), detector, **options)
+    S.run_available(steps, f"{out}/checkpoint", f"{out}/steps")
+    return spark.read.schema(S.OUTPUT).parquet(f"{out}/steps")
+
+
+def stream_cusum(spark, d):
+    rows = T.events(spark, d, "user_id").select("series_id", F.col("t").alias("arrival_seq"), "x")
+    return _run(spark, rows, "cusum", drift=5.0, threshold=200.0, target=50.0).select("series_id", "t", F.round("p_change", 6).alias("p_change"))
+
+
+def stream_page_hinkley(spark, d):
+    rows = T.events(spark, d).select("series_id", F.col("t").alias("arrival_seq"), "x")
+    return _run(spark, rows, "page_hinkley", delta=0.5, threshold=400.0).select("series_id", "t", F.round("p_change", 4).alias("p_change"))
+
+
+def stream_bocpd_late(spark, d):
+    rows = _arrivals(spark, d).where("t < 30").select("series_id", "arrival_seq", "t_ns", "x")
+    return _run(spark, rows, "bocpd", late=LatePolicy("reorder", 10**18, 8, "drop_oldest"))
+
+
+QUERIES = {
+    "stream_cusum": (stream_cusum, f"WITH {USERS}{_CUSUM.format(k=5500)} SELECT series_id, t, round(least(score / 200, 1), 6) AS p_change FROM z"),
+    "stream_page_hinkley": (stream_page_hinkley, "WITH s AS (SELECT CAST(event_type AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value AS x FROM events), m AS (SELECT series_id, t, x, avg(x) OVER (PARTITION BY series_id ORDER BY t) AS mu FROM s), c AS (SELECT series_id, t, sum(x - mu - 0.5) OVER (PARTITION BY series_id ORDER BY t) AS c FROM m) SELECT series_id, t, round(least((c - least(0, min(c) OVER (PARTITION BY series_id ORDER BY t))) / 400, 1), 4) AS p_change FROM c"),
+    "stream_bocpd_late": (stream_bocpd_late, None),
+}
