@@ -31,14 +31,14 @@ def detect_offline(values, pipeline=None, detector: str | None = None, cost: str
 
 
 def register_sql(spark: SparkSession) -> None:
-    """detect_changes(TABLE(...) PARTITION BY series_id ORDER BY t, 'detector', 'cost'): rows (series_id, change_point)."""
+    """detect_changes('detector', 'cost', TABLE(...) PARTITION BY series_id ORDER BY t): rows (series_id, change_point)."""
     from pyspark.sql.functions import udtf
 
     class DetectChanges:
         def __init__(self):
             self.rows, self.key, self.args = [], None, None
 
-        def eval(self, row, detector: str, cost: str):
+        def eval(self, detector: str, cost: str, row):
             self.key, self.args = row["series_id"], (detector, cost)
             self.rows.append(row["x"])
 
