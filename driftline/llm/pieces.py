@@ -27,7 +27,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Entries that the table of remembered stretches holds at most, and characters in one of them; positions between looks for a common boundary.
-REMEMBERED, STRETCH, LOOK = 300_000, 64, 64
+REMEMBERED, STRETCH, LOOK = 200_000, 64, 64
 #: Ids in one output batch, about.
 BATCH_IDS = 1_000_000
 
