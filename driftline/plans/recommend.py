@@ -79,16 +79,19 @@ def calibration_family(d: DataFrame, dims: int = 1) -> DataFrame:
 
 def divergence(d: DataFrame) -> DataFrame:
     """Adds how far a profile lies outside its family's ranges (weighted mean, in widths), and intercept and slope."""
+    names = [f"{k}{i}" for i in range(len(FEATURES)) for k in ("_low", "_high", "_w")]
+    rows = [(k, v[0], v[1], *[float(x) for r in v[2:] for x in r]) for k, v in CALIBRATION.items()]
+    table = d.sparkSession.createDataFrame(rows, "calibration string, intercept double, slope double, " + ", ".join(f"{n} double" for n in names))
+    d = d.join(F.broadcast(table), "calibration")  # one row per family
     total, weight = F.lit(0.0), F.lit(0.0)
-    pick = lambda at: F.coalesce(*[F.when(F.col("calibration") == k, F.lit(float(at(v)))) for k, v in CALIBRATION.items()])
     for i, name in enumerate(FEATURES):
-        low, high, w = pick(lambda v, i=i: v[2 + i][0]), pick(lambda v, i=i: v[2 + i][1]), pick(lambda v, i=i: v[2 + i][2])
+        low, high, w = F.col(f"_low{i}"), F.col(f"_high{i}"), F.col(f"_w{i}")
         out = F.greatest(low - F.col(name), F.col(name) - high, F.lit(0.0)) / F.greatest(high - low, F.lit(1e-9))
         total, weight = total + w * F.least(out, F.lit(3.0)), weight + w
     block, long = F.col("pattern") == "block", F.col("longest") > 512
     total = total + F.when(block, 0.8).otherwise(0.0) + F.when(long, 0.8 * clamp((F.col("longest") - 512) / 512.0, 0.0, 3.0)).otherwise(0.0)
     weight = weight + F.when(block, 1.0).otherwise(0.0) + F.when(long, 0.8).otherwise(0.0)
-    return d.withColumn("divergence", total / weight).withColumn("intercept", pick(lambda v: v[0])).withColumn("slope", pick(lambda v: v[1]))
+    return d.withColumn("divergence", total / weight).drop(*names)
 
 
 def recommend(profiles: DataFrame, objective: str = "balanced", online: bool = False, dims: int = 1, min_confidence: float = 0.2, allow_abstain: bool = True, top: int = 5) -> DataFrame:
