@@ -11,6 +11,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, and all of ASCII that is no letter.
+NOT_LETTERS = np.zeros(256, dtype=bool)
+NOT_LETTERS[:128] = [not chr(i).isalpha() for i in range(128)]
 #: Bytes of text that are hashed at once; a longer word is taken whole.
 PIECE = 1 << 21
 _STEP = 0xD6E8FEB86659FD93
@@ -25,6 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys, which are 0 or more; none without keys."""
+    cuts = np.nonzero(np.diff(keys.astype(np.int64), prepend=-1))[0].tolist()
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if cuts else []
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _POWERS: list[np.ndarray] = []
 
@@ -44,9 +53,9 @@ def _cumulative(step: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words_of(data: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of one piece of text."""
-    space = _SPACE[data]
+    space = breaks[data]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     if not len(starts):
@@ -58,18 +67,18 @@ def _words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, breaks: np.ndarray = _SPACE) -> np.ndarray:
     """A hash for each word of a text, with A-Z as a-z; the text is taken in pieces that end at white space."""
     data = np.frombuffer(text, dtype=np.uint8)
     if len(data) <= PIECE:
-        return _words_of(data)[0]
+        return _words_of(data, breaks)[0]
     found, at = [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            more = np.nonzero(_SPACE[data[end : end + PIECE]])[0]
+        while end < len(data) and not breaks[data[end]]:
+            more = np.nonzero(breaks[data[end : end + PIECE]])[0]
             end += int(more[0]) if len(more) else min(PIECE, len(data) - end)
-        found.append(_words_of(data[at:end])[0])
+        found.append(_words_of(data[at:end], breaks)[0])
         at = end
     return np.concatenate(found)
 
@@ -90,7 +99,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_chain(words, 1, m) if m < size else _chain(words, m - size + 1, size))
 
 
-def batch_shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+def batch_shingles(texts: list[bytes], size: int, breaks: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
     """shingles of each text, hashed for many texts at a time."""
     at = 0
     while at < len(texts):
@@ -99,10 +108,10 @@ def batch_shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             total += len(texts[end]) + 1
             end += 1
         if end == at + 1:
-            yield shingles(word_hashes(texts[at]), size)
+            yield shingles(word_hashes(texts[at], breaks), size)
         else:
             data = np.frombuffer(b" ".join(texts[at:end]), dtype=np.uint8)
-            words, starts = _words_of(data)
+            words, starts = _words_of(data, breaks)
             cuts = np.cumsum([0] + [len(t) + 1 for t in texts[at:end]])
             bounds = np.searchsorted(starts, cuts)
             n = len(words) - size + 1

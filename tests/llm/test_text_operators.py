@@ -141,6 +141,7 @@ def test_ngram_join_defined_cases(spark):
     got = ngram_join.ngram_join(frame(spark, [(3, "a b"), (3, "a b"), (2, "A  b"), (None, "a b"), (9, None), (8, "")])).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 1, 2), (2, 1, 2), (3, 1, 2), (3, 1, 2), (8, 0, 8), (9, 0, 9)]
     assert ngram_join.ngram_join(empty(spark)).count() == 0
+    assert ngram_join.ngram_join(frame(spark, [(1, None), (2, " ")])).where("component_id = doc_id and n_shingles = 0").count() == 2
 
 
 def test_long_texts_hash_in_pieces(monkeypatch):
@@ -208,6 +209,7 @@ def test_suffix_dedup_defined_cases(spark):
     got = suffix_dedup.suffix_dedup(frame(spark, [(1, None), (2, "y" * 99), (None, "q" * 100), (4, "q" * 100), (5, "q" * 100), (5, "q" * 100)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 100), (1, 0), (2, 0), (4, 0), (5, 100), (5, 100)]
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
+    assert suffix_dedup.suffix_dedup(frame(spark, [(1, None), (2, "short")])).agg(F.sum("n_removed")).first()[0] == 0
 
 
 # --- SentencePiece
@@ -234,7 +236,9 @@ def test_encode_and_decode_frames(spark):
 
 
 def test_fingerprints(spark):
-    rows = [(i, t) for i, t in corpus(8, 150) if t]
+    draw = random.Random(8)
+    own = ["".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    rows = [(i, t) for i, t in corpus(8, 30) if t] + [(1000 + i, " ".join(draw.choice(own) for _ in range(draw.randint(20, 80)))) for i in range(120)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame(spark, rows), (0.01, 0.5)).collect()}
     assert len(got) == len(rows)
     order = sorted(rows, reverse=True)
@@ -319,7 +323,7 @@ def test_language_model(spark):
             out.append(draw.choice(chain[out[-1]]))
         return out
 
-    rows = [(i, " ".join(walk(60))) for i in range(400)]
+    rows = [(i, " ".join(walk(60))) for i in range(900)]
     shuffled = [(10_000 + i, " ".join(draw.sample(t.split(), 60))) for i, t in rows[:60]]
     got = {r["doc_id"]: r for r in lm_score.lm_score(frame(spark, rows + shuffled + [(1_000_000, None)])).collect()}
     assert got[1_000_000]["n_words"] == 0 and got[1_000_000]["log_likelihood"] == 0.0
