@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 #: Documents per slice of a source's queue, about: what one window task sorts at a time.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
