@@ -26,7 +26,7 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
-FILES_PER_BATCH = 4096
+FILES_PER_BATCH, SALTS = 4096, 16
 
 
 def normalised(text: Column) -> Column:
@@ -76,10 +76,14 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     if entries.isEmpty():
         return entries.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     state = written(stream_state(spark, f"{out}/entries", entries.schema, ["digest"], out), f"{out}/groups")
-    hits = state.where("group_size > 1").select("digest")
+    # Dealt by digest and a salt, so that a large group's texts are compared in many tasks. The hint keeps the plan one and
+    # the same at every size of the hits.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hits = state.where("group_size > 1").select("digest", salts)
     # Full bytes on hits: within a group the least and the greatest text must be the same bytes.
-    texts = docs.select(normalised(text_of()).alias("body")).withColumn("digest", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, digest_bits // 4))
-    ends = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    texts = docs.select(normalised(text_of()).alias("body"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).withColumn("digest", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, digest_bits // 4))
+    ends = texts.join(hits.hint("shuffle_hash"), ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     clashes = written(ends.where(F.col("low") != F.col("high")).select("digest"), f"{out}/clashes")
     rows = entries.join(state, "digest")
     if not clashes.isEmpty():
