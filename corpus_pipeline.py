@@ -6,6 +6,9 @@ stage's docs. All but the last return the columns of documents. Extra columns ar
 Rows that share a doc_id (or have none) count as one document where a stage decides by id: they stay or go together, except
 that of rows that agree in id and text one stays. Null and empty texts pass the quality filter or not by their score, form
 one group of exact copies, are linked with nothing, and are taken by no mix, since they have no words.
+
+What a stage decides is joined to the texts by id. The lists of ids grow with the input, so these joins are hinted to deal out
+both sides at every size instead of sending a list that happens to be small to all tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = written(exact_dedup.exact_dedup(docs), f"{out}/found")
     by_id = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")), f"{out}/ids")
     plain = by_id.where("rows = 1 and kept and doc_id is not null").select("doc_id")
-    stay = docs.join(plain, "doc_id", "left_semi")
+    stay = docs.join(plain.hint("shuffle_hash"), "doc_id", "left_semi")
     again = by_id.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
     if not again.isEmpty():
         # Several rows with one id: the text decides, and of rows equal in both one stays.
@@ -50,7 +53,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = written(ngram_join.ngram_join(docs), f"{out}/found")
     # A row without id stays if it is linked with no row that has one.
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
     rows = docs.withColumn("_words", mixing.word_count(text_of()))
     same = rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return rows.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return rows.join(times.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
