@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,17 @@ def workdir(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back with its own schema."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been written: Spark deletes them once the driver has collected its handles,
+    which it would otherwise do at some later time only, while the next stage fills the same disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
