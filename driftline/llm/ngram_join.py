@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus_size, table, workdir, written
+from .common import corpus_size, release, table, workdir, written
 from .components import connected_components
-from .shingles import batch_shingles, mix
+from .shingles import batch_shingles, mix, runs
 
 SIZE, PERCENT = 5, 80
 #: Shingles per packed block and, about, per range of hashes.
-BLOCK, RANGE = 1_500_000, 2_000_000
+BLOCK, RANGE = 800_000, 800_000
 FRAGMENTS = 8
 _BLOB = "block string, bucket int, kind int, docs int, ids binary, counts binary, hashes binary"
 
@@ -52,10 +52,9 @@ def _pack(size: int, bits: int):
         bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         bucket, hashes, doc = bucket[order], hashes[order], doc[order]
-        cuts = np.nonzero(np.diff(bucket, prepend=bucket[:1] + 1))[0] if len(bucket) else np.zeros(0, int)
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            rows.append((name, int(bucket[a]), 0, len(sets), None, np.bincount(doc[a:b], minlength=len(sets)).astype(np.uint32).tobytes(), hashes[a:b].tobytes()))
+        for a, b in runs(bucket):
+            rows.append((name, int(bucket[a]), 0, len(sets), None, np.bincount(doc[a:b], minlength=len(sets)).astype(np.uint32).tobytes(), _short(hashes[a:b])))
         digest = np.zeros((len(sets), 2), dtype=np.uint64)
         for i, s in enumerate(sets):
             if len(s):
@@ -84,6 +83,17 @@ def _pack(size: int, bits: int):
     return run
 
 
+def _short(hashes: np.ndarray) -> bytes:
+    """The lower six bytes of each hash; with the range they come to 51 bits or more."""
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes, bucket: int, bits: int) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | (np.uint64(bucket) << np.uint64(64 - bits))
+
+
 def _ids_out(ids: list) -> bytes:
     null = np.array([i is None for i in ids], dtype=np.uint8)
     return np.array([i or 0 for i in ids], dtype=np.int64).tobytes() + null.tobytes()
@@ -93,32 +103,36 @@ def _ids_in(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[: 8 * n], np.int64), np.frombuffer(data[8 * n :], np.uint8).astype(bool)
 
 
-def _count(group: pa.Table) -> pa.Table:
+def _count(bits: int):
     """In one hash range: keep the shingles of two documents or more, with the band of their document frequency."""
-    blobs = [r for r in group.to_pylist()]
-    plain = [r for r in blobs if r["kind"] == 0]
-    rows = [(r["block"], 1, r["docs"], r["ids"], r["counts"], r["hashes"], None) for r in blobs if r["kind"] == 1]
-    if plain:
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in plain])
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
-        times = np.diff(np.append(first, len(ranked)))
-        band = np.empty(len(hashes), dtype=np.uint8)
-        band[order] = np.repeat(np.log2(times).astype(np.uint8), times)
-        at = 0
-        for r in plain:
-            counts = np.frombuffer(r["counts"], np.uint32)
-            k = int(counts.sum())
-            own = band[at : at + k]
-            keep = own > 0
-            if keep.any():
-                doc = np.repeat(np.arange(r["docs"]), counts)[keep]
-                rows.append((r["block"], 0, r["docs"], None, np.bincount(doc, minlength=r["docs"]).astype(np.uint32).tobytes(), hashes[at : at + k][keep].tobytes(), own[keep].tobytes()))
-            at += k
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["block", "kind", "docs", "ids", "counts", "hashes", "bands"]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group.to_pylist()
+        plain = [r for r in blobs if r["kind"] == 0]
+        rows = [(r["block"], 1, r["docs"], r["ids"], r["counts"], r["hashes"], None) for r in blobs if r["kind"] == 1]
+        if plain:
+            hashes = np.concatenate([_long(r["hashes"], r["bucket"], bits) for r in plain])
+            order = np.argsort(hashes)
+            ranked = hashes[order]
+            first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
+            times = np.diff(np.append(first, len(ranked)))
+            band = np.empty(len(hashes), dtype=np.uint8)
+            band[order] = np.repeat(np.log2(times).astype(np.uint8), times)
+            at = 0
+            for r in plain:
+                counts = np.frombuffer(r["counts"], np.uint32)
+                k = int(counts.sum())
+                own = band[at : at + k]
+                keep = own > 0
+                if keep.any():
+                    doc = np.repeat(np.arange(r["docs"]), counts)[keep]
+                    rows.append((r["block"], 0, r["docs"], None, np.bincount(doc, minlength=r["docs"]).astype(np.uint32).tobytes(), hashes[at : at + k][keep].tobytes(), own[keep].tobytes()))
+                at += k
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["block", "kind", "docs", "ids", "counts", "hashes", "bands"]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+
+    return run
 
 
 def allowed(n: int, percent: int) -> int:
@@ -217,7 +231,7 @@ def _verified(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent:
     return overlap.where(F.lit(100 + percent) * F.col("same") >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = 4, crowd: float = 20.0) -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = 1, crowd: float = 20.0) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     rounds: how often lists with several components meet one more member before all pairs between components are offered;
@@ -225,17 +239,22 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds
     """
     spark = docs.sparkSession
     out = workdir(spark, "ngram-join")
-    rows, total = corpus_size(docs)
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(size, _range_bits(total)), _BLOB)
-    counted = packed.groupBy("bucket").applyInArrow(_count, "block string, kind int, docs int, ids binary, counts binary, hashes binary, bands binary")
+    _, total = corpus_size(docs)
+    bits = _range_bits(total)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(size, bits), _BLOB)
+    counted = packed.groupBy("bucket").applyInArrow(_count(bits), "block string, kind int, docs int, ids binary, counts binary, hashes binary, bands binary")
     gathered = written(counted.groupBy("block").applyInArrow(_gather(percent), "doc_id bigint, n bigint, cls string, hashes binary, bands binary"), f"{out}/documents")
+    release(spark)
     able = gathered.where("cls is not null")
     sets = written(able.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands")), f"{out}/sets")
     fragments = written(sets.select("cls", "hashes", "bands").mapInArrow(_cut, "cls string, frag int, shingles array<bigint>"), f"{out}/fragments")
     entries = sets.select("cls", "n", "hashes").mapInArrow(_prefixes(percent), "key bigint, cls string, n bigint, u bigint, pos bigint")
     entries = written(entries, f"{out}/entries")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    lists = written(entries.join(shared, "key"), f"{out}/lists")
+    # The smaller of two partners shares at least percent / (100 + percent) of both sizes, so what an entry can share bounds
+    # its partner's size: entries that no other size in their list can match are left out.
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1").select("key", "least")
+    room = F.lit(100 + percent) * (F.col("n") - F.greatest("pos", "u")) >= F.lit(percent) * (F.col("n") + F.col("least"))
+    lists = written(entries.join(shared, "key").where(room).drop("least"), f"{out}/lists")
     links = spark.createDataFrame([], "a string, b string")
     tested = spark.createDataFrame([], "a string, b string")
     roots = spark.createDataFrame([], "node string, root string")
