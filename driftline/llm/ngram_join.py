@@ -54,7 +54,7 @@ def _pack(size: int, bits: int):
         bucket, hashes, doc = bucket[order], hashes[order], doc[order]
         rows = []
         for a, b in runs(bucket):
-            rows.append((name, int(bucket[a]), 0, len(sets), None, np.bincount(doc[a:b], minlength=len(sets)).astype(np.uint32).tobytes(), _short(hashes[a:b])))
+            rows.append((name, int(bucket[a]), 0, len(sets), None, _counts_out(np.bincount(doc[a:b], minlength=len(sets))), _short(hashes[a:b])))
         digest = np.zeros((len(sets), 2), dtype=np.uint64)
         for i, s in enumerate(sets):
             if len(s):
@@ -83,6 +83,15 @@ def _pack(size: int, bits: int):
     return run
 
 
+def _counts_out(counts: np.ndarray) -> bytes:
+    """Counts by document, in one byte each if they fit."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _counts_in(data: bytes, docs: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == docs else np.uint32).astype(np.int64)
+
+
 def _short(hashes: np.ndarray) -> bytes:
     """The lower six bytes of each hash; with the range they come to 51 bits or more."""
     return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -120,13 +129,13 @@ def _count(bits: int):
             band[order] = np.repeat(np.log2(times).astype(np.uint8), times)
             at = 0
             for r in plain:
-                counts = np.frombuffer(r["counts"], np.uint32)
+                counts = _counts_in(r["counts"], r["docs"])
                 k = int(counts.sum())
                 own = band[at : at + k]
                 keep = own > 0
                 if keep.any():
                     doc = np.repeat(np.arange(r["docs"]), counts)[keep]
-                    rows.append((r["block"], 0, r["docs"], None, np.bincount(doc, minlength=r["docs"]).astype(np.uint32).tobytes(), hashes[at : at + k][keep].tobytes(), own[keep].tobytes()))
+                    rows.append((r["block"], 0, r["docs"], None, _counts_out(np.bincount(doc, minlength=r["docs"])), hashes[at : at + k][keep].tobytes(), own[keep].tobytes()))
                 at += k
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = ["block", "kind", "docs", "ids", "counts", "hashes", "bands"]
@@ -152,7 +161,7 @@ def _gather(percent: int):
         digest = np.frombuffer(head["hashes"], np.uint64).reshape(n_docs, 2)
         plain = [r for r in blobs if r["kind"] == 0]
         if plain:
-            doc = np.concatenate([np.repeat(np.arange(n_docs), np.frombuffer(r["counts"], np.uint32)) for r in plain])
+            doc = np.concatenate([np.repeat(np.arange(n_docs), _counts_in(r["counts"], n_docs)) for r in plain])
             hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in plain])
             bands = np.concatenate([np.frombuffer(r["bands"], np.uint8) for r in plain])
         else:
