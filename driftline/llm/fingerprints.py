@@ -3,7 +3,7 @@
 The lexicon holds the terms whose document frequency lies within a band of shares, which is inverse document frequency
 within a band; since a document has a bounded mean number of terms, the lower share bounds the lexicon's size whatever the
 number of documents. Several random subsets of the lexicon are drawn at each of several densities; a document's distinct
-terms in a subset are sorted and hashed. The fingerprint lists the hashes. Two fingerprints are compared at the density
+terms (words, by their hashes) in a subset are sorted and hashed. The fingerprint lists the hashes. Two fingerprints are compared at the density
 that tells most: the share of equal hashes among the subsets that are not empty in both.
 
 Defined results: null counts as empty; a text without terms in the lexicon has a digest of itself as its fingerprint and is
@@ -15,7 +15,7 @@ each other; an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,48 +23,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, table, text_of, workdir, written
+from .common import corpus_size, parallelism, release, table, text_of
+from .shingles import NOT_LETTERS, batch_shingles, runs
 
 #: Shares of all documents a term of the lexicon is in.
 BAND = (0.001, 0.15)
 #: One over the density of the lexicon subsets, and subsets at each.
 DENSITIES, SUBSETS = (2, 8, 32, 128, 512, 2048), 16
-FLUSH = 400_000
-_TERM = re.compile(r"[^\W\d_]{2,40}")
+#: Distinct terms that a task counts before it hands them on, and terms per hash range.
+FLUSH, RANGE = 1_000_000, 500_000
 
 
-def terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
+def terms(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct hashes of its words: runs without ASCII signs and digits, with A-Z as a-z."""
+    return batch_shingles([t.encode("utf-8", "surrogatepass") for t in texts], 1, NOT_LETTERS)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
+def _frequencies(bits: int):
+    """Terms of the task and the number of texts they are in, packed by hash range."""
 
-    def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "df"])
-        counts.clear()
-        return got
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        term, n = np.unique(np.concatenate(found), return_counts=True)
+        bucket = (term >> np.uint64(64 - bits)).astype(np.int64)
+        small = n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32)
+        rows = [(int(bucket[a]), small.itemsize, term[a:b].tobytes(), small[a:b].tobytes()) for a, b in runs(bucket)]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "width", "terms", "counts"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for t in terms(text or ""):
-                counts[t] = counts.get(t, 0) + 1
-            if len(counts) > FLUSH:
-                yield out()
-    yield out()
-
-
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[str]:
-    """The sorted terms whose document frequency is within the band; at most mean terms per document / band[0]."""
-    n = docs.count()
-    df = docs.select(text_of().alias("text")).mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    return sorted(r["term"] for r in df.where((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))).select("term").collect())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for own in terms([t or "" for t in batch.column(0).to_pylist()]):
+                found.append(own)
+                held += len(own)
+                if held > 8 * FLUSH:
+                    yield out(found)
+                    found, held = [], 0
+        if found:
+            yield out(found)
+
+    return run
+
+
+def _in_band(low: float, high: float):
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        term = np.concatenate([np.frombuffer(r["terms"], np.uint64) for r in rows])
+        n = np.concatenate([np.frombuffer(r["counts"], np.uint8 if r["width"] == 1 else np.uint32).astype(np.int64) for r in rows])
+        by = np.argsort(term)
+        term, n = term[by], n[by]
+        first = np.nonzero(np.concatenate([[True], term[1:] != term[:-1]]))[0]
+        df = np.add.reduceat(n, first)
+        return pa.table({"term": pa.array(term[first][(df >= low) & (df <= high)].view(np.int64))})
+
+    return run
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+    """The sorted hashes of the terms whose document frequency is within the band; at most mean terms per document / band[0]."""
+    n, size = corpus_size(docs)
+    if not n:
+        return np.zeros(0, np.uint64)
+    bits = min(24, max(3, math.ceil(math.log2(max(1, size / 40 / RANGE)))))
+    counts = docs.select(text_of().alias("text")).mapInArrow(_frequencies(bits), "bucket int, width int, terms binary, counts binary")
+    found = counts.groupBy("bucket").applyInArrow(_in_band(max(2.0, band[0] * n), max(2.0, band[1] * n)), "term bigint").toPandas()
+    return np.sort(found["term"].to_numpy(np.int64).view(np.uint64))
 
 
 class Fingerprints:
     """Fingerprints under one lexicon."""
 
-    def __init__(self, words: list[str], seed: int = 0):
+    def __init__(self, words: np.ndarray, seed: int = 0):
         self.words, self.seed, self._ready = words, seed, None
 
     def __reduce__(self):
@@ -78,14 +107,17 @@ class Fingerprints:
             member = np.empty((n, len(shares)), dtype=bool)
             for k, share in enumerate(shares):
                 member[:, k] = draw.random(n) < share
-            keys = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in self.words], dtype=np.uint64)
-            self._ready = {w: i for i, w in enumerate(self.words)}, member, keys
+            self._ready = member
         return self._ready
 
-    def of(self, text: str) -> tuple[str, np.ndarray | None]:
-        """The fingerprint as text, and its hashes (0: empty subset)."""
-        place, member, keys = self._tables()
-        ids = np.array(sorted(place[t] for t in terms(text) if t in place), dtype=np.int64)
+    def of_all(self, texts: list[str]) -> list[tuple[str, np.ndarray | None]]:
+        return [self._of(text, own) for text, own in zip(texts, terms(texts), strict=True)]
+
+    def _of(self, text: str, own: np.ndarray) -> tuple[str, np.ndarray | None]:
+        """The fingerprint as text, and its hashes (0: empty subset), from the text's sorted distinct terms."""
+        member, keys = self._tables(), self.words
+        ids = np.searchsorted(keys, own)
+        ids = ids[(ids < len(keys)) & (keys[np.minimum(ids, len(keys) - 1)] == own)] if len(keys) else ids[:0]
         if not len(ids):
             return "-" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), None
         own = member[ids]
@@ -122,7 +154,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _buckets(docs: DataFrame, out: str) -> tuple[DataFrame, list, int]:
+def _buckets(docs: DataFrame) -> tuple[DataFrame, list, int]:
     """The rows with a bucket along descending doc_id; edges: for each bucket the id of the row that follows its last one."""
     spark = docs.sparkSession
     rows = docs.count()
@@ -137,9 +169,9 @@ def _buckets(docs: DataFrame, out: str) -> tuple[DataFrame, list, int]:
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
     spark = docs.sparkSession
-    out = workdir(spark, "fingerprints")
     made = Fingerprints(lexicon(docs, band))
-    rows, _, _ = _buckets(docs, out)
+    release(spark)
+    rows, _, _ = _buckets(docs)
     key = F.xxhash64("text")
     # The first row of each bucket also follows the last row of the bucket before it; the first of all follows the last.
     heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", key.alias("key"))).alias("head"))
@@ -159,14 +191,16 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 cut = batch.slice(at, 500)
-                got = []
-                for doc, text, bucket, last in zip(*[cut.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "last")], strict=True):
-                    own = made.of(text)
+                rows = list(zip(*[cut.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "last")], strict=True))
+                marks = made.of_all([r[1] for r in rows])
+                pairs = []  # a row, its fingerprint, its edited text, the next row's fingerprint
+                for (doc, text, bucket, last), own in zip(rows, marks, strict=True):
                     if before is not None and before[3] == bucket:
-                        changed = edited(before[1], text)
-                        other = made.of(changed)
-                        got.append((before[0], len(before[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), before[2][0], other[0], made.likeness(before[2], other), made.likeness(before[2], own)))
+                        pairs.append((before[0], before[1], before[2], edited(before[1], text), own))
                     before = None if last else (doc, text, own, bucket)
+                got = []
+                for (doc, text, own, changed, following), other in zip(pairs, made.of_all([p[3] for p in pairs]), strict=True):
+                    got.append((doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own[0], other[0], made.likeness(own, other), made.likeness(own, following)))
                 names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
                 cols = list(zip(*got, strict=True)) or [()] * 7
                 kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
