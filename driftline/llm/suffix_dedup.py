@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus_size, table, text_of, workdir, written
-from .shingles import mix
+from .common import corpus_size, release, table, text_of, workdir, written
+from .shingles import mix, runs
 
 LENGTH = 100
 GRAM = 16
@@ -359,8 +359,7 @@ def _pack_anchors(length: int, bits: int):
         bucket = (hashes >> _U(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, ordered = bucket[order], hashes[order]
-        cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-        rows = [(name, int(bucket[a]), 0, len(sets), None, ordered[a:b].tobytes(), None, None) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)]
+        rows = [(name, int(bucket[a]), 0, len(sets), None, ordered[a:b].tobytes(), None, None) for a, b in runs(bucket)]
         where = int(np.frombuffer(name.encode(), np.uint8).astype(np.int64).sum() * 2654435761 % (1 << bits))
         rows.append((name, where, 1, len(sets), n.tobytes(), (hashes >> _U(64 - bits)).astype(np.uint32).tobytes(), np.array(ids, np.int64).tobytes(), np.array(keys, np.int64).tobytes()))
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -375,8 +374,7 @@ def _pack_anchors(length: int, bits: int):
             texts = _texts(batch)
             own: list[list[np.ndarray]] = [[] for _ in texts]
             for _, number, _, _, _, _, hashes in _runs(texts, length):
-                cuts = np.nonzero(np.diff(number, prepend=-1))[0]
-                for a, b in zip(cuts, np.append(cuts[1:], len(number)), strict=True):
+                for a, b in runs(number):
                     own[number[a]].append(hashes[a:b])
             for i, doc, key in zip(range(len(texts)), batch.column("id").to_pylist(), batch.column("key").to_pylist(), strict=True):
                 ids.append(doc), keys.append(key)
@@ -452,9 +450,8 @@ def _cut_stretches(length: int, bits: int):
             for data, number, shift, first, last, at, hashes in _runs([texts[i] for i in keep], length):
                 number = np.array(keep)[number] if len(number) else number
                 # How often each anchor's run has been seen within its document so far gives its bit.
-                cuts = np.nonzero(np.diff(number, prepend=-1))[0]
                 many = np.zeros(len(number), dtype=bool)
-                for a, b in zip(cuts, np.append(cuts[1:], len(number)), strict=True):
+                for a, b in runs(number):
                     i = number[a]
                     many[a:b] = known[i][used[i] : used[i] + b - a]
                     used[i] += b - a
@@ -484,8 +481,7 @@ def _stretch_rows(name: str, data, ids, keys, pos, at, size, hashes, bits: int,
     bucket = (hashes[keep] >> _U(64 - bits)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     keep, bucket = keep[by], bucket[by]
-    cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-    for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+    for a, b in runs(bucket):
         k = keep[a:b]
         body = b"".join(raw[at[i] : at[i] + size[i]] for i in k.tolist())
         rows.append((int(bucket[a]), name, 0, len(body), ids[k].tobytes(), keys[k].tobytes(), pos[k].astype(np.int64).tobytes(), hashes[k].tobytes(), size[k].astype(np.int64).tobytes(), body, None, None, None, None))
@@ -528,11 +524,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     wide = min(24, max(4, math.ceil(math.log2(max(1, total / (shard / 2))))))
     stretches = docs.select("id", "key", "text").join(answers.hint("shuffle_hash"), ["id", "key"]).mapInArrow(_cut_stretches(length, wide), _STRETCH)
     stretches = written(stretches, f"{out}/stretches")
+    release(docs.sparkSession)
     # A hash range that is too large is dealt over several shards, block by block.
     large = stretches.groupBy("bucket").agg(F.sum("size").alias("total")).where(F.col("total") > shard).select("bucket", F.ceil(F.col("total") / shard * 2).cast("int").alias("shards"))
     dealt = stretches.join(large, "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("block"), F.col("shards")).cast("int"))
     found = written(dealt.groupBy("bucket", "shard").applyInArrow(_shard(length), _FOUND), f"{out}/found")
+    release(docs.sparkSession)
     merged = found.where("kind = 1").groupBy("bucket", "slice").applyInArrow(_merge(length), _FOUND)
     spans = found.where("kind = 0").select("id", "key", "a", "b").unionByName(merged.select("id", "key", "a", "b"))
     return written(spans.groupBy("id", "key").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends")), f"{out}/spans")
