@@ -128,8 +128,7 @@ def cusum_steps(spark, d):
 
 
 def bocpd_bernoulli(spark, d):
-    s = T.error_flags(spark, d).where("t < 40")
-    return O.run_online(s, "bocpd", model="bernoulli").select("series_id", "t", F.round("p_change", 6).alias("p_change"), F.round("run_length_mean", 4).alias("run_length_mean"))
+    return O.run_online(T.error_flags(spark, d), "bocpd", model="bernoulli").select("series_id", "t", F.round("p_change", 6).alias("p_change"), F.round("run_length_mean", 4).alias("run_length_mean"))
 
 
 def bocpd_gaussian(spark, d):

@@ -43,7 +43,7 @@ def stream_page_hinkley(spark, d):
 
 
 def stream_bocpd_late(spark, d):
-    rows = _arrivals(spark, d).where("t < 30").select("series_id", "arrival_seq", "t_ns", "x")
+    rows = _arrivals(spark, d).select("series_id", "arrival_seq", "t_ns", "x")
     return _run(spark, rows, "bocpd", late=LatePolicy("reorder", 10**18, 8, "drop_oldest"))
 
 
