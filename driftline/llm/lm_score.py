@@ -1,10 +1,12 @@
 """Language-model scores by masked pseudo-likelihood.
 
-The vocabulary holds the most frequent words of all documents; other words share buckets by their shape. A bidirectional
+The vocabulary holds the most frequent words of all documents and grows with their distinct words; any other word is
+predicted as one rare word and then spelled by a character model (trigrams, backing off) counted over all rare words. So
+each word has a probability of its own. As context a rare word stands by a hash of its ending. A bidirectional
 window network (two words on either side, one hidden layer, a softmax over word classes and one within the class) learns in
 numpy to predict masked words: every task trains on every eighth word of all its documents from the same start, and the
 tasks' weights are averaged by the number of their words, twice. The score of a document is the sum, over each of its
-words, of the log probability of the word given the words on both sides.
+words, of the log probability of the word given the words on both sides, and of its spelling if it is rare.
 
 Defined results: null and empty texts have no words, a sum of 0 and a mean of 0; repeated rows score alike; without any
 word the network stays at its start; an empty table gives an empty result. Only doc_id and text are read.
@@ -12,6 +14,8 @@ word the network stays at its start; an empty table gives an empty result. Only
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of, workdir, written
 
-#: Classes and words in each; the last SHAPES entries are buckets for other words.
-CLASSES, IN_CLASS, SHAPES = 32, 64, 64
+#: Classes and words in each, at least; from GROWTH times the fourth root of the distinct words, both grow with that.
+CLASSES, IN_CLASS, GROWTH = 32, 64, 2
 WORDS = CLASSES * IN_CLASS
+#: The id of any rare word as a target; rows of embeddings for endings of rare words, for each word of a class; weight of
+#: the shorter context in the spelling.
+RARE, ENDINGS, BACK = 0, 16, 2.0
 WIDTH, SIDE = 24, 2
 MASKED, ROUNDS, BATCH, RATE = 8, 2, 4096, 0.1
-#: Words that are scored at once, distinct words that a task counts before it hands them on, averages sent to the driver.
-PIECE, FLUSH, PARTS = 1 << 15, 400_000, 16
+#: Words that are scored at once, distinct words that a task counts before it hands them on, weights averaged at once.
+PIECE, FLUSH, SLICE = 1 << 15, 400_000, 1 << 16
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -48,27 +55,106 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """The most frequent words by rank, over all documents; ties by the word."""
+def shape(distinct: int) -> tuple[int, int]:
+    """Classes and words in each for so many distinct words."""
+    side = math.ceil(GROWTH * distinct**0.25)
+    return (side, side) if side * side > WORDS else (CLASSES, IN_CLASS)
+
+
+def vocabulary(docs: DataFrame, out: str) -> tuple[DataFrame, dict[str, int], int, int]:
+    """All words with their counts, the ids of the frequent ones by rank (ties by the word; RARE is left out), and the shape.
+
+    The words are those from the least count at which they fit; the counts of counts tell it, so nothing is sorted whole.
+    """
     sums = docs.select(text_of().alias("text")).mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "word").limit(WORDS - SHAPES).collect()
-    return {r["word"]: i for i, r in enumerate(top)}
+    sums = written(sums, f"{out}/words")
+    times = sorted((r["n"], r["k"]) for r in sums.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect())
+    classes, in_class = shape(sum(k for _, k in times))
+    room, least = classes * in_class - 1, None
+    while times and times[-1][1] <= room:
+        least, k = times.pop()
+        room -= k
+    top = [] if least is None else sums.where(F.col("n") >= least).collect()
+    known = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])), RARE + 1)}
+    return sums, known, classes, in_class
+
+
+def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each character of the words and their ends (a line feed, which no word has) after the two before it, 21 bits each;
+    and the place of its word."""
+    text = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    a, b, c = np.concatenate([[10], text[:-2]]), text[:-1], text[1:]
+    return np.where(b == 10, 10, a) << 42 | b << 21 | c, np.cumsum(b == 10) - 1
+
+
+def _trigrams(known: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            if rare:
+                keys, of = _spelled([w for w, _ in rare])
+                keys, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at, np.array([n for _, n in rare], float)[of])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+class Spelling:
+    """The probability of a rare word by its characters: trigrams, interpolated with bigrams, single ones and any other."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        low = (1 << 21) - 1
+        self.levels = []  # for each length of context: sorted keys and their counts, sorted contexts and theirs
+        for bits in (0, 21, 42):
+            part = keys[order] & ((1 << (bits + 21)) - 1)
+            own, at = np.unique(part, return_inverse=True)
+            before, over = np.unique(part >> 21, return_inverse=True)
+            self.levels.append((own, np.bincount(at, n[order], len(own)), before, np.bincount(over, n[order], len(before))))
+        self.base = 1.0 / (low + 1)
+        self.keys = keys[order]
+        self.log_p = np.log(self._p(self.keys)) if len(keys) else np.zeros(0)
+
+    @staticmethod
+    def _find(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, n[at], 0.0)
+
+    def _p(self, keys: np.ndarray) -> np.ndarray:
+        p = np.full(len(keys), self.base)
+        for bits, (own, n, before, m) in zip((0, 21, 42), self.levels, strict=True):
+            part = keys & ((1 << (bits + 21)) - 1)
+            p = (self._find(own, n, part) + BACK * p) / (self._find(before, m, part >> 21) + BACK)
+        return p
+
+    def log_probability(self, words: list[str]) -> float:
+        """Of all the words together, with their ends."""
+        keys, _ = _spelled(words)
+        if not len(self.keys):
+            return float(np.log(self._p(keys)).sum())
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        seen = self.keys[at] == keys
+        return float(self.log_p[at[seen]].sum() + (0.0 if seen.all() else np.log(self._p(keys[~seen])).sum()))
 
 
 class Network:
     """emb, place (a weight per side position), bias, classes, class bias, words and word bias."""
 
-    def __init__(self, seed: int = 0):
+    def __init__(self, seed: int = 0, classes: int = CLASSES, in_class: int = IN_CLASS):
         draw = np.random.default_rng(seed)
         f = np.float32
+        self.in_class = in_class
         self.p = [
-            draw.normal(0, 0.1, (WORDS + 1, WIDTH)).astype(f),  # the last row stands beyond the ends of a text
+            draw.normal(0, 0.1, (in_class * (classes + ENDINGS) + 1, WIDTH)).astype(f),  # words, endings, beyond the ends of a text
             np.ones((len(_OFFSETS), WIDTH), f),
             np.zeros(WIDTH, f),
-            np.zeros((CLASSES, WIDTH), f),
-            np.zeros(CLASSES, f),
-            np.zeros((WORDS, WIDTH), f),
-            np.zeros(WORDS, f),
+            np.zeros((classes, WIDTH), f),
+            np.zeros(classes, f),
+            np.zeros((classes * in_class, WIDTH), f),
+            np.zeros(classes * in_class, f),
         ]
 
     def flat(self) -> np.ndarray:
@@ -90,14 +176,14 @@ class Network:
         _, h = self._hidden(context)
         z = h @ self.p[3].T + self.p[4]
         z -= z.max(axis=1, keepdims=True)
-        cls = word // IN_CLASS
+        cls = word // self.in_class
         n = np.arange(len(word))
         out = z[n, cls] - np.log(np.exp(z).sum(axis=1))
         for c, rows in _by_class(cls):
-            own = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
+            own = slice(c * self.in_class, (c + 1) * self.in_class)
             z = h[rows] @ self.p[5][own].T + self.p[6][own]
             z -= z.max(axis=1, keepdims=True)
-            out[rows] += z[np.arange(len(rows)), word[rows] % IN_CLASS] - np.log(np.exp(z).sum(axis=1))
+            out[rows] += z[np.arange(len(rows)), word[rows] % self.in_class] - np.log(np.exp(z).sum(axis=1))
         return out
 
     def step(self, context: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
@@ -105,7 +191,7 @@ class Network:
         emb, h = self._hidden(context)
         n = np.arange(len(word))
         scale = np.float32(1 / len(word))
-        cls = word // IN_CLASS
+        cls = word // self.in_class
         z = h @ self.p[3].T + self.p[4]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         z /= z.sum(axis=1, keepdims=True)
@@ -114,11 +200,11 @@ class Network:
         back = z @ self.p[3]
         grad = [None, None, None, z.T @ h, z.sum(axis=0), np.zeros_like(self.p[5]), np.zeros_like(self.p[6])]
         for c, rows in _by_class(cls):
-            own = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
+            own = slice(c * self.in_class, (c + 1) * self.in_class)
             z = h[rows] @ self.p[5][own].T + self.p[6][own]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), word[rows] % IN_CLASS] -= 1
+            z[np.arange(len(rows)), word[rows] % self.in_class] -= 1
             z *= scale
             grad[5][own], grad[6][own] = z.T @ h[rows], z.sum(axis=0)
             back[rows] += z @ self.p[5][own]
@@ -146,31 +232,40 @@ def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 class Windows:
     """Words as ids, and the contexts of positions, under one vocabulary."""
 
-    def __init__(self, known: dict[str, int]):
-        self.known = known
+    def __init__(self, known: dict[str, int], classes: int = CLASSES, in_class: int = IN_CLASS):
+        self.known, self.words, self.endings = known, classes * in_class, ENDINGS * in_class
+        self._rows: dict[str, int] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        get, low = self.known.get, WORDS - SHAPES
-        found = [get(w) for w in text.lower().split()] if text else []
+    def ids(self, text: str) -> tuple[np.ndarray, list[str]]:
+        """The ids of the words, from self.words on by the ending of a rare one; and the rare words."""
+        words = text.lower().split() if text else []
+        found, rare, rows = list(map(self.known.get, words)), [], self._rows
         if None in found:
-            words = text.lower().split()
-            found = [low + (len(w) * 13 + ord(w[-1])) % SHAPES if i is None else i for i, w in zip(found, words, strict=True)]
-        return np.array(found, dtype=np.int64)
+            for i, k in enumerate(found):
+                if k is None:
+                    end = words[i][-3:]
+                    if end not in rows:
+                        rows[end] = self.words + zlib.crc32(end.encode("utf-8", "surrogatepass")) % self.endings
+                    found[i] = rows[end]
+                    rare.append(words[i])
+        return np.array(found, dtype=np.int64), rare
 
-    @staticmethod
-    def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The ids around the positions of one text; WORDS stands beyond its ends."""
-        wide = np.concatenate([np.full(SIDE, WORDS), ids, np.full(SIDE, WORDS)])
-        return wide[at[:, None] + SIDE + np.array(_OFFSETS)]
+    def targets(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < self.words, ids, RARE)
+
+    def contexts(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ids around the positions of one text; the last one stands beyond its ends."""
+        edge = np.full(SIDE, self.words + self.endings)
+        return np.concatenate([edge, ids, edge])[at[:, None] + SIDE + np.array(_OFFSETS)]
 
 
-def _train(windows: Windows, start: np.ndarray, number: int):
+def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number: int):
     """Train on every MASKED-th word, another one each round, of all documents of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        net, seen = Network().load(start), 0
+        net, seen = Network(0, *shape).load(start), 0
         state = [np.zeros_like(x) for x in net.p]
         contexts, words, held = [], [], 0
 
@@ -181,10 +276,10 @@ def _train(windows: Windows, start: np.ndarray, number: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = windows.ids(text)
+                ids, _ = windows.ids(text)
                 at = np.arange((len(ids) + 3 * number) % MASKED, len(ids), MASKED)
                 if len(at):
-                    contexts.append(windows.contexts(ids, at)), words.append(ids[at])
+                    contexts.append(windows.contexts(ids, at)), words.append(windows.targets(ids[at]))
                     held += len(at)
                     seen += len(at)
                     if held >= 16 * BATCH:
@@ -193,38 +288,41 @@ def _train(windows: Windows, start: np.ndarray, number: int):
         if held:
             learn()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), pa.array([seen], pa.int64()), pa.array([net.flat().astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "weights"])
+            flat, task = net.flat(), TaskContext.get().partitionId()
+            for k, a in enumerate(range(0, len(flat), SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat[a : a + SLICE].tobytes()], pa.binary())], names=["slice", "task", "n", "weights"])
 
     return run
 
 
 def _average(group: pa.Table) -> pa.Table:
-    """One mean of the weights of a share of the tasks; PARTS bounds what goes to the driver."""
+    """The mean of one slice of the tasks' weights, in the order of the tasks."""
     total, n = 0.0, 0
+    group = group.sort_by("task")
     for k, w in zip(group.column("n").to_pylist(), group.column("weights"), strict=True):
         total, n = total + k * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64), n + k
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Windows, Network]:
-    """The vocabulary and the network learned from all documents."""
-    windows = Windows(vocabulary(docs))
-    net = Network()
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Windows, Network, Spelling]:
+    """The vocabulary, the network and the spelling of rare words, learned from all documents."""
     out = workdir(docs.sparkSession, "lm-score")
+    sums, known, *shape = vocabulary(docs, out)
+    windows, net = Windows(known, *shape), Network(0, *shape)
+    spelled = sums.mapInArrow(_trigrams(known), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    spelling = Spelling(spelled.column("key").to_numpy(), spelled.column("n").to_numpy())
     for k in range(rounds):
-        parts = docs.select(text_of().alias("text")).mapInArrow(_train(windows, net.flat(), k), "part int, n bigint, weights binary")
-        # Written first, so that the tasks' weights are summed from the shared folder in a fixed order.
+        parts = docs.select(text_of().alias("text")).mapInArrow(_train(windows, shape, net.flat(), k), "slice int, task int, n bigint, weights binary")
         parts = written(parts, f"{out}/round{k}")
-        sums = parts.groupBy("part").applyInArrow(_average, "part int, n bigint, weights binary").orderBy("part").collect()
-        n = sum(r["n"] for r in sums)
-        if n:
-            net.load(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"] for r in sums) / n)
-    return windows, net
+        means = parts.groupBy("slice").applyInArrow(_average, "slice int, weights binary").collect()
+        if means:
+            net.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(means, key=lambda r: r["slice"])]))
+    return windows, net, spelling
 
 
 def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (summed) and mean_log_likelihood for each row of docs (doc_id, text)."""
-    windows, net = fit(docs, rounds)
+    windows, net, spelling = fit(docs, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,11 +335,13 @@ def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 np.add.at(sums, own, net.log_probability(np.concatenate(contexts), np.concatenate(words)).astype(np.float64))
 
             for i, text in enumerate(texts):
-                ids = windows.ids(text)
+                ids, rare = windows.ids(text)
                 n[i] = len(ids)
+                if rare:
+                    sums[i] += spelling.log_probability(rare)
                 for a in range(0, len(ids), PIECE):
                     at = np.arange(a, min(a + PIECE, len(ids)))
-                    contexts.append(windows.contexts(ids, at)), words.append(ids[at]), owner.append(np.full(len(at), i))
+                    contexts.append(windows.contexts(ids, at)), words.append(windows.targets(ids[at])), owner.append(np.full(len(at), i))
                     held += len(at)
                     if held >= PIECE:
                         flush()
