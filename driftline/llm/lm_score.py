@@ -4,8 +4,9 @@ The vocabulary holds the most frequent words of all documents and grows with the
 predicted as one rare word and then spelled by a character model (trigrams, backing off) counted over all rare words. So
 each word has a probability of its own. As context a rare word stands by a hash of its ending. A bidirectional
 window network (two words on either side, one hidden layer, a softmax over word classes and one within the class) learns in
-numpy to predict masked words: every task trains on every eighth word of all its documents from the same start, and the
-tasks' weights are averaged by the number of their words, twice. The score of a document is the sum, over each of its
+numpy to predict masked words: in each of two rounds every task trains on every second word of all its documents from the
+same start, and the tasks' weights are averaged by the number of their words. The rounds take turns, so that every word of
+every document is a target once. The score of a document is the sum, over each of its
 words, of the log probability of the word given the words on both sides, and of its spelling if it is rare.
 
 Defined results: null and empty texts have no words, a sum of 0 and a mean of 0; repeated rows score alike; without any
@@ -32,7 +33,7 @@ WORDS = CLASSES * IN_CLASS
 #: the shorter context in the spelling.
 RARE, ENDINGS, BACK = 0, 16, 2.0
 WIDTH, SIDE = 24, 2
-MASKED, ROUNDS, BATCH, RATE = 8, 2, 4096, 0.1
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Words that are scored at once, distinct words that a task counts before it hands them on, weights averaged at once.
 PIECE, FLUSH, SLICE = 1 << 15, 400_000, 1 << 16
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -259,8 +260,13 @@ class Windows:
         return np.concatenate([edge, ids, edge])[at[:, None] + SIDE + np.array(_OFFSETS)]
 
 
-def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number: int):
-    """Train on every MASKED-th word, another one each round, of all documents of the task."""
+def targets(length: int, number: int, rounds: int) -> np.ndarray:
+    """The positions that a round trains on: each position belongs to one of the rounds."""
+    return np.arange(number, length, rounds)
+
+
+def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number: int, rounds: int):
+    """Train on the round's positions of all documents of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -277,8 +283,9 @@ def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids, _ = windows.ids(text)
-                at = np.arange((len(ids) + 3 * number) % MASKED, len(ids), MASKED)
-                if len(at):
+                places = targets(len(ids), number, rounds)
+                for a in range(0, len(places), PIECE):
+                    at = places[a : a + PIECE]
                     contexts.append(windows.contexts(ids, at)), words.append(windows.targets(ids[at]))
                     held += len(at)
                     seen += len(at)
@@ -312,7 +319,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Windows, Network, Spelli
     spelled = sums.mapInArrow(_trigrams(known), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     spelling = Spelling(spelled.column("key").to_numpy(), spelled.column("n").to_numpy())
     for k in range(rounds):
-        parts = docs.select(text_of().alias("text")).mapInArrow(_train(windows, shape, net.flat(), k), "slice int, task int, n bigint, weights binary")
+        parts = docs.select(text_of().alias("text")).mapInArrow(_train(windows, shape, net.flat(), k, rounds), "slice int, task int, n bigint, weights binary")
         parts = written(parts, f"{out}/round{k}")
         means = parts.groupBy("slice").applyInArrow(_average, "slice int, weights binary").collect()
         if means:

@@ -36,3 +36,16 @@ def test_spelling_is_a_distribution():
     every = np.arange(1 << 21) | ord("a") << 21 | 10 << 42
     assert model._p(every).sum() == pytest.approx(1.0)
     assert model.log_probability(["ab", "zé"]) == pytest.approx(model.log_probability(["ab"]) + model.log_probability(["zé"]))
+
+
+def test_every_position_is_a_target_once():
+    for rounds in (1, 2, 8):
+        for n in range(40):
+            assert sorted(np.concatenate([lm_score.targets(n, k, rounds) for k in range(rounds)])) == list(range(n))
+
+
+def test_short_documents_train(spark):
+    """One to three words a document: the network must learn which word goes with which, and not stay at its start."""
+    texts = [("red apple", "blue sea", "a", "green old tree")[i % 4] for i in range(4000)]
+    got = lm_score.lm_score(docs(spark, texts)).groupBy().agg(F.min("mean_log_likelihood").alias("m")).first()
+    assert got["m"] > -math.log(lm_score.WORDS) + 2
