@@ -10,7 +10,7 @@ from ..functions import native as N
 
 #: Rows above which a profile is made from a stride sample, and about how many rows that then has.
 SUBSAMPLE_ABOVE, SUBSAMPLE_TO = 100_000, 50_000
-LEAST_VALID, MAX_LAG, WINDOW = 32, 128, 24
+LEAST_VALID, MAX_LAG, LAG, WINDOW = 32, 128, 8, 128
 
 
 def subsampled(s: DataFrame) -> DataFrame:
@@ -35,6 +35,8 @@ def missing_overview(s: DataFrame) -> DataFrame:
 
 def autocorrelations(s: DataFrame, lags) -> DataFrame:
     """series_id, lag, acf: Pearson correlation of the valid pairs; 0 with fewer than three."""
+    if len(lags) > 32:  # as many columns make a plan that takes minutes to compile
+        return _autocorrelations_by_pairs(s, lags)
     cols = [F.lag("x", k).over(N.ORDERED()).alias(f"_l{k}") for k in lags]
     wide = s.select("series_id", "x", *cols)
     ok = lambda k: F.when(~N.missing() & F.col(f"_l{k}").isNotNull() & ~F.isnan(f"_l{k}"), F.col("x"))
@@ -42,6 +44,17 @@ def autocorrelations(s: DataFrame, lags) -> DataFrame:
     return agg.select("series_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.greatest(F.least(F.col(str(k)), F.lit(1.0)), F.lit(-1.0)).alias("acf")) for k in lags])).alias("p")).select("series_id", "p.lag", "p.acf")
 
 
+def _autocorrelations_by_pairs(s: DataFrame, lags) -> DataFrame:
+    """The same from one row for each pair."""
+    before = F.collect_list(F.struct(F.col("x").alias("y"))).over(N.ORDERED().rowsBetween(-max(lags), 0))
+    pairs = s.select("series_id", "x", before.alias("w")).select("series_id", "x", F.size("w").alias("k"), F.posexplode("w").alias("i", "p"))
+    pairs = pairs.select("series_id", "x", F.col("p.y").alias("y"), (F.col("k") - 1 - F.col("i")).alias("lag")).where(~N.missing() & ~N.missing("y"))
+    acf = F.when(F.count(F.lit(1)) >= 3, F.coalesce(F.corr("x", "y"), F.lit(0.0))).otherwise(F.lit(0.0))
+    got = pairs.groupBy("series_id", "lag").agg(F.greatest(F.least(acf, F.lit(1.0)), F.lit(-1.0)).alias("acf"))
+    every = s.select("series_id").distinct().select("series_id", F.explode(F.array(*map(F.lit, lags))).alias("lag"))
+    return every.join(got, ["series_id", "lag"], "left").select("series_id", "lag", F.coalesce("acf", F.lit(0.0)).alias("acf"))
+
+
 def pacf(acf: DataFrame, max_lag: int) -> DataFrame:
     """Partial autocorrelations of lags 1 to max_lag by Durbin-Levinson over each series' few autocorrelations."""
     import numpy as np
@@ -60,6 +73,12 @@ def pacf(acf: DataFrame, max_lag: int) -> DataFrame:
     return acf.groupBy("series_id").applyInPandas(run, "series_id string, lag int, pacf double")
 
 
+def supported(acf: DataFrame, s: DataFrame) -> DataFrame:
+    """The autocorrelations up to a quarter of the series' valid rows; longer lags have too few pairs to tell a period."""
+    valid = N.valid_rows(s).groupBy("series_id").agg(F.count(F.lit(1)).alias("_valid"))
+    return acf.join(valid, "series_id").where(F.col("lag") <= F.col("_valid") / 4).drop("_valid")
+
+
 def dominant_period(acf: DataFrame, least: float = 0.2) -> DataFrame:
     """series_id, period, strength: the smallest lag whose peak is positive and within 5 % of the highest one."""
     order = W.partitionBy("series_id").orderBy("lag")
@@ -110,15 +129,15 @@ def hints(s: DataFrame, share: float = 0.98, tolerance: float = 1e-9) -> DataFra
     return N.valid_rows(s).groupBy("series_id").agg((F.avg(binary.cast("double")) >= share).alias("binary_like"), ((F.avg((whole & (F.col("x") >= -tolerance)).cast("double")) >= share) & (F.avg(binary.cast("double")) < share)).alias("count_like"))
 
 
-def diagnostics(s: DataFrame, lag: int = 5, max_lag: int = 32) -> DataFrame:
+def diagnostics(s: DataFrame, lag: int = LAG, max_lag: int = MAX_LAG, window: int = WINDOW) -> DataFrame:
     """One profile per series with at least LEAST_VALID valid rows."""
     s = subsampled(s.select("series_id", "t", "ts", "x"))
     acf = autocorrelations(s, range(1, max_lag + 1)).persist()
     lag1 = acf.where("lag = 1").select("series_id", F.col("acf").alias("lag1_autocorr"))
     lagk = acf.where(F.col("lag") == lag).select("series_id", F.col("acf").alias("lagk_autocorr"))
     out = missing_overview(s).join(shape(s), "series_id").where(F.col("valid") >= LEAST_VALID)
-    out = out.join(lag1, "series_id").join(lagk, "series_id").join(residual_lag1(s), "series_id").join(drift(s), "series_id", "left")
-    out = out.join(dominant_period(acf), "series_id", "left").join(hints(s), "series_id").join(s.groupBy("series_id").agg(F.max("used_subsampling").alias("used_subsampling")), "series_id")
+    out = out.join(lag1, "series_id").join(lagk, "series_id").join(residual_lag1(s), "series_id").join(drift(s, window), "series_id", "left")
+    out = out.join(dominant_period(supported(acf, s)), "series_id", "left").join(hints(s), "series_id").join(s.groupBy("series_id").agg(F.max("used_subsampling").alias("used_subsampling")), "series_id")
     return out.fillna(0.0, ["regime_change_proxy", "change_density_score", "strength"])
 
 
@@ -165,7 +184,7 @@ def preprocessing_advice(s: DataFrame) -> DataFrame:
     """
     own = N.valid_rows(s)
     trend = own.groupBy("series_id").agg((F.abs(F.coalesce(F.corr("x", F.col("t").cast("double")), F.lit(0.0))) >= 0.25).alias("detrend"))
-    p = dominant_period(autocorrelations(s, range(1, 33)), 0.35).where("period >= 2").select("series_id", F.col("period").alias("difference_by"))
+    p = dominant_period(supported(autocorrelations(s, range(1, MAX_LAG + 1)), s), 0.35).where("period >= 2").select("series_id", F.col("period").alias("difference_by"))
     sh = shape(s)
     z = own.join(N.mad(own, ["series_id"]), "series_id").groupBy("series_id").agg((F.avg((F.abs(F.col("x") - F.col("med")) > 3.5 * F.greatest(1.4826 * F.col("mad"), F.lit(1e-12))).cast("double")) >= 0.02).alias("winsorize"))
     ratio = sh.select("series_id", (F.abs(F.log(F.greatest("std", F.lit(1e-12)) / F.greatest("robust_std", F.lit(1e-12)))) >= 0.35).alias("robust_scale"))

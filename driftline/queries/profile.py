@@ -24,7 +24,8 @@ def pacf(spark, d):
 
 
 def dominant_period(spark, d):
-    return P.dominant_period(P.autocorrelations(T.events(spark, d), range(1, 33)), 0.0).select("series_id", "period", F.round("strength", 6).alias("strength"))
+    s = T.events(spark, d)
+    return P.dominant_period(P.supported(P.autocorrelations(s, range(1, P.MAX_LAG + 1)), s), 0.0).select("series_id", "period", F.round("strength", 6).alias("strength"))
 
 
 def period_votes(spark, d):
@@ -40,7 +41,7 @@ def shape(spark, d):
 
 
 def drift(spark, d):
-    return P.drift(T.events(spark, d)).select("series_id", F.round("regime_change_proxy", 4).alias("regime_change_proxy"), F.round("change_density_score", 4).alias("change_density_score"))
+    return P.drift(T.events(spark, d), 24).select("series_id", F.round("regime_change_proxy", 4).alias("regime_change_proxy"), F.round("change_density_score", 4).alias("change_density_score"))
 
 
 def hints(spark, d):
