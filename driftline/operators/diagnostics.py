@@ -131,11 +131,12 @@ def hints(s: DataFrame, share: float = 0.98, tolerance: float = 1e-9) -> DataFra
 
 def diagnostics(s: DataFrame, lag: int = LAG, max_lag: int = MAX_LAG, window: int = WINDOW) -> DataFrame:
     """One profile per series with at least LEAST_VALID valid rows."""
+    overview = missing_overview(s)  # of all rows; the rest is measured on the sample
     s = subsampled(s.select("series_id", "t", "ts", "x"))
     acf = autocorrelations(s, range(1, max_lag + 1)).persist()
     lag1 = acf.where("lag = 1").select("series_id", F.col("acf").alias("lag1_autocorr"))
     lagk = acf.where(F.col("lag") == lag).select("series_id", F.col("acf").alias("lagk_autocorr"))
-    out = missing_overview(s).join(shape(s), "series_id").where(F.col("valid") >= LEAST_VALID)
+    out = overview.join(shape(s), "series_id").where(F.col("valid") >= LEAST_VALID)
     out = out.join(lag1, "series_id").join(lagk, "series_id").join(residual_lag1(s), "series_id").join(drift(s, window), "series_id", "left")
     out = out.join(dominant_period(supported(acf, s)), "series_id", "left").join(hints(s), "series_id").join(s.groupBy("series_id").agg(F.max("used_subsampling").alias("used_subsampling")), "series_id")
     return out.fillna(0.0, ["regime_change_proxy", "change_density_score", "strength"])

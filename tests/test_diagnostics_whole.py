@@ -14,3 +14,12 @@ def test_periods_up_to_the_largest_lag(spark):
     assert P.preprocessing_advice(s).first()["difference_by"] == 100
     short = P.diagnostics(s.where("t < 60")).first()
     assert short["period"] is None and short["regime_change_proxy"] == 0.0
+
+
+def test_rows_and_gaps_of_long_series_are_counted_before_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(P, "SUBSAMPLE_ABOVE", 1000)
+    monkeypatch.setattr(P, "SUBSAMPLE_TO", 500)
+    x = F.when(~F.col("t").between(100, 129), F.col("t") * 7919 % 101).cast("double")
+    s = spark.range(2000).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.lit(None).cast("timestamp").alias("ts")).withColumn("x", x)
+    got = P.diagnostics(s).first()
+    assert got["used_subsampling"] and (got["n"], got["missing"], got["longest"], got["pattern"]) == (2000, 30, 30, "block")
