@@ -11,7 +11,8 @@ the same document. Equal strings are brought together without comparing shards p
 3. Each shard builds the suffix array of its stretches by Larsson-Sadakane refinement (until LENGTH bytes are told apart),
    gets common prefixes by Kasai's rule, and so has the classes of equal windows, in sorted order, each with its first place.
 4. A hash range that is too large for one shard, since an anchor is in a great part of all documents, is split into several
-   shards. Their sorted classes are cut at common bounds found by binary search, and each slice is merged by itself.
+   shards. Their sorted classes are cut by first byte, with bounds found by binary search, and each slice is merged by itself,
+   by sorting 128-bit hashes of the windows.
 5. The later places of each class, as spans, are joined to the documents.
 
 Defined results: a null text is empty; texts shorter than LENGTH stay whole; strings never cross documents. Rows that agree in
