@@ -4,10 +4,11 @@ The vocabulary holds the most frequent words of all documents and grows with the
 predicted as one rare word and then spelled by a character model (trigrams, backing off) counted over all rare words. So
 each word has a probability of its own. As context a rare word stands by a hash of its ending. A bidirectional
 window network (two words on either side, one hidden layer, a softmax over word classes and one within the class) learns in
-numpy to predict masked words: in each of two rounds every task trains on every second word of all its documents from the
-same start, and the tasks' weights are averaged by the number of their words. The rounds take turns, so that every word of
-every document is a target once. The score of a document is the sum, over each of its
-words, of the log probability of the word given the words on both sides, and of its spelling if it is rare.
+numpy to predict masked words: in each of two rounds every block of documents trains on every second word of all its documents
+from the same start, and the blocks' weights are averaged by the number of their words, in a tree. The rounds take turns, so
+that every word of every document is a target once. Texts are turned into ids once, which training and scoring read.
+The score of a document is the sum, over each of its words, of the log probability of the word given the words on both sides,
+and of its spelling if it is rare. Very long texts are taken in pieces of their ids.
 
 Defined results: null and empty texts have no words, a sum of 0 and a mean of 0; repeated rows score alike; without any
 word the network stays at its start; an empty table gives an empty result. Only doc_id and text are read.
@@ -18,9 +19,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,26 +37,39 @@ WORDS = CLASSES * IN_CLASS
 RARE, ENDINGS, BACK = 0, 16, 2.0
 WIDTH, SIDE = 24, 2
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
-#: Words that are scored at once, distinct words that a task counts before it hands them on, weights averaged at once.
-PIECE, FLUSH, SLICE = 1 << 15, 400_000, 1 << 16
+#: Keeps rows of embeddings that were seen a few times only, as most endings of rare words, from learning those places by heart.
+DAMP = 1e-3
+#: Words that are scored at once, words that a task counts (rare ones that it keeps) before it lets them go, characters split at once.
+PIECE, FLUSH, CHARACTERS = 1 << 15, 2_000_000, 1 << 22
+#: Words of a block that is trained by itself, at least; weights in a slice, and slices in one mean.
+BLOCK, SLICE, FAN = 2_000_000, 1 << 12, 32
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, in small letters, and for each the number of its text."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word there
+    return words.filter(full), of.filter(full).to_numpy()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
+    held: list[pa.Array] = []
 
     def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return got
+        word, n = pa.chunked_array(held, pa.string()).value_counts().flatten()
+        held.clear()
+        return pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for w in (text or "").lower().split():
-                counts[w] = counts.get(w, 0) + 1
-            if len(counts) > FLUSH:
+        texts = batch.column(0)
+        for a, b in _groups(pc.utf8_length(texts).to_pylist(), CHARACTERS):
+            held.append(_split(texts.slice(a, b - a))[0])
+            if sum(map(len, held)) > FLUSH:
                 yield out()
-    yield out()
+    if held:
+        yield out()
 
 
 def shape(distinct: int) -> tuple[int, int]:
@@ -63,7 +79,8 @@ def shape(distinct: int) -> tuple[int, int]:
 
 
 def vocabulary(docs: DataFrame, out: str) -> tuple[DataFrame, dict[str, int], int, int]:
-    """All words with their counts, the ids of the frequent ones by rank (ties by the word; RARE is left out), and the shape.
+    """All words with their counts, the ids of the frequent ones by rank (ties by the word), and the shape. RARE is alone in the
+    first class, so that rare words need one softmax only.
 
     The words are those from the least count at which they fit; the counts of counts tell it, so nothing is sorted whole.
     """
@@ -71,12 +88,12 @@ def vocabulary(docs: DataFrame, out: str) -> tuple[DataFrame, dict[str, int], in
     sums = written(sums, f"{out}/words")
     times = sorted((r["n"], r["k"]) for r in sums.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect())
     classes, in_class = shape(sum(k for _, k in times))
-    room, least = classes * in_class - 1, None
+    room, least = (classes - 1) * in_class, None
     while times and times[-1][1] <= room:
         least, k = times.pop()
         room -= k
     top = [] if least is None else sums.where(F.col("n") >= least).collect()
-    known = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])), RARE + 1)}
+    known = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])), in_class)}
     return sums, known, classes, in_class
 
 
@@ -131,18 +148,27 @@ class Spelling:
             p = (self._find(own, n, part) + BACK * p) / (self._find(before, m, part >> 21) + BACK)
         return p
 
+    def each(self, words: list[str]) -> np.ndarray:
+        """The log probability of each word with its end."""
+        keys, of = _spelled(words)
+        log = np.empty(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        log[seen] = self.log_p[at[seen]]
+        log[~seen] = np.log(self._p(keys[~seen]))
+        return np.bincount(of, log, len(words))
+
     def log_probability(self, words: list[str]) -> float:
         """Of all the words together, with their ends."""
-        keys, _ = _spelled(words)
-        if not len(self.keys):
-            return float(np.log(self._p(keys)).sum())
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        seen = self.keys[at] == keys
-        return float(self.log_p[at[seen]].sum() + (0.0 if seen.all() else np.log(self._p(keys[~seen])).sum()))
+        return float(self.each(words).sum())
 
 
 class Network:
-    """emb, place (a weight per side position), bias, classes, class bias, words and word bias."""
+    """emb, place (a weight per side position), bias, classes, class bias, words and word bias.
+
+    Texts come as streams of ids with SIDE ids of the edge between them, so that each id is looked up once and the sums over the
+    sides are shifted additions.
+    """
 
     def __init__(self, seed: int = 0, classes: int = CLASSES, in_class: int = IN_CLASS):
         draw = np.random.default_rng(seed)
@@ -168,96 +194,208 @@ class Network:
             at += x.size
         return self
 
-    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        emb = self.p[0][context]  # words x positions x width
-        return emb, np.tanh(np.einsum("npw,pw->nw", emb, self.p[1]) + self.p[2])
-
-    def log_probability(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Of each word given its context."""
-        _, h = self._hidden(context)
-        z = h @ self.p[3].T + self.p[4]
-        z -= z.max(axis=1, keepdims=True)
-        cls = word // self.in_class
-        n = np.arange(len(word))
-        out = z[n, cls] - np.log(np.exp(z).sum(axis=1))
-        for c, rows in _by_class(cls):
-            own = slice(c * self.in_class, (c + 1) * self.in_class)
-            z = h[rows] @ self.p[5][own].T + self.p[6][own]
-            z -= z.max(axis=1, keepdims=True)
-            out[rows] += z[np.arange(len(rows)), word[rows] % self.in_class] - np.log(np.exp(z).sum(axis=1))
+    def _hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings of a stream, and the hidden layer at the places, with a 1 for the bias of what follows."""
+        emb = self.p[0].take(stream, axis=0)
+        inner = len(stream) - 2 * SIDE
+        sums = np.zeros((inner, WIDTH), np.float32)
+        for k, off in enumerate(_OFFSETS):
+            sums += emb[SIDE + off : SIDE + off + inner] * self.p[1][k]
+        h = np.ones((len(at), WIDTH + 1), np.float32)
+        np.tanh(sums[at - SIDE] + self.p[2], out=h[:, :-1])
+        return emb, h
+
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The layers of the classes and of the words, each with its bias in the last column."""
+        return tuple(np.concatenate([self.p[i], self.p[i + 1][:, None]], axis=1) for i in (3, 5))
+
+    def stream_log_probability(self, stream: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of the words at the places of a stream, each given the ids on both its sides. A rare word is alone in its class."""
+        _, h = self._hidden(stream, at)
+        classes, words = self._layers()
+        cls, of = np.divmod(word, self.in_class)
+        out = _log_share(h @ classes.T, cls)
+        order, cuts = _by_class(cls)
+        h, of, more = h[order], of[order], np.zeros(len(out), np.float32)
+        for c, a, b in cuts:
+            if c != RARE:
+                more[a:b] = _log_share(h[a:b] @ words[c * self.in_class : (c + 1) * self.in_class].T, of[a:b])
+        out[order] += more
         return out
 
-    def step(self, context: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
-        """One Adagrad step on a batch."""
-        emb, h = self._hidden(context)
-        n = np.arange(len(word))
+    def stream_step(self, stream: np.ndarray, at: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
+        """One Adagrad step on the words at the places of a stream."""
+        emb, h = self._hidden(stream, at)
+        classes, words = self._layers()
         scale = np.float32(1 / len(word))
-        cls = word // self.in_class
-        z = h @ self.p[3].T + self.p[4]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[n, cls] -= 1
-        z *= scale
+        cls, of = np.divmod(word, self.in_class)
+        z = _share_error(h @ classes.T, cls, scale)
         back = z @ self.p[3]
-        grad = [None, None, None, z.T @ h, z.sum(axis=0), np.zeros_like(self.p[5]), np.zeros_like(self.p[6])]
-        for c, rows in _by_class(cls):
-            own = slice(c * self.in_class, (c + 1) * self.in_class)
-            z = h[rows] @ self.p[5][own].T + self.p[6][own]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), word[rows] % self.in_class] -= 1
-            z *= scale
-            grad[5][own], grad[6][own] = z.T @ h[rows], z.sum(axis=0)
-            back[rows] += z @ self.p[5][own]
+        top, low = z.T @ h, np.zeros_like(words)
+        order, cuts = _by_class(cls)
+        sorted_h, of, more = h[order], of[order], np.zeros_like(back)
+        for c, a, b in cuts:
+            if c != RARE:
+                own = slice(c * self.in_class, (c + 1) * self.in_class)
+                z = _share_error(sorted_h[a:b] @ words[own].T, of[a:b], scale)
+                low[own] = z.T @ sorted_h[a:b]
+                more[a:b] = z @ self.p[5][own]
+        back[order] += more
+        grad = [None, None, None, top[:, :-1], top[:, -1], low[:, :-1], low[:, -1]]
+        h = h[:, :-1]
         back *= 1 - h * h
-        grad[1], grad[2] = np.einsum("npw,nw->pw", emb, back), back.sum(axis=0)
-        each = (back[:, None, :] * self.p[1]).reshape(-1, WIDTH)
-        ids = context.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.nonzero(np.diff(ids[order], prepend=-1))[0]
-        touched, sums = ids[order][first], np.add.reduceat(each[order], first, axis=0)
+        inner = len(stream) - 2 * SIDE
+        spread = np.zeros((inner, WIDTH), np.float32)
+        spread[at - SIDE] = back
+        each, grad[1], grad[2] = np.zeros_like(emb), np.empty_like(self.p[1]), back.sum(axis=0)
+        for k, off in enumerate(_OFFSETS):
+            side = slice(SIDE + off, SIDE + off + inner)
+            each[side] += spread * self.p[1][k]
+            grad[1][k] = np.einsum("nw,nw->w", emb[side], spread)
+        order = np.argsort(stream.astype(np.uint16) if len(self.p[0]) <= 1 << 16 else stream, kind="stable")
+        first = np.nonzero(np.diff(stream[order], prepend=-1))[0]
+        touched, sums = stream[order[first]], np.add.reduceat(each[order], first, axis=0)
         state[0][touched] += sums * sums
-        self.p[0][touched] -= RATE * sums / (np.sqrt(state[0][touched]) + 1e-4)
+        self.p[0][touched] -= RATE * sums / (np.sqrt(state[0][touched]) + DAMP)
         for i in range(1, 7):
             state[i] += grad[i] * grad[i]
             self.p[i] -= RATE * grad[i] / (np.sqrt(state[i]) + 1e-4)
 
+    def _windows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Single contexts as a stream of their own, and the places in their middle."""
+        stream = np.insert(context, SIDE, len(self.p[0]) - 1, axis=1)
+        return stream.ravel(), np.arange(len(context)) * stream.shape[1] + SIDE
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    first = np.nonzero(np.diff(cls[order], prepend=-1))[0]
-    for a, b in zip(first, np.append(first[1:], len(order)), strict=True):
-        yield int(cls[order[a]]), order[a:b]
+    def log_probability(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of each word given its context, a row of ids."""
+        return self.stream_log_probability(*self._windows(context), word)
+
+    def step(self, context: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
+        """One Adagrad step on words and their contexts."""
+        self.stream_step(*self._windows(context), word, state)
 
 
-class Windows:
-    """Words as ids, and the contexts of positions, under one vocabulary."""
+def _in_range(z: np.ndarray) -> np.ndarray:
+    """z, less the row's largest value where exp of the plain values could leave the range."""
+    if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place; z is overwritten."""
+    _in_range(z)
+    out = z[np.arange(len(of)), of]
+    return out - np.log(_sums(np.exp(z, out=z)))
+
+
+def _share_error(z: np.ndarray, of: np.ndarray, scale: np.float32) -> np.ndarray:
+    """The gradient of the scaled loss at the logits, in their place."""
+    np.exp(_in_range(z), out=z)
+    z *= (scale / _sums(z))[:, None]
+    z[np.arange(len(of)), of] -= scale
+    return z
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and each class with the bounds of its run in it."""
+    order = np.argsort(cls.astype(np.uint16) if cls.max(initial=0) < 1 << 16 else cls, kind="stable")
+    ranked = cls[order]
+    first = np.nonzero(np.diff(ranked, prepend=-1))[0]
+    return order, list(zip(ranked[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)], strict=True))
+
+
+class Words:
+    """Words as ids under one vocabulary, from `words` on by the ending of a rare one, and how rare words are spelled."""
+
+    def __init__(self, known: dict[str, int], spelling: Spelling, classes: int = CLASSES, in_class: int = IN_CLASS):
+        self.known, self.spelling = known, spelling
+        self.words, self.endings = classes * in_class, ENDINGS * in_class
+        self.edge = self.words + self.endings
+        self._forget()
+
+    def _forget(self) -> None:
+        self._code, self._row, self._log = dict(self.known), np.arange(self.edge), np.zeros(self.edge)
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Codes of further rare words: the id and the log probability of the spelling are looked up under them."""
+        codes = np.arange(len(self._row), len(self._row) + len(new))
+        self._code.update(zip(new, codes.tolist(), strict=True))
+        ends = [self.words + zlib.crc32(w[-3:].encode("utf-8", "surrogatepass")) % self.endings for w in new]
+        self._row = np.concatenate([self._row, np.array(ends, np.int64)])
+        self._log = np.concatenate([self._log, self.spelling.each(new)])
+        return codes
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts' words in a row; for each text, how many, and the log probability of its rare words' spelling."""
+        words, of = _split(texts)
+        words = words.dictionary_encode()
+        own = words.dictionary.to_pylist()
+        if len(self._row) > FLUSH + self.edge:
+            self._forget()
+        codes = np.fromiter(map(self._code.get, own, repeat(-1)), np.int64, len(own))
+        new = codes < 0
+        if new.any():
+            codes[new] = self._learn(list(compress(own, new.tolist())))
+        codes = codes[words.indices.to_numpy()]
+        return self._row[codes], np.bincount(of, minlength=len(texts)), np.bincount(of, self._log[codes], len(texts))
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to at most `most`; a larger row stands by itself."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes)
+
+
+def _encode(words: Words, kind: str):
+    names = [c.split()[0] for c in kind.split(", ")]
+    dtype = np.uint16 if words.edge < 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in _groups(pc.utf8_length(texts).to_pylist(), CHARACTERS):
+                ids, n, spelled = words.ids(texts.slice(a, b - a))
+                data = ids.astype(dtype).tobytes()
+                ends = (np.cumsum(n) * dtype().itemsize).tolist()
+                own = [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(spelled), pa.array(own, pa.binary())], names=names)
+
+    return run
 
-    def __init__(self, known: dict[str, int], classes: int = CLASSES, in_class: int = IN_CLASS):
-        self.known, self.words, self.endings = known, classes * in_class, ENDINGS * in_class
-        self._rows: dict[str, int] = {}
 
-    def ids(self, text: str) -> tuple[np.ndarray, list[str]]:
-        """The ids of the words, from self.words on by the ending of a rare one; and the rare words."""
-        words = text.lower().split() if text else []
-        found, rare, rows = list(map(self.known.get, words)), [], self._rows
-        if None in found:
-            for i, k in enumerate(found):
-                if k is None:
-                    end = words[i][-3:]
-                    if end not in rows:
-                        rows[end] = self.words + zlib.crc32(end.encode("utf-8", "surrogatepass")) % self.endings
-                    found[i] = rows[end]
-                    rare.append(words[i])
-        return np.array(found, dtype=np.int64), rare
+class Streams:
+    """Rows of encoded texts as streams with the edge around each text."""
 
-    def targets(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.words, ids, RARE)
+    def __init__(self, edge: int):
+        self.edge, self.dtype = edge, np.uint16 if edge < 1 << 16 else np.uint32
 
-    def contexts(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The ids around the positions of one text; the last one stands beyond its ends."""
-        edge = np.full(SIDE, self.words + self.endings)
-        return np.concatenate([edge, ids, edge])[at[:, None] + SIDE + np.array(_OFFSETS)]
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For some rows at a time: the stream, the place of each text's first word, and the lengths."""
+        rows = batch.column("ids").to_pylist()
+        for a, b in _groups([len(r) for r in rows], 4 * PIECE * self.dtype().itemsize):
+            ids = np.frombuffer(b"".join(rows[a:b]), self.dtype)
+            n = np.array([len(r) for r in rows[a:b]], np.int64) // self.dtype().itemsize
+            start = np.cumsum(n + SIDE) - n
+            stream = np.full(int(n.sum()) + SIDE * (b - a + 1), self.edge, np.int64)
+            stream[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+            yield stream, start, n
+
+
+def _word_at(stream: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """The targets at the places: any rare word is RARE."""
+    ids = stream[at]
+    return np.where(ids < words, ids, RARE)
 
 
 def targets(length: int, number: int, rounds: int) -> np.ndarray:
@@ -265,35 +403,43 @@ def targets(length: int, number: int, rounds: int) -> np.ndarray:
     return np.arange(number, length, rounds)
 
 
-def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number: int, rounds: int):
-    """Train on the round's positions of all documents of the task."""
+def _train(streams: Streams, words: int, shape: tuple[int, int], start: np.ndarray, number: int, rounds: int):
+    """Train on the round's positions of all documents of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         net, seen = Network(0, *shape).load(start), 0
         state = [np.zeros_like(x) for x in net.p]
-        contexts, words, held = [], [], 0
-
-        def learn() -> None:
-            c, w = np.concatenate(contexts), np.concatenate(words)
-            for a in range(0, len(w), BATCH):
-                net.step(c[a : a + BATCH], w[a : a + BATCH], state)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def learn(least: int) -> None:
+            """Step by step over what is held, until fewer than `least` places are left."""
+            stream = np.concatenate([s for s, _ in held])
+            base = np.cumsum([0] + [len(s) for s, _ in held])[:-1]
+            at = np.concatenate([x + k for (_, x), k in zip(held, base, strict=True)])
+            done = 0
+            while len(at) - done >= least and done < len(at):
+                own = at[done : done + BATCH]
+                low = own[0] - SIDE
+                part = stream[low : own[-1] + SIDE + 1]
+                net.stream_step(part, own - low, _word_at(part, own - low, words), state)
+                done += len(own)
+            held.clear()
+            if done < len(at):
+                low = at[done] - SIDE
+                held.append((stream[low:], at[done:] - low))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids, _ = windows.ids(text)
-                places = targets(len(ids), number, rounds)
-                for a in range(0, len(places), PIECE):
-                    at = places[a : a + PIECE]
-                    contexts.append(windows.contexts(ids, at)), words.append(windows.targets(ids[at]))
-                    held += len(at)
+            for stream, first, n in streams.of(batch):
+                at = np.concatenate([f + targets(k, number, rounds) for f, k in zip(first.tolist(), n.tolist(), strict=True)])
+                if len(at):
+                    held.append((stream, at))
                     seen += len(at)
-                    if held >= 16 * BATCH:
-                        learn()
-                        contexts, words, held = [], [], 0
+                    if sum(len(x) for _, x in held) >= BATCH:
+                        learn(BATCH)
         if held:
-            learn()
+            learn(1)
         if seen:
             flat, task = net.flat(), TaskContext.get().partitionId()
             for k, a in enumerate(range(0, len(flat), SLICE)):
@@ -303,63 +449,75 @@ def _train(windows: Windows, shape: tuple[int, int], start: np.ndarray, number:
 
 
 def _average(group: pa.Table) -> pa.Table:
-    """The mean of one slice of the tasks' weights, in the order of the tasks."""
+    """The mean of one slice of some blocks' weights, in the order of the blocks."""
     total, n = 0.0, 0
     group = group.sort_by("task")
     for k, w in zip(group.column("n").to_pylist(), group.column("weights"), strict=True):
         total, n = total + k * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64), n + k
-    return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+    first = [pa.array([group.column(c)[0].as_py()], pa.int32()) for c in ("slice", "node")]
+    return pa.table([*first, pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["slice", "task", "n", "weights"])
+
+
+def _mean_weights(parts: DataFrame, blocks: int) -> np.ndarray | None:
+    """The weights averaged over the blocks by a tree of means of at most FAN each."""
+    while blocks > 1:
+        grouped = parts.withColumn("node", F.expr(f"task div {FAN}").cast("int")).groupBy("slice", "node")
+        parts, blocks = grouped.applyInArrow(_average, "slice int, task int, n bigint, weights binary"), -(-blocks // FAN)
+    means = sorted(parts.select("slice", "weights").collect(), key=lambda r: r["slice"])
+    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in means]) if means else None
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Windows, Network, Spelling]:
-    """The vocabulary, the network and the spelling of rare words, learned from all documents."""
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Words, Network]:
+    """The encoded documents (doc_id, n, spelled, ids), their words with the spelling of rare ones, and the network, learned from all.
+
+    Documents are dealt to blocks by a hash of their id and ids, so the result depends on the documents only and not on how
+    they lie in files or partitions. The number of blocks follows from the number of words.
+    """
     out = workdir(docs.sparkSession, "lm-score")
     sums, known, *shape = vocabulary(docs, out)
-    windows, net = Windows(known, *shape), Network(0, *shape)
     spelled = sums.mapInArrow(_trigrams(known), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    spelling = Spelling(spelled.column("key").to_numpy(), spelled.column("n").to_numpy())
+    words, net = Words(known, Spelling(spelled.column("key").to_numpy(), spelled.column("n").to_numpy()), *shape), Network(0, *shape)
+    rows = docs.select("doc_id", text_of().alias("text"))
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, spelled double, ids binary"
+    encoded = written(rows.mapInArrow(_encode(words, kind), kind), f"{out}/encoded")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(total / max(BLOCK, 8 * len(net.flat()))))
+    dealt = encoded.where("n > 0").select("doc_id", "ids", F.xxhash64("doc_id", "ids").alias("key")).repartition(blocks, "key").sortWithinPartitions("key", "ids").select("ids")
     for k in range(rounds):
-        parts = docs.select(text_of().alias("text")).mapInArrow(_train(windows, shape, net.flat(), k, rounds), "slice int, task int, n bigint, weights binary")
+        parts = dealt.mapInArrow(_train(Streams(words.edge), words.words, shape, net.flat(), k, rounds), "slice int, task int, n bigint, weights binary")
         parts = written(parts, f"{out}/round{k}")
-        means = parts.groupBy("slice").applyInArrow(_average, "slice int, weights binary").collect()
-        if means:
-            net.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(means, key=lambda r: r["slice"])]))
-    return windows, net, spelling
+        tasks = parts.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
+        means = _mean_weights(parts, tasks)
+        if means is not None:
+            net.load(means)
+    return encoded, words, net
 
 
-def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_words, log_likelihood (summed) and mean_log_likelihood for each row of docs (doc_id, text)."""
-    windows, net, spelling = fit(docs, rounds)
-
+def _score(streams: Streams, words: int, net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            contexts, words, owner, held = [], [], [], 0
-
-            def flush() -> None:
-                own = np.concatenate(owner)
-                np.add.at(sums, own, net.log_probability(np.concatenate(contexts), np.concatenate(words)).astype(np.float64))
-
-            for i, text in enumerate(texts):
-                ids, rare = windows.ids(text)
-                n[i] = len(ids)
-                if rare:
-                    sums[i] += spelling.log_probability(rare)
-                for a in range(0, len(ids), PIECE):
-                    at = np.arange(a, min(a + PIECE, len(ids)))
-                    contexts.append(windows.contexts(ids, at)), words.append(windows.targets(ids[at])), owner.append(np.full(len(at), i))
-                    held += len(at)
-                    if held >= PIECE:
-                        flush()
-                        contexts, words, owner, held = [], [], [], 0
-            if held:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            sums = [np.zeros(0)]
+            for stream, first, n in streams.of(batch):
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                log = np.zeros(len(at))
+                for a in range(0, len(at), PIECE):
+                    own = at[a : a + PIECE]
+                    low = own[0] - SIDE
+                    part = stream[low : own[-1] + SIDE + 1]
+                    log[a : a + PIECE] = net.stream_log_probability(part, own - low, _word_at(part, own - low, words))
+                sums.append(np.bincount(np.repeat(np.arange(len(n)), n), log, len(n)))
+            total = np.concatenate(sums) + batch.column("spelled").to_numpy()
+            n = batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    rows = docs.select("doc_id", text_of().alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    return run
+
+
+def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, log_likelihood (summed) and mean_log_likelihood for each row of docs (doc_id, text)."""
+    encoded, words, net = fit(docs, rounds)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(_score(Streams(words.edge), words.words, net), f"doc_id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
