@@ -53,6 +53,34 @@ def held_out(key: str, modulus: int, rest: int) -> Column:
     return remainder(key, modulus) == F.lit(rest)
 
 
+#: A key is heavy if it holds more than one in HEAVY of a table's rows, so that there are fewer than HEAVY of them.
+HEAVY, LIGHT = 1024, 100
+
+
+def heavy_keys(sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """_key and _parts, into how many parts to deal it, of the heavy ones among sizes (key, m); total is the sum of m.
+
+    At most HEAVY rows by the rule, or total / LIGHT of them if that is less: small enough to be sent to all tasks.
+    """
+    limit = max(LIGHT, total // HEAVY)
+    return F.broadcast(sizes.where(F.col("m") > limit).select(F.col(key).alias("_key"), F.ceil(F.col("m") / limit).cast("int").alias("_parts")))
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, total: int, by: list[str], how: str = "inner", hint: str = "") -> DataFrame:
+    """left joined to right, which has few rows for each value of on[0]; on[0] is never null in left.
+
+    sizes (on[0], m) holds at least the heavy keys of left with their rows, or more. The rows of a heavy key are dealt to several
+    tasks by a hash of the columns `by`, and right's rows go to each of those, so that no key has to fit into one task. A hint
+    keeps the plan one and the same at every size of right.
+    """
+    heavy = heavy_keys(sizes, on[0], total)
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))
+    near = left.join(heavy, left[on[0]] == F.col("_key"), "left").select(*left.columns, salt.alias("_salt"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    far = right.join(heavy, right[on[0]] == F.col("_key"), "left").select(*right.columns, every.alias("_salt"))
+    return near.join(far.hint(hint) if hint else far, [*on, "_salt"], how).drop("_salt")
+
+
 def corpus_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, which size the partitions of what follows."""
     rows, size = docs.select(F.octet_length(F.col(column)).alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()

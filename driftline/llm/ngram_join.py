@@ -6,7 +6,8 @@
    difference allowed at the threshold is linked with nothing. The others list their prefixes in that order.
 3. Documents with equal sets are one class. Within each prefix list the classes meet their most typical member first; pairs
    that pass the size, uniqueness and position bounds are verified and joined into components. Lists that then still hold
-   several components offer the pairs between those components, so that no link between components is lost.
+   several components offer the pairs between those components, so that no link between components is lost. A list, class or
+   component that holds many rows is dealt to several tasks in each join.
 4. Verification is vertical: the global order is cut into fragments, overlaps are counted in each fragment by itself, and
    the counts are summed per pair.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus_size, release, table, workdir, written
+from .common import corpus_size, heavy_keys, lookup, release, table, workdir, written
 from .components import connected_components
 from .shingles import batch_shingles, mix, runs
 
@@ -231,15 +232,35 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return sizes & ((100 + percent) * most >= percent * (c(a, "n") + c(b, "n")))
 
 
-def _verified(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose summed fragment overlaps reach the threshold."""
     left = fragments.select(F.col("cls").alias("a"), "frag", F.col("shingles").alias("left"))
     right = fragments.select(F.col("cls").alias("b"), "frag", F.col("shingles").alias("right"))
-    part = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, ["b", "frag"])
+    total, pairs = pairs.count(), pairs.select("a", "b", "na", "nb")
+    times = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
+    part = lookup(pairs, left, ["a"], times("a"), total, ["b"])
+    part = lookup(part, right, ["b", "frag"], times("b"), total, ["a", "frag"])
     overlap = part.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("left", "right"))).alias("same"))
     return overlap.where(F.lit(100 + percent) * F.col("same") >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _tiled(x: DataFrame, lists: DataFrame, lengths: DataFrame, total: int, percent: int) -> DataFrame:
+    """All meetings of two entries of a list whose sizes allow a link. A heavy list is cut by size, since partners have nearly the
+    same, and each side into parts: part i of one side meets part j of the other in a task of its own."""
+    y = lists.select("key", *[F.col(c).alias(f"b{c}") for c in ("cls", "n", "u", "pos", "comp")])
+    heavy = heavy_keys(lengths, "key", total)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    every = F.sequence(F.lit(0), parts - 1)
+    own = lambda c: F.pmod(F.xxhash64(c), parts).cast("int")
+    # A little more than the largest ratio of sizes, so that rounding cannot put partners two steps apart.
+    step = lambda c: F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.floor(F.log(F.col(c)) / math.log(100.1 / percent)).cast("int"))
+    sides = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    x = x.join(heavy, x["key"] == F.col("_key"), "left").select(*x.columns, step("an").alias("_step"), own("acls").alias("_i"), F.explode(every).alias("_j"))
+    y = y.join(heavy, y["key"] == F.col("_key"), "left").select(*y.columns, step("bn").alias("_at"), own("bcls").alias("_j"), F.explode(every).alias("_i"), sides.alias("_sides"))
+    y = y.select("*", F.explode("_sides").alias("_side")).withColumn("_step", F.col("_at") + F.col("_side")).drop("_sides", "_side", "_at")
+    return x.join(y, ["key", "_step", "_i", "_j"]).drop("_step", "_i", "_j")
+
+
 def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = 1, crowd: float = 20.0) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
@@ -255,43 +276,52 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds
     gathered = written(counted.groupBy("block").applyInArrow(_gather(percent), "doc_id bigint, n bigint, cls string, hashes binary, bands binary"), f"{out}/documents")
     release(spark)
     able = gathered.where("cls is not null")
-    sets = written(able.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands")), f"{out}/sets")
+    rows = able.count()
+    sets = written(able.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("m")), f"{out}/sets")
+    copies = sets.select("cls", "m")
+    # What a class has in the lists: its shared shingles, less those that a partner must share.
+    spread = sets.select("cls", F.expr(f"octet_length(hashes) div 8 - ({percent} * n + 99) div 100 + 1").alias("m"))
     fragments = written(sets.select("cls", "hashes", "bands").mapInArrow(_cut, "cls string, frag int, shingles array<bigint>"), f"{out}/fragments")
     entries = sets.select("cls", "n", "hashes").mapInArrow(_prefixes(percent), "key bigint, cls string, n bigint, u bigint, pos bigint")
     entries = written(entries, f"{out}/entries")
     # The smaller of two partners shares at least percent / (100 + percent) of both sizes, so what an entry can share bounds
     # its partner's size: entries that no other size in their list can match are left out.
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1").select("key", "least")
+    total = entries.count()
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1")
+    shared = written(shared, f"{out}/shared")
+    lengths = shared.select("key", "m")
     room = F.lit(100 + percent) * (F.col("n") - F.greatest("pos", "u")) >= F.lit(percent) * (F.col("n") + F.col("least"))
-    lists = written(entries.join(shared, "key").where(room).drop("least"), f"{out}/lists")
+    lists = lookup(entries, shared.select("key", "least"), ["key"], lengths, total, ["cls"])
+    lists = written(lists.where(room).select("key", "cls", "n", "u", "pos"), f"{out}/lists")
     links = spark.createDataFrame([], "a string, b string")
     tested = spark.createDataFrame([], "a string, b string")
     roots = spark.createDataFrame([], "node string, root string")
     for k in range(rounds + 1):
         # The lists that hold more than one component, and how many pairs lie between those components.
-        now = lists.join(roots, lists["cls"] == roots["node"], "left").select(*lists.columns, F.coalesce("root", "cls").alias("comp"))
+        now = lookup(lists, roots.select(F.col("node").alias("cls"), "root"), ["cls"], spread, total, ["key"], "left").select(*lists.columns, F.coalesce("root", "cls").alias("comp"))
         by = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count(F.lit(1)).alias("comps"))
-        lists = written(now.join(by.where("comps > 1").select("key"), "key").select("key", "cls", "n", "u", "pos", "comp"), f"{out}/lists{k}")
-        left = written(by.where("comps > 1"), f"{out}/open{k}").agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
+        still = written(by.where("comps > 1"), f"{out}/open{k}")
+        left = still.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
         if not left["m"]:
             break
+        lists = written(lookup(now, still.select("key"), ["key"], lengths, total, ["cls"]).select("key", "cls", "n", "u", "pos", "comp"), f"{out}/lists{k}")
         last = k > 0 and (k == rounds or left["pairs"] <= crowd * left["m"])
         x = lists.select("key", *[F.col(c).alias(f"a{c}") for c in ("cls", "n", "u", "pos", "comp")])
         if last:
-            y = lists.select("key", *[F.col(c).alias(f"b{c}") for c in ("cls", "n", "u", "pos", "comp")])
+            met = _tiled(x, lists, lengths, total, percent)
         else:
             # The first round's member is the one with the fewest unique shingles; later ones are drawn anew.
             rank = F.col("u") if k == 0 else F.xxhash64("cls", F.lit(k))
             hub = lists.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "cls", "n", "u", "pos", "comp")).alias("hub"))
-            y = hub.select("key", *[F.col(f"hub.{c}").alias(f"b{c}") for c in ("cls", "n", "u", "pos", "comp")])
+            met = lookup(x, hub.select("key", *[F.col(f"hub.{c}").alias(f"b{c}") for c in ("cls", "n", "u", "pos", "comp")]), ["key"], lengths, total, ["acls"])
         near = (F.col("acomp") != F.col("bcomp")) & _possible("a", "b", percent)
         if last:
             near = near & (F.col("acls") < F.col("bcls"))
-        pairs = x.join(y, "key").where(near)
+        pairs = met.where(near)
         swap = F.col("acls") < F.col("bcls")
         pairs = pairs.select(F.when(swap, F.col("acls")).otherwise(F.col("bcls")).alias("a"), F.when(swap, F.col("bcls")).otherwise(F.col("acls")).alias("b"), F.when(swap, F.col("an")).otherwise(F.col("bn")).alias("na"), F.when(swap, F.col("bn")).otherwise(F.col("an")).alias("nb")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if k else pairs, f"{out}/pairs{k}")
-        found = written(_verified(pairs, fragments, sets, percent), f"{out}/links{k}")
+        found = written(_verified(pairs, fragments, percent), f"{out}/links{k}")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = connected_components(links, f"{out}/components{k}")
@@ -299,10 +329,10 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds
         lists = lists.drop("comp")
         if last:
             break
-    members = able.select("doc_id", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "cls").alias("comp"))
-    members = written(members, f"{out}/members")
-    least = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = members.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    members = lookup(able.select("doc_id", "n", "cls"), roots.select(F.col("node").alias("cls"), "root"), ["cls"], copies, rows, ["doc_id"], "left")
+    members = written(members.select("doc_id", "n", F.coalesce("root", "cls").alias("comp")), f"{out}/members")
+    least = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    linked = lookup(members, least.select("comp", "component_id"), ["comp"], least.select("comp", "m"), rows, ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = gathered.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
