@@ -9,7 +9,8 @@ totals get their offsets, and the rest is a window within a slice. The global cu
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; documents without words take
 nothing; repeated rows are documents of their own; ties in the shuffled order are broken by doc_id and size, so that reruns
-agree; an empty table gives an empty result. Columns besides doc_id, text and source are not read.
+agree; texts of any length are counted whole; an empty table gives an empty result. Columns besides doc_id, text and source are
+not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of, workdir, written
+from .common import WORD, lookup, table, text_of, workdir, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -36,12 +37,12 @@ def shuffle_key(seed: int) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """source, source_size, weight, target for each source: water-filling under the cap of `passes` times the source's size.
+    """source, source_size, weight, target, cap, largest (document) and m (documents) for each source: water-filling under the cap of `passes` times the source's size.
 
     Sources in the order of cap / weight reach their caps first; those before the first source that does not reach its cap
     get the cap, and the others share what is left by weight.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("m"))
     place = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int"))
     caps = by.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * float(passes))
@@ -56,7 +57,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     at = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(whole)
     out = filled.withColumn("first", first).withColumn("at", at.getField("level"))
     target = F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight")))
-    return out.select("source", "source_size", "weight", target.alias("target"))
+    return out.select("source", "source_size", "weight", target.alias("target"), "cap", "largest", "m")
 
 
 def _running(df: DataFrame, group: list[Column], slice_: Column, order: list[Column], value: str, name: str) -> DataFrame:
@@ -89,17 +90,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     in_slice = (F.conv(F.substring("key", 1, width + 4), 16, 10).cast("long") * F.lit(slices) / F.lit(16 ** (width + 4))).cast("long")
     queue = [F.col("key"), F.col("doc_id"), F.col("size")]
     run = _running(sizes, [F.col("source")], in_slice, queue, "size", "upto")
-    goals = goals.withColumnRenamed("source", "_source")
-    run = run.join(F.broadcast(goals) if goals.count() <= 10_000 else goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # A source may hold a great part of all rows, so its goal is looked up in parts; a null source has a name of its own.
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_name")
+    goals = goals.select("*", name).drop("source")
+    run = lookup(run.select("*", name), goals.select("_name", "source_size", "target"), ["_name"], goals.select("_name", "m"), rows, ["key"]).drop("_name")
     # One entry per pass: pass p finishes after p whole rounds of the source.
     entry = run.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", F.explode(F.array(*[F.lit(i) for i in range(passes)])).alias("pass"))
     entry = entry.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
-    entry = written(entry, f"{out}/queue")
-    # All targets together are the budget, so that finish time 1 lies at the cut; slices of finish time up to the longest.
-    cut = (F.sum("target")).alias("budget")
-    budget = goals.agg(cut).first()["budget"] or 0.0
+    # All targets together are the budget, so the cut lies near finish time 1. By `edge` every source has its target or, below its
+    # cap, at least that: entries behind it are behind the cut, and slices up to it hold about as many words each.
+    late = F.max(F.when((F.col("target") > 0) & (F.col("target") < F.col("cap")), F.col("largest") / F.col("target")))
+    ends = goals.agg(F.sum("target").alias("budget"), F.coalesce(late, F.lit(0.0)).alias("late")).first()
+    budget, edge = ends["budget"] or 0.0, (1.0 + ends["late"]) * (1 + 1e-9)
+    entry = written(entry.where(F.col("finish") <= edge), f"{out}/queue")
     in_order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("pass")]
-    total = _running(entry, [F.lit(0)], F.floor(F.least(F.col("finish"), F.lit(64.0)) * F.lit(slices)), in_order, "size", "total")
+    total = _running(entry, [F.lit(0)], F.floor(F.col("finish") / F.lit(edge) * F.lit(slices)), in_order, "size", "total")
     taken = total.where(F.col("total") <= F.lit(budget)).groupBy("key", "doc_id", "source", "size", "upto").agg(F.sum("size").alias("got"))
     on = ["key", "doc_id", "source", "size", "upto"]
     got = taken.select(*[F.col(c).alias(f"_{c}") for c in on], "got")
