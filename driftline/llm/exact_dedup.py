@@ -8,7 +8,7 @@ digest collision cannot merge different texts. Only built-in expressions run on
 Defined results: a null text counts as empty, so null, empty and all-white-space texts form one group; of equal texts the
 row with the most code points stays, then the smallest doc_id (a null doc_id comes last), and of rows that agree in both
 all name that doc_id while exactly one is kept; repeated rows are rows of their own; an empty table gives an empty result.
-Columns besides the identifier and the text are not read.
+Texts of any length are read whole; the identifier is an integer. Columns besides the identifier and the text are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, text_of, workdir, written
+from .common import SPACE, lookup, table, text_of, workdir, written
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -26,7 +26,7 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
-FILES_PER_BATCH, SALTS = 4096, 16
+FILES_PER_BATCH = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -53,16 +53,20 @@ def _best() -> Column:
 
 def stream_state(spark: SparkSession, entries_path: str, schema, keys: list[str], out: str) -> DataFrame:
     """Run the stateful aggregation over the table of entries until it is used up; returns the last state of each key."""
-    for name, value in STATE_STORE.items():
-        spark.conf.set(name, value)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(entries_path)
     state = stream.groupBy(*keys).agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/state/n={number}")
 
-    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{out}/stream").foreachBatch(keep).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:  # the state store is the stream's own: the caller's session keeps its settings
+        for name, value in STATE_STORE.items():
+            spark.conf.set(name, value)
+        state.writeStream.outputMode("update").option("checkpointLocation", f"{out}/stream").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     states = spark.read.schema(f"{', '.join(k + ' string' for k in keys)}, best struct<points:bigint,order:bigint,keep_id:bigint,keep_at:bigint>, group_size bigint, batch int").parquet(f"{out}/state/n=*")
     last = states.groupBy(*keys).agg(F.max(F.struct("batch", "best", "group_size")).alias("last"))
     return last.select(*keys, "last.best.keep_id", "last.best.keep_at", "last.group_size")
@@ -76,18 +80,15 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     if entries.isEmpty():
         return entries.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     state = written(stream_state(spark, f"{out}/entries", entries.schema, ["digest"], out), f"{out}/groups")
-    # Dealt by digest and a salt, so that a large group's texts are compared in many tasks. The hint keeps the plan one and
-    # the same at every size of the hits.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hits = state.where("group_size > 1").select("digest", salts)
+    # A large group's rows are dealt to several tasks, here and where its state is looked up.
+    total, sizes = entries.count(), state.select("digest", F.col("group_size").alias("m"))
     # Full bytes on hits: within a group the least and the greatest text must be the same bytes.
-    texts = docs.select(normalised(text_of()).alias("body"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).withColumn("digest", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, digest_bits // 4))
-    ends = texts.join(hits.hint("shuffle_hash"), ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    texts = docs.select(normalised(text_of()).alias("body"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, digest_bits // 4))
+    ends = lookup(texts, state.where("group_size > 1").select("digest"), ["digest"], sizes, total, ["place"], hint="shuffle_hash").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     clashes = written(ends.where(F.col("low") != F.col("high")).select("digest"), f"{out}/clashes")
-    rows = entries.join(state, "digest")
+    rows = lookup(entries, state, ["digest"], sizes, total, ["locator"], hint="merge")
     if not clashes.isEmpty():
-        # Different texts behind one digest: their groups are formed anew by the bytes themselves.
+        # Different texts behind one digest: their groups are formed anew by the bytes themselves, with locators of their own.
         bodies = docs.select(F.monotonically_increasing_id().alias("locator"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("points"), normalised(text_of()).alias("body"))
         bodies = bodies.withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256)).withColumn("digest", F.substring("text_sha256", 1, digest_bits // 4)).join(clashes, "digest", "left_semi")
         bodies = written(bodies, f"{out}/bodies")
