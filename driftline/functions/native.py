@@ -111,6 +111,13 @@ def mid_rank(s: DataFrame, name: str = "r2") -> DataFrame:
     return s.withColumn(name, 2 * place + same - 1)
 
 
+def gram(s: DataFrame) -> DataFrame:
+    """series_id, i, j and the dot product g for all pairs of rows i <= j of each series; x is an array."""
+    u, v = s.select("series_id", F.col("t").alias("i"), F.col("x").alias("_p")), s.select("series_id", F.col("t").alias("j"), F.col("x").alias("_q"))
+    dot = F.aggregate(F.zip_with("_p", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, z: acc + z)
+    return u.join(v, "series_id").where("i <= j").select("series_id", "i", "j", dot.alias("g"))
+
+
 def log_sum_exp(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """Max-shifted, in two passes over the groups."""
     top = df.groupBy(*keys).agg(F.max(x).alias("_top"))

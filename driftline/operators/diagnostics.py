@@ -1,25 +1,31 @@
-"""Profiles of series: missing values, moments, dependence, periods and drift, as plans. One row per series."""
+"""Profiles of series: missing values, moments, dependence, periods and drift, as plans. One row per series; a series with
+several columns (x as an array) has the medians of its columns' profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import native as N
 
-#: Rows above which a profile is made from a stride sample, and about how many rows that then has.
-SUBSAMPLE_ABOVE, SUBSAMPLE_TO = 100_000, 50_000
+#: Rows above which a profile is made from a stride sample: a tenth of them, within these bounds, or some more.
+SUBSAMPLE_ABOVE, SUBSAMPLE_FROM, SUBSAMPLE_TO = 100_000, 10_000, 50_000
 LEAST_VALID, MAX_LAG, LAG, WINDOW = 32, 128, 8, 128
+#: Spreads and strengths up to this count as none.
+TINY = 1e-12
 
 
 def subsampled(s: DataFrame) -> DataFrame:
     """Long series by stride, renumbered, with the last row kept; short ones as they are."""
     n = F.count(F.lit(1)).over(N.SERIES())
-    stride = F.greatest(F.ceil(n / SUBSAMPLE_TO), F.lit(1))
-    cut = s.withColumn("_n", n).withColumn("_s", F.when(F.col("_n") > SUBSAMPLE_ABOVE, stride).otherwise(F.lit(1)))
+    cut = s.withColumn("_n", n)
+    goal = F.least(F.greatest(F.expr("_n div 10"), F.lit(SUBSAMPLE_FROM)), F.lit(SUBSAMPLE_TO))
+    stride = F.greatest(F.floor(F.col("_n") / goal), F.lit(1))
+    cut = cut.withColumn("_s", F.when(F.col("_n") > SUBSAMPLE_ABOVE, stride).otherwise(F.lit(1))).withColumn("used_subsampling", F.col("_n") > SUBSAMPLE_ABOVE)
     cut = cut.where((F.col("t") % F.col("_s") == 0) | (F.col("t") == F.col("_n") - 1))
-    return cut.withColumn("t", (F.row_number().over(N.ORDERED()) - 1).cast("long")).withColumn("used_subsampling", F.col("_s") > 1).drop("_n", "_s")
+    return cut.withColumn("t", (F.row_number().over(N.ORDERED()) - 1).cast("long")).drop("_n", "_s")
 
 
 def missing_overview(s: DataFrame) -> DataFrame:
@@ -55,22 +61,35 @@ def _autocorrelations_by_pairs(s: DataFrame, lags) -> DataFrame:
     return every.join(got, ["series_id", "lag"], "left").select("series_id", "lag", F.coalesce("acf", F.lit(0.0)).alias("acf"))
 
 
-def pacf(acf: DataFrame, max_lag: int) -> DataFrame:
-    """Partial autocorrelations of lags 1 to max_lag by Durbin-Levinson over each series' few autocorrelations."""
+def autocovariances(s: DataFrame, max_lag: int) -> DataFrame:
+    """series_id, lag, r for lags 1 to max_lag: the mean product of valid values so far apart, less the series' mean, over the
+    variance. Missing rows are left out before lags are taken. 0 for a series without spread or with at most max_lag + 2 values."""
+    own = N.valid_rows(s)
+    by = own.groupBy("series_id").agg(F.avg("x").alias("_m"), F.var_pop("x").alias("_v"), F.count("x").alias("_n"))
+    c = own.join(by, "series_id").select("series_id", "t", "_v", "_n", (F.col("x") - F.col("_m")).alias("_c"))
+    ahead = c.select("series_id", "_v", "_n", *[(F.col("_c") * F.lag("_c", k).over(N.ORDERED())).alias(f"_{k}") for k in range(1, max_lag + 1)])
+    agg = ahead.groupBy("series_id", "_v", "_n").agg(*[F.avg(f"_{k}").alias(f"_{k}") for k in range(1, max_lag + 1)])
+    some = (F.col("_v") > TINY) & (F.col("_n") > max_lag + 2)
+    r = lambda k: F.when(some, F.greatest(F.least(F.col(f"_{k}") / F.col("_v"), F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(0.0))
+    return agg.select("series_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), r(k).alias("r")) for k in range(1, max_lag + 1)])).alias("p")).select("series_id", "p.lag", "p.r")
+
+
+def pacf(r: DataFrame, max_lag: int) -> DataFrame:
+    """Partial autocorrelations of lags 1 to max_lag by Durbin-Levinson over each series' few autocovariances (lag, r)."""
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.concatenate([[1.0], pdf.sort_values("lag")["acf"].to_numpy()[:max_lag]])
+        r = np.concatenate([[1.0], pdf.sort_values("lag")["r"].to_numpy()[:max_lag]])
         phi, out, noise = np.zeros(0), [], 1.0
         for k in range(1, len(r)):
-            a = 0.0 if noise <= 1e-12 else float(np.clip((r[k] - phi @ r[k - 1 : 0 : -1]) / noise, -1, 1))
+            a = 0.0 if noise <= TINY else float(np.clip((r[k] - phi @ r[k - 1 : 0 : -1]) / noise, -1, 1))
             phi = np.append(phi - a * phi[::-1], a)
-            noise *= 1 - a * a
+            noise = max(noise * (1 - a * a), TINY)
             out.append(a)
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": range(1, len(out) + 1), "pacf": out})
 
-    return acf.groupBy("series_id").applyInPandas(run, "series_id string, lag int, pacf double")
+    return r.groupBy("series_id").applyInPandas(run, "series_id string, lag int, pacf double")
 
 
 def supported(acf: DataFrame, s: DataFrame) -> DataFrame:
@@ -79,12 +98,19 @@ def supported(acf: DataFrame, s: DataFrame) -> DataFrame:
     return acf.join(valid, "series_id").where(F.col("lag") <= F.col("_valid") / 4).drop("_valid")
 
 
-def dominant_period(acf: DataFrame, least: float = 0.2) -> DataFrame:
-    """series_id, period, strength: the smallest lag whose peak is positive and within 5 % of the highest one."""
+def dominant_period(acf: DataFrame) -> DataFrame:
+    """series_id, period, strength from the autocorrelations of lags 1, 2, ...: the smallest lag within 5 % of the strongest peak.
+
+    A peak is a positive value from lag 2 on that none of its neighbours exceeds; the last lag has one neighbour only. Without
+    a peak all positive values from lag 2 on take their place, and without one of those the series has no row.
+    """
     order = W.partitionBy("series_id").orderBy("lag")
-    peak = (F.col("acf") > F.lag("acf").over(order)) & (F.col("acf") >= F.lead("acf").over(order)) & (F.col("acf") > least)
-    tops = acf.withColumn("p", peak).where("p").withColumn("top", F.max("acf").over(W.partitionBy("series_id")))
-    near = tops.where(F.col("acf") >= 0.95 * F.col("top"))
+    size = F.greatest("acf", F.lit(0.0))
+    seen = acf.select("series_id", "lag", size.alias("acf")).withColumn("_left", F.lag("acf").over(order)).withColumn("_right", F.coalesce(F.lead("acf").over(order), F.col("acf")))
+    own = seen.where((F.col("lag") >= 2) & (F.col("acf") > TINY)).withColumn("_peak", (F.col("acf") >= F.col("_left")) & (F.col("acf") >= F.col("_right")))
+    some = F.max("_peak").over(W.partitionBy("series_id"))
+    tops = own.withColumn("_some", some).where("_peak or not _some").withColumn("_top", F.max("acf").over(W.partitionBy("series_id")))
+    near = tops.where(F.col("acf") >= 0.95 * F.col("_top"))
     return near.groupBy("series_id").agg(F.min(F.struct("lag", "acf")).alias("m")).select("series_id", F.col("m.lag").alias("period"), F.col("m.acf").alias("strength"))
 
 
@@ -95,14 +121,24 @@ def period_votes(periods: DataFrame, k: int = 3) -> DataFrame:
 
 
 def drift(s: DataFrame, window: int = WINDOW) -> DataFrame:
-    """regime: mean divergence of neighbouring windows; density: share of rows whose divergence is above 1."""
+    """Spread of the rolling means and variances in terms of the whole series', the largest divergence of neighbouring windows
+    (regime_change_proxy) and the share of divergences above 1 (change_density_score), over valid values. A measure for which
+    there are too few values is 0."""
+    own = N.valid_rows(s).withColumn("t", F.row_number().over(N.ORDERED()) - 1)
     full = N.ORDERED().rowsBetween(1 - window, 0)
-    r = s.select("series_id", "t", F.avg("x").over(full).alias("m"), F.var_pop("x").over(full).alias("v")).where(F.col("t") >= window - 1)
-    sd = s.groupBy("series_id").agg(F.greatest(F.stddev_pop("x"), F.lit(1e-12)).alias("sd"))
+    r = own.select("series_id", "t", F.avg("x").over(full).alias("m"), F.var_pop("x").over(full).alias("v")).where(F.col("t") >= window - 1)
+    whole = own.groupBy("series_id").agg(F.var_pop("x").alias("_var"))
     prior = lambda c: F.lag(c, window).over(N.ORDERED())
-    div = r.withColumn("dm", F.abs(F.col("m") - prior("m"))).withColumn("dv", F.abs(F.col("v") - prior("v"))).where("dm is not null").join(sd, "series_id")
-    d = F.col("dm") / F.col("sd") + F.col("dv") / (F.col("sd") * F.col("sd"))
-    return div.groupBy("series_id").agg(F.avg(d).alias("regime_change_proxy"), (F.count_if(d > 1) / F.count(F.lit(1))).alias("change_density_score"))
+    d = r.withColumn("dm", F.abs(F.col("m") - prior("m"))).withColumn("dv", F.abs(F.col("v") - prior("v"))).join(whole, "series_id")
+    d = d.withColumn("d", F.col("dm") / (F.sqrt("_var") + TINY) + F.col("dv") / (F.col("_var") + TINY))
+    by = d.groupBy("series_id").agg(
+        (F.stddev_pop("m") / (F.sqrt(F.max("_var")) + TINY)).alias("rolling_mean_drift"),
+        (F.stddev_pop("v") / (F.avg("v") + TINY)).alias("rolling_variance_drift"),
+        F.max("d").alias("regime_change_proxy"),
+        F.try_divide(F.count_if(F.col("d") > 1), F.count("d")).alias("change_density_score"),
+    )
+    measures = ("rolling_mean_drift", "rolling_variance_drift", "regime_change_proxy", "change_density_score")
+    return whole.join(by, "series_id", "left").select("series_id", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in measures])
 
 
 def shape(s: DataFrame) -> DataFrame:
@@ -129,17 +165,48 @@ def hints(s: DataFrame, share: float = 0.98, tolerance: float = 1e-9) -> DataFra
     return N.valid_rows(s).groupBy("series_id").agg((F.avg(binary.cast("double")) >= share).alias("binary_like"), ((F.avg((whole & (F.col("x") >= -tolerance)).cast("double")) >= share) & (F.avg(binary.cast("double")) < share)).alias("count_like"))
 
 
+def _columns(s: DataFrame) -> DataFrame:
+    """Each column of a series with x as an array as a series of its own, named series_id, tab, number."""
+    if not isinstance(s.schema["x"].dataType, ArrayType):
+        return s.select("series_id", "t", "x", F.col("series_id").alias("_of"))
+    each = s.select(F.col("series_id").alias("_of"), "t", F.posexplode("x").alias("_dim", "x"))
+    return each.select(F.concat_ws("\t", "_of", "_dim").alias("series_id"), "t", F.col("x").cast("double").alias("x"), "_of")
+
+
+#: The measures of a profile whose medians over its columns describe a series.
+MEASURES = (
+    "kurtosis_proxy", "outlier_rate_iqr", "mad_to_std_ratio", "std", "robust_std", "lag1_autocorr", "lagk_autocorr", "pacf_lagk_proxy",
+    "residual_lag1_autocorr", "rolling_mean_drift", "rolling_variance_drift", "regime_change_proxy", "change_density_score",
+)
+
+
 def diagnostics(s: DataFrame, lag: int = LAG, max_lag: int = MAX_LAG, window: int = WINDOW) -> DataFrame:
-    """One profile per series with at least LEAST_VALID valid rows."""
-    overview = missing_overview(s)  # of all rows; the rest is measured on the sample
-    s = subsampled(s.select("series_id", "t", "ts", "x"))
-    acf = autocorrelations(s, range(1, max_lag + 1)).persist()
-    lag1 = acf.where("lag = 1").select("series_id", F.col("acf").alias("lag1_autocorr"))
-    lagk = acf.where(F.col("lag") == lag).select("series_id", F.col("acf").alias("lagk_autocorr"))
-    out = overview.join(shape(s), "series_id").where(F.col("valid") >= LEAST_VALID)
-    out = out.join(lag1, "series_id").join(lagk, "series_id").join(residual_lag1(s), "series_id").join(drift(s, window), "series_id", "left")
+    """One profile per series with at least one column of LEAST_VALID valid rows.
+
+    n counts rows, missing values are counted over all columns (nan_rate is their share of all values, the pattern that of the
+    columns with more of them), periods are voted by the columns with their strengths, and the other measures are medians.
+    """
+    each = _columns(s)
+    names = each.select("series_id", "_of").distinct()
+    gaps = missing_overview(each.select("series_id", "t", "x")).join(names, "series_id")  # of all rows; the rest is measured on the sample
+    weight = lambda pattern: F.sum(F.when(F.col("pattern") == pattern, F.col("missing")).otherwise(F.lit(0)))
+    overview = gaps.groupBy("_of").agg(
+        F.max("n").alias("n"), F.sum("missing").alias("missing"), (F.sum("missing") / F.sum("n")).alias("nan_rate"), F.max("longest").alias("longest"),
+        F.when(F.sum("missing") == 0, "none").when(weight("block") >= weight("random"), "block").otherwise("random").alias("pattern"), F.count(F.lit(1)).alias("dimensions"),
+    )
+    s = subsampled(each.select("series_id", "t", "x"))
+    acf = autocorrelations(s, range(1, max_lag + 1))
+    few = acf.where(F.col("lag").isin(1, lag)).groupBy("series_id").agg(F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("lag1_autocorr"), F.max(F.when(F.col("lag") == lag, F.col("acf"))).alias("lagk_autocorr"))
+    partial = pacf(autocovariances(s, lag), lag).where(F.col("lag") == lag).select("series_id", F.col("pacf").alias("pacf_lagk_proxy"))
+    out = shape(s).where(F.col("valid") >= LEAST_VALID).join(few, "series_id").join(partial, "series_id").join(residual_lag1(s), "series_id").join(drift(s, window), "series_id")
     out = out.join(dominant_period(supported(acf, s)), "series_id", "left").join(hints(s), "series_id").join(s.groupBy("series_id").agg(F.max("used_subsampling").alias("used_subsampling")), "series_id")
-    return out.fillna(0.0, ["regime_change_proxy", "change_density_score", "strength"])
+    out = out.join(names, "series_id")
+    flags = ("binary_like", "count_like", "used_subsampling")
+    by = out.groupBy("_of").agg(F.sum("valid").alias("valid"), F.count(F.lit(1)).alias("valid_dimensions"), *[F.median(k).alias(k) for k in MEASURES], *[(F.max(k) if k == "used_subsampling" else F.min(k)).alias(k) for k in flags])
+    votes = out.where("period is not null").groupBy("_of", "period").agg(F.sum("strength").alias("strength"))
+    best = votes.groupBy("_of").agg(F.max(F.struct("strength", (-F.col("period")).alias("rank"))).alias("b")).select("_of", (-F.col("b.rank")).alias("period"), F.col("b.strength").alias("strength"))
+    got = overview.join(by, "_of").join(best, "_of", "left").fillna(0.0, ["strength"])
+    return got.withColumnRenamed("_of", "series_id")
 
 
 def signal_flags(d: DataFrame) -> DataFrame:
@@ -185,7 +252,7 @@ def preprocessing_advice(s: DataFrame) -> DataFrame:
     """
     own = N.valid_rows(s)
     trend = own.groupBy("series_id").agg((F.abs(F.coalesce(F.corr("x", F.col("t").cast("double")), F.lit(0.0))) >= 0.25).alias("detrend"))
-    p = dominant_period(supported(autocorrelations(s, range(1, MAX_LAG + 1)), s), 0.35).where("period >= 2").select("series_id", F.col("period").alias("difference_by"))
+    p = dominant_period(supported(autocorrelations(s, range(1, MAX_LAG + 1)), s)).where("strength > 0.35").select("series_id", F.col("period").alias("difference_by"))
     sh = shape(s)
     z = own.join(N.mad(own, ["series_id"]), "series_id").groupBy("series_id").agg((F.avg((F.abs(F.col("x") - F.col("med")) > 3.5 * F.greatest(1.4826 * F.col("mad"), F.lit(1e-12))).cast("double")) >= 0.02).alias("winsorize"))
     ratio = sh.select("series_id", (F.abs(F.log(F.greatest("std", F.lit(1e-12)) / F.greatest("robust_std", F.lit(1e-12)))) >= 0.35).alias("robust_scale"))

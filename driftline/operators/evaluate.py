@@ -93,40 +93,61 @@ def offline_metrics(truth: DataFrame, found: DataFrame, lengths: DataFrame, tole
     return f1(truth, found, lengths, tolerance).join(hausdorff(truth, found), "series_id", "left").join(rand_index(truth, found, lengths), "series_id").join(annotation_error(truth, found), "series_id", "left")
 
 
-def online_metrics(steps: DataFrame, truth: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Per series: detected and missed changes, mean delay (also ARL1), false alarms, their rate, ARL0.
+def _observed(steps: DataFrame, truth: DataFrame) -> DataFrame:
+    """The steps (series_id, t, _at, ...) with the last true change at or before each (cp, null before the first); _at counts a
+    series' steps from 0. Changes behind the last step are not looked at."""
+    points = truth.select("series_id", F.col("cp").alias("t"), F.lit(0).alias("_o")).distinct()
+    rows = steps.withColumn("_o", F.lit(1)).withColumn("_at", F.row_number().over(W.partitionBy("series_id").orderBy("t")) - 1)
+    order = W.partitionBy("series_id").orderBy("t", "_o").rowsBetween(W.unboundedPreceding, 0)
+    both = points.unionByName(rows, allowMissingColumns=True)
+    return both.withColumn("cp", F.last(F.when(F.col("_o") == 0, F.col("t")), ignorenulls=True).over(order)).where("_o = 1").drop("_o")
+
+
+def _changes(steps: DataFrame, truth: DataFrame) -> DataFrame:
+    """series_id and the number of changes up to the last step, and how many of them are steps."""
+    last = steps.groupBy("series_id").agg(F.max("t").alias("_last"))
+    own = truth.select("series_id", "cp").distinct().join(last, "series_id").where("cp <= _last")
+    on = steps.select("series_id", F.col("t").alias("cp"), F.lit(1).alias("_on"))
+    return own.join(on, ["series_id", "cp"], "left").groupBy("series_id").agg(F.count(F.lit(1)).alias("changes"), F.count("_on").alias("change_steps"))
+
+
+def online_metrics(steps: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per series of steps (series_id, t, alert): detected and missed changes, mean delay (also ARL1), false alarms, their share
+    of the steps, and ARL0, the mean run between false alarms: the place of the last one over their number, infinite without.
 
     The first alert from a change up to the next one detects it; all other alerts are false. The change an alert belongs
-    to is the last one at or before it.
+    to is the last one at or before it; changes behind the last step count for nothing.
     """
-    points = truth.select("series_id", F.col("cp").alias("t"), F.lit(0).alias("_o"))
-    alerts = steps.where("alert").select("series_id", "t", F.lit(1).alias("_o"))
-    order = W.partitionBy("series_id").orderBy("t", "_o").rowsBetween(W.unboundedPreceding, 0)
-    own = points.unionByName(alerts).withColumn("cp", F.last(F.when(F.col("_o") == 0, F.col("t")), ignorenulls=True).over(order)).where("_o = 1")
+    alerts = _observed(steps.select("series_id", "t", "alert"), truth).where("alert")
     place = F.row_number().over(W.partitionBy("series_id", "cp").orderBy("t"))
-    marked = own.withColumn("hit", (place == 1) & F.col("cp").isNotNull())
-    by = marked.groupBy("series_id").agg(F.count_if("hit").alias("detected"), F.count_if(~F.col("hit")).alias("false_alarms"), F.avg(F.when(F.col("hit"), F.col("t") - F.col("cp"))).alias("mean_delay"))
-    k = truth.groupBy("series_id").agg(F.count(F.lit(1)).alias("changes"))
-    out = lengths.join(by, "series_id", "left").join(k, "series_id", "left").fillna(0, ["detected", "false_alarms", "changes"])
-    rate = F.col("false_alarms") / F.col("n")
-    return out.select("series_id", "detected", (F.col("changes") - F.col("detected")).alias("missed"), "mean_delay", "false_alarms", rate.alias("false_alarm_rate"), F.when(F.col("false_alarms") > 0, F.col("n") / F.col("false_alarms")).alias("arl0"), F.col("mean_delay").alias("arl1"))
-
-
-def roc(steps: DataFrame, truth: DataFrame, tolerance: int = 10) -> DataFrame:
-    """False and true positive rates at every probability seen and one beyond each end; a row is positive up to `tolerance`
-    rows after a change. Counts per probability and a running sum replace the join of rows and thresholds."""
-    points = truth.select("series_id", F.col("cp").alias("t"), F.lit(0).alias("_o"), F.lit(None).cast("double").alias("p_change"))
-    rows = steps.select("series_id", "t", F.lit(1).alias("_o"), "p_change")
-    order = W.partitionBy("series_id").orderBy("t", "_o").rowsBetween(W.unboundedPreceding, 0)
-    own = points.unionByName(rows).withColumn("cp", F.last(F.when(F.col("_o") == 0, F.col("t")), ignorenulls=True).over(order)).where("_o = 1")
-    own = own.withColumn("pos", (F.col("t") - F.col("cp") <= tolerance) & F.col("cp").isNotNull())
-    by = own.groupBy("p_change").agg(F.count_if("pos").alias("tp"), F.count_if(~F.col("pos")).alias("fp"))
-    ends = by.agg((F.max("p_change") + 1).alias("hi"), (F.min("p_change") - 1).alias("lo")).select(F.explode(F.array("hi", "lo")).alias("p_change"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    every = by.unionByName(ends)
-    down = W.partitionBy().orderBy(F.desc("p_change")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    share = lambda c: F.coalesce(F.try_divide(F.sum(c).over(down), F.sum(c).over(whole)), F.lit(0.0))
-    return every.select(F.col("p_change").alias("threshold"), share("tp").alias("tpr"), share("fp").alias("fpr"))
+    marked = alerts.withColumn("hit", (place == 1) & F.col("cp").isNotNull())
+    last = F.max(F.when(~F.col("hit"), F.col("_at"))).alias("last")
+    by = marked.groupBy("series_id").agg(F.count_if("hit").alias("detected"), F.count_if(~F.col("hit")).alias("false_alarms"), F.avg(F.when(F.col("hit"), F.col("t") - F.col("cp"))).alias("mean_delay"), last)
+    n = steps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    out = n.join(by, "series_id", "left").join(_changes(steps, truth), "series_id", "left").fillna(0, ["detected", "false_alarms", "changes"])
+    arl0 = F.when(F.col("false_alarms") > 0, (F.col("last") + 1) / F.col("false_alarms")).otherwise(F.lit(float("inf")))
+    return out.select("series_id", "detected", (F.col("changes") - F.col("detected")).alias("missed"), "mean_delay", "false_alarms", (F.col("false_alarms") / F.col("n")).alias("false_alarm_rate"), arl0.alias("arl0"), F.col("mean_delay").alias("arl1"))
+
+
+def roc(steps: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per series of steps (series_id, t, p_change) and threshold: detected changes, false alerts, and their shares of all
+    changes (1 without any) and of the steps that are no changes. Thresholds are all values of p_change and one beyond each end.
+
+    A change is detected at thresholds up to the largest value between it and the next, and every other alert is false. So
+    the counts at all thresholds are running sums over the steps' values and the changes' largest ones.
+    """
+    own = _observed(steps.select("series_id", "t", "p_change"), truth)
+    alerts = own.select("series_id", F.col("p_change").alias("threshold"), F.lit(1).alias("a"), F.lit(0).alias("d"))
+    hits = own.where("cp is not null").groupBy("series_id", "cp").agg(F.max("p_change").alias("threshold")).select("series_id", "threshold", F.lit(0).alias("a"), F.lit(1).alias("d"))
+    ends = own.groupBy("series_id").agg(F.max("p_change").alias("hi"), F.min("p_change").alias("lo"), F.count(F.lit(1)).alias("n"))
+    edge = ends.select("series_id", F.explode(F.array(F.col("hi") + 1, F.col("lo") - 1)).alias("threshold"), F.lit(0).alias("a"), F.lit(0).alias("d"))
+    by = alerts.unionByName(hits).unionByName(edge).groupBy("series_id", "threshold").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
+    down = W.partitionBy("series_id").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    run = by.select("series_id", "threshold", F.sum("d").over(down).alias("detected"), (F.sum("a").over(down) - F.sum("d").over(down)).alias("false_alerts"))
+    all_ = ends.select("series_id", "n").join(_changes(steps, truth), "series_id", "left").fillna(0, ["changes", "change_steps"])
+    tpr = F.when(F.col("changes") == 0, F.lit(1.0)).otherwise(F.try_divide("detected", "changes"))
+    fpr = F.coalesce(F.try_divide(F.col("false_alerts"), F.col("n") - F.col("change_steps")), F.lit(0.0))
+    return run.join(all_, "series_id").select("series_id", "threshold", "detected", "false_alerts", tpr.alias("tpr"), fpr.alias("fpr"))
 
 
 def calibration(p: DataFrame, bins: int = 10) -> DataFrame:

@@ -248,26 +248,18 @@ def dyadic_lengths(n: int, m: int) -> list[int]:
 
 
 def spread(items: list, target: int) -> list:
-    """target of the sorted items at even places; a place that is taken moves to the next free one, else back."""
+    """target of the sorted items, evenly: all if they are no more, the middle one if one is wanted, else both ends and those
+    at equal steps between them, rounded down."""
     n = len(items)
-    if target <= 0 or not n:
-        return []
     if n <= target:
         return list(items)
-    if target == 1:
-        return [items[n // 2]]
-    used, out = set(), []
-    for i in range(target):
-        at = base = i * (n - 1) // (target - 1)
-        while at < n and at in used:
-            at += 1
-        if at >= n:
-            at = base
-            while at in used:
-                at -= 1
-        used.add(at)
-        out.append(items[at])
-    return sorted(out)
+    if target <= 1:
+        return [items[n // 2]] * max(target, 0)
+    return [items[i * (n - 1) // (target - 1)] for i in range(target)]
+
+
+# What the seeds of the stratified intervals and of the random ones that fill them up differ by.
+STRATIFIED_SEED, FILL_SEED = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def wbs_intervals(n: int, m: int, splits: np.ndarray, strategy: str = "random", target: int | None = None, seed: int = 0) -> list[tuple[int, int]]:
@@ -298,7 +290,7 @@ def wbs_intervals(n: int, m: int, splits: np.ndarray, strategy: str = "random",
         return every if total <= target else [iv for i, iv in enumerate(every) if (i + 1) * target // total > i * target // total]
     if strategy != "stratified":
         raise InvalidInput(f"unknown interval strategy {strategy!r}")
-    lengths, rng, out = dyadic_lengths(n, m), StableRng(seed ^ 0xA0761D6478BD642F), []
+    lengths, rng, out = dyadic_lengths(n, m), StableRng(seed ^ STRATIFIED_SEED), []
     for i, size in enumerate(lengths):
         goal = target // len(lengths) + (i < target % len(lengths))
         taken = 0
@@ -310,7 +302,7 @@ def wbs_intervals(n: int, m: int, splits: np.ndarray, strategy: str = "random",
                 out.append((s, s + size))
                 taken += 1
     if len(out) < target:
-        out += random(target - len(out), seed ^ 0xE7037ED1A0B428DB)
+        out += random(target - len(out), seed ^ FILL_SEED)
     return spread(sorted(set(out)), target)
 
 

@@ -91,6 +91,9 @@ def divergence(d: DataFrame) -> DataFrame:
     block, long = F.col("pattern") == "block", F.col("longest") > 512
     total = total + F.when(block, 0.8).otherwise(0.0) + F.when(long, 0.8 * clamp((F.col("longest") - 512) / 512.0, 0.0, 3.0)).otherwise(0.0)
     weight = weight + F.when(block, 1.0).otherwise(0.0) + F.when(long, 0.8).otherwise(0.0)
+    cover = F.col("valid_dimensions") / F.col("dimensions")  # columns with enough valid rows
+    total = total + F.when(cover < 0.70, clamp((0.70 - cover) / 0.70, 0.0, 3.0)).otherwise(0.0)
+    weight = weight + F.when(cover < 0.70, 1.0).otherwise(0.0)
     return d.withColumn("divergence", total / weight).drop(*names)
 
 
@@ -106,10 +109,10 @@ def recommend(profiles: DataFrame, objective: str = "balanced", online: bool = F
     best_axis = {"speed": 0, "accuracy": 1, "robustness": 2}.get(objective)
     entries = []
     for condition, name, *axes, family, signals, evidence, stand_in in rules:
-        if name == "offline:dynp:normal" and 2 <= dims <= 16:
-            name = "offline:dynp:normal_full_cov"
+        if name.endswith(":normal") and 2 <= dims <= 16:
+            name += "_full_cov"
         fit = min(1.0, sum(a * b for a, b in zip(w, axes, strict=True)))
-        on_axis = (max(axes) - min(axes) < 0.25) if best_axis is None else axes[best_axis] == max(axes)
+        on_axis = best_axis is not None and axes[best_axis] == max(axes)
         base = FAMILY[family] - (0.08 if stand_in else 0) + (0.05 if on_axis else 0)
         entries.append(F.when(F.expr(condition), F.struct(F.lit(name).alias("pipeline"), F.lit(fit).alias("fit"), F.lit(base).alias("base"), F.lit(evidence - (0.05 if stand_in else 0)).alias("evidence"), F.array(*map(F.lit, signals)).alias("signals"))))
     rows = d.select("*", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("c")).select("*", "c.*").drop("c")
@@ -139,21 +142,19 @@ def jump_for(n: int) -> int:
 
 # Time and memory of a pipeline's detector, and its scores from 0 to 1.
 RESOURCES = {
-    "pelt": ("O(n) average, O(n^2) worst", "O(n)", 0.35, 0.35),
-    "fpop": ("O(n) average, O(n^2) worst", "O(n)", 0.30, 0.35),
-    "binseg": ("O(n log n)", "O(n)", 0.25, 0.30),
-    "wbs": ("O(m n)", "O(n + m)", 0.55, 0.40),
-    "dynp": ("O(k n^2)", "O(k n)", 0.90, 0.80),
-    "bocpd": ("O(run lengths) per row", "O(run lengths)", 0.50, 0.40),
-    "cusum": ("O(1) per row", "O(1)", 0.05, 0.05),
-    "page_hinkley": ("O(1) per row", "O(1)", 0.05, 0.05),
+    "pelt": ("O(n) avg / O(n^2) worst", "O(n)", 0.45, 0.40),
+    "binseg": ("O(n log n)", "O(n)", 0.35, 0.35),
+    "fpop": ("O(n) avg / O(n^2) worst", "O(n)", 0.38, 0.40),
+    "wbs": ("O(M*n)", "O(n + M)", 0.65, 0.55),
+    "dynp": ("O(k*n^2)", "O(k*n + n)", 0.92, 0.78),
+    "bocpd": ("O(W) per step", "O(W*d)", 0.55, 0.60),
+    "cusum": ("O(1) per step", "O(1)", 0.05, 0.05),
+    "page_hinkley": ("O(1) per step", "O(1)", 0.05, 0.05),
 }
+# The same for the cost of absolute deviations, whatever the detector.
+L1_RESOURCES = ("slow path: O(m) median per segment query (not O(1)); detector overhead applies", "O(n)", 0.88, 0.45)
 
 
 def resource_estimate(pipeline: str) -> dict:
-    time, memory, t, m = RESOURCES[pipeline.split(":")[1]]
-    if pipeline.endswith(":l1"):
-        time, t = "O(m) median per segment query", 0.88
+    time, memory, t, m = L1_RESOURCES if pipeline.endswith(":l1") else RESOURCES[pipeline.split(":")[1]]
     return {"time": time, "memory": memory, "relative_time": t, "relative_memory": m}
-
-

@@ -10,7 +10,7 @@ from ..functions.cost_kernels import VAR_FLOOR
 from ..operators import preprocess as P
 from ..operators import splits as S
 from ..sources import tables as T
-from .base import BLOCKS, ERRORS, EVENTS, GAPS, ORDERS, SEGS
+from .base import BLOCKS, ERRORS, EVENTS, GAPS, ORDERS, SEGS, USERS
 
 R6 = lambda c: F.round(c, 6)
 
@@ -227,8 +227,7 @@ def detrend_linear(spark, d):
 
 
 def detrend_quadratic(spark, d):
-    s = P.detrend_polynomial(T.events(spark, d), 2)
-    return s.groupBy("series_id").agg(F.count("x").alias("n"), F.round(F.abs(F.avg("x")), 5).alias("mean"), F.round(F.abs(F.covar_pop("x", F.col("t").cast("double"))) / F.count("x"), 5).alias("slope"))
+    return P.detrend_polynomial(T.events(spark, d), 2).select("series_id", "t", F.round("x", 4).alias("x"))
 
 
 def deseasonalize(spark, d):
@@ -253,12 +252,9 @@ def sampling_interval(spark, d):
 
 
 def gram_linear(spark, d):
-    """Pairs of rows of one embedding series within a block of ids, as dot products."""
-    s = T.embeddings(spark, d).withColumn("k", F.floor(F.col("t") / 32))
-    u = s.select("k", F.col("t").alias("i"), F.col("x").alias("p"))
-    v = s.select("k", F.col("t").alias("j"), F.col("x").alias("q"))
-    dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, z: acc + z)
-    return u.join(v, "k").where("i <= j").select("i", "j", (F.round(dot, 4) + 0.0).alias("g"))
+    """All pairs of rows of each user's series, with value and place as their two columns, as dot products."""
+    s = T.events(spark, d, "user_id").select("series_id", "t", F.array("x", F.col("t").cast("double")).alias("x"))
+    return N.gram(s).select("series_id", "i", "j", (F.round("g", 4) + 0.0).alias("g"))
 
 
 def lineitem_profile(spark, d):
@@ -291,7 +287,7 @@ QUERIES = {
     "candidate_splits": (candidate_splits, "WITH " + EVENTS.replace("event_type", "user_id") + ", c AS (SELECT series_id, t, count(*) OVER (PARTITION BY series_id) AS n FROM s) SELECT series_id, t AS split, n FROM c WHERE t % 3 = 0 AND t >= 5 AND n - t >= 5"),
     "valid_rows": (valid_rows, f"WITH {GAPS} SELECT series_id, count(*) AS n, sum(x_fp) / 100 AS total FROM g WHERE x IS NOT NULL GROUP BY 1"),
     "stride_sample": (stride_sample, f"WITH {EVENTS} SELECT series_id, t, x FROM s QUALIFY t % 40 = 0 OR t = max(t) OVER (PARTITION BY series_id)"),
-    "flatten_missing": (flatten_missing, f"WITH {EVENTS} SELECT series_id, t, CASE WHEN t % 9 = 4 THEN NULL ELSE x END AS x FROM s WHERE t < 60"),
+    "flatten_missing": (flatten_missing, f"WITH {EVENTS} SELECT series_id, t, CASE WHEN t % 9 = 4 THEN NULL ELSE x END AS x FROM s"),
     "differencing": (differencing, f"WITH {GAPS} SELECT series_id, t, round(CASE WHEN t < 7 THEN x ELSE x - lag(x, 7) OVER (PARTITION BY series_id ORDER BY t) END, 6) AS x FROM g"),
     "moving_average": (moving_average, f"WITH {GAPS} SELECT series_id, t, round(sum(x_fp) OVER w / count(x_fp) OVER w / 100, 6) AS ma FROM g WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"),
     "rolling_moments": (rolling_moments, f"WITH {EVENTS}, r AS (SELECT series_id, t, (sum(x_fp) OVER w)::DOUBLE AS a, (sum(x_fp * x_fp) OVER w)::DOUBLE AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) SELECT series_id, t, round(a / 24 / 100, 6) AS mean, round((b - a * a / 24) / 24 / 10000, 6) AS var FROM r WHERE t >= 23"),
@@ -300,7 +296,8 @@ QUERIES = {
     "mid_ranks": (mid_ranks, "WITH " + EVENTS.replace("event_type", "user_id") + " SELECT series_id, t, rank() OVER (PARTITION BY series_id ORDER BY x) + (count(*) OVER (PARTITION BY series_id, x) - 1) / 2 AS mid_rank FROM s"),
     "longest_missing_run": (longest_missing_run, f"WITH {BLOCKS}, i AS (SELECT series_id, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM g WHERE x IS NULL), c AS (SELECT series_id, k, count(*) AS n FROM i GROUP BY 1, 2) SELECT series_id, max(n) AS longest, sum(n)::BIGINT AS missing FROM c GROUP BY 1"),
     "detrend_linear": (detrend_linear, f"WITH {EVENTS}, f AS (SELECT series_id, regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM s GROUP BY 1) SELECT s.series_id, t, round(x - a - b * t, 5) AS x FROM s JOIN f USING (series_id)"),
-    "detrend_quadratic": (detrend_quadratic, f"WITH {EVENTS} SELECT series_id, count(*) AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS slope FROM s GROUP BY 1"),
+    # The rows are numbered without gaps, so that the centred number u and its centred square w are orthogonal.
+    "detrend_quadratic": (detrend_quadratic, f"WITH {EVENTS}, a AS (SELECT series_id, avg(t) AS mt, avg(x) AS mx FROM s GROUP BY 1), u AS (SELECT series_id, t, x, mx, t - mt AS u FROM s JOIN a USING (series_id)), m AS (SELECT series_id, avg(u * u) AS mu FROM u GROUP BY 1), w AS (SELECT u.*, u * u - mu AS w FROM u JOIN m USING (series_id)), f AS (SELECT series_id, sum(u * x) / sum(u * u) AS b, sum(w * x) / sum(w * w) AS c FROM w GROUP BY 1) SELECT series_id, t, round(x - mx - b * u - c * w, 4) AS x FROM w JOIN f USING (series_id)"),
     "deseasonalize": (deseasonalize, f"""WITH {EVENTS}, t1 AS (
   SELECT *, t % 7 AS ph, avg(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS tr FROM s
 ), m1 AS (SELECT series_id, ph, avg(x - tr) AS m FROM t1 GROUP BY 1, 2), s1 AS (SELECT series_id, ph, m - avg(m) OVER (PARTITION BY series_id) AS season FROM m1),
@@ -311,7 +308,7 @@ SELECT t2.series_id, t, round(x - season, 5) AS x FROM t2 JOIN s2 ON s2.series_i
     "robust_scale": (robust_scale, f"WITH {EVENTS}, m AS (SELECT series_id, median(x) AS med FROM s GROUP BY 1), d AS (SELECT s.series_id, any_value(med) AS med, median(abs(x - med)) AS mad FROM s JOIN m USING (series_id) GROUP BY 1) SELECT s.series_id, t, round((x - med) / greatest(1.4826 * mad, 1e-9), 6) AS x FROM s JOIN d USING (series_id)"),
     "forward_fill": (forward_fill, f"WITH {GAPS} SELECT series_id, t, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t), 0) AS x FROM g"),
     "sampling_interval": (sampling_interval, f"WITH {EVENTS}, d AS (SELECT series_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY t)) AS g FROM s) SELECT series_id, median(g) AS median_us FROM d WHERE g > 0 GROUP BY 1"),
-    "gram_linear": (gram_linear, "WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS t, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.t AS i, b.t AS j, round(list_inner_product(a.x, b.x), 4) + 0 AS g FROM e a JOIN e b ON a.t // 32 = b.t // 32 AND a.t <= b.t"),
+    "gram_linear": (gram_linear, f"WITH {USERS} SELECT a.series_id, a.t AS i, b.t AS j, round(a.x * b.x + a.t * b.t, 4) + 0 AS g FROM s a JOIN s b ON a.series_id = b.series_id AND a.t <= b.t"),
     "lineitem_profile": (lineitem_profile, "WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*)::DOUBLE AS a, sum(l_quantity) AS b, sum(CAST(trunc(l_extendedprice * 100) AS BIGINT))::DOUBLE AS c FROM lineitem GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS t FROM d) SELECT 0 AS dim, count(*) AS n, round(sum(a), 2) AS total, max(t) AS last FROM n UNION ALL SELECT 1, count(*), round(sum(b), 2), max(t) FROM n UNION ALL SELECT 2, count(*), round(sum(c), 2), max(t) FROM n"),
 }
 

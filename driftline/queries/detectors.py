@@ -236,18 +236,30 @@ _GATE = f"""WITH RECURSIVE {USERS}{_CUSUM.format(k=5500)}, p AS (SELECT series_i
 ) SELECT series_id, t, round(p, 6) AS p_change FROM g WHERE fired"""
 
 
-def _bocpd(cte: str, rate: str, where: str = "true") -> str:
-    """The Bernoulli run-length posterior by a recursion over lists of log probabilities and counts of ones."""
-    return f"""WITH RECURSIVE {cte}, x AS (SELECT series_id, t, x_fp AS x FROM s WHERE {where}), b AS (
-  SELECT series_id, -1::BIGINT AS t, [0::DOUBLE] AS lp, [0::DOUBLE] AS n, [0::DOUBLE] AS k FROM (SELECT DISTINCT series_id FROM x)
+def _predictive(model: str, x: str, n: str, k: str, q: str) -> str:
+    """The log predictive of x after n values with the sum k and the sum of squares q, by the priors of the kernels."""
+    if model == "bernoulli":
+        return f"ln((CASE WHEN {x} = 1 THEN 1 + {k} ELSE 1 + {n} - {k} END) / (2 + {n}))"
+    square = f"CASE WHEN {n} > 0 THEN {k} * {k} / {n} ELSE 0 END"
+    a, b = f"(1 + {n} / 2)", f"(1 + 0.5 * greatest({q} - {square}, 0) + ({square}) / (2 * ({n} + 1)))"
+    spread = f"(2 * {b} * ({n} + 2) / ({n} + 1))"  # degrees of freedom times the squared scale
+    return f"(lgamma({a} + 0.5) - lgamma({a}) - 0.5 * ln(pi() * {spread}) - ({a} + 0.5) * ln(1 + ({x} - {k} / ({n} + 1)) ^ 2 / {spread}))"
+
+
+def _bocpd(cte: str, rate: str, model: str, value: str = "x_fp", mode: str = "") -> str:
+    """The run-length posterior by a recursion over lists of log probabilities, counts, sums and sums of squares."""
+    after = _predictive(model, "x.x", "n[i]", "k[i]", "q[i]")
+    fresh = _predictive(model, "x.x::DOUBLE", "0::DOUBLE", "0::DOUBLE", "0::DOUBLE")
+    return f"""WITH RECURSIVE {cte}, x AS (SELECT series_id, t, {value}::DOUBLE AS x FROM s), b AS (
+  SELECT series_id, -1::BIGINT AS t, [0::DOUBLE] AS lp, [0::DOUBLE] AS n, [0::DOUBLE] AS k, [0::DOUBLE] AS q FROM (SELECT DISTINCT series_id FROM x)
   UNION ALL
-  SELECT series_id, t, list_transform(raw, lambda v: v - z), list_prepend(1, list_transform(n, lambda v: v + 1)), list_prepend(x, list_transform(k, lambda v: v + x)) FROM (
+  SELECT series_id, t, list_transform(raw, lambda v: v - z), list_prepend(1, list_transform(n, lambda v: v + 1)), list_prepend(x, list_transform(k, lambda v: v + x)), list_prepend(x * x, list_transform(q, lambda v: v + x * x)) FROM (
     SELECT *, list_max(raw) + ln(list_sum(list_transform(raw, lambda v: exp(v - list_max(raw))))) AS z FROM (
-      SELECT b.series_id, x.t, x.x::DOUBLE AS x, n, k, list_prepend(
-        list_max(lp) + ln(list_sum(list_transform(lp, lambda v: exp(v - list_max(lp))))) + ln({rate}) + ln(0.5),
-        list_transform(range(1, len(lp) + 1), lambda i: lp[i] + ln(1 - {rate}) + ln((CASE WHEN x.x = 1 THEN 1 + k[i] ELSE 1 + n[i] - k[i] END) / (2 + n[i])))) AS raw
+      SELECT b.series_id, x.t, x.x AS x, n, k, q, list_prepend(
+        list_max(lp) + ln(list_sum(list_transform(lp, lambda v: exp(v - list_max(lp))))) + ln({rate}) + {fresh},
+        list_transform(range(1, len(lp) + 1), lambda i: lp[i] + ln(1 - {rate}) + {after})) AS raw
       FROM b JOIN x ON x.series_id = b.series_id AND x.t = b.t + 1))
-) SELECT series_id, t, round(exp(lp[1]), 6) AS p_change, round(list_sum(list_transform(range(1, len(lp) + 1), lambda i: (i - 1) * exp(lp[i]))), 4) AS run_length_mean FROM b WHERE t >= 0"""
+) SELECT series_id, t, round(exp(lp[1]), 6) AS p_change, {mode}round(list_sum(list_transform(range(1, len(lp) + 1), lambda i: (i - 1) * exp(lp[i]))), 4) AS run_length_mean FROM b WHERE t >= 0"""
 
 
 _ARRIVE = f"WITH {USERS}, a AS (SELECT series_id, t, epoch_us(ts) * 1000 AS t_ns, CASE WHEN t % 5 = 1 THEN 10 * t + 25 ELSE 10 * t END AS arrival_seq FROM s)"
@@ -279,9 +291,9 @@ QUERIES = {
     "page_hinkley": (page_hinkley, f"WITH {EVENTS}, m AS (SELECT series_id, t, x, (sum(x_fp) OVER (PARTITION BY series_id ORDER BY t))::DOUBLE / (t + 1) / 100 AS mu FROM s), c AS (SELECT series_id, t, sum(x - mu - 0.5) OVER (PARTITION BY series_id ORDER BY t) AS c FROM m), z AS (SELECT series_id, t, c - least(0, min(c) OVER (PARTITION BY series_id ORDER BY t)) AS score FROM c) SELECT series_id, t, round(score, 5) AS score, round(least(score / 400, 1), 6) AS p_change FROM z"),
     "alert_gate": (alert_gate, _GATE),
     "cusum_steps": (cusum_steps, f"WITH {USERS}{_CUSUM.format(k=5500)} SELECT series_id, t, round(least(score / 200, 1), 6) AS p_change FROM z"),
-    "bocpd_bernoulli": (bocpd_bernoulli, _bocpd(ERRORS, "(1 / 200::DOUBLE)", "t < 40")),
-    "bocpd_gaussian": (bocpd_gaussian, None),
-    "bocpd_poisson": (bocpd_poisson, None),
+    "bocpd_bernoulli": (bocpd_bernoulli, _bocpd(ERRORS, "(1 / 200::DOUBLE)", "bernoulli")),
+    "bocpd_gaussian": (bocpd_gaussian, _bocpd(USERS, "(1 / 200::DOUBLE)", "gaussian", "x", "list_position(lp, list_max(lp)) - 1 AS run_length_mode, ")),
+    "bocpd_poisson": (bocpd_poisson, None),  # a recursion over thousands of rows in one series takes minutes; tests write it out
     "late_rows": (late_rows, f"{_ARRIVE}, w AS (SELECT series_id, t_ns, max(t_ns) OVER (PARTITION BY series_id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM a) SELECT series_id, count(*) AS rows, count(*) FILTER (WHERE t_ns < m) AS late FROM w GROUP BY 1"),
     "watermarks": (watermarks, f"{_ARRIVE} SELECT series_id, t, max(t_ns) OVER (PARTITION BY series_id ORDER BY arrival_seq) AS watermark FROM a"),
     "late_reorder": (late_reorder, None),

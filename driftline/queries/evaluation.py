@@ -51,15 +51,15 @@ def _steps(s):
 
 
 def online_metrics(spark, d):
-    s, n, truth, _ = _frames(spark, d)
-    out = E.online_metrics(_steps(s), truth, n)
+    s, _, truth, _ = _frames(spark, d)
+    out = E.online_metrics(_steps(s), truth)
     return out.select("series_id", "detected", "missed", F.round("mean_delay", 6).alias("mean_delay"), "false_alarms", F.round("false_alarm_rate", 6).alias("false_alarm_rate"), F.round("arl0", 6).alias("arl0"))
 
 
 def roc(spark, d):
     s, _, truth, _ = _frames(spark, d)
-    out = E.roc(_steps(s), truth, 3)
-    return out.select(F.round("threshold", 6).alias("threshold"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+    out = E.roc(_steps(s), truth)
+    return out.select("series_id", F.round("threshold", 6).alias("threshold"), "detected", "false_alerts", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
 def calibration(spark, d):
@@ -107,11 +107,12 @@ QUERIES = {
     "eval_annotation_error": (annotation_error, _NEAR + " SELECT series_id, round(avg(d), 6) AS annotation_error FROM ab GROUP BY 1"),
     "eval_rand_index": (rand_index, _RAND + " SELECT series_id, round(r, 6) AS rand_index FROM ri"),
     "eval_offline_metrics": (offline_metrics, None),
-    "eval_online_metrics": (online_metrics, _T + """, al AS (SELECT series_id, t FROM s WHERE x_fp > 9000), o AS (SELECT al.series_id, al.t, max(tr.cp) AS cp FROM al LEFT JOIN tr ON tr.series_id = al.series_id AND tr.cp <= al.t GROUP BY 1, 2),
-h AS (SELECT *, cp IS NOT NULL AND row_number() OVER (PARTITION BY series_id, cp ORDER BY t) = 1 AS hit FROM o), g AS (SELECT series_id, count(*) FILTER (WHERE hit) AS detected, count(*) FILTER (WHERE NOT hit) AS fa, avg(t - cp) FILTER (WHERE hit) AS d FROM h GROUP BY 1), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1)
-SELECT n.series_id, coalesce(detected, 0) AS detected, coalesce(k, 0) - coalesce(detected, 0) AS missed, round(d, 6) AS mean_delay, coalesce(fa, 0) AS false_alarms, round(coalesce(fa, 0) / n, 6) AS false_alarm_rate, round(CASE WHEN fa > 0 THEN n / fa END, 6) AS arl0 FROM n LEFT JOIN g USING (series_id) LEFT JOIN k USING (series_id)"""),
-    "eval_roc": (roc, _T + """, p AS (SELECT series_id, t, least((x_fp // 1000) / 20, 1) AS p, EXISTS (SELECT 1 FROM tr WHERE tr.series_id = s.series_id AND s.t BETWEEN tr.cp AND tr.cp + 3) AS pos FROM s), th AS (SELECT DISTINCT p AS th FROM p UNION SELECT max(p) + 1 FROM p UNION SELECT min(p) - 1 FROM p)
-SELECT round(th, 6) AS threshold, round(count(*) FILTER (WHERE pos AND p >= th) / count(*) FILTER (WHERE pos), 6) AS tpr, round(count(*) FILTER (WHERE NOT pos AND p >= th) / count(*) FILTER (WHERE NOT pos), 6) AS fpr FROM th, p GROUP BY th"""),
+    "eval_online_metrics": (online_metrics, _T + """, al AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS pos, x_fp > 9000 AS alert FROM s), o AS (SELECT al.series_id, al.t, al.pos, max(tr.cp) AS cp FROM al LEFT JOIN tr ON tr.series_id = al.series_id AND tr.cp <= al.t WHERE alert GROUP BY 1, 2, 3),
+h AS (SELECT *, cp IS NOT NULL AND row_number() OVER (PARTITION BY series_id, cp ORDER BY t) = 1 AS hit FROM o), g AS (SELECT series_id, count(*) FILTER (WHERE hit) AS detected, count(*) FILTER (WHERE NOT hit) AS fa, avg(t - cp) FILTER (WHERE hit) AS d, max(pos) FILTER (WHERE NOT hit) AS last FROM h GROUP BY 1), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1)
+SELECT n.series_id, coalesce(detected, 0) AS detected, coalesce(k, 0) - coalesce(detected, 0) AS missed, round(d, 6) AS mean_delay, coalesce(fa, 0) AS false_alarms, round(coalesce(fa, 0) / n, 6) AS false_alarm_rate, round(CASE WHEN fa > 0 THEN (last + 1) / fa ELSE 'infinity'::DOUBLE END, 6) AS arl0 FROM n LEFT JOIN g USING (series_id) LEFT JOIN k USING (series_id)"""),
+    "eval_roc": (roc, _T + """, p AS (SELECT series_id, t, least((x_fp // 1000) / 20, 1) AS p, (SELECT count(*) FROM tr WHERE tr.series_id = s.series_id AND tr.cp <= s.t) AS w FROM s), th AS (SELECT DISTINCT series_id, p AS th FROM p UNION SELECT series_id, max(p) + 1 FROM p GROUP BY 1 UNION SELECT series_id, min(p) - 1 FROM p GROUP BY 1),
+c AS (SELECT th.series_id, th, count(*) FILTER (WHERE p >= th) AS alerts, count(DISTINCT w) FILTER (WHERE p >= th AND w > 0) AS detected, count(*) AS n, max(w) AS changes FROM th JOIN p USING (series_id) GROUP BY 1, 2)
+SELECT series_id, round(th, 6) AS threshold, detected, alerts - detected AS false_alerts, round(CASE WHEN changes = 0 THEN 1 ELSE detected / changes END, 6) AS tpr, round((alerts - detected) / (n - changes), 6) AS fpr FROM c"""),
     "eval_calibration": (calibration, """WITH s AS (SELECT event_type AS family, least((CAST(round(value * 100) AS BIGINT) // 100) / 512, 1) AS c, CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ok FROM events),
 b AS (SELECT family, least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS c, avg(ok) AS a, sum((c - ok) ^ 2) AS sq FROM s GROUP BY GROUPING SETS ((1, 2), (2)))
 SELECT family, round(sum(n * abs(c - a)) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier, sum(n)::BIGINT AS n FROM b GROUP BY 1"""),

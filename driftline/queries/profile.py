@@ -8,7 +8,7 @@ from ..operators import diagnostics as P
 from ..plans.recommend import recommend
 from ..plans.spec import PipelineSpec, ensemble, execute, validate
 from ..sources import tables as T
-from .base import BLOCKS, ERRORS, EVENTS
+from .base import BLOCKS, ERRORS, EVENTS, ORDERS, USERS
 
 
 def missing_overview(spark, d):
@@ -20,16 +20,17 @@ def autocorrelations(spark, d):
 
 
 def pacf(spark, d):
-    return P.pacf(P.autocorrelations(T.events(spark, d), range(1, 6)), 3).where("lag <= 2").select("series_id", "lag", F.round("pacf", 6).alias("pacf"))
+    return P.pacf(P.autocovariances(T.events(spark, d), 3), 3).select("series_id", "lag", F.round("pacf", 6).alias("pacf"))
 
 
 def dominant_period(spark, d):
     s = T.events(spark, d)
-    return P.dominant_period(P.supported(P.autocorrelations(s, range(1, P.MAX_LAG + 1)), s), 0.0).select("series_id", "period", F.round("strength", 6).alias("strength"))
+    return P.dominant_period(P.supported(P.autocorrelations(s, range(1, P.MAX_LAG + 1)), s)).select("series_id", "period", F.round("strength", 6).alias("strength"))
 
 
 def period_votes(spark, d):
-    return P.period_votes(P.dominant_period(P.autocorrelations(T.events(spark, d, "user_id"), range(1, 13)), 0.0)).select("period", F.round("strength", 5).alias("strength"), "place")
+    s = T.events(spark, d, "user_id")
+    return P.period_votes(P.dominant_period(P.supported(P.autocorrelations(s, range(1, P.MAX_LAG + 1)), s))).select("period", F.round("strength", 5).alias("strength"), "place")
 
 
 def residual_lag1(spark, d):
@@ -41,11 +42,14 @@ def shape(spark, d):
 
 
 def drift(spark, d):
-    return P.drift(T.events(spark, d), 24).select("series_id", F.round("regime_change_proxy", 4).alias("regime_change_proxy"), F.round("change_density_score", 4).alias("change_density_score"))
+    r = lambda c: F.round(c, 4).alias(c)
+    return P.drift(T.events(spark, d)).select("series_id", r("rolling_mean_drift"), r("rolling_variance_drift"), r("regime_change_proxy"), r("change_density_score"))
 
 
 def hints(spark, d):
-    return P.hints(T.error_flags(spark, d))
+    """Series of flags, of counts and of neither."""
+    rows = [T.error_flags(spark, d), T.orders_daily(spark, d), T.events(spark, d)]
+    return P.hints(rows[0].select("series_id", "x").unionByName(rows[1].select("series_id", "x")).unionByName(rows[2].select("series_id", "x")))
 
 
 def diagnostics(spark, d):
@@ -84,18 +88,36 @@ def validation(spark, d):
 
 _ACF = "SELECT series_id, {k} AS lag, round(corr(x, l{k}), 6) AS acf FROM l GROUP BY 1"
 _LAGS = f"WITH {EVENTS}, l AS (SELECT series_id, x, lag(x, 1) OVER w AS l1, lag(x, 2) OVER w AS l2, lag(x, 3) OVER w AS l3, lag(x, 7) OVER w AS l7 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t))"
-_ALL = f"WITH {EVENTS}, k AS (SELECT unnest(range(1, 33)) AS lag), c AS (SELECT a.series_id, lag, corr(b.x, a.x) AS acf FROM s a, k, s b WHERE b.series_id = a.series_id AND b.t = a.t + lag GROUP BY 1, 2), p AS (SELECT *, acf > lag(acf) OVER w AND acf >= lead(acf) OVER w AND acf > 0 AS peak FROM c WINDOW w AS (PARTITION BY series_id ORDER BY lag)), t AS (SELECT *, max(acf) OVER (PARTITION BY series_id) AS top FROM p WHERE peak)"
+_PERIODS = """, z AS (SELECT series_id, least(128, count(*) // 4) AS top_lag FROM s GROUP BY 1), k AS (SELECT unnest(range(1, 129)) AS lag),
+c AS (SELECT a.series_id, lag, greatest(coalesce(corr(b.x, a.x), 0), 0) AS acf FROM s a JOIN z USING (series_id) JOIN k ON lag <= top_lag JOIN s b ON b.series_id = a.series_id AND b.t = a.t + lag GROUP BY 1, 2),
+n AS (SELECT *, lag(acf) OVER w AS l, coalesce(lead(acf) OVER w, acf) AS r FROM c WINDOW w AS (PARTITION BY series_id ORDER BY lag)),
+p AS (SELECT series_id, lag, acf, acf >= l AND acf >= r AS peak FROM n WHERE lag >= 2 AND acf > 1e-12), q AS (SELECT *, bool_or(peak) OVER (PARTITION BY series_id) AS has_peak FROM p),
+o AS (SELECT *, max(acf) OVER (PARTITION BY series_id) AS top FROM q WHERE peak OR NOT has_peak),
+d AS (SELECT series_id, min(lag) AS period, arg_min(acf, lag) AS strength FROM o WHERE acf >= 0.95 * top GROUP BY 1)"""
+_HINTS = f"""WITH a AS (WITH {ERRORS} SELECT series_id, x_fp::DOUBLE AS x FROM s), b AS (WITH {ORDERS} SELECT series_id, x_fp::DOUBLE AS x FROM s), c AS (WITH {EVENTS} SELECT series_id, x FROM s),
+v AS (SELECT series_id, abs(x - round(x)) <= 1e-9 AS whole, x FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)),
+h AS (SELECT series_id, avg(CASE WHEN whole AND round(x) IN (0, 1) THEN 1 ELSE 0 END) AS bin, avg(CASE WHEN whole AND x >= -1e-9 THEN 1 ELSE 0 END) AS cnt FROM v GROUP BY 1)
+SELECT series_id, bin >= 0.98 AS binary_like, cnt >= 0.98 AND bin < 0.98 AS count_like FROM h"""
 
 QUERIES = {
     "missing_overview": (missing_overview, f"WITH {BLOCKS}, i AS (SELECT series_id, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM g WHERE x IS NULL), r AS (SELECT series_id, max(n) AS longest FROM (SELECT series_id, k, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1), c AS (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS missing FROM g GROUP BY 1) SELECT series_id, n, missing, round(missing / n, 6) AS nan_rate, coalesce(longest, 0) AS longest, CASE WHEN missing = 0 THEN 'none' WHEN coalesce(longest, 0) >= greatest(8, ceil(missing / 4)) THEN 'block' ELSE 'random' END AS pattern FROM c LEFT JOIN r USING (series_id)"),
     "autocorrelations": (autocorrelations, _LAGS + " " + " UNION ALL ".join(_ACF.format(k=k) for k in (1, 2, 3, 7))),
-    "pacf": (pacf, _LAGS + ", r AS (SELECT series_id, corr(x, l1) AS a, corr(x, l2) AS b FROM l GROUP BY 1) SELECT series_id, 1 AS lag, round(a, 6) AS pacf FROM r UNION ALL SELECT series_id, 2, round((b - a * a) / (1 - a * a), 6) FROM r"),
-    "dominant_period": (dominant_period, _ALL + " SELECT series_id, min(lag) AS period, round(arg_min(acf, lag), 6) AS strength FROM t WHERE acf >= 0.95 * top GROUP BY 1"),
-    "period_votes": (period_votes, _ALL.replace("event_type", "user_id").replace("range(1, 33)", "range(1, 13)") + ", d AS (SELECT series_id, min(lag) AS period, arg_min(acf, lag) AS st FROM t WHERE acf >= 0.95 * top GROUP BY 1), v AS (SELECT period, sum(st) AS st FROM d GROUP BY 1) SELECT period, round(st, 5) AS strength, row_number() OVER (ORDER BY st DESC, period) AS place FROM v QUALIFY place <= 3"),
+    "pacf": (pacf, f"""WITH {EVENTS}, g AS (SELECT series_id, avg(x) AS m, var_pop(x) AS v FROM s GROUP BY 1), c AS (SELECT series_id, t, x - m AS c, v FROM s JOIN g USING (series_id)),
+l AS (SELECT series_id, v, c, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3 FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+r AS (SELECT series_id, avg(c * c1) / any_value(v) AS r1, avg(c * c2) / any_value(v) AS r2, avg(c * c3) / any_value(v) AS r3 FROM l GROUP BY 1),
+k AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS k2 FROM r)
+SELECT series_id, 1 AS lag, round(r1, 6) AS pacf FROM k UNION ALL SELECT series_id, 2, round(k2, 6) FROM k
+UNION ALL SELECT series_id, 3, round((r3 - (r1 - k2 * r1) * r2 - k2 * r1) / ((1 - r1 * r1) * (1 - k2 * k2)), 6) FROM k"""),
+    "dominant_period": (dominant_period, f"WITH {EVENTS}{_PERIODS} SELECT series_id, period, round(strength, 6) AS strength FROM d"),
+    "period_votes": (period_votes, f"WITH {USERS}{_PERIODS}, v AS (SELECT period, sum(strength) AS st FROM d GROUP BY 1) SELECT period, round(st, 5) AS strength, row_number() OVER (ORDER BY st DESC, period) AS place FROM v QUALIFY place <= 3"),
     "residual_lag1": (residual_lag1, f"WITH {EVENTS}, f AS (SELECT series_id, regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM s GROUP BY 1), r AS (SELECT s.series_id, t, x - a - b * t AS x FROM s JOIN f USING (series_id)), l AS (SELECT series_id, x, lag(x) OVER (PARTITION BY series_id ORDER BY t) AS y FROM r) SELECT series_id, round(corr(x, y), 5) AS residual_lag1_autocorr FROM l GROUP BY 1"),
     "shape": (shape, f"WITH {EVENTS}, m AS (SELECT series_id, avg(x) AS mu, median(x) AS med, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM s GROUP BY 1) SELECT s.series_id, count(*) AS valid, round(avg((x - mu) ^ 4) / avg((x - mu) ^ 2) ^ 2, 4) AS kurtosis_proxy, round(count(*) FILTER (WHERE x < lo - 1.5 * (hi - lo) OR x > hi + 1.5 * (hi - lo)) / count(*), 6) AS outlier_rate_iqr, round(median(abs(x - med)) * 1.4826 / stddev_pop(x), 5) AS mad_to_std_ratio FROM s JOIN m USING (series_id) GROUP BY 1"),
-    "drift": (drift, f"WITH {EVENTS}, r AS (SELECT series_id, t, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), l AS (SELECT *, lag(m, 24) OVER p AS pm, lag(v, 24) OVER p AS pv FROM r WHERE t >= 23 WINDOW p AS (PARTITION BY series_id ORDER BY t)), sd AS (SELECT series_id, stddev_pop(x) AS sd FROM s GROUP BY 1), q AS (SELECT l.series_id, abs(m - pm) / sd + abs(v - pv) / (sd * sd) AS d FROM l JOIN sd USING (series_id) WHERE pm IS NOT NULL) SELECT series_id, round(avg(d), 4) AS regime_change_proxy, round(count(*) FILTER (WHERE d > 1) / count(*), 4) AS change_density_score FROM q GROUP BY 1"),
-    "hints": (hints, f"WITH {ERRORS} SELECT series_id, true AS binary_like, false AS count_like FROM s GROUP BY 1"),
+    "drift": (drift, f"""WITH {EVENTS}, r AS (SELECT series_id, t, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)),
+l AS (SELECT series_id, m, v, lag(m, 128) OVER p AS pm, lag(v, 128) OVER p AS pv FROM r WHERE t >= 127 WINDOW p AS (PARTITION BY series_id ORDER BY t)), g AS (SELECT series_id, var_pop(x) AS var FROM s GROUP BY 1),
+q AS (SELECT l.*, var, abs(m - pm) / sqrt(var) + abs(v - pv) / var AS d FROM l JOIN g USING (series_id)),
+o AS (SELECT series_id, stddev_pop(m) / sqrt(any_value(var)) AS a, stddev_pop(v) / avg(v) AS b, max(d) AS c, count(*) FILTER (WHERE d > 1) / count(d) AS e FROM q GROUP BY 1)
+SELECT series_id, round(coalesce(a, 0), 4) AS rolling_mean_drift, round(coalesce(b, 0), 4) AS rolling_variance_drift, round(coalesce(c, 0), 4) AS regime_change_proxy, round(coalesce(e, 0), 4) AS change_density_score FROM g LEFT JOIN o USING (series_id)"""),
+    "hints": (hints, _HINTS),
     "diagnostics": (diagnostics, None),
     "signal_flags": (signal_flags, None),
     "preprocessing_advice": (preprocessing_advice, None),

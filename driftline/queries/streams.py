@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import LatePolicy
 from ..sources import tables as T
 from ..streaming import processors as S
-from .base import USERS
+from .base import EVENTS, USERS
 from .detectors import _CUSUM, _arrivals
 
 
@@ -38,8 +38,9 @@ def stream_cusum(spark, d):
 
 
 def stream_page_hinkley(spark, d):
-    rows = T.events(spark, d).select("series_id", F.col("t").alias("arrival_seq"), "x")
-    return _run(spark, rows, "page_hinkley", delta=0.5, threshold=400.0).select("series_id", "t", F.round("p_change", 4).alias("p_change"))
+    """In hundredths, whose sums are exact."""
+    rows = T.events(spark, d).select("series_id", F.col("t").alias("arrival_seq"), F.col("x_fp").cast("double").alias("x"))
+    return _run(spark, rows, "page_hinkley", delta=50.0, threshold=40000.0).select("series_id", "t", F.round("p_change", 4).alias("p_change"))
 
 
 def stream_bocpd_late(spark, d):
@@ -49,6 +50,6 @@ def stream_bocpd_late(spark, d):
 
 QUERIES = {
     "stream_cusum": (stream_cusum, f"WITH {USERS}{_CUSUM.format(k=5500)} SELECT series_id, t, round(least(score / 200, 1), 6) AS p_change FROM z"),
-    "stream_page_hinkley": (stream_page_hinkley, "WITH s AS (SELECT CAST(event_type AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value AS x FROM events), m AS (SELECT series_id, t, x, avg(x) OVER (PARTITION BY series_id ORDER BY t) AS mu FROM s), c AS (SELECT series_id, t, sum(x - mu - 0.5) OVER (PARTITION BY series_id ORDER BY t) AS c FROM m) SELECT series_id, t, round(least((c - least(0, min(c) OVER (PARTITION BY series_id ORDER BY t))) / 400, 1), 4) AS p_change FROM c"),
+    "stream_page_hinkley": (stream_page_hinkley, f"WITH {EVENTS}, m AS (SELECT series_id, t, x_fp, (sum(x_fp) OVER (PARTITION BY series_id ORDER BY t))::DOUBLE / (t + 1) AS mu FROM s), c AS (SELECT series_id, t, sum(x_fp - mu - 50) OVER (PARTITION BY series_id ORDER BY t) AS c FROM m) SELECT series_id, t, round(least((c - least(0, min(c) OVER (PARTITION BY series_id ORDER BY t))) / 40000, 1), 4) AS p_change FROM c"),
     "stream_bocpd_late": (stream_bocpd_late, None),
 }
