@@ -2,11 +2,14 @@
 
 Folding lower-cases, drops invisible characters, maps look-alike letters of other scripts to Latin ones and reads digits
 and signs inside words as the letters they stand for. Entries are whole words, word beginnings (weight by smoothed log odds
-of the training labels) and exception phrases, which cancel the matches they cover. The weighted hits of a text, by
-themselves and normalised by its length, go through a logistic curve fitted on labelled rows that the lexicon has not seen.
+of the training labels) and exception phrases, which cancel the matches they cover: pairs of words around a suspect word that
+clean texts hold and toxic ones hardly do. Suspect words are then weighed by their other occurrences. The weighted hits of a
+text, by themselves and normalised by its length, go through a logistic curve fitted on labelled rows that the lexicon has not
+seen.
 
 Defined results: null and empty texts score as a text without hits; without any labelled row the lexicon is empty and all
-scores are 0; repeated rows score alike; only doc_id, text and the label are read, other columns are ignored.
+scores are 0; repeated rows score alike; all hits of a text of any length count; entries are chosen by their own counts, so that
+ties need no order; only doc_id, text and the label are read, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -21,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, workdir, written
 from .supervised import labelled, logistic, scored, sigmoid
 
 MODULUS, REST, THRESHOLD = 4, 2, 0.3
-#: Labelled rows to learn from, at most about; entries of the lexicon, at most; occurrences of one entry that count in a text.
-SAMPLE, ENTRIES, REPEATS = 30_000, 20_000, 5
+#: Labelled rows to learn from, at most about, which bounds the lexicon too: an entry occurs in LEAST of them and is toxic in a
+#: share of PURITY; a word that is toxic in a share of SUSPECT is looked at for exceptions.
+SAMPLE, LEAST, PURITY, SUSPECT = 30_000, 5, 0.9, 0.2
 PREFIXES = (5, 6)
 
 # Letters of other scripts by the Latin letters they look like, and signs by the letters they stand for.
@@ -109,36 +114,77 @@ class Lexicon:
             if got:
                 times = Counter(t for t, _, _ in got)
                 weight = {t: w for t, w, _ in got}
-                total = sum(weight[t] * min(k, REPEATS) for t, k in times.items())
+                total = sum(weight[t] * k for t, k in times.items())
                 out[i] = np.log1p(total), np.log1p(10 * total / np.sqrt(1 + len(text) / 6)), np.log1p(len(times))
         return out
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with and without the label by word, word beginning (^) and pair of words, within the task."""
-    counts: dict[str, list[int]] = {}
-    for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            words = set(_WORD.findall(fold(text or "")))
-            for term in words | {f"^{w[:k]}" for w in words for k in PREFIXES if len(w) >= k}:
-                counts.setdefault(term, [0, 0])[int(y == 1)] += 1
-    terms = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][1] for t in terms], pa.int64()), pa.array([counts[t][0] for t in terms], pa.int64())], names=["term", "bad", "good"])
+def _phrases(folded: str) -> tuple[list[str], list[str | None]]:
+    """The words of a folded text, and for each the phrase it makes with the one before it, if a single space parts them."""
+    words, pairs, end = [], [], -1
+    for m in _WORD.finditer(folded):
+        pairs.append(f"{words[-1]} {m[0]}" if words and m.start() == end + 1 and folded[end] == " " else None)
+        words.append(m[0])
+        end = m.end()
+    return words, pairs
 
 
-def learn(train: DataFrame, entries: int = ENTRIES, least: int = 5, purity: float = 0.9, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """The lexicon of the sample's first part: terms that occur in at least `least` labelled texts and are pure enough."""
+def _terms(exceptions: frozenset[str], text: str) -> set[str]:
+    """The words outside exception phrases, and their beginnings (^)."""
+    words, pairs = _phrases(fold(text))
+    if exceptions:
+        out = {i for i, p in enumerate(pairs) if p in exceptions}
+        words = [w for i, w in enumerate(words) if i not in out and i + 1 not in out]
+    words = set(words)
+    return words | {f"^{w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
+
+
+def _around(suspects: frozenset[str], text: str) -> set[str]:
+    """The phrases of two words that hold a suspect one."""
+    _, pairs = _phrases(fold(text))
+    return {p for p in pairs if p and not suspects.isdisjoint(p.split(" "))}
+
+
+def _counted(part: DataFrame, terms) -> DataFrame:
+    """term, bad, good: how many texts with the label and without it have each of their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                for term in terms(text or ""):
+                    counts.setdefault(term, [0, 0])[int(y == 1)] += 1
+        own = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([counts[t][1] for t in own], pa.int64()), pa.array([counts[t][0] for t in own], pa.int64())], names=["term", "bad", "good"])
+
+    return part.select("text", "y").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def exception_phrases(part: DataFrame, least: int = LEAST, purity: float = PURITY) -> frozenset[str]:
+    """Pairs of words around suspect words that occur in `least` clean texts and hardly in toxic ones."""
+    share = F.col("bad") / (F.col("bad") + F.col("good"))
+    rows = _counted(part, partial(_terms, frozenset())).where((F.col("bad") >= least) & (F.col("good") >= least) & (share >= SUSPECT) & ~F.col("term").startswith("^")).select("term").collect()
+    suspects = frozenset(r["term"] for r in rows)
+    if not suspects:
+        return suspects
+    clean = (F.col("good") >= least) & (F.col("good") >= purity * (F.col("bad") + F.col("good")))
+    return frozenset(r["term"] for r in _counted(part, partial(_around, suspects)).where(clean).select("term").collect())
+
+
+def learn(train: DataFrame, least: int = LEAST, purity: float = PURITY, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """The lexicon of the sample's first part: terms that occur in at least `least` labelled texts and are pure enough outside the
+    exception phrases, which are learned here and added to the given ones."""
     part = train.where("part = 0")
     n = {r["y"]: r["n"] for r in part.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad_n, good_n = n.get(1, 0), n.get(0, 0)
     if not bad_n:
         return Lexicon({}, {}, exceptions)
-    sums = part.select("text", "y").mapInArrow(_term_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    exceptions = frozenset(fold(p) for p in exceptions) | exception_phrases(part, least, purity)
+    sums = _counted(part, partial(_terms, exceptions))
     weight = F.log((F.col("bad") + 0.5) / (bad_n - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (good_n - F.col("good") + 0.5))
     pure = (F.col("bad") >= least) & (F.col("bad") >= purity * (F.col("bad") + F.col("good") + 0.3))
-    rows = sums.where(pure).select("term", weight.alias("weight"), "bad").orderBy(F.desc("bad"), "term").limit(entries).collect()
-    kept = {r["term"]: float(r["weight"]) for r in rows if r["weight"] > 0}
-    return Lexicon({t: w for t, w in kept.items() if t[0] != "^"}, {t[1:]: w for t, w in kept.items() if t[0] == "^"}, exceptions)
+    kept = {r["term"]: float(r["weight"]) for r in sums.where(pure).select("term", weight.alias("weight")).collect() if r["weight"] > 0}
+    return Lexicon({t: w for t, w in kept.items() if t[0] != "^"}, {t[1:]: w for t, w in kept.items() if t[0] == "^"}, tuple(sorted(exceptions)))
 
 
 def calibrate(train: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -158,7 +204,8 @@ def calibrate(train: DataFrame, lexicon: Lexicon) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); labels has doc_id and toxic."""
-    train = labelled(docs, labels, "toxic", MODULUS, REST, sample)
+    # The sample is bounded and read several times, the documents once.
+    train = written(labelled(docs, labels, "toxic", MODULUS, REST, sample), f"{workdir(docs.sparkSession, 'toxicity')}/train")
     lexicon = learn(train, exceptions=exceptions)
     curve = calibrate(train, lexicon)
 
