@@ -22,6 +22,12 @@ def RUN():  # noqa: N802
     return ORDERED().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+def dealt(s: DataFrame) -> DataFrame:
+    """Rows by series in as many partitions as shuffles have. Series cost far more time than bytes, so that the partitions must
+    not be merged by their size, as adaptive execution would do with those of a plain grouping."""
+    return s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
+
+
 def missing(x: str = "x") -> Column:
     return F.col(x).isNull() | F.isnan(x)
 

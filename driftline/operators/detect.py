@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import REPRO_MODES, Constraints, Stopping
 from ..errors import EngineError, InvalidInput, NotSupported
 from ..functions.cost_kernels import COSTS, matrix
-from ..functions.native import missing
+from ..functions.native import dealt, missing
 from .offline_kernels import DETECTORS, SELF_COSTED, Outcome, detect
 
 SCHEMA_VERSION = 1
@@ -50,7 +50,7 @@ def detect_series(s: DataFrame, detector: str = "pelt", cost: str = "l2", stoppi
         diagnostics = {"schema_version": SCHEMA_VERSION, "algorithm": detector, "cost_model": cost, "repro_mode": repro_mode, "notes": got.notes, "warnings": got.warnings, "params_json": params}
         return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "n": len(pdf), "breakpoints": got.breakpoints, "change_points": got.change_points, "objective": got.objective, "diagnostics": diagnostics}])
 
-    return s.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, RESULT)
+    return dealt(s.select("series_id", "t", "x")).groupBy("series_id").applyInPandas(run, RESULT)
 
 
 def change_points(results: DataFrame) -> DataFrame:

@@ -46,14 +46,15 @@ def _partition(cost: Cost, betas: list[float], cons: Constraints, prune: str, bu
     """
     n, m = cost.n, cons.min_segment_len
     ends = [*cons.candidates(n), n]
-    f = [{0: -b} for b in betas]
-    back = [np.zeros(n + 1, dtype=np.int64) for _ in betas]
+    f = np.full((len(betas), n + 1), np.inf)
+    f[:, 0] = np.negative(betas)
+    back = np.zeros((len(betas), n + 1), dtype=np.int64)
     alive = [np.array([0]) for _ in betas]
     lost: list[list[tuple[int, np.ndarray]]] = [[] for _ in betas]
     effective = prune if prune != "exact" or cost.subadditive else "none"
     for t in ends:
         union = np.unique(np.concatenate(alive)) if len(betas) > 1 else alive[0]
-        ready = union[union <= t - m]
+        ready = union[: np.searchsorted(union, t - m, side="right")]
         if not len(ready):
             for k in range(len(betas)):
                 alive[k] = np.append(alive[k], t)
@@ -61,22 +62,27 @@ def _partition(cost: Cost, betas: list[float], cons: Constraints, prune: str, bu
         costs = cost.cost(ready, np.full(len(ready), t))
         budget.spend(len(ready))
         for k, beta in enumerate(betas):
-            own = alive[k][alive[k] <= t - m]
-            known = np.array([f[k].get(int(a), math.inf) for a in own])
-            c = costs if len(own) == len(ready) else costs[np.searchsorted(ready, own)]
-            value = known + c + beta
-            if len(value) and np.isfinite(value).any():
-                i = int(np.argmin(value))  # ties: the smaller start
-                f[k][t], back[k][t] = float(value[i]), own[i]
+            own, c = ready, costs
+            if len(betas) > 1:
+                own = alive[k][: np.searchsorted(alive[k], t - m, side="right")]
+                c = costs[np.searchsorted(ready, own)]
+            loss = f[k, own] + c
+            i = int(np.argmin(loss)) if len(loss) else 0  # ties: the smaller start
+            if len(loss) and loss[i] < np.inf:
+                f[k, t], back[k, t] = loss[i] + beta, own[i]
                 if effective != "none":
-                    drop = own[known + c >= value[i]]
+                    drop = own[loss >= f[k, t]]
                     if effective == "exact":
-                        lost[k].append((t, drop))
+                        if len(drop):
+                            lost[k].append((t, drop))
                         due = [d for at, d in lost[k] if t - at >= m]
-                        lost[k] = [(at, d) for at, d in lost[k] if t - at < m]
-                        drop = np.concatenate(due) if due else np.zeros(0, int)
+                        if due:
+                            lost[k] = [(at, d) for at, d in lost[k] if t - at < m]
+                        drop = np.concatenate(due) if due else drop[:0]
                     if len(drop):
-                        alive[k] = alive[k][~np.isin(alive[k], drop)]
+                        at = np.searchsorted(alive[k], drop)
+                        here = alive[k][np.minimum(at, len(alive[k]) - 1)] == drop  # a start may have lost more than once
+                        alive[k] = np.delete(alive[k], at[here])
             alive[k] = np.append(alive[k], t)
     return [_follow(b, n) for b in back]
 
@@ -136,32 +142,31 @@ def dynp(cost: Cost, stopping: Stopping, cons: Constraints, budget: Budget | Non
     most = stopping.k if known else min(len(ends) - 1, n // m - 1 if n >= m else 0)
     if cons.max_change_points is not None:
         most = min(most, cons.max_change_points)
-    need = 16 * (most + 1) * (len(ends) + 1) + 8 * len(ends) * len(ends)
+    need = 16 * (most + 1) * (len(ends) + 1) + 16 * len(ends)
     if cons.memory_budget_bytes is not None and need > cons.memory_budget_bytes:
         raise ResourceLimit(f"dynp needs about {need} bytes; the budget is {cons.memory_budget_bytes}")
-    table = np.full((len(starts), len(ends)), np.inf)
-    for j, e in enumerate(ends):
-        ok = np.nonzero(starts <= e - m)[0]
-        if len(ok):
-            table[ok, j] = cost.cost(starts[ok], np.full(len(ok), e))
-            budget.spend(len(ok))
-    best = [table[0].copy()]
-    back = [np.zeros(len(ends), dtype=int)]
-    for _ in range(most):
-        prior = best[-1][:-1]
-        if not len(prior):
-            break
-        value = prior[:, None] + table[1:]
-        at = np.argmin(value, axis=0)  # ties: the smaller start
-        best.append(value[at, np.arange(len(ends))])
-        back.append(at)
-    totals = np.array([b[-1] for b in best])
+    # best[k, p]: the least cost up to start p by k change points. The costs of the segments that stop at one end serve all k.
+    best = np.full((most + 1, len(ends) + 1), np.inf)
+    back = np.zeros((most + 1, len(ends) + 1), dtype=np.int64)
+    levels = np.arange(most)
+    for j, e in enumerate(ends, 1):
+        q = int(np.searchsorted(starts, e - m, side="right"))
+        if not q:
+            continue
+        costs = cost.cost(starts[:q], np.full(q, e))
+        budget.spend(q)
+        best[0, j] = costs[0]
+        if most and q > 1:
+            value = best[:most, 1:q] + costs[1:]
+            at = np.argmin(value, axis=1)  # ties: the smaller start
+            best[1:, j], back[1:, j] = value[levels, at], at + 1
+    totals = best[:, -1]
 
     def path(k: int) -> list[int]:
-        j, out = len(ends) - 1, [n]
+        j, out = len(ends), [n]
         for level in range(k, 0, -1):
-            j = int(back[level][j])
-            out.append(int(ends[j]))
+            j = int(back[level, j])
+            out.append(int(starts[j]))
         return out[::-1]
 
     if known:

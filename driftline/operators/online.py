@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.native import ORDERED, RUN
+from ..functions.native import ORDERED, RUN, dealt
 from .online_kernels import Gate, make_online
 
 STEPS = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double"
@@ -53,7 +53,7 @@ def run_online(s: DataFrame, detector: str, order: str = "t", **options) -> Data
         out.insert(0, "series_id", pdf["series_id"].iloc[0])
         return out
 
-    return s.select(*columns).groupBy("series_id").applyInPandas(run, STEPS)
+    return dealt(s.select(*columns)).groupBy("series_id").applyInPandas(run, STEPS)
 
 
 def late_counters(s: DataFrame) -> DataFrame:
