@@ -23,8 +23,11 @@ def RUN():  # noqa: N802
 
 
 def dealt(s: DataFrame) -> DataFrame:
-    """Rows by series in as many partitions as shuffles have. Series cost far more time than bytes, so that the partitions must
-    not be merged by their size, as adaptive execution would do with those of a plain grouping."""
+    """Rows by series in as many partitions as shuffles have; without a shuffle of its own where a window has dealt them so.
+
+    Series cost far more time than bytes: for small inputs set spark.sql.adaptive.coalescePartitions.minPartitionSize to some
+    kilobytes, so that adaptive execution does not merge their partitions into a few tasks.
+    """
     return s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
 
 

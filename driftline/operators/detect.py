@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..config import REPRO_MODES, Constraints, Stopping
 from ..errors import EngineError, InvalidInput, NotSupported
 from ..functions.cost_kernels import COSTS, matrix
-from ..functions.native import dealt, missing
+from ..functions.native import missing
+from .grouped import by_series, numbers
 from .offline_kernels import DETECTORS, SELF_COSTED, Outcome, detect
 
 SCHEMA_VERSION = 1
@@ -38,19 +39,18 @@ def detect_series(s: DataFrame, detector: str = "pelt", cost: str = "l2", stoppi
         raise NotSupported(f"unknown cost {cost!r}")
     params = json.dumps({"stopping": stopping.kind, "constraints": {k: v for k, v in constraints.to_dict().items() if v is not None}}, sort_keys=True)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
+    def run(table: pa.Table) -> list[dict]:
         try:
-            x = matrix(np.array(pdf["x"].tolist(), dtype=np.float64))
+            x = matrix(numbers(table.column("x")))
             got = detect(x, detector, cost, stopping, constraints, repro_mode, options, cost_options)
         except EngineError as e:
             if errors == "raise":
                 raise
             got = Outcome([], None, [], [f"{e.code}: {e}"])
         diagnostics = {"schema_version": SCHEMA_VERSION, "algorithm": detector, "cost_model": cost, "repro_mode": repro_mode, "notes": got.notes, "warnings": got.warnings, "params_json": params}
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "n": len(pdf), "breakpoints": got.breakpoints, "change_points": got.change_points, "objective": got.objective, "diagnostics": diagnostics}])
+        return [{"series_id": table.column("series_id")[0].as_py(), "n": table.num_rows, "breakpoints": got.breakpoints, "change_points": got.change_points, "objective": got.objective, "diagnostics": diagnostics}]
 
-    return dealt(s.select("series_id", "t", "x")).groupBy("series_id").applyInPandas(run, RESULT)
+    return by_series(s.select("series_id", "t", "x"), "t", run, RESULT)
 
 
 def change_points(results: DataFrame) -> DataFrame:

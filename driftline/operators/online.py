@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.native import ORDERED, RUN, dealt
+from ..functions.native import ORDERED, RUN
+from .grouped import by_series
 from .online_kernels import Gate, make_online
 
 STEPS = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double"
@@ -33,27 +34,24 @@ def page_hinkley(s: DataFrame, delta: float = 0.01, threshold: float = 8.0) -> D
 def alert_gate(p: DataFrame, policy) -> DataFrame:
     """Rows (series_id, t, p_change) at which the gate emits, in order within each series."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        gate = Gate(policy)
-        return pdf[[gate.emit(p, int(t)) for p, t in zip(pdf["p_change"], pdf["t"], strict=True)]]
+    def run(table: pa.Table) -> list[dict]:
+        gate, name = Gate(policy), table.column("series_id")[0].as_py()
+        rows = zip(table.column("t").to_pylist(), table.column("p_change").to_pylist(), strict=True)
+        return [{"series_id": name, "t": t, "p_change": q} for t, q in rows if gate.emit(q, t)]
 
-    return p.select("series_id", "t", "p_change").groupBy("series_id").applyInPandas(run, "series_id string, t bigint, p_change double")
+    return by_series(p.select("series_id", "t", "p_change"), "t", run, "series_id string, t bigint, p_change double")
 
 
 def run_online(s: DataFrame, detector: str, order: str = "t", **options) -> DataFrame:
     """Every row's step, by the kernel that also serves the streams. With ts in nanoseconds (t_ns) late rows are handled."""
     columns = ["series_id", order, "x"] + (["t_ns"] if "t_ns" in s.columns else [])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        model = make_online(detector, **options)
-        steps = model.update_many(pdf["x"].tolist(), pdf["t_ns"].tolist() if "t_ns" in pdf else None)
-        out = pd.DataFrame([vars(step) for step in steps])
-        out.insert(0, "series_id", pdf["series_id"].iloc[0])
-        return out
+    def run(table: pa.Table) -> list[dict]:
+        model, name = make_online(detector, **options), table.column("series_id")[0].as_py()
+        steps = model.update_many(table.column("x").to_pylist(), table.column("t_ns").to_pylist() if "t_ns" in columns else None)
+        return [{"series_id": name, **vars(step)} for step in steps]
 
-    return dealt(s.select(*columns)).groupBy("series_id").applyInPandas(run, STEPS)
+    return by_series(s.select(*columns), order, run, STEPS)
 
 
 def late_counters(s: DataFrame) -> DataFrame:
