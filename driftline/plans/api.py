@@ -95,8 +95,9 @@ def main(args: list[str] | None = None) -> int:
             from ..operators.diagnostics import diagnostics
             from .recommend import recommend
 
-            s = load(spark, a.input).select("series_id", "t", F.lit(None).cast("timestamp").alias("ts"), F.col("x")[0].alias("x"))
-            out = recommend(diagnostics(s), a.objective, a.online)
+            s = load(spark, a.input).select("series_id", "t", "x")
+            dims = s.select(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
+            out = recommend(diagnostics(s), a.objective, a.online, dims=dims)
         else:
             from ..operators.evaluate import offline_metrics
 
