@@ -9,7 +9,8 @@ that tells most: the share of equal hashes among the subsets that are not empty
 Defined results: null counts as empty; a text without terms in the lexicon has a digest of itself as its fingerprint and is
 like equal texts only; the next document is by descending doc_id, then by a hash of the text, null ids come last, and
 the last one is followed by the first; with a single document the next one is itself; repeated rows are neighbours of
-each other; an empty table gives an empty result. Only doc_id and text are read.
+each other; texts of any length are read whole; an empty table gives an empty result. Ids may be of any type that can be sorted. Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import corpus_size, parallelism, release, table, text_of
+from .common import corpus_size, parallelism, release, table, text_of, workdir, written
 from .shingles import NOT_LETTERS, batch_shingles, runs
 
 #: Shares of all documents a term of the lexicon is in.
@@ -32,6 +34,10 @@ BAND = (0.001, 0.15)
 DENSITIES, SUBSETS = (2, 8, 32, 128, 512, 2048), 16
 #: Distinct terms that a task counts before it hands them on, and terms per hash range.
 FLUSH, RANGE = 1_000_000, 500_000
+#: Bytes of text in a range of the documents' order, about.
+RANGE_BYTES = 64 << 20
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+EDGES = ["bucket", "edge", "text"]
 
 
 def terms(texts: list[str]) -> Iterator[np.ndarray]:
@@ -79,9 +85,9 @@ def _in_band(low: float, high: float):
     return run
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, total: tuple[int, int] | None = None) -> np.ndarray:
     """The sorted hashes of the terms whose document frequency is within the band; at most mean terms per document / band[0]."""
-    n, size = corpus_size(docs)
+    n, size = total or corpus_size(docs)
     if not n:
         return np.zeros(0, np.uint64)
     bits = min(24, max(3, math.ceil(math.log2(max(1, size / 40 / RANGE)))))
@@ -154,59 +160,81 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _buckets(docs: DataFrame) -> tuple[DataFrame, list, int]:
-    """The rows with a bucket along descending doc_id; edges: for each bucket the id of the row that follows its last one."""
-    spark = docs.sparkSession
-    rows = docs.count()
-    n = max(1, min(10_000, max(4 * parallelism(spark), -(-rows // 5_000))))
-    quantiles = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
-    ends = sorted(set(quantiles or []), reverse=True)
-    at = F.coalesce(F.size(F.filter(F.lit(ends).cast("array<bigint>"), lambda e: e > F.col("doc_id"))), F.lit(len(ends))) if ends else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), F.lit(len(ends) + 1)).otherwise(at)
-    return docs.select("doc_id", text_of().alias("text"), at.cast("int").alias("bucket")), ends, len(ends) + 2
+class Neighbours:
+    """The pass over one range of the documents in their order: each row against the one after it.
 
+    The first and the last row of a range (edge 1 and 2) go out with their texts, since what precedes and follows them is in another range.
+    """
 
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
-    spark = docs.sparkSession
-    made = Fingerprints(lexicon(docs, band))
-    release(spark)
-    rows, _, _ = _buckets(docs)
-    key = F.xxhash64("text")
-    # The first row of each bucket also follows the last row of the bucket before it; the first of all follows the last.
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", key.alias("key"))).alias("head"))
-    heads = sorted(heads.select("bucket", "head.doc_id", "head.key").collect())
-    if not heads:
-        return spark.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    tails = [(prior, h[1], h[2]) for prior, h in zip([heads[-1][0], *[h[0] for h in heads[:-1]]], heads, strict=True)]
-    tail = spark.createDataFrame(tails, f"to int, tail_id {rows.schema['doc_id'].dataType.simpleString()}, tail_key bigint")
-    follow = rows.withColumn("key", key).join(F.broadcast(tail), F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("key") == F.col("tail_key")))
-    follow = follow.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("last"), "key").dropDuplicates(["bucket", "doc_id", "key"])
-    dealt = rows.select("doc_id", "text", "bucket", F.lit(0).alias("last"), key.alias("key")).unionByName(follow)
-    dealt = dealt.repartition(max(parallelism(spark), 1), "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), F.desc("key"))
-    kind = rows.schema["doc_id"].dataType
+    def __init__(self, made: Fingerprints, kind: pa.DataType):
+        self.made, self.kind = made, kind
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # id, text, fingerprint, bucket of the row whose next one is still to come
+    def result(self, pairs: list[tuple]) -> list[tuple]:
+        """Results of (id, text, fingerprint, following text, its fingerprint)."""
+        changed = [edited(text, following) for _, text, _, following, _ in pairs]
+        out = []
+        for (doc, text, own, _, after), cut, other in zip(pairs, changed, self.made.of_all(changed), strict=True):
+            sha = hashlib.sha256(cut.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((doc, len(text), sha, own[0], other[0], self.made.likeness(own, other), self.made.likeness(own, after)))
+        return out
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [self.kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()][: len(rows[0]) if rows else 10]
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=(COLUMNS + EDGES)[: len(kinds)])
+
+    def along(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, bucket = None, 0  # id, text and fingerprint of the row whose next one is still to come
+        at_edge = lambda doc, text, edge: (doc, None, None, None, None, None, None, bucket, edge, text)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 cut = batch.slice(at, 500)
-                rows = list(zip(*[cut.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "last")], strict=True))
-                marks = made.of_all([r[1] for r in rows])
-                pairs = []  # a row, its fingerprint, its edited text, the next row's fingerprint
-                for (doc, text, bucket, last), own in zip(rows, marks, strict=True):
-                    if before is not None and before[3] == bucket:
-                        pairs.append((before[0], before[1], before[2], edited(before[1], text), own))
-                    before = None if last else (doc, text, own, bucket)
-                got = []
-                for (doc, text, own, changed, following), other in zip(pairs, made.of_all([p[3] for p in pairs]), strict=True):
-                    got.append((doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own[0], other[0], made.likeness(own, other), made.likeness(own, following)))
-                names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-                cols = list(zip(*got, strict=True)) or [()] * 7
-                kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return dealt.mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                ids, texts = cut.column("doc_id").to_pylist(), cut.column("text").to_pylist()
+                out, pairs = [], []
+                if before is None:
+                    bucket = cut.column("bucket")[0].as_py()
+                    out.append(at_edge(ids[0], texts[0], 1))
+                for doc, text, own in zip(ids, texts, self.made.of_all(texts), strict=True):
+                    if before is not None:
+                        pairs.append((*before, text, own))
+                    before = (doc, text, own)
+                yield self.batch(out + [(*r, bucket, 0, None) for r in self.result(pairs)])
+        if before is not None:
+            yield self.batch([at_edge(before[0], before[1], 2)])
+
+    def across(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, following in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")], strict=True):
+                own, after = self.made.of_all([text, following])
+                yield self.batch(self.result([(doc, text, own, following, after)]))
+
+
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, per_range: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+
+    One range-sort along the order of the documents; a range is read once and as a stream. Rows alike in id and text may stand in
+    any order, so a place in the input parts them, and no id or text has to fit into one range. The few rows on both sides of
+    a border between ranges are matched afterwards.
+    """
+    spark = docs.sparkSession
+    total = corpus_size(docs)
+    made = Fingerprints(lexicon(docs, band, total))
+    release(spark)
+    n = max(parallelism(spark), -(-total[1] // per_range))
+    text = text_of()
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").desc_nulls_last(), F.desc("key"), F.col("place")]
+    ranges = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("bucket"))
+    kind = rows.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    work = Neighbours(made, to_arrow_type(kind))
+    found = written(ranges.mapInArrow(work.along, f"{schema}, bucket int, edge int, text string"), f"{workdir(spark, 'fingerprints')}/found")
+    # As many numbers as there are ranges with rows; the last range is followed by the first.
+    buckets = sorted(r["bucket"] for r in found.where("edge = 1").select("bucket").collect())
+    after = spark.createDataFrame(list(zip(buckets, buckets[1:] + buckets[:1], strict=True)), "bucket int, to int")
+    heads = found.where("edge = 1").select(F.col("bucket").alias("to"), F.col("text").alias("following"))
+    ends = found.where("edge = 2").select("doc_id", "text", "bucket").join(after, "bucket").join(heads, "to").select("doc_id", "text", "following")
+    return found.where("edge = 0").select(*COLUMNS).unionByName(ends.mapInArrow(work.across, schema))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
