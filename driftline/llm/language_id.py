@@ -6,7 +6,8 @@ descent in numpy on a bounded sample. A temperature fitted on set-aside rows cal
 below which a prediction is rejected comes from the same rows.
 
 Defined results: texts that are null or hold no letter get `und` and score 0; without any labelled row every text does;
-repeated rows get equal results; only doc_id, text and, for training, lang are read.
+repeated rows get equal results and are learned from once; ties between languages go to the first by name; texts of any length
+are read whole, in pieces; an empty table gives an empty result; only doc_id, text and, for training, lang are read.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import remainder, table
-from .supervised import held, sampled
+from .supervised import held
 
 MODULUS, REST = 4, 2
-#: Documents to learn from, at most about; characters handled at a time.
-SAMPLE, PIECE = 4_000, 1 << 20
+#: Documents to learn from, at most about, and of each language at least, if it has so many; characters handled at a time.
+SAMPLE, LEAST, PIECE = 4_000, 50, 1 << 20
 BUCKETS_LOG2, WIDTH, SIZES = 16, 16, (2, 3, 4)
 SNIPPETS, SNIPPET_CHARS = 3, 48
 UNKNOWN = "und"
@@ -143,10 +145,21 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(part, pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "part", "ids", "counts"])
 
 
+def training_rows(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """doc_id, text, lang of about `sample` documents outside the held-out remainder, and of at least about `least` of each language
+    (all, if it has fewer). Rows alike in the three count once, so that copies do not break the bound."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != F.lit(REST)))
+    known = known.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
+    share = F.greatest(F.lit(float(sample)) / F.sum("m").over(W.partitionBy()), F.lit(float(least)) / F.col("m"))
+    shares = sizes.select("lang", F.least(share, F.lit(1.0)).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return known.join(shares, "lang").where(draw < F.col("share")).select("doc_id", "text", "lang").dropDuplicates()
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model learned from text and lang of a bounded sample outside the held-out remainder."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != F.lit(REST)))
-    rows = sampled(known.select("doc_id", "text", "lang"), "doc_id", sample)
+    rows = training_rows(docs, sample)
     part = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).cast("int").alias("part")
     got = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), part).mapInArrow(_sample_rows, "lang string, part int, ids binary, counts binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["ids"], r["counts"]))
