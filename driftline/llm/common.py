@@ -14,11 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def workdir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; sets one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under spark.checkpoint.dir, which all executors share; a folder of this machine only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        base = str(current) if current else "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
