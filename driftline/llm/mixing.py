@@ -8,8 +8,8 @@ Running totals never put a source into one task: tokens are summed per (source,
 totals get their offsets, and the rest is a window within a slice. The global cut works likewise over slices of finish time.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; documents without words take
-nothing; repeated rows are documents of their own; ties in the shuffled order are broken by doc_id and size, so that reruns
-agree; texts of any length are counted whole; an empty table gives an empty result. Columns besides doc_id, text and source are
+nothing; repeated rows are documents of their own; ties in the shuffled order are broken by doc_id, size and a hash of the text, so that
+reruns agree; texts of any length are counted whole; an empty table gives an empty result. Columns besides doc_id, text and source are
 not read.
 """
 
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     return out.select("source", "source_size", "weight", target.alias("target"), "cap", "largest", "m")
 
 
-def _running(df: DataFrame, group: list[Column], slice_: Column, order: list[Column], value: str, name: str) -> DataFrame:
+def running(df: DataFrame, group: list[Column], slice_: Column, order: list[Column], value: str, name: str) -> DataFrame:
     """Adds the running total of value within group along order; slice_ must follow order and cut it into many pieces."""
     keys = [f"_g{i}" for i in range(len(group))]
     df = df.select("*", *[c.alias(k) for c, k in zip(group, keys, strict=True)], slice_.alias("_slice"))
@@ -78,18 +78,18 @@ def _running(df: DataFrame, group: list[Column], slice_: Column, order: list[Col
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 0, per_slice: int = SLICE_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and finish (of the first pass) for each row of docs."""
+    """doc_id, source, size, text_hash, source_size, target, taken and upto (the place in the source's queue, in words) for each row of docs."""
     spark = docs.sparkSession
     out = workdir(spark, "mixing")
-    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), shuffle_key(seed).alias("key"))
+    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), shuffle_key(seed).alias("key"), F.xxhash64(text_of()).alias("text_hash"))
     sizes = written(sizes, f"{out}/sizes")
     goals = written(targets(sizes, weights, share, passes), f"{out}/targets")
     rows = sizes.count()
     slices = max(1, min(1 << 20, -(-rows // per_slice) * 4))
     width = len(f"{slices - 1:x}")
     in_slice = (F.conv(F.substring("key", 1, width + 4), 16, 10).cast("long") * F.lit(slices) / F.lit(16 ** (width + 4))).cast("long")
-    queue = [F.col("key"), F.col("doc_id"), F.col("size")]
-    run = _running(sizes, [F.col("source")], in_slice, queue, "size", "upto")
+    queue = [F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_hash")]
+    run = running(sizes, [F.col("source")], in_slice, queue, "size", "upto")
     # A source may hold a great part of all rows, so its goal is looked up in parts; a null source has a name of its own.
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_name")
     goals = goals.select("*", name).drop("source")
@@ -104,14 +104,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     budget, edge = ends["budget"] or 0.0, (1.0 + ends["late"]) * (1 + 1e-9)
     entry = written(entry.where(F.col("finish") <= edge), f"{out}/queue")
     in_order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("pass")]
-    total = _running(entry, [F.lit(0)], F.floor(F.col("finish") / F.lit(edge) * F.lit(slices)), in_order, "size", "total")
+    total = running(entry, [F.lit(0)], F.floor(F.col("finish") / F.lit(edge) * F.lit(slices)), in_order, "size", "total")
     taken = total.where(F.col("total") <= F.lit(budget)).groupBy("key", "doc_id", "source", "size", "upto").agg(F.sum("size").alias("got"))
     on = ["key", "doc_id", "source", "size", "upto"]
     got = taken.select(*[F.col(c).alias(f"_{c}") for c in on], "got")
     match = F.col("key") == F.col("_key")
     for c in on[1:]:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return run.join(got, match, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "upto")
+    return run.join(got, match, "left").select("doc_id", "source", "size", "text_hash", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "upto")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,7 +346,7 @@ def test_network_gradient():
 # --- all together
 
 
-def test_pipeline_on_a_small_corpus(spark):
+def test_pipeline_on_a_small_corpus(spark, monkeypatch):
     import corpus_pipeline
 
     rows, labels = labelled_rows(240)
@@ -357,7 +357,7 @@ def test_pipeline_on_a_small_corpus(spark):
     class Tables:
         known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
-    corpus_pipeline.table = lambda s, d, name: Tables.known
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: Tables.known)
     now, truth = docs, {x[0]: x[1] for x in labels}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         after = corpus_pipeline.written(stage(spark, now, ""), corpus_pipeline.workdir(spark, "test-stage"))
