@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import remainder, table
@@ -26,6 +25,8 @@ from .supervised import held
 MODULUS, REST = 4, 2
 #: Documents to learn from, at most about, and of each language at least, if it has so many; characters handled at a time.
 SAMPLE, LEAST, PIECE = 4_000, 50, 1 << 20
+#: Languages, the most frequent ones, whose least number is looked after; the others come by the common share.
+STRATA = 1_024
 BUCKETS_LOG2, WIDTH, SIZES = 16, 16, (2, 3, 4)
 SNIPPETS, SNIPPET_CHARS = 3, 48
 UNKNOWN = "und"
@@ -151,10 +152,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) ->
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != F.lit(REST)))
     known = known.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
-    share = F.greatest(F.lit(float(sample)) / F.sum("m").over(W.partitionBy()), F.lit(float(least)) / F.col("m"))
-    shares = sizes.select("lang", F.least(share, F.lit(1.0)).alias("share"))
+    total = sizes.agg(F.sum("m")).first()[0] or 1
+    strata = sizes.orderBy(F.desc("m"), "lang").limit(STRATA).select("lang", (F.lit(float(least)) / F.col("m")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(shares, "lang").where(draw < F.col("share")).select("doc_id", "text", "lang").dropDuplicates()
+    share = F.greatest(F.lit(sample / total), F.coalesce("share", F.lit(0.0)))
+    return known.join(F.broadcast(strata), "lang", "left").where(draw < share).select("doc_id", "text", "lang").dropDuplicates()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
