@@ -11,8 +11,9 @@ the same document. Equal strings are brought together without comparing shards p
 3. Each shard builds the suffix array of its stretches by Larsson-Sadakane refinement (until LENGTH bytes are told apart),
    gets common prefixes by Kasai's rule, and so has the classes of equal windows, in sorted order, each with its first place.
 4. A hash range that is too large for one shard, since an anchor is in a great part of all documents, is split into several
-   shards. Their sorted classes are cut by first byte, with bounds found by binary search, and each slice is merged by itself,
-   by sorting 128-bit hashes of the windows.
+   shards. Each of them lists its classes sorted by a 128-bit hash of the window. The lists are cut into as many slices as the
+   range's size asks for, and the lists of a slice are merged two by two: every class of one is looked up in the other by
+   binary search. Equal hashes stand for equal windows there.
 5. The later places of each class, as spans, are joined to the documents.
 
 Defined results: a null text is empty; texts shorter than LENGTH stay whole; strings never cross documents. Rows that agree in
@@ -37,8 +38,8 @@ from .shingles import mix, runs
 LENGTH = 100
 GRAM = 16
 #: Bytes handled at a time within a task (a longer document is taken in overlapping pieces), anchors per packed block,
-#: anchors per hash range when counting, bytes of stretches per shard.
-PIECE, BLOCK, RANGE, SHARD = 1 << 22, 400_000, 1_000_000, 6_000_000
+#: anchors per hash range when counting, bytes of stretches per shard, slices of a hash range for each of its shards.
+PIECE, BLOCK, RANGE, SHARD, SLICES = 1 << 22, 400_000, 1_000_000, 6_000_000, 4
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
@@ -242,8 +243,8 @@ def _windows(s: _Stretches, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return data, stretch, starts
 
 
-def resolve(s: _Stretches, length: int, rows: list, merge: int | None = None) -> None:
-    """Spans of the repeated windows of one shard; with merge (a bucket), its sorted classes by first byte as well."""
+def resolve(s: _Stretches, length: int, rows: list, bucket: int = 0, slices: int = 0) -> None:
+    """Spans of the repeated windows of one shard; with slices, its classes sorted by hash and cut into these as well."""
     doc = _doc_order(s.ids, s.keys)
     # Equal stretches: the first place stands for them, the others are gone whole.
     begin = np.concatenate([[0], np.cumsum(s.sizes)[:-1]])
@@ -282,18 +283,20 @@ def resolve(s: _Stretches, length: int, rows: list, merge: int | None = None) ->
     first = np.minimum.reduceat(rank, head)
     gone = rank != np.repeat(first, count)
     _emit_spans(one.ids[own[gone]], one.keys[own[gone]], place[gone], length, rows)
-    if merge is None:
+    if not slices:
         return
     lead = np.nonzero(~gone)[0]
     lead = lead[np.nonzero(np.concatenate([[True], cls[lead][1:] != cls[lead][:-1]]))[0]]
     low, high = _window_hashes(data, at[lead], length)
-    letters = data[at[lead]]
-    bounds = np.searchsorted(letters, np.arange(257))  # classes are in sorted order
-    for b in range(256):
-        x, y = bounds[b], bounds[b + 1]
+    by = np.lexsort((high, low))
+    low, high, lead = low[by], high[by], lead[by]
+    width = -(-(1 << 64) // slices)
+    bounds = np.append(np.searchsorted(low, np.array([width * k for k in range(slices)], np.uint64)), len(low))
+    for k in range(slices):
+        x, y = bounds[k], bounds[k + 1]
         if x < y:
             who = lead[x:y]
-            rows.append({"kind": 1, "bucket": merge, "slice": b, "a": low[x:y].tobytes(), "b": high[x:y].tobytes(), "c": one.ids[own[who]].tobytes(), "d": one.keys[own[who]].tobytes(), "e": place[who].tobytes()})
+            rows.append({"kind": 1, "bucket": bucket, "slice": k, "a": low[x:y].tobytes(), "b": high[x:y].tobytes(), "c": one.ids[own[who]].tobytes(), "d": one.keys[own[who]].tobytes(), "e": place[who].tobytes()})
 
 
 def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,26 +315,64 @@ def _shard(length: int):
         rows: list[dict] = [{"kind": 0, "id": r["id"], "key": r["key"], "a": r["a"], "b": r["b"]} for r in got if r["kind"] == 1]
         plain = [r for r in got if r["kind"] == 0]
         if plain:
-            resolve(_Stretches.read(plain), length, rows, plain[0]["bucket"] if plain[0]["shards"] > 1 else None)
+            shards = plain[0]["shards"]
+            resolve(_Stretches.read(plain), length, rows, plain[0]["bucket"], SLICES * shards if shards > 1 else 0)
         return pa.Table.from_pylist(rows, schema=_FOUND_SCHEMA)
 
     return run
 
 
+class _Classes:
+    """Classes in the order of their keys, distinct ones: of each the key (16 bytes of hash) and the first place."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray):
+        self.key, self.ids, self.keys, self.at = key, ids, keys, at
+
+    @staticmethod
+    def read(row: dict) -> _Classes:
+        words = np.stack([np.frombuffer(row[c], np.uint64) for c in "ab"], axis=1)
+        key = words.astype(">u8").view("S16")[:, 0]  # sorts as the pair of words does
+        return _Classes(key, *(np.frombuffer(row[c], np.int64) for c in "cde"))
+
+    def take(self, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.ids[by], self.keys[by], self.at[by]
+
+
+def merge_classes(a: _Classes, b: _Classes) -> tuple[_Classes, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Both lists as one, with the lesser place where a class is in both, and the other places (ids, keys, at), which go.
+    A place that is in both lists, as of rows that are repeated, stays once and does not go."""
+    if len(a.key) < len(b.key):
+        a, b = b, a
+    spot = np.searchsorted(a.key, b.key)
+    hit = np.zeros(len(b.key), dtype=bool)
+    inside = np.nonzero(spot < len(a.key))[0]
+    hit[inside] = a.key[spot[inside]] == b.key[inside]
+    mine, its = spot[hit], np.nonzero(hit)[0]
+    (ai, ak, ap), (bi, bk, bp) = a.take(mine), b.take(its)
+    same = (ai == bi) & (ak == bk)
+    later = (bi < ai) | (bi == ai) & (bk < ak) | same & (bp < ap)  # a's place is the later one
+    other = ~(same & (ap == bp))
+    lost = tuple(np.where(later, x, y)[other] for x, y in ((ai, bi), (ak, bk), (ap, bp)))
+    cols = []
+    for x, y in ((a.ids, b.ids), (a.keys, b.keys), (a.at, b.at)):
+        x = x.copy()
+        x[mine[later]] = y[its[later]]
+        cols.append(np.insert(x, spot[~hit], y[~hit]))
+    return _Classes(np.insert(a.key, spot[~hit], b.key[~hit]), *cols), lost
+
+
 def _merge(length: int):
     """One slice of the classes of several shards: all but the first place of each class go."""
 
     def run(group: pa.Table) -> pa.Table:
-        got = group.to_pylist()
-        col = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in got])
-        low, high, ids, keys, at = col("a", np.uint64), col("b", np.uint64), col("c", np.int64), col("d", np.int64), col("e", np.int64)
-        by = np.lexsort((at, keys, ids, high, low))
-        low, high, ids, keys, at = low[by], high[by], ids[by], keys[by], at[by]
-        head = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(low)), 0))
-        gone = (ids != ids[first]) | (keys != keys[first]) | (at != at[first])
+        lists = [_Classes.read(r) for r in group.select(list("abcde")).to_pylist()]
         rows: list[dict] = []
-        _emit_spans(ids[gone], keys[gone], at[gone], length, rows)
+        while len(lists) > 1:
+            pairs = [merge_classes(a, b) for a, b in zip(lists[::2], lists[1::2], strict=False)]
+            for _, lost in pairs:
+                if len(lost[0]):
+                    _emit_spans(*lost, length, rows)
+            lists = [c for c, _ in pairs] + lists[2 * len(pairs) :]
         return pa.Table.from_pylist(rows, schema=_FOUND_SCHEMA)
 
     return run

@@ -185,6 +185,23 @@ def test_suffix_dedup(spark, shard):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == expected_spans(rows)
 
 
+def test_suffix_dedup_merges_lists_by_binary_search():
+    draw = np.random.default_rng(3)
+    lists, plain = [], {}
+    for _ in range(5):
+        word = np.unique(draw.integers(0, 60, 40)).astype(np.uint64) << np.uint64(56)
+        place = draw.integers(0, 3, (3, len(word)))
+        lists.append(suffix_dedup._Classes.read({"a": word.tobytes(), "b": np.zeros(len(word), np.uint64).tobytes(), **{c: p.tobytes() for c, p in zip("cde", place, strict=True)}}))
+        for w, at in zip(word.tolist(), place.T.tolist(), strict=True):
+            plain.setdefault(w, set()).add(tuple(at))
+    one, gone = lists[0], []
+    for other in lists[1:]:
+        one, lost = suffix_dedup.merge_classes(one, other)
+        gone += zip(*(x.tolist() for x in lost), strict=True)
+    assert list(zip(one.ids.tolist(), one.keys.tolist(), one.at.tolist(), strict=True)) == [min(plain[w]) for w in sorted(plain)]
+    assert set(gone) == {p for places in plain.values() for p in places - {min(places)}}
+
+
 def test_suffix_dedup_long_texts_in_parts(spark, monkeypatch):
     rows = [(1, "".join(random.Random(5).choice("abc ") for _ in range(3000)))]
     rows.append((2, rows[0][1][700:2500] + "tail"))
