@@ -23,6 +23,14 @@ class ResourceLimit(EngineError, RuntimeError):
     code = "resource_limit"
 
 
+class InputOutput(EngineError, OSError):
+    code = "io_error"
+
+
+class BadJson(EngineError, ValueError):
+    code = "json_error"
+
+
 class Cancelled(EngineError, RuntimeError):
     code = "cancelled"
 

@@ -7,10 +7,11 @@ import json
 import sys
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Constraints, Stopping
-from ..errors import EngineError, InvalidInput
+from ..errors import BadJson, EngineError, InputOutput, InvalidInput
 from ..functions.cost_kernels import matrix
 from ..operators.offline_kernels import Outcome, detect
 from ..sources import files
@@ -56,9 +57,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def main(args: list[str] | None = None) -> int:
-    """detect, run, doctor and eval; JSON on the standard output or in --output."""
-    from pyspark.sql import functions as F
-
+    """detect, run, doctor and eval; JSON on the standard output or in --output, an error with its code on the standard error."""
     parser = argparse.ArgumentParser(prog="driftline")
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("detect", "run", "doctor", "eval"):
@@ -83,30 +82,45 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--n", type=int, required=True)
             p.add_argument("--tolerance", type=int, default=5)
     a = parser.parse_args(args)
-    spark = SparkSession.builder.getOrCreate()
     try:
-        if a.command == "detect":
-            stop = {"k": a.k} if a.k else {"pen": a.penalty if a.penalty else "bic"}
-            out = execute(load(spark, a.input), {"detector": a.detector, "cost": a.cost, "stopping": stop, "constraints": {"min_segment_len": a.min_segment_len, "jump": a.jump}})
-        elif a.command == "run":
-            with open(a.pipeline) as source:
-                out = execute(load(spark, a.input), source.read())
-        elif a.command == "doctor":
-            from ..operators.diagnostics import diagnostics
-            from .recommend import recommend
-
-            s = load(spark, a.input).select("series_id", "t", "x")
-            dims = s.select(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
-            out = recommend(diagnostics(s), a.objective, a.online, dims=dims)
-        else:
-            from ..operators.evaluate import offline_metrics
-
-            points = lambda text: spark.createDataFrame([("series", int(p)) for p in json.loads(text)], "series_id string, cp bigint")
-            out = offline_metrics(points(a.truth), points(a.predicted), spark.createDataFrame([("series", a.n)], "series_id string, n bigint"), a.tolerance)
-        body = "\n".join(r["value"] for r in out.select(F.to_json(F.struct(*out.columns)).alias("value")).toLocalIterator())
+        return _run(a)
     except EngineError as e:
-        print(json.dumps({"error": {"code": e.code, "message": str(e)}}), file=sys.stderr)
-        return 2
+        error = e
+    except json.JSONDecodeError as e:
+        error = BadJson(str(e))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        error = InputOutput(str(e))
+    except OSError as e:
+        error = InputOutput(str(e))
+    print(json.dumps({"error": {"code": error.code, "message": str(error)}}), file=sys.stderr)
+    return 2
+
+
+def _run(a: argparse.Namespace) -> int:
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.builder.getOrCreate()
+    if a.command == "detect":
+        stop = {"k": a.k} if a.k else {"pen": a.penalty if a.penalty else "bic"}
+        out = execute(load(spark, a.input), {"detector": a.detector, "cost": a.cost, "stopping": stop, "constraints": {"min_segment_len": a.min_segment_len, "jump": a.jump}})
+    elif a.command == "run":
+        with open(a.pipeline) as source:
+            out = execute(load(spark, a.input), source.read())
+    elif a.command == "doctor":
+        from ..operators.diagnostics import diagnostics
+        from .recommend import recommend
+
+        s = load(spark, a.input).select("series_id", "t", "x")
+        dims = s.select(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
+        out = recommend(diagnostics(s), a.objective, a.online, dims=dims)
+    else:
+        from ..operators.evaluate import offline_metrics
+
+        points = lambda text: spark.createDataFrame([("series", int(p)) for p in json.loads(text)], "series_id string, cp bigint")
+        out = offline_metrics(points(a.truth), points(a.predicted), spark.createDataFrame([("series", a.n)], "series_id string, n bigint"), a.tolerance)
+    body = "\n".join(r["value"] for r in out.select(F.to_json(F.struct(*out.columns)).alias("value")).toLocalIterator())
     if a.output:
         with open(a.output, "w") as target:
             target.write(body + "\n")

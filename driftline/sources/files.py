@@ -118,10 +118,12 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Results written by any known schema version; the whole document is kept beside the known fields."""
-    raw = spark.read.text(path)
-    out = raw.select(F.from_json("value", schema).alias("r"), F.col("value").alias("document"), F.get_json_object("value", "$.diagnostics.schema_version").cast("int").alias("version"))
-    return out.where(F.coalesce("version", F.lit(1)).isin(*SCHEMA_VERSIONS)).select("r.*", "document")
+    """Results written by any known schema version; the whole document is kept beside the known fields. A document of another
+    version is an error."""
+    version = F.coalesce(F.get_json_object("value", "$.diagnostics.schema_version").cast("int"), F.lit(1))
+    refused = F.raise_error(F.concat(F.lit("schema version "), version.cast("string"), F.lit(" is not supported; known are 1 and 2")))
+    raw = spark.read.text(path).select(F.when(version.isin(*SCHEMA_VERSIONS), F.col("value")).otherwise(refused).alias("document"))
+    return raw.select(F.from_json("document", schema).alias("r"), "document").select("r.*", "document")
 
 
 def result_json(outcome, n: int, algorithm: str, cost: str, pretty: bool = False) -> str:

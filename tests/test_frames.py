@@ -163,6 +163,23 @@ def test_specs_and_command_line(spark, series, tmp_path, capsys):
     assert api.main(["detect", "--input", str(tmp_path / "a.csv"), "--detector", "nothing"]) == 2
 
 
+def test_command_line_errors_have_codes(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("1\n2\n")
+    (tmp_path / "bad.json").write_text("{")
+    code = lambda *args: (api.main(list(args)), json.loads(capsys.readouterr().err)["error"]["code"])
+    assert code("run", "--input", str(tmp_path / "a.csv"), "--pipeline", str(tmp_path / "none.json")) == (2, "io_error")
+    assert code("run", "--input", str(tmp_path / "a.csv"), "--pipeline", str(tmp_path / "bad.json")) == (2, "json_error")
+    assert code("detect", "--input", str(tmp_path / "none.csv")) == (2, "io_error")
+
+
+def test_results_of_unknown_versions_are_refused(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"breakpoints": [2], "diagnostics": {"schema_version": 3}}) + "\n")
+    with pytest.raises(Exception, match="schema version 3"):
+        files.read_results(spark, str(tmp_path / "r.json"), "breakpoints array<bigint>").collect()
+    (tmp_path / "r.json").write_text(json.dumps({"breakpoints": [2], "diagnostics": {"schema_version": 2}}) + "\n")
+    assert files.read_results(spark, str(tmp_path / "r.json"), "breakpoints array<bigint>").first()["breakpoints"] == [2]
+
+
 def test_consensus_and_validation(spark, series):
     specs = [{"detector": "pelt", "stopping": {"pen": 30.0}}, {"detector": "binseg", "stopping": {"pen": 30.0}}]
     assert {(r["change_point"], r["votes"]) for r in ensemble(series, specs).collect()} == {(45, 2)}
