@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, lm_score, mixing, ngram_join, pieces, quality, suffix_dedup, toxicity
+from . import ball_kmeans, exact_dedup, fingerprints, language_id, lm_score, mixing, ngram_join, phrases, pieces, quality, suffix_dedup, toxicity, warc
 
 
 def _pipeline(spark, sf_dir: str):
@@ -23,6 +23,9 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_warc": warc.op12_warc,
+        "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
         "pipeline": _pipeline,
     }
 
@@ -32,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
         "op10_ngram_join": ngram_join.ORACLE_SQL,
+        "op11_phrases": phrases.ORACLE_SQL,
+        "op12_warc": warc.ORACLE_SQL,
+        "op13_ball_kmeans": ball_kmeans.ORACLE_SQL,
     }
