@@ -2,9 +2,13 @@
 
 1. Shards: texts of a task are cut into pieces and words, and become blocks of word ids of bounded size; ids are local to the block.
 2. Levels, m = 1 to 5: each block orders its suffixes by their first m words by prefix doubling; the intervals of the common
-   prefixes are its phrases of m words with their counts. These are merged globally by a 64-bit key, after one sum per block, and the
+   prefixes are its phrases of m words with their counts. These are merged globally by a key, after one sum per block, and the
    keys that reach `least` go back to the blocks that hold them. A block goes on with phrases whose first and last m - 1 words
-   have both stayed, since no other can reach `least`, so that later levels have little to send.
+   have both stayed, since no other can reach `least`, so that later levels have little to send. Keys are dealt out by their
+   range; the keys of a block in a range are one row, sorted, as differences. A phrase has one entry a block, however often it
+   is there, and the number of ranges follows that of the words, so that a range fits into a task at every size. (A block has a
+   million keys or so: with more than some ten thousand ranges, beyond a terabyte of text, a row holds few of them, and a
+   key then costs as much as a plain row.)
 3. Keys only prune, as two phrases with one key count too much together at worst. The phrases that stay are summed by their own
    words (one row per block and phrase), and that sum decides and is returned.
 4. Cuts and longer phrases are looked up in the table of these phrases; all cuts of a phrase that counts often do so themselves.
@@ -17,6 +21,7 @@ words with four words of context that are not counted again; a word is never cut
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lookup, parallelism, release, table, text_of, workdir, written
-from .shingles import mix
+from .common import corpus_size, lookup, parallelism, release, table, text_of, workdir, written
+from .shingles import mix, runs
 
 LONGEST, LEAST, SCALE, FIRST = 5, 100, 1000, 2000
-#: Bytes of text in a block, rows of an Arrow batch that goes out.
-BLOCK, ROWS = 12 << 20, 500_000
+#: Bytes of text in a block, words for each range of keys, rows of an Arrow batch that goes out.
+BLOCK, RANGE, ROWS = 12 << 20, 2_000_000, 20_000
 _U = np.uint64
 #: The characters between pieces, and those between words of a piece.
 _BETWEEN, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -39,16 +44,34 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)) + _BETWEEN, bytes(range(97, 123))
 #: Stands for the end of a piece among the words, of which none has a full stop.
 _BREAK = b"."
 
-_STEP = "kind int, block bigint, key bigint, n bigint, lang string, phrase binary, m int, ids binary, good binary, skip binary, words binary, langs array<string>, ends array<int>"
+_STEP = "kind int, block bigint, bucket int, n bigint, lang string, phrase binary, m int, keys binary, counts binary, ids binary, good binary, skip binary, words binary, langs array<string>, ends array<int>"
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int32())]
-    + [(c, pa.binary()) for c in ("ids", "good", "skip", "words")]
+    [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int32())]
+    + [(c, pa.binary()) for c in ("keys", "counts", "ids", "good", "skip", "words")]
     + [("langs", pa.list_(pa.string())), ("ends", pa.list_(pa.int32()))]
 )
-#: Kinds of rows: the state of a block, keys with their counts in a block, phrases with theirs, words of a language.
+#: Kinds of rows: the state of a block, its keys of one range with their counts, phrases with theirs, words of a language.
 STATE, KEY, PHRASE, TOTAL = range(4)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as their first bytes, then their second ones, and so on, which compress: most are small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys below 2**32 as differences."""
+    return planes(np.diff(keys, prepend=0))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data))
+
+
 def parts_of(text: bytes, limit: int = BLOCK, context: int = LONGEST - 1) -> Iterator[tuple[bytes, int]]:
     """Parts of a translated text, and how many words at the end of each are context, which the next part holds too."""
     at = 0
@@ -103,13 +126,13 @@ class Block:
 
     @staticmethod
     def read(row: dict) -> Block:
-        ids = np.frombuffer(row["ids"], np.int32).astype(np.int64)
+        ids = unplaned(row["ids"])
         flags = [np.unpackbits(np.frombuffer(row[c], np.uint8), count=len(ids)).astype(bool) for c in ("good", "skip")]
         return Block(ids, *flags, row["words"].split(b"\n"), row["langs"], row["ends"])
 
     def row(self, block: int) -> dict:
         packed = {c: np.packbits(getattr(self, c)).tobytes() for c in ("good", "skip")}
-        return {"kind": STATE, "block": block, "ids": self.ids.astype(np.int32).tobytes(), "words": b"\n".join(self.words), "langs": self.langs, "ends": self.ends, **packed}
+        return {"kind": STATE, "block": block, "ids": planes(self.ids), "words": b"\n".join(self.words), "langs": self.langs, "ends": self.ends, **packed}
 
     def hashes(self) -> np.ndarray:
         """A hash of each word and its language, by number."""
@@ -130,14 +153,14 @@ class Block:
         order = order[start[order]]
         if not len(order):
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none.view(np.uint64), none, none, none
         head = np.concatenate([[0], np.nonzero(common_prefixes(self.ids, order, m) < m)[0] + 1])
         count = np.add.reduceat((~self.skip[order]).astype(np.int64), head)
         first, word = order[head], self.hashes()
         key = np.full(len(first), m, np.uint64)
         for k in range(m):
             key = mix(key * _U(0x9E3779B97F4A7C15) + word[self.ids[first + k]])
-        return key.view(np.int64), count, head, order
+        return key, count, head, order
 
     def phrase(self, at: int, m: int) -> bytes:
         return b" ".join(self.words[i - 1] for i in self.ids[at : at + m])
@@ -171,12 +194,12 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
         far = np.zeros(n, np.int64)
         far[: max(0, n - h)] = rank[h:]
         both = rank * (int(rank.max(initial=0)) + 1) + far
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         new = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
         h *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def common_prefixes(ids: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
@@ -198,13 +221,40 @@ def _filled(rows: int, **columns) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _ARROW], schema=_ARROW)
 
 
-def _keys(block: int, found: Block, m: int) -> pa.Table:
+def _cut(key: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of each key, its range, and the 32 that follow, as one number."""
+    return (key >> _U(32 - bits)).astype(np.int64)
+
+
+def _keys(block: int, found: Block, m: int, bits: int) -> pa.Table:
+    """The keys of a block's phrases of m words with their counts, a row for each range of keys."""
     key, count, _, _ = found.grams(m)
-    n = len(key)
-    return _filled(n, kind=np.full(n, KEY, np.int32), block=np.full(n, block, np.int64), key=key, n=count)
+    key = _cut(key, bits)
+    by = np.argsort(key)
+    key, count = key[by], count[by]
+    bucket = key >> 32
+    rows = [(int(bucket[a]), packed_keys(key[a:b] & 0xFFFFFFFF), planes(count[a:b])) for a, b in runs(bucket)]
+    return _filled(len(rows), kind=np.full(len(rows), KEY, np.int32), block=np.full(len(rows), block, np.int64), bucket=[r[0] for r in rows], keys=[r[1] for r in rows], counts=[r[2] for r in rows])
+
+
+def _often(least: int):
+    """For the keys of all blocks in one range: of each block those that reach `least` together, if there are any."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = [unpacked_keys(x.as_py()) for x in rows.column("keys")]
+        every, count = np.concatenate(own), np.concatenate([unplaned(x.as_py()) for x in rows.column("counts")])
+        by = np.argsort(every)
+        head = np.nonzero(np.diff(every[by], prepend=-1))[0]
+        stay = every[by][head[np.add.reduceat(count[by], head) >= least]]
+        bucket = rows.column("bucket")[0].as_py()
+        kept = [(block, keys[np.isin(keys, stay, assume_unique=False)]) for block, keys in zip(rows.column("block").to_pylist(), own, strict=True)] if len(stay) else []
+        kept = [(block, keys) for block, keys in kept if len(keys)]
+        return pa.table([pa.array([b for b, _ in kept], pa.int64()), pa.array([bucket] * len(kept), pa.int32()), pa.array([packed_keys(k) for _, k in kept], pa.binary())], names=["at", "bucket", "keys"])
+
+    return run
 
 
-def _blocks(limit: int):
+def _blocks(limit: int, bits: int):
     """Blocks of texts, the counts of their words by key, and the number of words of each language."""
 
     def flushed(parts: dict[str, list], number: int) -> Iterator[pa.Table]:
@@ -213,7 +263,7 @@ def _blocks(limit: int):
         words = ~made.skip & (made.ids > 0)
         totals = np.bincount(made.lang(np.nonzero(words)[0]), minlength=len(made.langs))
         yield _table([made.row(block), *({"kind": TOTAL, "lang": x, "n": int(n)} for x, n in zip(made.langs, totals, strict=True))])
-        yield _keys(block, made, 1)
+        yield _keys(block, made, 1, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, number = {}, 0, 0
@@ -233,7 +283,7 @@ def _blocks(limit: int):
     return run
 
 
-def _level(m: int, longest: int):
+def _level(m: int, longest: int, bits: int):
     """For one block and the keys of m words that stay: these phrases with their counts, the narrowed block, and its keys of m + 1 words."""
 
     def run(state: pa.Table, stay: pa.Table) -> pa.Table:
@@ -242,7 +292,8 @@ def _level(m: int, longest: int):
         row = state.to_pylist()[0]
         found, number = Block.read(row), row["block"]
         key, count, head, order = found.grams(m)
-        kept = np.isin(key, stay.column("key").to_numpy())
+        there = np.concatenate([unpacked_keys(k.as_py()) | b << 32 for k, b in zip(stay.column("keys"), stay.column("bucket").to_pylist(), strict=True)])
+        kept = np.isin(_cut(key, bits), there)
         first = order[head]
         tell = np.nonzero(kept & (count > 0))[0]
         named = np.array(found.langs, dtype=object)[found.lang(first[tell])] if len(tell) else []
@@ -252,7 +303,7 @@ def _level(m: int, longest: int):
             good[order[np.repeat(kept, np.diff(np.append(head, len(order))))]] = True
             narrow = found.narrowed(good, m)
             if narrow is not None:
-                out += [_table([narrow.row(number)]), _keys(number, narrow, m + 1)]
+                out += [_table([narrow.row(number)]), _keys(number, narrow, m + 1, bits)]
         return pa.concat_tables(out)
 
     return run
@@ -264,15 +315,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     spark = docs.sparkSession
     folder = workdir(spark, "phrases")
     rows = docs.select(text_of("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    step = written(rows.mapInArrow(_blocks(limit), _STEP), f"{folder}/level0")
+    # A word takes a byte and a space at least.
+    size = corpus_size(docs)[1]
+    bits = max(0, math.ceil(math.log2(max(1, size / 2 / RANGE))))
+    step = written(rows.mapInArrow(_blocks(limit, bits), _STEP), f"{folder}/level0")
     totals = step.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
     found = []
     for m in range(1, longest + 1):
-        keys = step.where(F.col("kind") == KEY).select("block", "key", "n")
-        often = keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-        stay = keys.select(F.col("block").alias("at"), "key").join(often, "key", "left_semi")
+        keys = step.where(F.col("kind") == KEY).select("block", "bucket", "keys", "counts")
+        stay = keys.groupBy("bucket").applyInArrow(_often(least), "at bigint, bucket int, keys binary")
         state = step.where(F.col("kind") == STATE).select("block", "ids", "good", "skip", "words", "langs", "ends")
-        step = written(state.groupBy("block").cogroup(stay.groupBy("at")).applyInArrow(_level(m, longest), _STEP), f"{folder}/level{m}")
+        step = written(state.groupBy("block").cogroup(stay.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
         found.append(step.where(F.col("kind") == PHRASE).select("lang", F.col("phrase").cast("string").alias("phrase"), "m", "n"))
         release(spark)
     every = found[0]
