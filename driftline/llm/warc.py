@@ -5,13 +5,13 @@
    line separator. Longer records are written apart, with their own last byte as separator. No member holds MAGIC but at its start.
 2. `read_archives`: the files as lines that end at MAGIC, the first bytes of a gzip member, so that a large archive is read by
    many tasks and a task holds a record at a time. A record is decoded, and its payload is hashed.
-3. `deduplicated`: the headers, without payloads, are shuffled by payload digest, after a partial maximum in each task; that of
+3. `deduplicated`: headers, without payloads, are shuffled by payload digest, after a partial maximum in each task; that of
    equal payloads with the largest id stays a response. Decisions are joined to the compressed members by record id, and new
    archives are written with fresh headers: responses whole, the others as revisit records that name their original.
 4. `resolved`: headers of such archives, where each revisit is joined to its original response by payload digest. A digest with
    many revisits is dealt to several tasks.
 
-SHA-1 names a payload in the records; equality is decided by SHA-1 and SHA-256 together.
+SHA-1 names a payload in the records; equality is decided by SHA-256.
 
 Defined results: a null text is an empty payload; rows without id have no id header, come before all others where the largest id is
 looked for, and read back as null; of equal payloads and ids the record with the greatest record id is the response; line breaks in
@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
-from .common import lookup, table, text_of, workdir, written
+from .common import lookup, release, table, text_of, workdir, written
 
 #: The first three bytes of a gzip member that holds deflated data.
 MAGIC = b"\x1f\x8b\x08"
 #: The archives carry no capture times of their own in `pages`.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-LEVEL = 5
+LEVEL = 6
 END = "\r\n"
 _HEAD = "record_id string, record_type string, page_id string, uri string, date string, refers_to_id string, declared string, payload_bytes bigint, sha1 string, sha256 binary"
 
@@ -211,19 +211,20 @@ def decisions(heads: DataFrame, kind: str = "bigint", least: int = 0) -> DataFra
     heads: of archives. Among responses with equal payloads of at least `least` bytes that with the largest page id is the original; a
     record that is a revisit already refers to the original with its digest, if there is one.
     """
-    own = heads.select("record_id", "record_type", F.col("page_id").cast(kind).alias("page"), "uri", "date", F.coalesce("sha1", "declared").alias("digest"), F.coalesce("sha256", F.lit(b"")).alias("strong"), "payload_bytes")
-    own = own.where(F.col("digest").isNotNull())
-    response = own.where("record_type = 'response'").where(F.col("payload_bytes") >= least)
-    best = response.groupBy("digest", "strong").agg(F.max(F.struct("page", "record_id", "uri", "date")).alias("best"), F.count(F.lit(1)).alias("m"))
-    best = best.select("digest", "strong", F.col("best.record_id").alias("target_id"), F.col("best.uri").alias("target_uri"), F.col("best.date").alias("target_date"), "m", F.col("best.page").alias("page"))
+    page = F.col("page_id").cast(kind).alias("page")
+    response = heads.where((F.col("record_type") == "response") & F.col("sha256").isNotNull() & (F.col("payload_bytes") >= least))
     # Only records that share their payload are looked up: the others stay as they are.
-    shared = best.where("m > 1")
-    sizes, total = shared.groupBy("digest").agg(F.sum("m").alias("m")), heads.count()
-    again = lookup(response.select("record_id", "digest", "strong"), shared.select("digest", "strong", "target_id", "target_uri", "target_date"), ["digest", "strong"], sizes, total, ["record_id"])
-    again = again.where("record_id != target_id").select("record_id", "target_id", "target_uri", "target_date")
-    old = own.where("record_type = 'revisit'").select("record_id", "digest")
-    first = best.groupBy("digest").agg(F.max(F.struct("page", "target_id", "target_uri", "target_date")).alias("b")).select("digest", "b.target_id", "b.target_uri", "b.target_date")
-    return again.unionByName(lookup(old, first, ["digest"], old.groupBy("digest").agg(F.count(F.lit(1)).alias("m")), total, ["record_id"]).select("record_id", "target_id", "target_uri", "target_date"))
+    best = response.groupBy("sha256").agg(F.max(F.struct(page, "record_id", "uri", "date")).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    best = best.select("sha256", "m", F.col("best.record_id").alias("target_id"), F.col("best.uri").alias("target_uri"), F.col("best.date").alias("target_date"))
+    total = heads.count()
+    found = lookup(response.select("record_id", "sha256"), best.drop("m"), ["sha256"], best.select("sha256", "m"), total, ["record_id"]).where("record_id != target_id").drop("sha256")
+    old = heads.where("record_type = 'revisit' and declared is not null").select("record_id", F.col("declared").alias("sha1"))
+    if old.isEmpty():
+        return found
+    sizes = old.groupBy("sha1").agg(F.count(F.lit(1)).alias("m"))
+    first = response.join(sizes.select("sha1"), "sha1", "left_semi").groupBy("sha1").agg(F.max(F.struct(page, "record_id", "uri", "date")).alias("b"))
+    first = first.select("sha1", F.col("b.record_id").alias("target_id"), F.col("b.uri").alias("target_uri"), F.col("b.date").alias("target_date"))
+    return found.unionByName(lookup(old, first, ["sha1"], sizes, total, ["record_id"]).drop("sha1"))
 
 
 def fresh_id(record_id: str) -> str:
@@ -273,6 +274,7 @@ def deduplicated(spark: SparkSession, source: str, path: str, kind: str = "bigin
     folder = workdir(spark, "warc")
     heads = written(headers(spark, source), f"{folder}/headers")
     decided = written(decisions(heads, kind, least), f"{folder}/decisions")
+    release(spark)
     named = read_archives(spark, source).mapInArrow(_named_members, "record_id string, member binary")
     # Compressed members are dealt out by record id, of which there is one a record; the decisions, which are short, are the hashed side.
     whole = named.join(decided.hint("shuffle_hash"), "record_id", "left").select("member", "target_id", "target_uri", "target_date")
