@@ -103,7 +103,17 @@ class Lexicon:
             got = kinds.get(False) if closed and False in kinds else kinds.get(True)
             if got and (start not in found or found[start][0] < size):
                 found[start] = (size, *got)
-        return [(t, w, s) for s, (size, t, w) in found.items() if not any(a <= s and s + size - 1 <= b for a, b in covered)]
+        # In the order of their starts: a match is covered if a phrase that starts no later reaches as far as it does.
+        covered.sort()
+        out, reach, k = [], -1, 0
+        for start in sorted(found):
+            while k < len(covered) and covered[k][0] <= start:
+                reach = max(reach, covered[k][1])
+                k += 1
+            size, term, weight = found[start]
+            if start + size - 1 > reach:
+                out.append((term, weight, start))
+        return out
 
     def features(self, texts: list[str]) -> np.ndarray:
         """For each text: weighted hits, hits per square root of the length in words, and distinct entries, all damped."""
