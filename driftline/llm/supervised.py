@@ -26,13 +26,19 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, rest
     """doc_id, text, y and part (0 or 1: two thirds to learn from, one third to calibrate on) of a bounded sample.
 
     Rows whose remainder is `rest` are never used. Of several labels of one document the largest counts; null labels and
-    null ids are skipped. The sample's ids are at most about `bound` rows, whatever the input, so they are broadcast.
+    null ids are skipped. The sample's ids are at most about `bound` rows, whatever the input, so they are broadcast. Where ids
+    repeat, rows alike in id and text count once, and the rows are thinned by id and text if there are over twice as many as `bound`.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != F.lit(rest)))
     known = known.groupBy(F.col("doc_id")).agg(F.max(F.col(target)).cast("int").alias("y"))
     ids = sampled(known, "doc_id", bound)
     part = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)) == 0).cast("int").alias("part")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", part)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    n = rows.count()
+    if n > ids.count():
+        share = 1.0 if n <= 2 * bound else bound / n
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * share)).dropDuplicates(["doc_id", "text"])
+    return rows.select("doc_id", "text", "y", part)
 
 
 def held(modulus: int, rest: int) -> Column:
