@@ -1,17 +1,18 @@
 """Collocations: phrases of 2 to 5 words whose words come together more often than by chance, from suffix arrays of word ids.
 
-1. Shards: texts of a task are cut into pieces and words, and become blocks of word ids of bounded size; ids are local to the block.
-2. Levels, m = 1 to 5: each block orders its suffixes by their first m words by prefix doubling; the intervals of the common
-   prefixes are its phrases of m words with their counts. These are merged globally by a key, after one sum per block, and the
-   keys that reach `least` go back to the blocks that hold them. A block goes on with phrases whose first and last m - 1 words
-   have both stayed, since no other can reach `least`, so that later levels have little to send. Keys are dealt out by their
-   range; the keys of a block in a range are one row, sorted, as differences. A phrase has one entry a block, however often it
-   is there, and the number of ranges follows that of the words, so that a range fits into a task at every size. (A block has a
-   million keys or so: with more than some ten thousand ranges, beyond a terabyte of text, a row holds few of them, and a
-   key then costs as much as a plain row.)
-3. Keys only prune, as two phrases with one key count too much together at worst. The phrases that stay are summed by their own
-   words (one row per block and phrase), and that sum decides and is returned.
-4. Cuts and longer phrases are looked up in the table of these phrases; all cuts of a phrase that counts often do so themselves.
+1. Shards: texts of a task are cut into pieces and words, and become blocks of word numbers of bounded size. The words of a
+   block, with their counts, go to ranges by a hash of the word; a range sums them and gives numbers to those that reach
+   `least`, which hold for all blocks. The others part phrases from then on, since no phrase with one of them can reach `least`.
+2. Levels, m = 2 to 5: each block orders its suffixes by their first m words by prefix doubling; the intervals of the common
+   prefixes are its phrases of m words with their counts. A phrase is the number of its first m - 1 words, which must have
+   stayed as a phrase, and the number of its last word; its last m - 1 words must have stayed too. Ranges sum these pairs, after
+   one sum per block, and give numbers to those that reach `least`; the blocks that hold them get the numbers back.
+3. The pairs of a block in a range are one row, sorted, as differences. A phrase has one entry a block, however often it is there,
+   and the number of ranges follows that of the words, so that a range fits into a task at every size. (A block has a
+   million pairs or so: with more than some ten thousand ranges, beyond a terabyte of text, a row holds few of them, and a
+   pair then costs as much as a plain row.) All counts are exact: words are compared as such, phrases by numbers.
+4. The few phrases that stay get their words back by joins. Cuts and longer phrases are looked up in the table of these
+   phrases; all parts of a phrase that counts often do so themselves.
 
 Defined results: a null text is empty; a null language is `und`; texts without words give nothing; an empty table gives an empty
 result. Only A-Z are lower-cased. Repeated rows count as often as they stand there. A long text is cut between pieces, or between
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .common import corpus_size, lookup, parallelism, release, table, text_of, w
 from .shingles import mix, runs
 
 LONGEST, LEAST, SCALE, FIRST = 5, 100, 1000, 2000
-#: Bytes of text in a block, words for each range of keys, rows of an Arrow batch that goes out.
-BLOCK, RANGE, ROWS = 12 << 20, 2_000_000, 20_000
+#: Bytes of text in a block, words for each range of pairs, rows of an Arrow batch that goes out.
+BLOCK, RANGE, ROWS = 12 << 20, 1_000_000, 20_000
 _U = np.uint64
 #: The characters between pieces, and those between words of a piece.
 _BETWEEN, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -44,32 +46,24 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)) + _BETWEEN, bytes(range(97, 123))
 #: Stands for the end of a piece among the words, of which none has a full stop.
 _BREAK = b"."
 
-_STEP = "kind int, block bigint, bucket int, n bigint, lang string, phrase binary, m int, keys binary, counts binary, ids binary, good binary, skip binary, words binary, langs array<string>, ends array<int>"
+#: Kinds of rows: the state of a block, what it has in one range, the numbers that a range gives back to a block, what has stayed
+#: in a range, and the words of a language.
+STATE, PART, REPLY, STAYED, TOTAL = range(5)
+_BINARY = ("tokens", "firsts", "lasts", "counts", "numbers", "ids", "names", "grams", "gram_names", "skip")
+_STEP = "kind int, block bigint, bucket int, n bigint, text binary, first bigint, last bigint, number bigint, " + ", ".join(f"{c} binary" for c in _BINARY)
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int32())]
-    + [(c, pa.binary()) for c in ("keys", "counts", "ids", "good", "skip", "words")]
-    + [("langs", pa.list_(pa.string())), ("ends", pa.list_(pa.int32()))]
+    [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("text", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("number", pa.int64())]
+    + [(c, pa.binary()) for c in _BINARY]
 )
-#: Kinds of rows: the state of a block, its keys of one range with their counts, phrases with theirs, words of a language.
-STATE, KEY, PHRASE, TOTAL = range(4)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as their first bytes, then their second ones, and so on, which compress: most are small."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers as their first bytes, then their second ones, and so on, which compress: most are small."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys below 2**32 as differences."""
-    return planes(np.diff(keys, prepend=0))
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(data))
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
 
 
 def parts_of(text: bytes, limit: int = BLOCK, context: int = LONGEST - 1) -> Iterator[tuple[bytes, int]]:
@@ -93,96 +87,106 @@ def parts_of(text: bytes, limit: int = BLOCK, context: int = LONGEST - 1) -> Ite
 
 
 class Block:
-    """Word ids of pieces, 0 between them; good: at which places the phrase of the level starts; skip: places of context."""
+    """Word numbers of pieces, 0 between them. names: of each number in the block that in all blocks (of 0, 0); grams: at each
+    place the number in the block of the phrase of the level before that starts there, 0 for none; skip: places of context."""
 
-    def __init__(self, ids: np.ndarray, good: np.ndarray, skip: np.ndarray, words: list[bytes], langs: list[str], ends: list[int]):
-        self.ids, self.good, self.skip, self.words, self.langs, self.ends = ids, good, skip, words, langs, ends
-
-    @staticmethod
-    def of(parts: dict[str, list[tuple[bytes, int]]]) -> Block:
-        """The block of translated parts of texts by language; words of two languages are two words."""
-        ids, skip, words, langs, ends = [np.zeros(1, np.int64)], [], [], sorted(parts), []
-        at = 1
-        for lang in langs:
-            tokens: list[bytes] = []
-            for text, context in parts[lang]:
-                tokens += text.replace(b"\n", b" . ").split()
-                skip += range(at + len(tokens) - context, at + len(tokens))
-                tokens.append(_BREAK)
-            coded = pa.array(tokens, pa.binary()).dictionary_encode()
-            own = coded.dictionary.to_pylist()
-            # Words get the numbers that follow; a break is 0.
-            number = np.arange(len(own), dtype=np.int64) + len(words) + 1
-            pause = own.index(_BREAK)
-            number[pause], number[pause + 1 :] = 0, number[pause + 1 :] - 1
-            words += own[:pause] + own[pause + 1 :]
-            ends.append(len(words))
-            ids.append(number[coded.indices.to_numpy()])
-            at += len(tokens)
-        all_ids = np.concatenate([*ids, np.zeros(LONGEST, np.int64)])
-        flags = np.zeros(len(all_ids), dtype=bool)
-        flags[skip] = True
-        return Block(all_ids, all_ids > 0, flags, words, langs, ends)
+    def __init__(self, ids: np.ndarray, names: np.ndarray, grams: np.ndarray, gram_names: np.ndarray, skip: np.ndarray):
+        self.ids, self.names, self.grams, self.gram_names, self.skip = ids, names, grams, gram_names, skip
 
     @staticmethod
     def read(row: dict) -> Block:
-        ids = unplaned(row["ids"])
-        flags = [np.unpackbits(np.frombuffer(row[c], np.uint8), count=len(ids)).astype(bool) for c in ("good", "skip")]
-        return Block(ids, *flags, row["words"].split(b"\n"), row["langs"], row["ends"])
+        own = [unplaned(row[c]) for c in ("ids", "names", "grams", "gram_names")]
+        skip = np.zeros(len(own[0]), dtype=bool)
+        skip[unplaned(row["skip"])] = True
+        return Block(*own, skip)
 
     def row(self, block: int) -> dict:
-        packed = {c: np.packbits(getattr(self, c)).tobytes() for c in ("good", "skip")}
-        return {"kind": STATE, "block": block, "ids": planes(self.ids), "words": b"\n".join(self.words), "langs": self.langs, "ends": self.ends, **packed}
-
-    def hashes(self) -> np.ndarray:
-        """A hash of each word and its language, by number."""
-        out, a = np.zeros(len(self.words) + 1, np.uint64), 0
-        for lang, b in zip(self.langs, self.ends, strict=True):
-            name = lang.encode("utf-8", "surrogatepass") + b"\n"
-            raw = b"".join(hashlib.blake2b(name + w, digest_size=8).digest() for w in self.words[a:b])
-            out[a + 1 : b + 1], a = np.frombuffer(raw, np.uint64), b
-        return out
-
-    def grams(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases of m words: key, count without context and first place of each, and all places in the order of the phrases."""
-        if m > 1:  # both its first and its last m - 1 words are still there
-            start = self.good & np.append(self.good[1:], False)
-        else:
-            start = self.ids > 0
+        return {"kind": STATE, "block": block, "skip": planes(np.nonzero(self.skip)[0]), **{c: planes(getattr(self, c)) for c in ("ids", "names", "grams", "gram_names")}}
+
+    def intervals(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of m words both of whose parts of m - 1 words have stayed: first place and count without context of each, all
+        places in the order of the phrases, and where each phrase begins there."""
+        start = (self.grams > 0) & np.append(self.grams[1:] > 0, False)
         order = suffix_array(self.ids, m)
         order = order[start[order]]
         if not len(order):
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, none
+            return none, none, none, none
         head = np.concatenate([[0], np.nonzero(common_prefixes(self.ids, order, m) < m)[0] + 1])
-        count = np.add.reduceat((~self.skip[order]).astype(np.int64), head)
-        first, word = order[head], self.hashes()
-        key = np.full(len(first), m, np.uint64)
-        for k in range(m):
-            key = mix(key * _U(0x9E3779B97F4A7C15) + word[self.ids[first + k]])
-        return key, count, head, order
-
-    def phrase(self, at: int, m: int) -> bytes:
-        return b" ".join(self.words[i - 1] for i in self.ids[at : at + m])
-
-    def lang(self, at: np.ndarray) -> np.ndarray:
-        """Number of the language at places with words."""
-        return np.searchsorted(np.array(self.ends), self.ids[at] - 1, side="right")
-
-    def narrowed(self, good: np.ndarray, m: int) -> Block | None:
-        """The block of the phrases of m words that start where good is true; None if there are none."""
-        if not good.any():
+        return order[head], np.add.reduceat((~self.skip[order]).astype(np.int64), head), order, head
+
+    def pairs(self, m: int, bits: int) -> tuple[np.ndarray, ...]:
+        """Of the phrases of m words the range, first part, last word and count, sorted, and all places and where a phrase begins,
+        in the same order."""
+        at, count, order, head = self.intervals(m)
+        first, last = self.gram_names[self.grams[at]], self.names[self.ids[at + m - 1]]
+        bucket = ranges(mix(mix(first.astype(np.uint64)) + last.astype(np.uint64)), bits)
+        by = np.lexsort((last, first, bucket))
+        size = np.diff(np.append(head, len(order)))
+        return bucket[by], first[by], last[by], count[by], order, head[by], size[by]
+
+    def narrowed(self, grams: np.ndarray, gram_names: np.ndarray, m: int) -> Block | None:
+        """The block of what is covered by the phrases of m words that start where grams is not 0; None if there are none."""
+        if not grams.any():
             return None
-        cover = np.cumsum(good.astype(np.int64))
+        cover = np.cumsum((grams > 0).astype(np.int64))
         cover[m:] -= cover[:-m].copy()
         inside = cover > 0
-        ids = np.where(inside, self.ids, 0)
         keep = inside | np.concatenate([[True], inside[:-1]])  # one break after each stretch
-        ids, good, skip = ids[keep], good[keep], self.skip[keep]
-        used, short = np.unique(ids, return_inverse=True)  # 0 is used: a break follows each stretch
-        ends = np.searchsorted(used, np.array(self.ends), side="right") - 1
+        ids, grams, skip = np.where(inside, self.ids, 0)[keep], grams[keep], self.skip[keep]
         pad = np.zeros(LONGEST, np.int64)
-        return Block(np.concatenate([short, pad]), np.append(good, pad > 0), np.append(skip, pad > 0), [self.words[i - 1] for i in used[1:]], self.langs, ends.tolist())
+        ids, grams, skip = np.concatenate([ids, pad]), np.concatenate([grams, pad]), np.append(skip, pad > 0)
+        used, short = np.unique(ids, return_inverse=True)
+        kept, own = np.unique(grams, return_inverse=True)
+        return Block(short, self.names[used], own, gram_names[kept], skip)
+
+
+def ranges(key: np.ndarray, bits: int) -> np.ndarray:
+    """The range of a hash, of which there are 2**bits."""
+    return (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
+def encoded(parts: dict[str, list[tuple[bytes, int]]], bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, np.ndarray]], dict[str, int]]:
+    """Of translated parts of texts by language: the word numbers in the block, the places of context, for each range its words with
+    their counts in the order of their numbers, and the number of words of each language.
+
+    A word is its text, a space, and its language, quoted so that no space or line break is in it.
+    """
+    ids, skip, words, totals, at = [np.zeros(1, np.int64)], [], [], {}, 1
+    for lang in sorted(parts):
+        tokens: list[bytes] = []
+        context = 0
+        for text, more in parts[lang]:
+            tokens += text.replace(b"\n", b" . ").split()
+            skip += range(at + len(tokens) - more, at + len(tokens))
+            context += more
+            tokens.append(_BREAK)
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        number = np.arange(len(own), dtype=np.int64) + len(words) + 1
+        pause = own.index(_BREAK)
+        number[pause], number[pause + 1 :] = 0, number[pause + 1 :] - 1
+        tail = b" " + quote(lang, safe="", errors="surrogatepass").encode()
+        words += [w + tail for w in own[:pause] + own[pause + 1 :]]
+        found = number[coded.indices.to_numpy()]
+        totals[lang] = int((found > 0).sum()) - context
+        ids.append(found)
+        at += len(tokens)
+    all_ids = np.concatenate([*ids, np.zeros(LONGEST, np.int64)])
+    flags = np.zeros(len(all_ids), dtype=bool)
+    flags[skip] = True
+    if not words:
+        return all_ids, flags, [], totals
+    # Numbers by range, then by word: the numbers that come back are in this order.
+    key = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+    bucket = ranges(key, bits)
+    order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])))
+    place = np.zeros(len(words) + 1, np.int64)
+    place[order + 1] = np.arange(1, len(words) + 1)
+    all_ids = place[all_ids]
+    count = np.bincount(all_ids[~flags], minlength=len(words) + 1)[1:]
+    cut = [(int(bucket[order[a]]), b"\n".join(words[i] for i in order[a:b]), count[a:b]) for a, b in runs(bucket[order])]
+    return all_ids, flags, cut, totals
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -216,54 +220,16 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_ARROW)
 
 
-def _filled(rows: int, **columns) -> pa.Table:
-    """So many rows with the given columns; the others are null."""
-    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _ARROW], schema=_ARROW)
-
-
-def _cut(key: np.ndarray, bits: int) -> np.ndarray:
-    """The first bits of each key, its range, and the 32 that follow, as one number."""
-    return (key >> _U(32 - bits)).astype(np.int64)
-
-
-def _keys(block: int, found: Block, m: int, bits: int) -> pa.Table:
-    """The keys of a block's phrases of m words with their counts, a row for each range of keys."""
-    key, count, _, _ = found.grams(m)
-    key = _cut(key, bits)
-    by = np.argsort(key)
-    key, count = key[by], count[by]
-    bucket = key >> 32
-    rows = [(int(bucket[a]), packed_keys(key[a:b] & 0xFFFFFFFF), planes(count[a:b])) for a, b in runs(bucket)]
-    return _filled(len(rows), kind=np.full(len(rows), KEY, np.int32), block=np.full(len(rows), block, np.int64), bucket=[r[0] for r in rows], keys=[r[1] for r in rows], counts=[r[2] for r in rows])
-
-
-def _often(least: int):
-    """For the keys of all blocks in one range: of each block those that reach `least` together, if there are any."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        own = [unpacked_keys(x.as_py()) for x in rows.column("keys")]
-        every, count = np.concatenate(own), np.concatenate([unplaned(x.as_py()) for x in rows.column("counts")])
-        by = np.argsort(every)
-        head = np.nonzero(np.diff(every[by], prepend=-1))[0]
-        stay = every[by][head[np.add.reduceat(count[by], head) >= least]]
-        bucket = rows.column("bucket")[0].as_py()
-        kept = [(block, keys[np.isin(keys, stay, assume_unique=False)]) for block, keys in zip(rows.column("block").to_pylist(), own, strict=True)] if len(stay) else []
-        kept = [(block, keys) for block, keys in kept if len(keys)]
-        return pa.table([pa.array([b for b, _ in kept], pa.int64()), pa.array([bucket] * len(kept), pa.int32()), pa.array([packed_keys(k) for _, k in kept], pa.binary())], names=["at", "bucket", "keys"])
-
-    return run
-
-
 def _blocks(limit: int, bits: int):
-    """Blocks of texts, the counts of their words by key, and the number of words of each language."""
+    """Blocks of texts, their words by range, and the number of words of each language."""
 
-    def flushed(parts: dict[str, list], number: int) -> Iterator[pa.Table]:
+    def flushed(parts: dict[str, list], number: int) -> pa.Table:
         block = (TaskContext.get().partitionId() << 32) + number
-        made = Block.of(parts)
-        words = ~made.skip & (made.ids > 0)
-        totals = np.bincount(made.lang(np.nonzero(words)[0]), minlength=len(made.langs))
-        yield _table([made.row(block), *({"kind": TOTAL, "lang": x, "n": int(n)} for x, n in zip(made.langs, totals, strict=True))])
-        yield _keys(block, made, 1, bits)
+        ids, skip, cut, totals = encoded(parts, bits)
+        none = np.zeros(0, np.int64)
+        rows = [Block(ids, none, none, none, skip).row(block)]
+        rows += [{"kind": PART, "block": block, "bucket": r, "tokens": words, "counts": planes(count)} for r, words, count in cut]
+        return _table(rows + [{"kind": TOTAL, "text": lang.encode("utf-8", "surrogatepass"), "n": n} for lang, n in totals.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, number = {}, 0, 0
@@ -273,38 +239,108 @@ def _blocks(limit: int, bits: int):
                     parts.setdefault(lang.as_py(), []).append(part)
                     size += len(part[0]) + 1
                     if size >= limit:
-                        for t in flushed(parts, number):
-                            yield from t.to_batches(ROWS)
+                        yield from flushed(parts, number).to_batches(ROWS)
                         parts, size, number = {}, 0, number + 1
         if parts:
-            for t in flushed(parts, number):
-                yield from t.to_batches(ROWS)
+            yield from flushed(parts, number).to_batches(ROWS)
 
     return run
 
 
+def _numbered(total: np.ndarray, least: int, bucket: int, bits: int) -> np.ndarray:
+    """Numbers, unlike in all ranges, of the entries of a range whose total reaches `least`; 0 for the others."""
+    stay = total >= least
+    out = np.zeros(len(total), np.int64)
+    out[stay] = (np.arange(stay.sum(), dtype=np.int64) << bits | bucket) + 1
+    return out
+
+
+def _replies(rows: pa.Table, numbers: np.ndarray, sizes: list[int], bucket: int) -> list[dict]:
+    """For each block of which anything stays the numbers of what it has sent, in its order."""
+    cuts = np.cumsum([0, *sizes])
+    parts = [(block, numbers[a:b]) for block, a, b in zip(rows.column("block").to_pylist(), cuts, cuts[1:], strict=False)]
+    return [{"kind": REPLY, "block": block, "bucket": bucket, "numbers": planes(own)} for block, own in parts if own.any()]
+
+
+def _often_words(least: int, bits: int):
+    """The words of one range: their sums over all blocks, exactly, and numbers for those that stay."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        lists = [x.as_py().split(b"\n") for x in rows.column("tokens")]
+        place: dict[bytes, int] = {}
+        every = np.fromiter((place.setdefault(w, len(place)) for own in lists for w in own), np.int64)
+        total = np.zeros(len(place), np.int64)
+        np.add.at(total, every, np.concatenate([unplaned(x.as_py()) for x in rows.column("counts")]))
+        number = _numbered(total, least, bucket, bits)
+        out = [{"kind": STAYED, "number": int(number[i]), "text": w, "n": int(total[i])} for w, i in place.items() if number[i]]
+        return _table(out + _replies(rows, number[every], [len(x) for x in lists], bucket))
+
+    return run
+
+
+def _often_pairs(least: int, bits: int):
+    """The same for pairs of a part and a last word."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        column = lambda name: [unplaned(x.as_py()) for x in rows.column(name)]
+        firsts = [np.cumsum(x) for x in column("firsts")]
+        first, last, count = np.concatenate(firsts), np.concatenate(column("lasts")), np.concatenate(column("counts"))
+        by = np.lexsort((last, first))
+        new = (np.diff(first[by], prepend=-1) != 0) | (np.diff(last[by], prepend=-1) != 0)
+        head = np.nonzero(new)[0]
+        total = np.add.reduceat(count[by], head)
+        number = _numbered(total, least, bucket, bits)
+        spread = np.empty(len(by), np.int64)
+        spread[by] = number[np.cumsum(new) - 1]
+        stay = np.nonzero(number)[0]
+        out = [{"kind": STAYED, "number": int(number[i]), "first": int(first[by[head[i]]]), "last": int(last[by[head[i]]]), "n": int(total[i])} for i in stay]
+        return _table(out + _replies(rows, spread, [len(x) for x in firsts], bucket))
+
+    return run
+
+
+def _parts(block: int, found: Block, m: int, bits: int) -> list[dict]:
+    bucket, first, last, count, *_ = found.pairs(m, bits)
+    return [{"kind": PART, "block": block, "bucket": int(bucket[a]), "firsts": planes(np.diff(first[a:b], prepend=0)), "lasts": planes(last[a:b]), "counts": planes(count[a:b])} for a, b in runs(bucket)]
+
+
+def _numbers(bucket: np.ndarray, back: pa.Table) -> np.ndarray:
+    """The numbers that came back, for entries in the order of their ranges; 0 where a range sent none."""
+    out = np.zeros(len(bucket), np.int64)
+    for b, own in zip(back.column("bucket").to_pylist(), back.column("numbers"), strict=True):
+        a = np.searchsorted(bucket, b)
+        own = unplaned(own.as_py())
+        out[a : a + len(own)] = own
+    return out
+
+
 def _level(m: int, longest: int, bits: int):
-    """For one block and the keys of m words that stay: these phrases with their counts, the narrowed block, and its keys of m + 1 words."""
+    """A block after what came back for its phrases of m words, and its phrases of m + 1 words by range."""
 
-    def run(state: pa.Table, stay: pa.Table) -> pa.Table:
-        if not state.num_rows or not stay.num_rows:
+    def run(state: pa.Table, back: pa.Table) -> pa.Table:
+        if not state.num_rows or not back.num_rows or m == longest:
             return _table([])
         row = state.to_pylist()[0]
-        found, number = Block.read(row), row["block"]
-        key, count, head, order = found.grams(m)
-        there = np.concatenate([unpacked_keys(k.as_py()) | b << 32 for k, b in zip(stay.column("keys"), stay.column("bucket").to_pylist(), strict=True)])
-        kept = np.isin(_cut(key, bits), there)
-        first = order[head]
-        tell = np.nonzero(kept & (count > 0))[0]
-        named = np.array(found.langs, dtype=object)[found.lang(first[tell])] if len(tell) else []
-        out = [_filled(len(tell), kind=np.full(len(tell), PHRASE, np.int32), n=count[tell], lang=named, phrase=[found.phrase(i, m) for i in first[tell]], m=np.full(len(tell), m, np.int32))]
-        if m < longest:
-            good = np.zeros(len(found.ids), dtype=bool)
-            good[order[np.repeat(kept, np.diff(np.append(head, len(order))))]] = True
-            narrow = found.narrowed(good, m)
-            if narrow is not None:
-                out += [_table([narrow.row(number)]), _keys(number, narrow, m + 1, bits)]
-        return pa.concat_tables(out)
+        found, block = Block.read(row), row["block"]
+        if m == 1:
+            # The numbers of a word in the block follow the ranges, of which only those with words that stay came back.
+            names = np.zeros(int(found.ids.max(initial=0)) + 1, np.int64)
+            for start, own in zip(back.column("n").to_pylist(), back.column("numbers"), strict=True):
+                own = unplaned(own.as_py())
+                names[start : start + len(own)] = own
+            grams = np.where(names[found.ids] > 0, found.ids, 0)
+            narrow = Block(found.ids, names, grams, names, found.skip).narrowed(grams, names, 1)
+        else:
+            bucket, _, _, _, order, head, size = found.pairs(m, bits)
+            number = _numbers(bucket, back)
+            grams, kept = np.zeros(len(found.ids), np.int64), np.nonzero(number)[0]
+            # All places of the phrases that stay.
+            spot = np.repeat(head[kept] - np.concatenate([[0], np.cumsum(size[kept])[:-1]]), size[kept]) + np.arange(size[kept].sum()) if len(kept) else kept
+            grams[order[spot]] = np.repeat(np.arange(1, len(kept) + 1), size[kept])
+            narrow = found.narrowed(grams, np.append(0, number[kept]), m)
+        return _table([] if narrow is None else [narrow.row(block), *_parts(block, narrow, m + 1, bits)])
 
     return run
 
@@ -316,23 +352,37 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     folder = workdir(spark, "phrases")
     rows = docs.select(text_of("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     # A word takes a byte and a space at least.
-    size = corpus_size(docs)[1]
-    bits = max(0, math.ceil(math.log2(max(1, size / 2 / RANGE))))
+    bits = max(0, math.ceil(math.log2(max(1, corpus_size(docs)[1] / 2 / RANGE))))
     step = written(rows.mapInArrow(_blocks(limit, bits), _STEP), f"{folder}/level0")
-    totals = step.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = []
+    totals = step.where(F.col("kind") == TOTAL).groupBy(F.col("text").cast("string").alias("lang")).agg(F.sum("n").alias("n"))
+    phrases = []
     for m in range(1, longest + 1):
-        keys = step.where(F.col("kind") == KEY).select("block", "bucket", "keys", "counts")
-        stay = keys.groupBy("bucket").applyInArrow(_often(least), "at bigint, bucket int, keys binary")
-        state = step.where(F.col("kind") == STATE).select("block", "ids", "good", "skip", "words", "langs", "ends")
-        step = written(state.groupBy("block").cogroup(stay.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
-        found.append(step.where(F.col("kind") == PHRASE).select("lang", F.col("phrase").cast("string").alias("phrase"), "m", "n"))
+        sent = step.where(F.col("kind") == PART).select("block", "bucket", *(("tokens",) if m == 1 else ("firsts", "lasts")), "counts")
+        asked = written(sent.groupBy("bucket").applyInArrow((_often_words if m == 1 else _often_pairs)(least, bits), _STEP), f"{folder}/ranges{m}")
+        stayed = asked.where(F.col("kind") == STAYED)
+        if m == 1:
+            # A block's words are numbered from range to range: where those of a range start.
+            sizes = step.where(F.col("kind") == PART).select("block", "bucket", (F.octet_length("counts") / 8).cast("bigint").alias("k"))
+            before = F.coalesce(F.sum("k").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            starts = sizes.select(F.col("block").alias("at"), "bucket", (before + 1).alias("n"))
+            back = asked.where(F.col("kind") == REPLY).select(F.col("block").alias("at"), "bucket", "numbers").join(starts, ["at", "bucket"])
+            quoted = F.split(F.col("text").cast("string"), " ")
+            words = stayed.select("number", F.url_decode(quoted[1]).alias("lang"), quoted[0].alias("phrase"), F.col("n").alias("f"))
+            phrases.append(words)
+        else:
+            back = asked.where(F.col("kind") == REPLY).select(F.col("block").alias("at"), "bucket", "numbers")
+            part = phrases[-1].select(F.col("number").alias("first"), "lang", F.col("phrase").alias("head"))
+            word = phrases[0].select(F.col("number").alias("last"), F.col("phrase").alias("tail"))
+            own = stayed.select("number", "first", "last", F.col("n").alias("f")).join(part, "first").join(word, "last")
+            phrases.append(written(own.select("number", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"{folder}/phrases{m}"))
+        if m < longest:
+            state = step.where(F.col("kind") == STATE).select("block", "ids", "names", "grams", "gram_names", "skip")
+            step = written(state.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
         release(spark)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    exact = every.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(exact, f"{folder}/phrases"), totals
+    every = phrases[0].select("lang", "phrase", F.lit(1).alias("m"), "f")
+    for m, more in enumerate(phrases[1:], 2):
+        every = every.unionByName(more.select("lang", "phrase", F.lit(m).alias("m"), "f"))
+    return written(every, f"{folder}/phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, limit: int = BLOCK) -> DataFrame:
