@@ -7,28 +7,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.native import ORDERED, RUN
+from ..functions.native import ORDERED, RUN, running
+from ..functions.scan import running_low
 from .grouped import by_series
 from .online_kernels import Gate, make_online
 
 STEPS = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double"
 
 
-def cusum(s: DataFrame, drift: float = 0.0, threshold: float = 8.0, target: float = 0.0, scale: float = 100.0) -> DataFrame:
+def _scored(run: DataFrame, score, threshold: float) -> DataFrame:
+    out = run.withColumn("score", score)
+    return out.select("series_id", "t", "score", F.least(F.greatest(F.col("score") / threshold, F.lit(0.0)), F.lit(1.0)).alias("p_change"))
+
+
+def _walk(s: DataFrame, step, chunk: int | None) -> DataFrame:
+    """s with run, the running sum of step, and low, the least one so far; by chunks for long series."""
+    if chunk is not None:
+        return running_low(s, step, chunk)
+    return s.withColumn("run", F.sum(step).over(RUN())).withColumn("low", F.min("run").over(RUN()))
+
+
+def cusum(s: DataFrame, drift: float = 0.0, threshold: float = 8.0, target: float = 0.0, scale: float = 100.0, chunk: int | None = None) -> DataFrame:
     """One-sided CUSUM in closed form: the running sum less its lowest value so far (and 0). Whole-number sums."""
     step = F.col("x_fp") - F.lit(round(target * scale)) - F.lit(round(drift * scale))
-    run = s.withColumn("_c", F.sum(step).over(RUN()))
-    score = F.col("_c") - F.least(F.lit(0), F.min("_c").over(RUN()))
-    out = run.withColumn("score", score / scale)
-    return out.select("series_id", "t", "score", F.least(F.greatest(F.col("score") / threshold, F.lit(0.0)), F.lit(1.0)).alias("p_change"))
+    return _scored(_walk(s, step, chunk), (F.col("run") - F.least(F.lit(0), F.col("low"))) / scale, threshold)
 
 
-def page_hinkley(s: DataFrame, delta: float = 0.01, threshold: float = 8.0) -> DataFrame:
-    """Page-Hinkley as two stacked windows: the running mean, then the sum of deviations less its lowest value so far."""
-    mean = F.sum("x_fp").over(RUN()) / (F.col("t") + 1) / 100.0
-    run = s.withColumn("_d", F.col("x") - mean - delta).withColumn("_c", F.sum("_d").over(RUN()))
-    out = run.withColumn("score", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(RUN())))
-    return out.select("series_id", "t", "score", F.least(F.greatest(F.col("score") / threshold, F.lit(0.0)), F.lit(1.0)).alias("p_change"))
+def page_hinkley(s: DataFrame, delta: float = 0.01, threshold: float = 8.0, chunk: int | None = None) -> DataFrame:
+    """Page-Hinkley as two stacked scans: the running mean, then the sum of deviations less its lowest value so far."""
+    means = running(s.select("series_id", "t", "x", "x_fp"), {"_sum": F.col("x_fp")}, chunk)
+    step = F.col("x") - F.col("_sum") / (F.col("t") + 1) / 100.0 - delta
+    return _scored(_walk(means, step, chunk), F.col("run") - F.least(F.lit(0.0), F.col("low")), threshold)
 
 
 def alert_gate(p: DataFrame, policy) -> DataFrame:

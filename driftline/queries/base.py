@@ -26,6 +26,9 @@ ORDERS = """s AS (
   SELECT 'orders' AS series_id, row_number() OVER (ORDER BY day) - 1 AS t, day AS ts, n AS x_fp
   FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
 )"""
+LINEITEM = """s AS (
+  SELECT 'lineitem' AS series_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_shipdate, l_quantity) - 1 AS t, l_shipdate AS ts, l_quantity AS x, CAST(round(l_quantity * 100) AS BIGINT) AS x_fp FROM lineitem
+)"""
 #: Segments of about 50 rows for cost queries.
 SEGS = """, seg AS (
   SELECT series_id, t // 50 AS k, min(t) AS s, max(t) + 1 AS e, count(*) AS m FROM s GROUP BY 1, 2

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..functions.cost_kernels import VAR_FLOOR
+from ..functions.scan import CHUNK
+from ..operators import diagnostics as D
 from ..operators import preprocess as P
 from ..operators import splits as S
 from ..sources import tables as T
-from .base import BLOCKS, ERRORS, EVENTS, GAPS, ORDERS, SEGS, USERS
+from .base import BLOCKS, ERRORS, EVENTS, GAPS, LINEITEM, ORDERS, SEGS, USERS
 
+#: A period longer than half of a user's series.
+PERIOD = 36
 R6 = lambda c: F.round(c, 6)
 
 
@@ -82,25 +86,18 @@ def cost_rank(spark, d):
 def cost_cosine(spark, d):
     """Two columns per row (value and the lagged value), as unit vectors."""
     s = T.events(spark, d).withColumn("y", F.coalesce(F.lag("x_fp").over(N.ORDERED()), F.lit(0)))
-    norm = F.sqrt((F.col("x_fp") * F.col("x_fp") + F.col("y") * F.col("y")).cast("double"))
-    s = s.withColumn("p", F.when(norm > 0, F.col("x_fp") / norm).otherwise(0.0)).withColumn("q", F.when(norm > 0, F.col("y") / norm).otherwise(0.0))
+    p, q = N.unit([F.col("x_fp"), F.col("y")])
+    s = s.withColumn("p", p).withColumn("q", q)
     g = s.groupBy("series_id", F.floor(F.col("t") / 50).alias("k")).agg(F.min("t").alias("s"), F.count(F.lit(1)).alias("m"), F.sum(F.round(F.col("p") * 1e9).cast("long")).alias("p"), F.sum(F.round(F.col("q") * 1e9).cast("long")).alias("q"))
-    c = F.greatest(F.col("m") - F.sqrt(F.col("p") / 1e9 * (F.col("p") / 1e9) + F.col("q") / 1e9 * (F.col("q") / 1e9)), F.lit(0.0))
+    c = N.cosine(F.col("m"), [F.col("p") / 1e9, F.col("q") / 1e9])
     return g.select("series_id", "s", F.round(c, 5).alias("cost"))
 
 
 def cost_nig(spark, d):
-    """lnGamma(1 + m / 2) comes from a small table by the segment's length, joined by its checked size (segments of 50)."""
-    import math
-
-    q = _sums(T.events(spark, d), _ab())
-    table = spark.createDataFrame([(m, math.lgamma(1 + m / 2)) for m in range(1, 51)], "m bigint, lg double")
-    q = q.join(F.broadcast(table), "m")
-    m, a, b = F.col("m").cast("double"), F.col("a") / 100.0, F.col("b") / 10000.0
-    sse = F.greatest(b - a * a / m, F.lit(0.0))
-    kn, bn = m + 0.01, 1 + 0.5 * sse + 0.01 * m * (a / m) * (a / m) / (2 * (m + 0.01))
-    log = F.col("lg") - (1 + m / 2) * F.log(bn) + 0.5 * (math.log(0.01) - F.log(kn)) - 0.5 * m * math.log(2 * math.pi)
-    return q.select("series_id", "s", "e", R6(-log).alias("cost"))
+    """Segments of 50 rows, so that the table of log gammas has 50 rows."""
+    q = _sums(T.events(spark, d), _ab()).join(F.broadcast(N.lgamma_table(spark, 50)), "m")
+    c = N.nig(F.col("m").cast("double"), F.col("a") / 100.0, F.col("b") / 10000.0, F.col("lgamma"))
+    return q.select("series_id", "s", "e", R6(c).alias("cost"))
 
 
 def cost_full_cov_2d(spark, d):
@@ -108,11 +105,8 @@ def cost_full_cov_2d(spark, d):
     s = T.events(spark, d).withColumn("y", F.coalesce(F.lag("x_fp").over(N.ORDERED()), F.lit(0)))
     g = s.groupBy("series_id", F.floor(F.col("t") / 50).alias("k"))
     q = g.agg(F.min("t").alias("s"), F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(k) for k, c in {"a": F.col("x_fp"), "u": F.col("y"), "b": F.col("x_fp") * F.col("x_fp"), "v": F.col("y") * F.col("y"), "w": F.col("x_fp") * F.col("y")}.items()])
-    m = F.col("m").cast("double")
-    a, u, b, v, w = F.col("a") / 100.0 / m, F.col("u") / 100.0 / m, F.col("b") / 10000.0 / m, F.col("v") / 10000.0 / m, F.col("w") / 10000.0 / m
-    xx, yy, xy = b - a * a, v - u * u, w - a * u
-    ridge = F.greatest(F.lit(1e-6) * (xx + yy) / 2, F.lit(VAR_FLOOR))
-    return q.where("m > 2").select("series_id", "s", F.round(m * F.log((xx + ridge) * (yy + ridge) - xy * xy), 4).alias("cost"))
+    c = N.full_cov_2d(F.col("m").cast("double"), *[F.col(k) / scale for k, scale in (("a", 100.0), ("u", 100.0), ("b", 10000.0), ("v", 10000.0), ("w", 10000.0))])
+    return q.where("m > 2").select("series_id", "s", F.round(c, 4).alias("cost"))
 
 
 def segment_queries(spark, d):
@@ -129,11 +123,16 @@ def prefix_sums(spark, d):
 
 
 def prefix_sums_long(spark, d):
-    """The same by chunks, for series that do not fit one task."""
-    s = T.events(spark, d)
+    """The same for series that do not fit one task: numbered by ranges, summed by chunks."""
+    s = T.events(spark, d, long=True)
     return N.running(s.select("series_id", "t", "x_fp"), {"sum_fp": F.col("x_fp")}, chunk=256).select("series_id", "t", "sum_fp")
 
 
+def prefix_sums_lineitem(spark, d):
+    """All line items as one series."""
+    return N.running(T.lineitem_rows(spark, d).select("series_id", "t", "x_fp"), {"sum_fp": F.col("x_fp")}, chunk=CHUNK)
+
+
 def moments(spark, d):
     s = T.events(spark, d)
     return s.groupBy("series_id").agg(R6(F.avg("x")).alias("mean"), R6(F.var_pop("x")).alias("variance"), F.round(F.kurtosis("x") + 3, 4).alias("kurtosis"), F.count("x").alias("n"), (F.sum("x_fp") / 100).alias("exact_sum"))
@@ -150,11 +149,7 @@ def mad(spark, d):
 
 
 def outlier_rate(spark, d):
-    s = T.events(spark, d)
-    q = s.groupBy("series_id").agg(F.percentile("x", 0.25).alias("lo"), F.percentile("x", 0.75).alias("hi"))
-    iqr = F.col("hi") - F.col("lo")
-    out = (F.col("x") < F.col("lo") - 1.5 * iqr) | (F.col("x") > F.col("hi") + 1.5 * iqr)
-    return s.join(F.broadcast(q), "series_id").groupBy("series_id").agg((F.count_if(out) / F.count(F.lit(1))).alias("outlier_rate"))
+    return D.outlier_rate(T.events(spark, d)).withColumnRenamed("outlier_rate_iqr", "outlier_rate")
 
 
 def log_sum_exp(spark, d):
@@ -184,26 +179,15 @@ def differencing(spark, d):
 
 
 def moving_average(spark, d):
-    return T.with_gaps(T.events(spark, d)).select("series_id", "t", R6(F.sum("x_fp").over(N.ORDERED().rowsBetween(-5, 5)) / F.count("x_fp").over(N.ORDERED().rowsBetween(-5, 5)) / 100).alias("ma"))
-
-
-def _rolling(s, w):
-    full = N.ORDERED().rowsBetween(1 - w, 0)
-    a, b = F.sum("x_fp").over(full).cast("double"), F.sum(F.col("x_fp") * F.col("x_fp")).over(full).cast("double")
-    return s.select("series_id", "t", (a / w / 100).alias("mean"), ((b - a * a / w) / w / 10000).alias("var")).where(F.col("t") >= w - 1)
+    return T.with_gaps(T.events(spark, d)).select("series_id", "t", R6(P.moving_average(5)).alias("ma"))
 
 
 def rolling_moments(spark, d):
-    return _rolling(T.events(spark, d), 24).select("series_id", "t", R6("mean").alias("mean"), R6("var").alias("var"))
+    return D.rolling(T.events(spark, d), 24).select("series_id", "t", R6("m").alias("mean"), F.round("v", 4).alias("var"))
 
 
 def window_divergence(spark, d):
-    s = T.events(spark, d)
-    r = _rolling(s, 24)
-    sd = s.groupBy("series_id").agg(F.stddev_pop("x").alias("sd"))
-    prior = lambda c: F.lag(c, 24).over(N.ORDERED())
-    out = r.withColumn("dm", F.abs(F.col("mean") - prior("mean"))).withColumn("dv", F.abs(F.col("var") - prior("var"))).where("dm is not null")
-    return out.join(F.broadcast(sd), "series_id").select("series_id", "t", F.round(F.col("dm") / F.col("sd") + F.col("dv") / (F.col("sd") * F.col("sd")), 5).alias("divergence"))
+    return D.divergence(T.events(spark, d), 24).where("d is not null").select("series_id", "t", F.round("d", 5).alias("divergence"))
 
 
 def autocorrelation(spark, d):
@@ -218,8 +202,7 @@ def mid_ranks(spark, d):
 
 def longest_missing_run(spark, d):
     s = T.with_gaps(T.events(spark, d), "block").where(N.missing())
-    island = s.withColumn("g", F.col("t") - F.row_number().over(N.ORDERED()))
-    return island.groupBy("series_id", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("series_id").agg(F.max("k").alias("longest"), F.sum("k").alias("missing"))
+    return D.longest_runs(s, 16).join(s.groupBy("series_id").agg(F.count(F.lit(1)).alias("missing")), "series_id")
 
 
 def detrend_linear(spark, d):
@@ -247,8 +230,12 @@ def forward_fill(spark, d):
 
 
 def sampling_interval(spark, d):
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(N.ORDERED()).cast("timestamp"))
-    return T.events(spark, d).select("series_id", gap.alias("g")).where("g > 0").groupBy("series_id").agg(F.median("g").alias("median_us"))
+    return N.sampling_rate(T.events(spark, d)).select("series_id", "interval_us", F.round("rate_hz", 9).alias("rate_hz"))
+
+
+def deseasonalize_short(spark, d):
+    """Users' series with a period so long that they are shorter than the window of the trend."""
+    return P.stl_like(T.with_gaps(T.events(spark, d, "user_id")), PERIOD).select("series_id", "t", F.round("x", 5).alias("x"))
 
 
 def gram_linear(spark, d):
@@ -257,6 +244,19 @@ def gram_linear(spark, d):
     return N.gram(s).select("series_id", "i", "j", (F.round("g", 4) + 0.0).alias("g"))
 
 
+def _kernel_costs(gamma):
+    def run(spark, d):
+        s = T.events(spark, d, "user_id").select("series_id", "t", F.array("x").alias("x"), F.expr("t div 50").alias("k"))
+        return N.kernel_costs(s, gamma).select("series_id", "k", "m", F.round("cost", 5).alias("cost"))
+
+    return run
+
+
+def log_add_exp(spark, d):
+    s = T.events(spark, d, "user_id")
+    return s.select("series_id", "t", R6(N.log_add_exp(F.col("x") / 10, F.col("t") / 10)).alias("both"))
+
+
 def lineitem_profile(spark, d):
     s = T.lineitem_daily(spark, d)
     return s.select(F.posexplode("x").alias("dim", "v"), "t").groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"), F.max("t").alias("last"))
@@ -264,6 +264,17 @@ def lineitem_profile(spark, d):
 
 _seg_ab = f"WITH {EVENTS}{SEGS}, q AS (SELECT seg.series_id, seg.s, seg.e, seg.m, sum(x_fp)::DOUBLE AS a, sum(x_fp * x_fp)::DOUBLE AS b, sum(t * x_fp)::DOUBLE AS ta FROM seg JOIN s ON s.series_id = seg.series_id AND s.t >= seg.s AND s.t < seg.e GROUP BY 1, 2, 3, 4)"
 
+def _short_season(period: int = PERIOD) -> str:
+    """Two rounds of trend and season, with windows that shrink with the series, by plain joins."""
+    trend = "SELECT a.series_id, a.t, avg(b.c) AS tr FROM {c} a JOIN h USING (series_id) JOIN {c} b ON b.series_id = a.series_id AND abs(b.t - a.t) <= half GROUP BY 1, 2"
+    season = f"SELECT series_id, t % {period} AS ph, coalesce(avg(x - tr), 0) AS m FROM u JOIN {{t}} USING (series_id, t) GROUP BY 1, 2"
+    less = f"SELECT u.series_id, u.t, u.x - (m - (SELECT sum(m) / {period} FROM {{p}} q WHERE q.series_id = u.series_id)) AS c FROM u JOIN {{p}} p ON p.series_id = u.series_id AND p.ph = u.t % {period}"
+    return f"""WITH {USERS}, u AS (SELECT series_id, t, CASE WHEN t % 17 = 3 THEN NULL ELSE x END AS x FROM s),
+h AS (SELECT series_id, greatest(3, least({2 * period + 1}, count(*) - CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END)) // 2 AS half FROM u GROUP BY 1),
+c0 AS (SELECT series_id, t, x AS c FROM u), t1 AS MATERIALIZED ({trend.format(c="c0")}), p1 AS MATERIALIZED ({season.format(t="t1")}), c1 AS MATERIALIZED ({less.format(p="p1")}),
+t2 AS MATERIALIZED ({trend.format(c="c1")}), p2 AS MATERIALIZED ({season.format(t="t2")}), c2 AS ({less.format(p="p2")}) SELECT series_id, t, round(c, 5) AS x FROM c2"""
+
+
 QUERIES = {
     "cost_l2": (cost_l2, f"{_seg_ab} SELECT series_id, s, e, round(greatest(b - a * a / m, 0) / 10000, 6) AS cost FROM q"),
     "cost_normal": (cost_normal, f"{_seg_ab} SELECT series_id, s, e, round(m * ln(greatest(b / 10000 / m - (a / 100 / m) * (a / 100 / m), {VAR_FLOOR!r})), 6) AS cost FROM q"),
@@ -278,6 +289,7 @@ QUERIES = {
     "cost_full_cov_2d": (cost_full_cov_2d, f"WITH {EVENTS}, l AS (SELECT series_id, t, x, coalesce(lag(x) OVER (PARTITION BY series_id ORDER BY t), 0) AS y FROM s), c AS (SELECT series_id, min(t) AS s, count(*) AS m, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM l GROUP BY series_id, t // 50), r AS (SELECT *, greatest(1e-6 * (xx + yy) / 2, {VAR_FLOOR!r}) AS g FROM c) SELECT series_id, s, round(m * ln((xx + g) * (yy + g) - xy * xy), 4) AS cost FROM r WHERE m > 2"),
     "segment_queries": (segment_queries, f"WITH {EVENTS}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), q AS (SELECT series_id, unnest(range(0, n - 119, 60)) AS s FROM n) SELECT q.series_id, q.s, q.s + 120 AS e, sum(x_fp) / 100 AS total FROM q JOIN s ON s.series_id = q.series_id AND s.t >= q.s AND s.t < q.s + 120 GROUP BY 1, 2"),
     "prefix_sums": (prefix_sums, f"WITH {EVENTS} SELECT series_id, t + 1 AS t, (sum(x_fp) OVER w)::BIGINT AS sum_fp, (sum(x_fp * x_fp) OVER w)::BIGINT AS sum_sq_fp FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t) UNION ALL SELECT DISTINCT series_id, 0, 0, 0 FROM s"),
+    "prefix_sums_lineitem": (prefix_sums_lineitem, f"WITH {LINEITEM} SELECT series_id, t, x_fp, (sum(x_fp) OVER (ORDER BY t))::BIGINT AS sum_fp FROM s"),
     "prefix_sums_long": (prefix_sums_long, f"WITH {EVENTS} SELECT series_id, t, (sum(x_fp) OVER (PARTITION BY series_id ORDER BY t))::BIGINT AS sum_fp FROM s"),
     "moments": (moments, f"WITH {EVENTS}, m AS (SELECT series_id, avg(x) AS mu FROM s GROUP BY 1) SELECT s.series_id, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance, round(avg((x - mu) ^ 4) / (avg((x - mu) ^ 2) ^ 2), 4) AS kurtosis, count(*) AS n, sum(x_fp) / 100 AS exact_sum FROM s JOIN m USING (series_id) GROUP BY 1"),
     "quantiles": (quantiles, f"WITH {EVENTS} SELECT series_id, round(median(x), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.75), 6) AS q75, quantile_disc(x, 0.01) AS d01, quantile_disc(x, 0.99) AS d99 FROM s GROUP BY 1"),
@@ -290,7 +302,7 @@ QUERIES = {
     "flatten_missing": (flatten_missing, f"WITH {EVENTS} SELECT series_id, t, CASE WHEN t % 9 = 4 THEN NULL ELSE x END AS x FROM s"),
     "differencing": (differencing, f"WITH {GAPS} SELECT series_id, t, round(CASE WHEN t < 7 THEN x ELSE x - lag(x, 7) OVER (PARTITION BY series_id ORDER BY t) END, 6) AS x FROM g"),
     "moving_average": (moving_average, f"WITH {GAPS} SELECT series_id, t, round(sum(x_fp) OVER w / count(x_fp) OVER w / 100, 6) AS ma FROM g WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"),
-    "rolling_moments": (rolling_moments, f"WITH {EVENTS}, r AS (SELECT series_id, t, (sum(x_fp) OVER w)::DOUBLE AS a, (sum(x_fp * x_fp) OVER w)::DOUBLE AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) SELECT series_id, t, round(a / 24 / 100, 6) AS mean, round((b - a * a / 24) / 24 / 10000, 6) AS var FROM r WHERE t >= 23"),
+    "rolling_moments": (rolling_moments, f"WITH {EVENTS}, r AS (SELECT series_id, t, (sum(x_fp) OVER w)::DOUBLE AS a, (sum(x_fp * x_fp) OVER w)::DOUBLE AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) SELECT series_id, t, round(a / 24 / 100, 6) AS mean, round((b - a * a / 24) / 24 / 10000, 4) AS var FROM r WHERE t >= 23"),
     "window_divergence": (window_divergence, f"WITH {EVENTS}, r AS (SELECT series_id, t, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), l AS (SELECT *, lag(m, 24) OVER p AS pm, lag(v, 24) OVER p AS pv FROM r WHERE t >= 23 WINDOW p AS (PARTITION BY series_id ORDER BY t)), sd AS (SELECT series_id, stddev_pop(x) AS sd FROM s GROUP BY 1) SELECT l.series_id, t, round(abs(m - pm) / sd + abs(v - pv) / (sd * sd), 5) AS divergence FROM l JOIN sd USING (series_id) WHERE pm IS NOT NULL"),
     "autocorrelation": (autocorrelation, f"WITH {EVENTS}, l AS (SELECT series_id, x, lag(x, 1) OVER w AS a, lag(x, 2) OVER w AS b, lag(x, 7) OVER w AS c FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, round(corr(x, a), 6) AS acf1, round(corr(x, b), 6) AS acf2, round(corr(x, c), 6) AS acf7 FROM l GROUP BY 1"),
     "mid_ranks": (mid_ranks, "WITH " + EVENTS.replace("event_type", "user_id") + " SELECT series_id, t, rank() OVER (PARTITION BY series_id ORDER BY x) + (count(*) OVER (PARTITION BY series_id, x) - 1) / 2 AS mid_rank FROM s"),
@@ -307,7 +319,11 @@ SELECT t2.series_id, t, round(x - season, 5) AS x FROM t2 JOIN s2 ON s2.series_i
     "winsorize": (winsorize, f"WITH {EVENTS}, q AS (SELECT series_id, quantile_disc(x, 0.01) AS lo, quantile_disc(x, 0.99) AS hi FROM s GROUP BY 1) SELECT s.series_id, t, least(greatest(x, lo), hi) AS x FROM s JOIN q USING (series_id)"),
     "robust_scale": (robust_scale, f"WITH {EVENTS}, m AS (SELECT series_id, median(x) AS med FROM s GROUP BY 1), d AS (SELECT s.series_id, any_value(med) AS med, median(abs(x - med)) AS mad FROM s JOIN m USING (series_id) GROUP BY 1) SELECT s.series_id, t, round((x - med) / greatest(1.4826 * mad, 1e-9), 6) AS x FROM s JOIN d USING (series_id)"),
     "forward_fill": (forward_fill, f"WITH {GAPS} SELECT series_id, t, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t), 0) AS x FROM g"),
-    "sampling_interval": (sampling_interval, f"WITH {EVENTS}, d AS (SELECT series_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY t)) AS g FROM s) SELECT series_id, median(g) AS median_us FROM d WHERE g > 0 GROUP BY 1"),
+    "deseasonalize_short": (deseasonalize_short, _short_season()),
+    "sampling_interval": (sampling_interval, f"WITH {EVENTS}, d AS (SELECT series_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY t)) AS g FROM s) SELECT series_id, median(g) AS interval_us, round(1e6 / median(g), 9) AS rate_hz FROM d WHERE g > 0 GROUP BY 1"),
+    "kernel_costs_linear": (_kernel_costs(None), f"WITH {USERS} SELECT series_id, t // 50 AS k, count(*) AS m, round(sum(x * x) - sum(x) * sum(x) / count(*), 5) AS cost FROM s GROUP BY 1, 2"),
+    "kernel_costs_rbf": (_kernel_costs(1e-4), f"WITH {USERS} SELECT a.series_id, a.t // 50 AS k, count(*) FILTER (WHERE a.t = b.t) AS m, round(greatest(count(*) FILTER (WHERE a.t = b.t) - sum(exp(-1e-4 * (a.x - b.x) ^ 2)) / count(*) FILTER (WHERE a.t = b.t), 0), 5) AS cost FROM s a JOIN s b ON a.series_id = b.series_id AND a.t // 50 = b.t // 50 GROUP BY 1, 2"),
+    "log_add_exp": (log_add_exp, f"WITH {USERS} SELECT series_id, t, round(greatest(x, t) / 10 + ln(1 + exp((least(x, t) - greatest(x, t)) / 10)), 6) AS both FROM s"),
     "gram_linear": (gram_linear, f"WITH {USERS} SELECT a.series_id, a.t AS i, b.t AS j, round(a.x * b.x + a.t * b.t, 4) + 0 AS g FROM s a JOIN s b ON a.series_id = b.series_id AND a.t <= b.t"),
     "lineitem_profile": (lineitem_profile, "WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*)::DOUBLE AS a, sum(l_quantity) AS b, sum(CAST(trunc(l_extendedprice * 100) AS BIGINT))::DOUBLE AS c FROM lineitem GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS t FROM d) SELECT 0 AS dim, count(*) AS n, round(sum(a), 2) AS total, max(t) AS last FROM n UNION ALL SELECT 1, count(*), round(sum(b), 2), max(t) FROM n UNION ALL SELECT 2, count(*), round(sum(c), 2), max(t) FROM n"),
 }

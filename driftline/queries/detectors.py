@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from ..config import AlertPolicy
 from ..functions.cost_kernels import VAR_FLOOR
+from ..functions.scan import CHUNK
 from ..operators import detect as D
 from ..operators import online as O
 from ..operators import splits as S
 from ..sources import tables as T
-from .base import ERRORS, EVENTS, USERS
+from .base import ERRORS, EVENTS, LINEITEM, USERS
+
+#: What a split of a series of events must gain.
+BETA = 10000.0
 
 
 def best_split_l2(spark, d):
@@ -22,12 +26,17 @@ def best_split_l2_users(spark, d):
 
 
 def best_split_l2_long(spark, d):
-    """The same by chunks, for series longer than a task should hold."""
-    return S.best_split(T.events(spark, d), chunk=512)
+    """The same for series longer than a task should hold: numbered by ranges, summed by chunks."""
+    return S.best_split(T.events(spark, d, long=True), chunk=512)
+
+
+def best_split_lineitem(spark, d):
+    """All line items as one series."""
+    return S.best_split(T.lineitem_rows(spark, d), chunk=CHUNK, digits=2)
 
 
 def binseg_levels(spark, d):
-    return S.binseg_levels(T.events(spark, d), beta=20000.0, levels=3)
+    return S.binseg_levels(T.events(spark, d, long=True), beta=BETA, chunk=CHUNK)
 
 
 def window_scores(spark, d):
@@ -47,8 +56,12 @@ def wbs_grid(spark, d):
 
 
 def wbs_grid_best(spark, d):
-    s = T.events(spark, d, "user_id")
-    return S.frontier_argmax(S.interval_best_splits(s, S.dyadic_intervals(s)))
+    return S.frontier_argmax(S.dyadic_best_splits(T.events(spark, d, "user_id")))
+
+
+def wbs_plan(spark, d):
+    """Wild binary segmentation to the end, on an even choice of the grid's intervals."""
+    return S.wbs(T.events(spark, d), BETA)
 
 
 def _points(results):
@@ -68,7 +81,7 @@ def fpop_l2(spark, d):
 
 
 def pelt_manual_jump(spark, d):
-    return _points(D.detect_series(T.events(spark, d, "user_id"), "pelt", "l2", {"pen": 9000.0}, {"min_segment_len": 4, "jump": 1}))
+    return _points(D.detect_series(T.events(spark, d, "user_id"), "pelt", "l2", {"pen": 9000.0}, {"min_segment_len": 4, "jump": 5}))
 
 
 def pelt_bernoulli(spark, d):
@@ -111,11 +124,16 @@ def segment_stats(spark, d):
 
 
 def cusum(spark, d):
-    return O.cusum(T.events(spark, d), drift=5.0, threshold=400.0, target=50.0).select("series_id", "t", F.round("score", 6).alias("score"), F.round("p_change", 6).alias("p_change"))
+    return O.cusum(T.events(spark, d, long=True), drift=5.0, threshold=400.0, target=50.0, chunk=CHUNK).select("series_id", "t", F.round("score", 6).alias("score"), F.round("p_change", 6).alias("p_change"))
+
+
+def cusum_lineitem(spark, d):
+    """All line items as one series."""
+    return O.cusum(T.lineitem_rows(spark, d), drift=0.5, threshold=400.0, target=25.5, chunk=CHUNK).select("series_id", "t", F.round("score", 6).alias("score"), F.round("p_change", 6).alias("p_change"))
 
 
 def page_hinkley(spark, d):
-    return O.page_hinkley(T.events(spark, d), delta=0.5, threshold=400.0).select("series_id", "t", F.round("score", 5).alias("score"), F.round("p_change", 6).alias("p_change"))
+    return O.page_hinkley(T.events(spark, d, long=True), delta=0.5, threshold=400.0, chunk=CHUNK).select("series_id", "t", F.round("score", 5).alias("score"), F.round("p_change", 6).alias("p_change"))
 
 
 def alert_gate(spark, d):
@@ -171,17 +189,18 @@ _GAIN = """, w AS (
 _BEST = f"WITH {EVENTS}" + _GAIN.format(ts="ts,", m=2) + "SELECT series_id, n, t AS split, gain, ts AS ts_at_split FROM r WHERE k = 1"
 
 
-def _level(prior: str, name: str) -> str:
-    return f"""{name} AS (
-  SELECT f.series_id, f.s, f.e, p.t AS split, round(((p.v - b.v)::DOUBLE * (p.v - b.v) / (p.t - f.s) + (z.v - p.v)::DOUBLE * (z.v - p.v) / (f.e - p.t) - (z.v - b.v)::DOUBLE * (z.v - b.v) / (f.e - f.s)) / 10000, 6) AS gain
-  FROM {prior} f JOIN p ON p.series_id = f.series_id AND p.t >= f.s + 2 AND p.t <= f.e - 2
-  JOIN p b ON b.series_id = f.series_id AND b.t = f.s JOIN p z ON z.series_id = f.series_id AND z.t = f.e
-  QUALIFY row_number() OVER (PARTITION BY f.series_id, f.s, f.e ORDER BY gain DESC, p.t) = 1 AND gain > 20000
-), {name}f AS (SELECT series_id, s, split AS e FROM {name} UNION ALL SELECT series_id, split, e FROM {name})"""
-
-
 _PREFIX = "p AS (SELECT series_id, t + 1 AS t, (sum(x_fp) OVER (PARTITION BY series_id ORDER BY t))::BIGINT AS v FROM s UNION ALL SELECT DISTINCT series_id, 0, 0 FROM s)"
-_BINSEG = f"WITH {EVENTS}, {_PREFIX}, f0 AS (SELECT series_id, 0 AS s, count(*) AS e FROM s GROUP BY 1), {_level('f0', 'l0')}, {_level('l0f', 'l1')}, {_level('l1f', 'l2')} SELECT series_id, split AS change_point, 0 AS depth, gain FROM l0 UNION ALL SELECT series_id, split, 1, gain FROM l1 UNION ALL SELECT series_id, split, 2, gain FROM l2"
+_L2_GAIN = "round(((p.v - b.v)::DOUBLE * (p.v - b.v) / (p.t - {s}) + (z.v - p.v)::DOUBLE * (z.v - p.v) / ({e} - p.t) - (z.v - b.v)::DOUBLE * (z.v - b.v) / ({e} - {s})) / 10000, 6)"
+_BINSEG = f"""WITH RECURSIVE {EVENTS}, {_PREFIX}, f AS (
+  SELECT series_id, 0::BIGINT AS s, count(*) AS e, 0 AS depth, NULL::BIGINT AS split, NULL::DOUBLE AS gain, true AS open FROM s GROUP BY 1
+  UNION ALL
+  SELECT series_id, unnest([s, cut, s]), unnest([cut, e, e]), depth + 1, cut, gained, unnest([true, true, false]) FROM (
+    SELECT f.series_id, f.s, f.e, f.depth, p.t AS cut, {_L2_GAIN.format(s="f.s", e="f.e")} AS gained
+    FROM f JOIN p ON p.series_id = f.series_id AND p.t >= f.s + 2 AND p.t <= f.e - 2
+    JOIN p b ON b.series_id = f.series_id AND b.t = f.s JOIN p z ON z.series_id = f.series_id AND z.t = f.e WHERE f.open
+    QUALIFY row_number() OVER (PARTITION BY f.series_id, f.s, f.e ORDER BY gained DESC, p.t) = 1 AND gained > {BETA}
+  )
+) SELECT series_id, split AS change_point, depth - 1 AS depth, gain FROM f WHERE NOT open"""
 
 
 def _scores(cte: str, h: int) -> str:
@@ -190,24 +209,46 @@ def _scores(cte: str, h: int) -> str:
 ), q AS (SELECT series_id, t AS split, round((l * l / {h} + r * r / {h} - (l + r) * (l + r) / {2 * h}) / 10000, 6) AS score FROM d WHERE l IS NOT NULL AND r IS NOT NULL)"""
 
 
-_GRID = f"""WITH RECURSIVE {USERS}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), z AS (
+def _grid(cte: str) -> str:
+    return f"""WITH RECURSIVE {cte}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), z AS (
   SELECT series_id, n, n AS size FROM n WHERE n >= 4 UNION ALL SELECT series_id, n, greatest(size // 2, 4) FROM z WHERE size > 4
 ), i AS (
-  SELECT DISTINCT series_id, size, unnest(list_append(range(0, n - size + 1, greatest(size // 2, 1)), n - size)) AS s FROM z
+  SELECT DISTINCT series_id, n, size, unnest(list_append(range(0, n - size + 1, greatest(size // 2, 1)), n - size)) AS s FROM z
 )"""
 
 
-def _optimal(cte: str, cost: str, m: int, beta: str, where: str = "true") -> str:
+_GRID = _grid(USERS)
+_IN = "SELECT i.series_id, i.s, i.s + size AS e, p.t AS split, " + _L2_GAIN.format(s="i.s", e="(i.s + size)") + " AS gain FROM {i} i JOIN p ON p.series_id = i.series_id AND p.t >= i.s + 2 AND p.t <= i.s + size - 2 JOIN p b ON b.series_id = i.series_id AND b.t = i.s JOIN p z ON z.series_id = i.series_id AND z.t = i.s + size"
+_WBS = f"""{_grid(EVENTS)}, {_PREFIX}, h AS (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY size, s) - 1 AS seen, count(*) OVER (PARTITION BY series_id) AS every, greatest(100, ceil(5 * sqrt(n)))::BIGINT AS goal FROM i
+), k AS (SELECT * FROM h WHERE every <= goal OR (seen + 1) * goal // every > seen * goal // every),
+pm AS MATERIALIZED (SELECT * FROM p), hb AS MATERIALIZED (SELECT k.series_id, k.s, k.s + size AS e, b.v AS bv, z.v AS zv FROM k JOIN pm b ON b.series_id = k.series_id AND b.t = k.s JOIN pm z ON z.series_id = k.series_id AND z.t = k.s + size),
+w AS (SELECT hb.series_id, s, e, pm.t AS split, round(((v - bv)::DOUBLE * (v - bv) / (pm.t - s) + (zv - v)::DOUBLE * (zv - v) / (e - pm.t) - (zv - bv)::DOUBLE * (zv - bv) / (e - s)) / 10000, 6) AS gain FROM hb JOIN pm ON pm.series_id = hb.series_id AND pm.t >= s + 2 AND pm.t <= e - 2),
+v AS MATERIALIZED (SELECT series_id, s, e, max(gain) AS gain, min(split) FILTER (WHERE gain = top) AS split FROM (SELECT *, max(gain) OVER (PARTITION BY series_id, s, e) AS top FROM w) GROUP BY 1, 2, 3),
+f AS (
+  SELECT series_id, 0::BIGINT AS s, n AS e, 0 AS depth, NULL::BIGINT AS split, NULL::DOUBLE AS gain, true AS open FROM n
+  UNION ALL
+  SELECT series_id, unnest([s, split, s]), unnest([split, e, e]), depth + 1, split, gain, unnest([true, true, false]) FROM (
+    SELECT f.series_id, f.s, f.e, f.depth, v.split, v.gain FROM f JOIN v ON v.series_id = f.series_id AND v.s >= f.s AND v.e <= f.e WHERE f.open
+    QUALIFY row_number() OVER (PARTITION BY f.series_id, f.s, f.e ORDER BY v.gain DESC, v.split, v.s) = 1 AND v.gain > {BETA}
+  )
+) SELECT series_id, split AS change_point, depth - 1 AS depth, gain FROM f WHERE NOT open"""
+
+
+def _optimal(cte: str, cost: str, m: int, beta: str, where: str = "true", jump: int = 1) -> str:
     """Optimal partitioning by a recursion that carries the best objectives and starts of all prefixes as lists."""
+    only = f"(dp.t + 1 < n AND (dp.t + 1) % {jump} <> 0) OR " if jump > 1 else ""
+    starts = f"list_filter(range(0, dp.t + 2 - {m}), lambda k: k % {jump} = 0)" if jump > 1 else f"range(0, dp.t + 2 - {m})"
+    place = f"(list_position(c, list_min(c)) - 1) * {jump}"
     return f"""WITH RECURSIVE {cte}, arr AS (
   SELECT series_id, count(*) AS n, list_prepend(0::DOUBLE, list(a ORDER BY t)) AS a, list_prepend(0::DOUBLE, list(b ORDER BY t)) AS b FROM (
     SELECT series_id, t, sum(x_fp::DOUBLE) OVER w AS a, sum(x_fp::DOUBLE * x_fp) OVER w AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)) GROUP BY 1
 ), pen AS (SELECT *, {beta} AS beta FROM arr WHERE {where}), dp AS (
   SELECT series_id, 0::BIGINT AS t, [-beta] AS f, [0::BIGINT] AS p FROM pen
   UNION ALL
-  SELECT series_id, t, list_append(f, CASE WHEN c IS NULL THEN 1e300 ELSE list_min(c) END), list_append(p, CASE WHEN c IS NULL THEN 0 ELSE list_position(c, list_min(c)) - 1 END) FROM (
-    SELECT dp.series_id, dp.t + 1 AS t, f, p, CASE WHEN dp.t + 1 < {m} OR (dp.t + 1 < n AND n - dp.t - 1 < {m}) THEN NULL
-      ELSE list_transform(range(0, dp.t + 2 - {m}), lambda k: f[k + 1] + {cost} + beta) END AS c
+  SELECT series_id, t, list_append(f, CASE WHEN c IS NULL THEN 1e300 ELSE list_min(c) END), list_append(p, CASE WHEN c IS NULL THEN 0 ELSE {place} END) FROM (
+    SELECT dp.series_id, dp.t + 1 AS t, f, p, CASE WHEN {only}dp.t + 1 < {m} OR (dp.t + 1 < n AND n - dp.t - 1 < {m}) THEN NULL
+      ELSE list_transform({starts}, lambda k: f[k + 1] + {cost} + beta) END AS c
     FROM dp JOIN pen ON pen.series_id = dp.series_id WHERE dp.t < n)
 ), done AS (SELECT dp.series_id, n, f[n + 1] AS objective, p FROM dp JOIN pen ON pen.series_id = dp.series_id AND dp.t = n), back AS (
   SELECT series_id, n, objective, p, p[n + 1] AS pos, []::BIGINT[] AS cps FROM done
@@ -270,16 +311,18 @@ QUERIES = {
     "best_split_l2": (best_split_l2, _BEST),
     "best_split_l2_users": (best_split_l2_users, f"WITH {USERS}" + _GAIN.format(ts="ts,", m=5) + "SELECT series_id, n, t AS split, gain, ts AS ts_at_split FROM r WHERE k = 1"),
     "best_split_l2_long": (best_split_l2_long, _BEST),
+    "best_split_lineitem": (best_split_lineitem, f"WITH {LINEITEM}" + _GAIN.format(ts="ts,", m=2).replace("/ 10000, 6)", "/ 10000, 2)") + "SELECT series_id, n, t AS split, gain, ts AS ts_at_split FROM r WHERE k = 1"),
     "binseg_levels": (binseg_levels, _BINSEG),
     "window_scores": (window_scores, _scores(EVENTS, 10) + " SELECT * FROM q"),
     "window_peaks": (window_peaks, _scores(EVENTS, 10) + ", k AS (SELECT *, coalesce(score > lag(score) OVER w, true) AND coalesce(score >= lead(score) OVER w, true) AS peak FROM q WINDOW w AS (PARTITION BY series_id ORDER BY split)) SELECT series_id, split, score FROM k QUALIFY peak OR NOT bool_or(peak) OVER (PARTITION BY series_id)"),
     "window_top_k": (window_top_k, _scores(USERS, 5) + " SELECT series_id, split, score, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, split) AS place FROM q QUALIFY place <= 3"),
     "wbs_grid": (wbs_grid, f"{_GRID} SELECT series_id, s, s + size AS e FROM i"),
-    "wbs_grid_best": (wbs_grid_best, f"{_GRID}, {_PREFIX}, c AS (SELECT i.series_id, i.s, i.s + size AS e, p.t AS split, round(((p.v - b.v)::DOUBLE * (p.v - b.v) / (p.t - i.s) + (z.v - p.v)::DOUBLE * (z.v - p.v) / (i.s + size - p.t) - (z.v - b.v)::DOUBLE * (z.v - b.v) / size) / 10000, 6) AS gain FROM i JOIN p ON p.series_id = i.series_id AND p.t >= i.s + 2 AND p.t <= i.s + size - 2 JOIN p b ON b.series_id = i.series_id AND b.t = i.s JOIN p z ON z.series_id = i.series_id AND z.t = i.s + size) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY gain DESC, split, s, e) = 1"),
+    "wbs_grid_best": (wbs_grid_best, f"{_GRID}, {_PREFIX} {_IN.format(i='i')} QUALIFY row_number() OVER (PARTITION BY i.series_id ORDER BY gain DESC, split, i.s, e) = 1"),
+    "wbs_plan": (wbs_plan, _WBS),
     "pelt_l2": (pelt_l2, _optimal(USERS, _L2, 2, "2 * ln(n)")),
     "pelt_normal": (pelt_normal, _optimal(USERS, _NORMAL, 2, "3 * ln(n)")),
     "fpop_l2": (fpop_l2, _optimal(USERS, _L2, 2, "2 * ln(n)")),
-    "pelt_manual_jump": (pelt_manual_jump, _optimal(USERS, _L2, 4, "9000::DOUBLE")),
+    "pelt_manual_jump": (pelt_manual_jump, _optimal(USERS, _L2, 4, "9000::DOUBLE", jump=5)),
     "pelt_bernoulli": (pelt_bernoulli, _optimal(ERRORS, _BERN, 2, "1 * ln(n)")),
     "dynp_k1": (dynp_k1, _K1),
     "dynp_k2": (dynp_k2, _K2),
@@ -288,6 +331,7 @@ QUERIES = {
     "window_l2_k1": (window_l2_k1, _WINDOW_K1),
     "segment_stats": (segment_stats, _STATS),
     "cusum": (cusum, f"WITH {EVENTS}{_CUSUM.format(k=5500)} SELECT series_id, t, round(score, 6) AS score, round(least(score / 400, 1), 6) AS p_change FROM z"),
+    "cusum_lineitem": (cusum_lineitem, f"WITH {LINEITEM}{_CUSUM.format(k=2600)} SELECT series_id, t, round(score, 6) AS score, round(least(score / 400, 1), 6) AS p_change FROM z"),
     "page_hinkley": (page_hinkley, f"WITH {EVENTS}, m AS (SELECT series_id, t, x, (sum(x_fp) OVER (PARTITION BY series_id ORDER BY t))::DOUBLE / (t + 1) / 100 AS mu FROM s), c AS (SELECT series_id, t, sum(x - mu - 0.5) OVER (PARTITION BY series_id ORDER BY t) AS c FROM m), z AS (SELECT series_id, t, c - least(0, min(c) OVER (PARTITION BY series_id ORDER BY t)) AS score FROM c) SELECT series_id, t, round(score, 5) AS score, round(least(score / 400, 1), 6) AS p_change FROM z"),
     "alert_gate": (alert_gate, _GATE),
     "cusum_steps": (cusum_steps, f"WITH {USERS}{_CUSUM.format(k=5500)} SELECT series_id, t, round(least(score / 200, 1), 6) AS p_change FROM z"),

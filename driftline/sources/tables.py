@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scan import numbered
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def series(df: DataFrame, key, order: list, value, scale: int = 100, ts=None) -> DataFrame:
-    """Number the rows of each series and add the fixed-point value; NaN counts as missing."""
+def series(df: DataFrame, key, order: list, value, scale: int = 100, ts=None, long: bool = False) -> DataFrame:
+    """Number the rows of each series and add the fixed-point value; NaN counts as missing. long: the series are longer than
+    one task should sort, and are numbered by ranges."""
     x = F.when(~F.isnan(value), value)
+    named = df.withColumn("series_id", key.cast("string"))
     t = F.row_number().over(W.partitionBy("series_id").orderBy(*order)) - 1
-    out = df.withColumn("series_id", key.cast("string")).withColumn("t", t.cast("long")).withColumn("x", x)
+    out = (numbered(named, "series_id", order) if long else named.withColumn("t", t.cast("long"))).withColumn("x", x)
     return out.select("series_id", "t", (ts if ts is not None else F.lit(None)).alias("ts"), "x", F.round(F.col("x") * scale).cast("long").alias("x_fp"))
 
 
-def events(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, by: str = "event_type", long: bool = False) -> DataFrame:
     df = read(spark, sf_dir, "events").select(by, "ts", "event_id", "value")
-    return series(df, F.col(by), ["ts", "event_id"], F.col("value"), ts=F.col("ts"))
+    return series(df, F.col(by), ["ts", "event_id"], F.col("value"), ts=F.col("ts"), long=long)
+
+
+def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantities of all line items as one series, which grows with the table."""
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    return series(df, F.lit("lineitem"), ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"], F.col("l_quantity"), ts=F.col("l_shipdate"), long=True)
 
 
 def error_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
