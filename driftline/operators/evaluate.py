@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 
 
 def _tolerance_match(t: str, d: str, tolerance: int):
-    """Matches of two sorted arrays, each point at most once, by a merge from the left: an array fold, one row per series."""
-    start = F.struct(F.lit(0).cast("int").alias("j"), F.lit(0).cast("int").alias("hits"))
+    """Matches of two sorted arrays, each point at most once, by one sweep over both: an array fold with a constant state.
+
+    Each step matches the next two points if they are near enough, and otherwise passes over the smaller of them.
+    """
+    start = F.struct(*[F.lit(0).cast("int").alias(k) for k in ("i", "j", "hits")])
+
+    def step(acc, _):
+        x, y = F.get(F.col(t), acc["i"]), F.get(F.col(d), acc["j"])  # null behind the end
+        hit, one = F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)), F.lit(1)
+        first, second = hit | (x < y), hit | (y < x)
+        move = lambda k, go: (acc[k] + F.when(go, one).otherwise(0)).cast("int").alias(k)
+        return F.struct(move("i", first), move("j", second), move("hits", hit))
+
+    steps = F.when((F.size(t) > 0) & (F.size(d) > 0), F.sequence(F.lit(1), F.size(t) + F.size(d))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, step)["hits"]
 
-    def step(acc, truth):
-        # The first detection from j on that is not too early for this true point.
-        size = F.size(d)
-        at = F.aggregate(
-            F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
-            acc["j"],
-            lambda j, k: F.when((k == j) & (j < size) & (F.get(F.col(d), j) < truth - tolerance), j + 1).otherwise(j),
-        )
-        hit = (at < size) & (F.get(F.col(d), at) <= truth + tolerance)
-        return F.struct((at + hit.cast("int")).cast("int").alias("j"), (acc["hits"] + hit.cast("int")).cast("int").alias("hits"))
 
-    return F.aggregate(F.col(t), start, lambda acc, v: step(acc, v))["hits"]
+def tolerance_jaccard(a: str, b: str, tolerance: int):
+    """Matched points of two sorted arrays over all their points; 1 where both are empty."""
+    hits = _tolerance_match(a, b, tolerance)
+    return F.coalesce(F.try_divide(hits, F.size(a) + F.size(b) - hits), F.lit(1.0))
 
 
 def _arrays(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -57,17 +63,21 @@ def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     return got.select("series_id", "cp", F.least(F.col("cp") - F.col("_p"), F.col("_q") - F.col("cp")).alias("distance"))
 
 
-def hausdorff(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Greatest nearest distance in either direction; null where exactly one side is empty."""
-    a = nearest(truth, found).groupBy("series_id").agg(F.max("distance").alias("d1"), F.count_if(F.col("distance").isNull()).alias("u1"))
-    b = nearest(found, truth).groupBy("series_id").agg(F.max("distance").alias("d2"), F.count_if(F.col("distance").isNull()).alias("u2"))
-    both = a.join(b, "series_id", "full")
-    return both.select("series_id", F.when((F.coalesce("u1", F.lit(1)) == 0) & (F.coalesce("u2", F.lit(1)) == 0), F.greatest("d1", "d2")).alias("hausdorff"))
+def hausdorff(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Greatest nearest distance in either direction; 0 where both sides are empty, null where exactly one is."""
+    a = nearest(truth, found).groupBy("series_id").agg(F.max("distance").alias("d1"))
+    b = nearest(found, truth).groupBy("series_id").agg(F.max("distance").alias("d2"))
+    own = truth.select("series_id").distinct().withColumn("t", F.lit(True)).join(found.select("series_id").distinct().withColumn("f", F.lit(True)), "series_id", "full")
+    both = lengths.select("series_id").join(own, "series_id", "left").join(a, "series_id", "left").join(b, "series_id", "left")
+    value = F.when(F.col("t").isNull() & F.col("f").isNull(), F.lit(0).cast("long")).when(F.col("t") & F.col("f"), F.greatest("d1", "d2"))
+    return both.select("series_id", value.alias("hausdorff"))
 
 
-def annotation_error(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Mean distance of true points to the nearest found one."""
-    return nearest(truth, found).groupBy("series_id").agg(F.avg("distance").alias("annotation_error"))
+def annotation_error(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Mean distance of found points to the nearest true one; 0 where nothing was found, null where nothing is true but
+    something was found."""
+    by = nearest(found, truth).groupBy("series_id").agg(F.avg("distance").alias("_mean"), F.count(F.lit(1)).alias("_found"))
+    return lengths.select("series_id").join(by, "series_id", "left").select("series_id", F.when(F.col("_found").isNull(), F.lit(0.0)).otherwise(F.col("_mean")).alias("annotation_error"))
 
 
 def _as_segments(points: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -90,7 +100,11 @@ def rand_index(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFr
 
 
 def offline_metrics(truth: DataFrame, found: DataFrame, lengths: DataFrame, tolerance: int = 5) -> DataFrame:
-    return f1(truth, found, lengths, tolerance).join(hausdorff(truth, found), "series_id", "left").join(rand_index(truth, found, lengths), "series_id").join(annotation_error(truth, found), "series_id", "left")
+    """f1, hausdorff, rand_index and annotation_error of each series."""
+    out = f1(truth, found, lengths, tolerance)
+    for more in (hausdorff(truth, found, lengths), rand_index(truth, found, lengths), annotation_error(truth, found, lengths)):
+        out = out.join(more, "series_id", "left")
+    return out
 
 
 def _observed(steps: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Metrics of change points and alerts against a stand-in truth: multiples of 20 rows for each user's series."""
+"""Metrics of change points and alerts against a stand-in truth: multiples of 20 rows for each user's series.
+
+Some users have no true points, some no found ones and some neither, so that the rules of empty sides are met."""
 
 from __future__ import annotations
 
@@ -15,8 +17,9 @@ from .detectors import _scores
 def _frames(spark, d):
     s = T.events(spark, d, "user_id")
     n = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    truth = s.where((F.col("t") > 0) & (F.col("t") % 20 == 0)).select("series_id", F.col("t").alias("cp"))
-    found = S.ranked(S.window_scores(s, 10), 3).select("series_id", F.col("split").alias("cp"))
+    user = F.col("series_id").cast("long")
+    truth = s.where((F.col("t") > 0) & (F.col("t") % 20 == 0) & (user % 7 != 3)).select("series_id", F.col("t").alias("cp"))
+    found = S.ranked(S.window_scores(s, 10), 3).where(user % 5 != 2).select("series_id", F.col("split").alias("cp"))
     return s, n, truth, found
 
 
@@ -27,13 +30,13 @@ def f1(spark, d):
 
 
 def hausdorff(spark, d):
-    _, _, truth, found = _frames(spark, d)
-    return E.hausdorff(truth, found)
+    _, n, truth, found = _frames(spark, d)
+    return E.hausdorff(truth, found, n)
 
 
 def annotation_error(spark, d):
-    _, _, truth, found = _frames(spark, d)
-    return E.annotation_error(truth, found).select("series_id", F.round("annotation_error", 6).alias("annotation_error"))
+    _, n, truth, found = _frames(spark, d)
+    return E.annotation_error(truth, found, n).select("series_id", F.round("annotation_error", 6).alias("annotation_error"))
 
 
 def rand_index(spark, d):
@@ -43,7 +46,8 @@ def rand_index(spark, d):
 
 def offline_metrics(spark, d):
     _, n, truth, found = _frames(spark, d)
-    return E.offline_metrics(truth, found, n, 2).groupBy().agg(F.count(F.lit(1)).alias("series"), F.round(F.avg("hausdorff"), 4).alias("hausdorff"), F.round(F.avg("rand_index"), 4).alias("rand_index"), F.round(F.avg("annotation_error"), 4).alias("annotation_error"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return E.offline_metrics(truth, found, n, 2).select("series_id", r("precision"), r("recall"), r("f1"), "hausdorff", r("rand_index"), r("annotation_error"))
 
 
 def _steps(s):
@@ -82,10 +86,10 @@ def generated(spark, d):
     return out
 
 
-_T = f"""WITH {USERS}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0)"""
-_F = _scores(USERS, 5) + """, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0),
-fd AS (SELECT series_id, split AS cp FROM q QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score DESC, split) <= 3)"""
-_MATCH = _F.replace("WITH ", "WITH RECURSIVE ", 1) + """, arr AS (
+_T = f"""WITH {USERS}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0 AND CAST(series_id AS BIGINT) % 7 <> 3)"""
+_F = _scores(USERS, 5).replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), tr AS (SELECT series_id, t AS cp FROM s WHERE t > 0 AND t % 20 = 0 AND CAST(series_id AS BIGINT) % 7 <> 3),
+fd AS (SELECT series_id, split AS cp FROM q WHERE CAST(series_id AS BIGINT) % 5 <> 2 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score DESC, split) <= 3)"""
+_MATCH = """, arr AS (
   SELECT n.series_id, coalesce((SELECT list(cp ORDER BY cp) FROM tr WHERE tr.series_id = n.series_id), []) AS a, coalesce((SELECT list(cp ORDER BY cp) FROM fd WHERE fd.series_id = n.series_id), []) AS b FROM n
 ), m AS (
   SELECT series_id, a, b, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS hits FROM arr
@@ -93,20 +97,22 @@ _MATCH = _F.replace("WITH ", "WITH RECURSIVE ", 1) + """, arr AS (
   SELECT series_id, a, b, CASE WHEN abs(a[i] - b[j]) <= 2 OR a[i] < b[j] THEN i + 1 ELSE i END, CASE WHEN abs(a[i] - b[j]) <= 2 OR a[i] >= b[j] THEN j + 1 ELSE j END, hits + CASE WHEN abs(a[i] - b[j]) <= 2 THEN 1 ELSE 0 END
   FROM m WHERE i <= len(a) AND j <= len(b)
 ), h AS (SELECT series_id, max(hits) AS h, any_value(len(a)) AS na, any_value(len(b)) AS nb FROM m GROUP BY 1), pr AS (
-  SELECT series_id, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN nb = 0 THEN 0 ELSE h / nb END AS p, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 THEN 0 ELSE h / na END AS r FROM h
-) SELECT series_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr"""
-_NEAR = _F + """, ab AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM tr a JOIN fd b ON a.series_id = b.series_id GROUP BY 1, 2),
-ba AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM fd a JOIN tr b ON a.series_id = b.series_id GROUP BY 1, 2)"""
-_RAND = _F + """, lab AS (
+  SELECT series_id, na, nb, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN nb = 0 THEN 0 ELSE h / nb END AS p, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 THEN 0 ELSE h / na END AS r FROM h
+), fs AS (SELECT series_id, na, nb, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr)"""
+_NEAR = """, ab AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM tr a JOIN fd b ON a.series_id = b.series_id GROUP BY 1, 2),
+ba AS (SELECT a.series_id, a.cp, min(abs(a.cp - b.cp)) AS d FROM fd a JOIN tr b ON a.series_id = b.series_id GROUP BY 1, 2),
+hd AS (SELECT series_id, CASE WHEN na = 0 AND nb = 0 THEN 0 WHEN na = 0 OR nb = 0 THEN NULL ELSE greatest((SELECT max(d) FROM ab WHERE ab.series_id = fs.series_id), (SELECT max(d) FROM ba WHERE ba.series_id = fs.series_id)) END AS hausdorff,
+  CASE WHEN nb = 0 THEN 0 WHEN na = 0 THEN NULL ELSE round((SELECT avg(d) FROM ba WHERE ba.series_id = fs.series_id), 6) END AS annotation_error FROM fs)"""
+_RAND = """, lab AS (
   SELECT s.series_id, s.t, (SELECT count(*) FROM tr WHERE tr.series_id = s.series_id AND tr.cp <= s.t) AS a, (SELECT count(*) FROM fd WHERE fd.series_id = s.series_id AND fd.cp <= s.t) AS b FROM s
 ), ri AS (SELECT x.series_id, avg(CASE WHEN (x.a = y.a) = (x.b = y.b) THEN 1 ELSE 0 END) AS r FROM lab x JOIN lab y ON x.series_id = y.series_id AND x.t < y.t GROUP BY 1)"""
 
 QUERIES = {
-    "eval_f1": (f1, _MATCH),
-    "eval_hausdorff": (hausdorff, _NEAR + " SELECT series_id, CASE WHEN x.d IS NULL OR y.d IS NULL THEN NULL ELSE greatest(x.d, y.d) END AS hausdorff FROM (SELECT series_id, max(d) AS d FROM ab GROUP BY 1) x FULL JOIN (SELECT series_id, max(d) AS d FROM ba GROUP BY 1) y USING (series_id)"),
-    "eval_annotation_error": (annotation_error, _NEAR + " SELECT series_id, round(avg(d), 6) AS annotation_error FROM ab GROUP BY 1"),
-    "eval_rand_index": (rand_index, _RAND + " SELECT series_id, round(r, 6) AS rand_index FROM ri"),
-    "eval_offline_metrics": (offline_metrics, None),
+    "eval_f1": (f1, _F + _MATCH + " SELECT series_id, precision, recall, f1 FROM fs"),
+    "eval_hausdorff": (hausdorff, _F + _MATCH + _NEAR + " SELECT series_id, hausdorff FROM hd"),
+    "eval_annotation_error": (annotation_error, _F + _MATCH + _NEAR + " SELECT series_id, annotation_error FROM hd"),
+    "eval_rand_index": (rand_index, _F + _RAND + " SELECT series_id, round(r, 6) AS rand_index FROM ri"),
+    "eval_offline_metrics": (offline_metrics, _F + _MATCH + _NEAR + _RAND + " SELECT series_id, precision, recall, f1, hausdorff, round(r, 6) AS rand_index, annotation_error FROM fs JOIN hd USING (series_id) JOIN ri USING (series_id)"),
     "eval_online_metrics": (online_metrics, _T + """, al AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS pos, x_fp > 9000 AS alert FROM s), o AS (SELECT al.series_id, al.t, al.pos, max(tr.cp) AS cp FROM al LEFT JOIN tr ON tr.series_id = al.series_id AND tr.cp <= al.t WHERE alert GROUP BY 1, 2, 3),
 h AS (SELECT *, cp IS NOT NULL AND row_number() OVER (PARTITION BY series_id, cp ORDER BY t) = 1 AS hit FROM o), g AS (SELECT series_id, count(*) FILTER (WHERE hit) AS detected, count(*) FILTER (WHERE NOT hit) AS fa, avg(t - cp) FILTER (WHERE hit) AS d, max(pos) FILTER (WHERE NOT hit) AS last FROM h GROUP BY 1), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1)
 SELECT n.series_id, coalesce(detected, 0) AS detected, coalesce(k, 0) - coalesce(detected, 0) AS missed, round(d, 6) AS mean_delay, coalesce(fa, 0) AS false_alarms, round(coalesce(fa, 0) / n, 6) AS false_alarm_rate, round(CASE WHEN fa > 0 THEN (last + 1) / fa ELSE 'infinity'::DOUBLE END, 6) AS arl0 FROM n LEFT JOIN g USING (series_id) LEFT JOIN k USING (series_id)"""),

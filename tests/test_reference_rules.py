@@ -11,7 +11,8 @@ from driftline.operators import evaluate as E
 from driftline.operators.offline_kernels import spread
 from driftline.plans.recommend import recommend, resource_estimate
 
-P_CHANGE = [0.1, 0.2, 0.6, 0.2, 0.9, 0.7, 0.1, 0.3, 0.8, 0.1]
+#: Twelve steps. At 0.5 the alerts are at 1, 5, 6 and 10; with changes at 4 and 9, those at 5 and 10 detect, one step late each.
+OWN = [0.05, 0.65, 0.15, 0.25, 0.35, 0.95, 0.75, 0.0, 0.45, 0.4, 0.55, 0.3]
 
 
 def steps(spark, p, alert=0.55, name="a"):
@@ -22,26 +23,46 @@ def points(spark, cps, name="a"):
     return spark.createDataFrame([(name, c) for c in cps], "series_id string, cp long")
 
 
-def test_alerts_over_ten_steps(spark):
-    got = E.online_metrics(steps(spark, P_CHANGE), points(spark, [3, 7])).first()
-    assert (got["detected"], got["missed"], got["false_alarms"], got["mean_delay"], got["arl0"]) == (2, 0, 2, 1.0, 3.0)
-    assert got["false_alarm_rate"] == pytest.approx(0.2)
+def test_alerts_worked_out_by_hand(spark):
+    got = E.online_metrics(steps(spark, OWN, 0.5), points(spark, [4, 9])).first()
+    # False are 1, before any change, and 6, the second one behind the change at 4; the last false one is the seventh step.
+    assert (got["detected"], got["missed"], got["false_alarms"], got["mean_delay"], got["arl0"]) == (2, 0, 2, 1.0, 3.5)
+    assert got["false_alarm_rate"] == pytest.approx(2 / 12)
 
 
 def test_changes_behind_the_last_step_count_for_nothing(spark):
-    got = E.online_metrics(steps(spark, [0.1, 0.2, 0.3, 0.4, 0.5]), points(spark, [2, 10])).first()
+    got = E.online_metrics(steps(spark, [0.3, 0.1, 0.4, 0.2]), points(spark, [1, 30])).first()
     assert (got["detected"], got["missed"], got["false_alarms"], got["mean_delay"], got["arl0"]) == (0, 1, 0, None, math.inf)
 
 
-def test_roc_by_threshold(spark):
-    got = {round(r["threshold"], 6): (r["detected"], r["false_alerts"], r["tpr"], r["fpr"]) for r in E.roc(steps(spark, P_CHANGE), points(spark, [3, 7])).collect()}
-    assert len(got) == len(set(P_CHANGE)) + 2
-    assert got[1.9] == (0, 0, 0.0, 0.0) and got[0.9] == (1, 0, 0.5, 0.0) and got[0.8] == (2, 0, 1.0, 0.0) and got[0.6] == (2, 2, 1.0, 0.25)
-    assert got[-0.9] == (2, 8, 1.0, 1.0)
+def test_roc_worked_out_by_hand(spark):
+    got = {round(r["threshold"], 6): (r["detected"], r["false_alerts"], r["tpr"], r["fpr"]) for r in E.roc(steps(spark, OWN), points(spark, [4, 9])).collect()}
+    assert len(got) == 12 + 2 and got[1.95] == (0, 0, 0.0, 0.0) and got[-1.0] == (2, 10, 1.0, 1.0)
+    # 0.95 is of the change at 4; 0.75 follows it; 0.65 is before all changes; 0.55 is of the change at 9.
+    assert got[0.95] == (1, 0, 0.5, 0.0) and got[0.75] == (1, 1, 0.5, 0.1) and got[0.65] == (1, 2, 0.5, 0.2) and got[0.55] == (2, 2, 1.0, 0.2)
     none = E.roc(steps(spark, [0.5, 0.5]), points(spark, [])).collect()
     assert {(r["tpr"], r["fpr"]) for r in none} == {(1.0, 0.0), (1.0, 1.0)}
 
 
+def lengths(spark, n, name="a"):
+    return spark.createDataFrame([(name, n)], "series_id string, n long")
+
+
+@pytest.mark.parametrize(("truth", "found", "error", "far"), [([10, 50], [12, 13, 44], (2 + 3 + 6) / 3, 6), ([10, 50], [11], 1.0, 39), ([], [], 0.0, 0), ([7], [], 0.0, None), ([], [7], None, None)])
+def test_errors_of_points_and_empty_sides(spark, truth, found, error, far):
+    t, f, n = points(spark, truth), points(spark, found), lengths(spark, 60)
+    assert E.annotation_error(t, f, n).first()["annotation_error"] == (None if error is None else pytest.approx(error))
+    assert E.hausdorff(t, f, n).first()["hausdorff"] == far
+
+
+def test_tolerance_match_of_many_points(spark):
+    """100,000 points a side: the sweep takes as many steps as there are points."""
+    t = spark.range(100_000).select(F.lit("a").alias("series_id"), (10 * F.col("id")).alias("cp"))
+    f = spark.range(100_000).select(F.lit("a").alias("series_id"), (10 * F.col("id") + F.when(F.col("id") % 4 == 0, 7).otherwise(2)).alias("cp"))
+    got = E.f1(t, f, lengths(spark, 1_000_001), 2).first()
+    assert got["matched"] == 75_000 and got["precision"] == 0.75
+
+
 def series(spark, x, name="a"):
     return spark.createDataFrame([(name, t, None if v is None else float(v)) for t, v in enumerate(x)], "series_id string, t long, x double")
 
@@ -89,16 +110,16 @@ def test_columns_of_a_series_are_profiled_apart(spark):
     assert got["nan_rate"] == pytest.approx(150 / 900)
     for k in ("kurtosis_proxy", "lag1_autocorr", "regime_change_proxy", "pacf_lagk_proxy"):
         assert got[k] == pytest.approx(float(np.median(own[k])))
-    names = {r["pipeline"] for r in recommend(P.diagnostics(s), dims=3).collect()}
-    assert any(n.endswith(":normal_full_cov") for n in names)
+    names = {r["pipeline"] for r in recommend(P.diagnostics(s)).collect()}
+    assert any(":normal_full_cov:jump=1" in n for n in names)
 
 
 def test_even_profiles_get_nothing_extra(spark):
     s = series(spark, [math.sin(t * t) for t in range(200)])
     d = P.diagnostics(s)
     base = {r["pipeline"]: r for r in recommend(d).collect()}
-    assert base["offline:pelt:l2"]["confidence"] < 0.56 * 0.9 + 0.04 + 0.1  # the base of a fallback, without a bonus
-    assert resource_estimate("offline:pelt:l1")["relative_memory"] == 0.45 and resource_estimate("offline:dynp:normal")["relative_time"] == 0.92
+    assert base["offline:pelt:l2:jump=1"]["confidence"] < 0.56 * 0.9 + 0.04 + 0.1  # the base of a fallback, without a bonus
+    assert resource_estimate("offline:pelt:l1_median:jump=1")["relative_memory"] == 0.45 and resource_estimate("offline:dynp:normal")["relative_time"] == 0.92
 
 
 def test_poisson_run_lengths_written_out():
