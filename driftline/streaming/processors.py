@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..errors import EngineError
 from ..operators.online_kernels import make_online
 
-OUTPUT = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double, status string"
+#: What happens to late rows, counted; each row of the output has what it added.
+COUNTERS = ("late", "buffered", "reordered", "dropped_oldest", "dropped_newest", "overflow_errors")
+#: The latency of a row is null: rows are taken in batches, whose times the query's progress tells.
+OUTPUT = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double, status string, " + ", ".join(f"{c} int" for c in COUNTERS) + ", processing_latency_us bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,16 +42,18 @@ class DetectorProcessor(StatefulProcessor):
         out = []
         times = pdf["t_ns"].tolist() if "t_ns" in pdf else [None] * len(pdf)
         for x, ts in zip(pdf["x"].tolist(), times, strict=True):
+            before = dict(model.counters)
             try:
                 step = vars(model.update(x, None if ts is None else int(ts))) | {"status": "ok"}
             except EngineError as e:
                 if self.strict:
                     raise
                 step = {"t": max(model.t - 1, 0), "p_change": None, "alert": False, "alert_reason": None, "run_length_mode": None, "run_length_mean": None, "status": f"{e.code}: {e}"}
-            out.append({"series_id": key[0], **step})
+            out.append({"series_id": key[0], **step, **{c: model.counters[c] - before[c] for c in COUNTERS}, "processing_latency_us": None})
         self.state.update((json.dumps(model.save_state()),))
         frame = pd.DataFrame(out)
-        frame["run_length_mode"] = frame["run_length_mode"].astype("Int64")
+        for c in ("run_length_mode", "processing_latency_us"):
+            frame[c] = frame[c].astype("Int64")
         yield frame
 
     def close(self) -> None:
@@ -68,7 +74,47 @@ def windowed_alerts(steps: DataFrame, every: str = "10 minutes", late: str = "10
     return steps.withWatermark("ts", late).groupBy("series_id", F.window("ts", every)).agg(F.count_if("alert").alias("alerts"), F.max("p_change").alias("top"))
 
 
-def run_available(stream: DataFrame, checkpoint: str, sink: str) -> None:
-    """Process what is there and stop; sink is a Parquet folder."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def observed(steps: DataFrame, name: str = "late_rows") -> DataFrame:
+    """The steps, with the six counters of each batch as metrics of the query's progress."""
+    return steps.observe(name, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+
+
+@dataclass
+class Run:
+    """What the progress of a finished query tells: rows, the six counters, and the milliseconds of its batches."""
+
+    rows: int
+    counters: dict
+    batch_ms: list[int]
+
+    @property
+    def us_per_row(self) -> float | None:
+        return 1000 * sum(self.batch_ms) / self.rows if self.rows else None
+
+
+def run_available(stream: DataFrame, checkpoint: str, sink: str, name: str = "late_rows") -> Run:
+    """Process what is there and stop; sink is a Parquet folder. The session's own state store is put back afterwards.
+
+    The figures are read from the query's progress, batch by batch; the session keeps as many batches as
+    spark.sql.streaming.numRecentProgressUpdates says, so that it is raised for the run.
+    """
+    conf = stream.sparkSession.conf
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.numRecentProgressUpdates": "100000"}
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
+    try:
+        steps = observed(stream, name) if set(COUNTERS) <= set(stream.columns) else stream
+        query = steps.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows, counters, ms = 0, dict.fromkeys(COUNTERS, 0), []
+        for progress in query.recentProgress:
+            seen = progress.observedMetrics.get(name)
+            if seen is not None:
+                rows += seen["rows"]
+                counters = {c: counters[c] + seen[c] for c in COUNTERS}
+                ms.append(progress.durationMs["triggerExecution"])
+        return Run(rows, counters, ms)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
