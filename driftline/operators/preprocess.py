@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..errors import InvalidInput
 from ..functions.native import ORDERED, SERIES, mad, missing
@@ -46,11 +47,20 @@ def detrend_polynomial(s: DataFrame, degree: int) -> DataFrame:
     return rows.join(fit, "series_id").withColumn("x", F.col("x") - curve).select(*s.columns)
 
 
+def _longer(s: DataFrame, period: int, what: str) -> DataFrame:
+    """s with _n, the length of its series; a series that is not longer than the period is an error."""
+    n = F.count(F.lit(1)).over(SERIES())
+    why = F.concat(F.lit(f"{what} needs a period below the length of the series; the period is {period}, the length "), n.cast("string"))
+    return s.withColumn("_n", F.when(n > period, n).otherwise(F.raise_error(why).cast("long")))
+
+
 def difference(s: DataFrame, period: int) -> DataFrame:
     """x less x one period before; the first period stays; missing if either side is."""
     if period < 1:
         raise InvalidInput("the period must be at least 1")
-    return s.withColumn("x", F.when(F.col("t") < period, F.col("x")).otherwise(F.col("x") - F.lag("x", period).over(ORDERED())))
+    rows = _longer(s, period, "differencing")
+    x = F.when(F.col("t") < period, F.col("x")).otherwise(F.col("x") - F.lag("x", period).over(ORDERED()))
+    return rows.withColumn("x", F.when(F.col("_n") > 0, x)).select(*s.columns)
 
 
 def moving_average(half: int, x: str = "x"):
@@ -59,23 +69,26 @@ def moving_average(half: int, x: str = "x"):
 
 
 def stl_like(s: DataFrame, period: int, rounds: int = 2) -> DataFrame:
-    """x less a season that is re-estimated from what a moving average leaves; the trend stays in."""
+    """x less a season that is re-estimated from what a moving average leaves; the trend stays in.
+
+    The window of the average is 2 * period + 1 rows, or the largest odd number of rows that a shorter series has, 3 at least.
+    Frames have one width in a plan: places of short series are stretched, so that the same distance spans fewer of their rows.
+    A phase without values has the mean 0.
+    """
     if period < 2:
         raise InvalidInput("the period must be at least 2")
-    n = F.count(F.lit(1)).over(SERIES())
-    odd = F.when(n % 2 == 1, n).otherwise(n - 1)
-    rows = s.withColumn("_half", ((F.greatest(F.lit(3), F.least(F.lit(2 * period + 1), odd)) - 1) / 2).cast("int")).withColumn("_season", F.lit(0.0)).withColumn("_phase", F.col("t") % period)
+    rows = _longer(s, period, "a season")
+    odd = F.col("_n") - (F.col("_n") % 2 == 0).cast("int")
+    half = F.floor(F.greatest(F.lit(3), F.least(F.lit(2 * period + 1), odd)) / 2)
+    rows = rows.withColumn("_place", F.col("t") * (F.lit(float(period)) / half)).withColumn("_season", F.lit(0.0)).withColumn("_phase", F.col("t") % period)
     phase = W.partitionBy("series_id", "_phase")
+    near = f"over (partition by series_id order by _place range between {period}.5D preceding and {period}.5D following)"
     for _ in range(rounds):
-        # Windows of one width per plan: series so short that the window shrinks average all their rows instead.
-        rows = rows.withColumn("_clean", F.col("x") - F.col("_season"))
-        wide = moving_average(period, "_clean")
-        trend = F.when(F.col("_half") == period, wide).otherwise(F.avg("_clean").over(SERIES()))
-        rows = rows.withColumn("_rest", F.col("x") - trend)
-        rows = rows.withColumn("_mean", F.avg("_rest").over(phase))
-        share = F.row_number().over(phase.orderBy("t")) == 1
-        rows = rows.withColumn("_first", share)
-        rows = rows.withColumn("_season", F.coalesce(F.col("_mean") - F.avg(F.when(F.col("_first"), F.col("_mean"))).over(SERIES()), F.lit(0.0)))
+        rows = rows.withColumn("_clean", F.col("x") - F.col("_season")).withColumn("_rest", F.col("x") - F.expr(f"avg(_clean) {near}"))
+        rows = rows.withColumn("_mean", F.coalesce(F.avg("_rest").over(phase), F.lit(0.0)))
+        # Each phase's mean stands once: in its first row.
+        level = F.sum(F.when(F.col("t") < period, F.col("_mean"))).over(SERIES()) / period
+        rows = rows.withColumn("_season", F.col("_mean") - level)
     return rows.withColumn("x", F.col("x") - F.col("_season")).select(*s.columns)
 
 
@@ -101,11 +114,17 @@ def forward_fill(s: DataFrame) -> DataFrame:
 
 
 def preprocess(s: DataFrame, config: dict | None) -> DataFrame:
-    """config maps steps to their options; the order is fixed, unknown keys are refused."""
+    """config maps steps to their options; the order is fixed, unknown keys are refused. Series with several columns (x as an
+    array) are treated column by column and come back as series_id, t and x."""
     config = config or {}
     unknown = set(config) - set(STEPS)
     if unknown:
         raise InvalidInput(f"unknown preprocessing step {sorted(unknown)[0]!r}")
+    if config and isinstance(s.schema["x"].dataType, ArrayType):
+        each = s.select(F.col("series_id").alias("_of"), "t", F.posexplode("x").alias("_dim", "x"))
+        each = each.select(F.concat_ws("\t", "_of", "_dim").alias("series_id"), "t", F.col("x").cast("double").alias("x"), "_of", "_dim")
+        back = preprocess(each, config).groupBy("_of", "t").agg(F.array_sort(F.collect_list(F.struct("_dim", "x"))).alias("_all"))
+        return back.select(F.col("_of").alias("series_id"), "t", F.transform("_all", lambda e: e["x"]).alias("x"))
     if (c := config.get("detrend")) is not None:
         s = detrend_linear(s) if c.get("method", "linear") == "linear" else detrend_polynomial(s, int(c.get("degree", 2)))
     if (c := config.get("deseasonalize")) is not None:

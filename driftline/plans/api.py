@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -13,22 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Constraints, Stopping
 from ..errors import BadJson, EngineError, InputOutput, InvalidInput
 from ..functions.cost_kernels import matrix
+from ..operators.diagnostics import diagnostics
 from ..operators.offline_kernels import Outcome, detect
+from ..operators.preprocess import preprocess as preprocess_frame
 from ..sources import files
 from .spec import PipelineSpec, execute
 
 
-def detect_offline(values, pipeline=None, detector: str | None = None, cost: str | None = None, constraints=None, stopping=None, preprocess=None, repro_mode: str = "balanced") -> Outcome:
-    """One series held as an array. pipeline excludes the other settings."""
+def detect_offline(values, pipeline=None, detector: str | None = None, cost: str | None = None, constraints=None, stopping=None, preprocess=None, repro_mode: str = "balanced", return_diagnostics: bool = False):
+    """One series held as an array. pipeline excludes the other settings. Preprocessing and diagnostics run as plans.
+
+    return_diagnostics: the outcome and the series' profile (None for one that is too short) instead of the outcome alone.
+    """
     if pipeline is not None:
         if any(v is not None for v in (detector, cost, constraints, stopping, preprocess)):
             raise InvalidInput("pipeline excludes detector, cost, constraints, stopping and preprocess")
         spec = PipelineSpec.parse(pipeline)
     else:
         spec = PipelineSpec(detector or "pelt", cost or "l2", Constraints.of(constraints), Stopping.of(stopping), preprocess)
+    x = matrix(values)
+    if spec.preprocess or return_diagnostics:
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        rows = files.from_rows(spark, np.asarray(values, dtype=np.float64))
     if spec.preprocess:
-        raise InvalidInput("preprocessing runs on frames: use execute()")
-    return detect(matrix(values), spec.detector, spec.cost, spec.stopping, spec.constraints, repro_mode, spec.options)
+        cleaned = preprocess_frame(rows, spec.preprocess).orderBy("t").select("x").toPandas()["x"]
+        x = matrix(np.array(cleaned.tolist(), dtype=float))
+    outcome = detect(x, spec.detector, spec.cost, spec.stopping, spec.constraints, repro_mode, spec.options)
+    return (outcome, diagnostics(rows.select("series_id", "t", "x")).first()) if return_diagnostics else outcome
 
 
 def register_sql(spark: SparkSession) -> None:
@@ -50,6 +62,73 @@ def register_sql(spark: SparkSession) -> None:
                     yield self.key, int(c)
 
     spark.udtf.register("detect_changes", udtf(DetectChanges, returnType="series_id string, change_point bigint"))
+    spark.udtf.register("changes_of", udtf(_changes_of()))
+
+
+def _changes_of():
+    """changes_of(TABLE(...), detector => ..., cost => ..., penalty => ... or k => ..., min_segment_len => ..., jump => ...,
+    series => name, by => name, value => name): the series' column and change_point, one row for each.
+
+    The columns are named, and the function itself asks for the rows of a series together and in order; without a series' column
+    the table is one series. Settings and names must be constants; what does not fit is an error before anything runs.
+    """
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
+    from pyspark.sql.types import ArrayType, LongType, NumericType, StringType, StructField, StructType
+
+    @dataclass
+    class Settings(AnalyzeResult):
+        detector: str = "pelt"
+        cost: str = "l2"
+        stopping: dict = field(default_factory=lambda: {"pen": "bic"})
+        constraints: dict = field(default_factory=dict)
+        series: str | None = None
+        value: str = "x"
+
+    class ChangesOf:
+        def __init__(self, settings):
+            self.settings, self.rows, self.key = settings, [], None
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise InvalidInput("the first argument must be a table")
+            known = {"detector", "cost", "penalty", "k", "min_segment_len", "jump", "series", "by", "value"}
+            unknown = sorted(set(given) - known)
+            if unknown:
+                raise InvalidInput(f"unknown argument {unknown[0]!r}")
+            loose = sorted(name for name, a in given.items() if not a.isConstantExpression)
+            if loose:
+                raise InvalidInput(f"{loose[0]} must be a constant")
+            g = {name: a.value for name, a in given.items()}
+            columns = {f.name: f.dataType for f in rows.dataType.fields}
+            series, by, value = g.get("series", "series_id" if "series_id" in columns else None), g.get("by", "t"), g.get("value", "x")
+            for name in [c for c in (series, by, value) if c is not None]:
+                if name not in columns:
+                    raise InvalidInput(f"the table has no column {name!r}")
+            kind = columns[value].elementType if isinstance(columns[value], ArrayType) else columns[value]
+            if not isinstance(kind, NumericType):
+                raise InvalidInput(f"{value} must be numeric, or an array of numbers")
+            if "penalty" in g and "k" in g:
+                raise InvalidInput("penalty and k exclude each other")
+            stopping = {"k": int(g["k"])} if "k" in g else {"pen": g["penalty"] if isinstance(g.get("penalty"), str) else float(g["penalty"])} if "penalty" in g else {"pen": "bic"}
+            constraints = {name: int(g[name]) for name in ("min_segment_len", "jump") if name in g}
+            spec = PipelineSpec.parse({"detector": g.get("detector", "pelt"), "cost": g.get("cost", "l2"), "stopping": stopping, "constraints": constraints})  # refuses what it does not know
+            out = StructType([StructField(series or "series_id", columns[series] if series else StringType()), StructField("change_point", LongType())])
+            where = {"partitionBy": [PartitioningColumn(f"`{series}`")]} if series else {"withSinglePartition": True}
+            return Settings(schema=out, orderBy=[OrderingColumn(f"`{by}`")], detector=spec.detector, cost=spec.cost, stopping=stopping, constraints=constraints, series=series, value=value, **where)
+
+        def eval(self, rows, **given):
+            self.key = rows[self.settings.series] if self.settings.series else "series"
+            self.rows.append(rows[self.settings.value])
+
+        def terminate(self):
+            if self.rows:
+                s = self.settings
+                got = detect(matrix(np.array(self.rows, dtype=float)), s.detector, s.cost, Stopping.of(s.stopping), Constraints.of(s.constraints))
+                for c in got.change_points:
+                    yield self.key, int(c)
+
+    return ChangesOf
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -109,12 +188,10 @@ def _run(a: argparse.Namespace) -> int:
         with open(a.pipeline) as source:
             out = execute(load(spark, a.input), source.read())
     elif a.command == "doctor":
-        from ..operators.diagnostics import diagnostics
         from .recommend import recommend
 
         s = load(spark, a.input).select("series_id", "t", "x")
-        dims = s.select(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
-        out = recommend(diagnostics(s), a.objective, a.online, dims=dims)
+        out = recommend(diagnostics(s), a.objective, a.online)
     else:
         from ..operators.evaluate import offline_metrics
 

@@ -28,7 +28,7 @@ OFFLINE = [
     (f"{HUGE} and autocorrelated", "offline:pelt:ar", 0.78, 0.82, 0.70, "strong", ("autocorrelated",), 0.82, False),
     (f"{HUGE} and heavy_tail", "offline:pelt:nig", 0.68, 0.82, 0.85, "strong", ("heavy_tail",), 0.82, False),
     (HUGE, "offline:fpop:l2", 0.92, 0.73, 0.55, "generic", ("change_dense",), 0.60, False),
-    (f"{MEDIUM} and heavy_tail", "offline:binseg:l1", 0.38, 0.74, 0.93, "strong", ("heavy_tail",), 0.86, False),
+    (f"{MEDIUM} and heavy_tail", "offline:binseg:l1_median", 0.38, 0.74, 0.93, "strong", ("heavy_tail",), 0.86, False),
     (f"{MEDIUM} and few_strong_changes and masking_risk", "offline:wbs:normal", 0.62, 0.84, 0.73, "strong", ("few_strong_changes", "masking_risk"), 0.80, False),
     (f"{MEDIUM} and few_strong_changes and not masking_risk", "offline:binseg:normal", 0.86, 0.70, 0.60, "strong", ("few_strong_changes",), 0.76, False),
     (f"{MEDIUM} and change_dense", "offline:fpop:l2", 0.92, 0.73, 0.55, "strong", ("change_dense",), 0.70, False),
@@ -45,6 +45,8 @@ ONLINE_BY_OBJECTIVE = {
     "speed": ("true", "online:cusum", 0.95, 0.58, 0.48, "generic", ("low_signal",), 0.55, False),
     "robustness": ("true", "online:page_hinkley", 0.88, 0.64, 0.62, "generic", ("low_signal",), 0.56, False),
 }
+#: Longest run that a recommended online detector follows.
+MAX_RUN = 2000
 # Base confidence by family of candidates.
 FAMILY = {"strong": 0.74, "generic": 0.64, "fallback": 0.56}
 
@@ -65,13 +67,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(c, F.lit(high)), F.lit(low))
 
 
-def calibration_family(d: DataFrame, dims: int = 1) -> DataFrame:
+def calibration_family(d: DataFrame) -> DataFrame:
     """Adds the family whose calibration applies."""
     c = F.col
     heavy = F.greatest(c("kurtosis_proxy") / 4.0, c("outlier_rate_iqr") / 0.02, F.when(c("mad_to_std_ratio") <= 0.80, 0.80 / F.greatest(c("mad_to_std_ratio"), F.lit(1e-12))).otherwise(F.lit(0.0)))
     auto = F.greatest(c("lag1_autocorr") / 0.55, c("lagk_autocorr") / 0.45, c("residual_lag1_autocorr") / 0.40)
     family = (
-        F.when(F.lit(dims >= 4), "multivariate").when(c("binary_like"), "binary").when(c("count_like"), "count").when(c("strength") >= 0.40, "seasonal")
+        F.when(c("dimensions") >= 4, "multivariate").when(c("binary_like"), "binary").when(c("count_like"), "count").when(c("strength") >= 0.40, "seasonal")
         .when(c("autocorrelated") & (heavy > auto + 0.25), "heavy_tailed").when(c("autocorrelated"), "autocorrelated").when(c("heavy_tail"), "heavy_tailed").otherwise("gaussian")
     )
     return d.withColumn("calibration", family)
@@ -97,24 +99,35 @@ def divergence(d: DataFrame) -> DataFrame:
     return d.withColumn("divergence", total / weight).drop(*names)
 
 
-def recommend(profiles: DataFrame, objective: str = "balanced", online: bool = False, dims: int = 1, min_confidence: float = 0.2, allow_abstain: bool = True, top: int = 5) -> DataFrame:
-    """Up to `top` pipelines per profile: series_id, place, pipeline, score, confidence, low, high, calibration, abstained."""
+def recommend(profiles: DataFrame, objective: str = "balanced", online: bool = False, min_confidence: float = 0.2, allow_abstain: bool = True, top: int = 5) -> DataFrame:
+    """Up to `top` pipelines per profile: series_id, place, pipeline, score, confidence, low, high, calibration, abstained.
+
+    A pipeline names its detector, its cost or model, and how it is thinned: candidates at every row, or on very long series at
+    every jump-th. Online detectors take one column: profiles of more are an error.
+    """
     if objective not in OBJECTIVES:
         raise InvalidInput(f"unknown objective {objective!r}")
-    if online and dims > 1:
-        raise InvalidInput("online detectors take one column")
-    d = divergence(calibration_family(strongest_signal(signal_flags(profiles)), dims))
+    if online:
+        one = F.when(F.col("dimensions") == 1, F.col("series_id")).otherwise(F.raise_error(F.lit("online detectors take one column")))
+        profiles = profiles.withColumn("series_id", one)
+    d = divergence(calibration_family(strongest_signal(signal_flags(profiles))))
+    d = d.withColumn("jump", F.when(F.col("huge_n"), F.least(F.greatest(F.expr("n div 25000"), F.lit(1)), F.lit(16))).otherwise(F.lit(1)))
     rules = ONLINE + ([ONLINE_BY_OBJECTIVE[objective]] if objective in ONLINE_BY_OBJECTIVE else []) if online else OFFLINE
     w = OBJECTIVES[objective]
     best_axis = {"speed": 0, "accuracy": 1, "robustness": 2}.get(objective)
     entries = []
     for condition, name, *axes, family, signals, evidence, stand_in in rules:
-        if name.endswith(":normal") and 2 <= dims <= 16:
-            name += "_full_cov"
+        pipeline = F.lit(name)
+        if name.endswith(":normal"):  # columns that vary together, where there are few of them and the series is not very long
+            pipeline = F.when(F.col("dimensions").between(2, 16) & ~F.col("huge_n"), F.lit(f"{name}_full_cov")).otherwise(pipeline)
+        if name.startswith("offline:"):
+            pipeline = F.concat(pipeline, F.lit(":jump="), F.col("jump").cast("string"))
+        elif name.startswith("online:bocpd:"):
+            pipeline = F.concat(pipeline, F.lit(f":max_run_length={MAX_RUN}"))
         fit = min(1.0, sum(a * b for a, b in zip(w, axes, strict=True)))
         on_axis = best_axis is not None and axes[best_axis] == max(axes)
         base = FAMILY[family] - (0.08 if stand_in else 0) + (0.05 if on_axis else 0)
-        entries.append(F.when(F.expr(condition), F.struct(F.lit(name).alias("pipeline"), F.lit(fit).alias("fit"), F.lit(base).alias("base"), F.lit(evidence - (0.05 if stand_in else 0)).alias("evidence"), F.array(*map(F.lit, signals)).alias("signals"))))
+        entries.append(F.when(F.expr(condition), F.struct(pipeline.alias("pipeline"), F.lit(fit).alias("fit"), F.lit(base).alias("base"), F.lit(evidence - (0.05 if stand_in else 0)).alias("evidence"), F.array(*map(F.lit, signals)).alias("signals"))))
     rows = d.select("*", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("c")).select("*", "c.*").drop("c")
     off = lambda flag, v: F.when(F.col(flag), F.lit(v)).otherwise(F.lit(0.0))
     raw = F.col("base") - off("used_subsampling", 0.05) - off("masking_risk", 0.07) - off("conflicting_signals", 0.15) + F.when(F.array_contains("signals", F.col("strongest")), 0.10).otherwise(0.0)
@@ -130,16 +143,11 @@ def recommend(profiles: DataFrame, objective: str = "balanced", online: bool = F
     by = W.partitionBy("series_id").orderBy(F.desc("score"), F.desc("confidence"), "pipeline")
     rows = rows.withColumn("place", F.row_number().over(by)).withColumn("_first", F.first("confidence").over(by))
     doubt = F.col("_first") < min_confidence
-    safe = "online:bocpd:gaussian" if online else "offline:pelt:l2"
-    keep = F.when(doubt & F.lit(allow_abstain), F.col("pipeline") == safe).otherwise(F.col("place") <= top)
+    safe = "online:bocpd:gaussian:" if online else "offline:pelt:l2:"
+    keep = F.when(doubt & F.lit(allow_abstain), F.col("pipeline").startswith(safe)).otherwise(F.col("place") <= top)
     return rows.where(keep).select("series_id", "place", "pipeline", "score", "confidence", "low", "high", "calibration", "strongest", (doubt & F.lit(allow_abstain)).alias("abstained"))
 
 
-def jump_for(n: int) -> int:
-    """Thinning of candidates on very long series."""
-    return max(1, min(16, n // 25_000))
-
-
 # Time and memory of a pipeline's detector, and its scores from 0 to 1.
 RESOURCES = {
     "pelt": ("O(n) avg / O(n^2) worst", "O(n)", 0.45, 0.40),
@@ -156,5 +164,5 @@ L1_RESOURCES = ("slow path: O(m) median per segment query (not O(1)); detector o
 
 
 def resource_estimate(pipeline: str) -> dict:
-    time, memory, t, m = L1_RESOURCES if pipeline.endswith(":l1") else RESOURCES[pipeline.split(":")[1]]
+    time, memory, t, m = L1_RESOURCES if ":l1" in pipeline else RESOURCES[pipeline.split(":")[1]]
     return {"time": time, "memory": memory, "relative_time": t, "relative_memory": m}

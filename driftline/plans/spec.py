@@ -6,15 +6,20 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..config import Constraints, Penalty, Stopping
-from ..errors import InvalidInput, NotSupported
+from ..errors import EngineError, InvalidInput, NotSupported
 from ..functions.cost_kernels import COSTS, matrix
+from ..functions.storage import written
 from ..operators import detect as D
 from ..operators import online as O
+from ..operators.evaluate import tolerance_jaccard
+from ..operators.grouped import by_series, numbers
 from ..operators.offline_kernels import DETECTORS, detect
 from ..operators.online_kernels import ONLINE
 from ..operators.preprocess import preprocess
@@ -65,14 +70,17 @@ class PipelineSpec:
         return PipelineSpec(detector, cost or "l2", Constraints.of(body.get("constraints")), Stopping.of(body.get("stopping")), body.get("preprocess"), body.get("seed"), options)
 
     @staticmethod
-    def of_recommendation(pipeline: str, n: int = 0) -> PipelineSpec:
-        from .recommend import jump_for
-
-        kind, detector, *model = pipeline.split(":")
+    def of_recommendation(pipeline: str) -> PipelineSpec:
+        """The spec that the name of a recommended pipeline stands for."""
+        kind, detector, *rest = pipeline.split(":")
+        settings = dict(r.split("=") for r in rest if "=" in r)
+        model = next((r for r in rest if "=" not in r), None)
         if kind == "online":
-            return PipelineSpec(detector, "l2", options={"model": model[0]} if model else {})
-        options = {"strategy": "stratified"} if detector == "wbs" else {}
-        return PipelineSpec(detector, model[0], Constraints(jump=jump_for(n)), options=options)
+            options = {"model": model} if model else {}
+            return PipelineSpec(detector, "l2", options=options | ({"max_run_length": int(settings["max_run_length"])} if "max_run_length" in settings else {}))
+        # Intervals in strata against masking; at random where a dense series stands in for another detector.
+        options = {"strategy": "random" if model == "l2" else "stratified"} if detector == "wbs" else {}
+        return PipelineSpec(detector, {"l1_median": "l1"}.get(model, model), Constraints(jump=int(settings.get("jump", 1))), Stopping.of({"pen": "bic"}) if detector == "dynp" else Stopping(), options=options)
 
 
 def execute(s: DataFrame, spec: PipelineSpec | dict, repro_mode: str = "balanced", errors: str = "raise") -> DataFrame:
@@ -84,79 +92,149 @@ def execute(s: DataFrame, spec: PipelineSpec | dict, repro_mode: str = "balanced
     return D.detect_series(s, spec.detector, spec.cost, spec.stopping, spec.constraints, repro_mode, spec.options, errors=errors)
 
 
-def cluster(points: list[tuple[int, int]], tolerance: int) -> list[tuple[int, int]]:
-    """(median place, votes) of points (place, voter) gathered around the nearest anchor within the tolerance."""
-    groups: list[dict] = []
-    for place, voter in sorted(points):
-        near = [g for g in groups if abs(place - g["anchor"]) <= tolerance]
-        if near:
-            g = min(near, key=lambda g: (abs(place - g["anchor"]), g["anchor"]))
-            g["places"].append(place)
-            g["voters"].add(voter)
-            g["anchor"] = sorted(g["places"])[len(g["places"]) // 2]
-        else:
-            groups.append({"anchor": place, "places": [place], "voters": {voter}})
-    return sorted((g["anchor"], len(g["voters"])) for g in groups)
-
+def run_specs(s: DataFrame, specs: list[PipelineSpec], scales: tuple = (1.0,)) -> DataFrame:
+    """series_id, voter (place of the spec), scale, n, change_points (null where a detector refused the series) and note, of all
+    specs over all series. Specs that preprocess alike share one pass: the series are dealt out once for all of them.
 
-def ensemble(s: DataFrame, specs: list, tolerance: int = 3, min_ratio: float = 0.5) -> DataFrame:
-    """Consensus change points: series_id, change_point, votes, attempted."""
-    specs = [PipelineSpec.parse(x) if isinstance(x, (dict, str)) else x for x in specs]
-    if not specs or any(x.detector in ONLINE for x in specs):
-        raise InvalidInput("an ensemble needs offline pipelines")
-    every = None
+    scale: of the penalty; a spec without a penalty runs at 1 only.
+    """
+    alike: dict[str, list[tuple[int, PipelineSpec]]] = {}
     for i, spec in enumerate(specs):
-        one = execute(s, spec, errors="row").select("series_id", F.lit(i).alias("voter"), "change_points", (F.size("breakpoints") > 0).alias("ok"))
-        every = one if every is None else every.unionByName(one)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ran = pdf[pdf["ok"]]
-        points = [(int(p), int(v)) for v, ps in zip(ran["voter"], ran["change_points"], strict=True) for p in ps]
-        found = [(a, k) for a, k in cluster(points, tolerance) if len(ran) and k / len(ran) >= min_ratio]
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "change_point": [a for a, _ in found], "votes": [k for _, k in found], "attempted": len(ran)})
-
-    return every.groupBy("series_id").applyInPandas(run, "series_id string, change_point bigint, votes bigint, attempted bigint")
-
-
-def tolerance_jaccard(a: list[int], b: list[int], tolerance: int) -> float:
-    """Matched points over all points, each matched once; 1 where both are empty."""
-    i = j = hits = 0
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= tolerance:
-            i, j, hits = i + 1, j + 1, hits + 1
-        elif a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    union = len(a) + len(b) - hits
-    return hits / union if union else 1.0
-
-
-def validate(s: DataFrame, specs: list, tolerance: int = 3, max_rows: int | None = None) -> DataFrame:
-    """Per series: stability (mean pairwise agreement of the pipelines), agreement (mean support of their clusters) and
-    penalty sensitivity (agreement of each with itself at 0.9 and 1.1 times its penalty). Long series may be thinned."""
+        alike.setdefault(json.dumps(spec.preprocess, sort_keys=True), []).append((i, spec))
+    every = None
+    for group in alike.values():
+
+        def run(table: pa.Table, group=group) -> list[dict]:
+            name, out = table.column("series_id")[0].as_py(), []
+            for i, spec in group:
+                for scale in scales:
+                    row = {"series_id": name, "voter": i, "scale": scale, "n": table.num_rows, "change_points": None, "note": None}
+                    try:
+                        x = matrix(numbers(table.column("x")))
+                        one = scaled(spec, scale, x)
+                        if one is None:
+                            continue
+                        row["change_points"] = detect(x, one.detector, one.cost, one.stopping, one.constraints, options=one.options).change_points
+                    except EngineError as e:
+                        row["note"] = f"{e.code}: {e}"
+                    out.append(row)
+            return out
+
+        rows = by_series(preprocess(s.select("series_id", "t", "x"), group[0][1].preprocess), "t", run, _RUNS)
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+_RUNS = "series_id string, voter int, scale double, n bigint, change_points array<bigint>, note string"
+
+
+def scaled(spec: PipelineSpec, scale: float, x: np.ndarray) -> PipelineSpec | None:
+    """The spec with its penalties, as they are for x, times scale; None if it stops by the number of changes."""
+    if scale == 1.0:
+        return spec
+    if spec.stopping.kind == "known_k":
+        return None
+    params = COSTS[spec.cost](x).effective if spec.detector in DETECTORS else 2
+    penalties = tuple(Penalty("manual", p.beta(len(x), params) * scale) for p in spec.stopping.penalties)
+    return replace(spec, stopping=replace(spec.stopping, penalties=penalties))
+
+
+def cluster(found: list[list[int]], tolerance: int, moving: bool = True) -> list[tuple[int, int]]:
+    """(place, votes) of groups of change points, from the points of one pipeline after another, each in order.
+
+    A point joins the group whose anchor is nearest, within the tolerance; the older one of two as near. A pipeline has one point
+    in a group, the one nearest to the anchor. moving: the anchor is the upper median of these points; else it stays.
+    """
+    groups: list[dict] = []
+    for voter, points in enumerate(found):
+        for place in points:
+            near = [(abs(place - g["anchor"]), i) for i, g in enumerate(groups) if abs(place - g["anchor"]) <= tolerance]
+            if not near:
+                groups.append({"anchor": place, "own": {voter: place}})
+                continue
+            g = groups[min(near)[1]]
+            g["own"][voter] = min(g["own"].get(voter, place), place, key=lambda p: (abs(p - g["anchor"]), p))
+            if moving:
+                g["anchor"] = sorted(g["own"].values())[len(g["own"]) // 2]
+    return sorted((g["anchor"], len(g["own"])) for g in groups)
+
+
+def _offline(specs: list, what: str) -> list[PipelineSpec]:
     specs = [PipelineSpec.parse(x) if isinstance(x, (dict, str)) else x for x in specs]
+    own = [x for x in specs if x.detector not in ONLINE]  # online pipelines give no segmentation and are passed over
+    if not own:
+        raise InvalidInput(f"{what} needs offline pipelines")
+    return own
+
+
+def _support(runs: DataFrame, tolerance: int, moving: bool) -> DataFrame:
+    """series_id, change_point, votes and attempted of each group of a series' change points."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("voter")
+        found = cluster([c or [] for c in rows.column("change_points").to_pylist()], tolerance, moving)
+        name = [rows.column("series_id")[0].as_py()] * len(found)
+        return pa.table([pa.array(name, pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64()), pa.array([rows.num_rows] * len(found), pa.int64())], names=["series_id", "change_point", "votes", "attempted"])
 
-    def variants(spec: PipelineSpec, n: int, params: int) -> list[PipelineSpec]:
-        if spec.stopping.kind != "penalized":
-            return []
-        beta = spec.stopping.penalties[0].beta(n, params)
-        return [replace(spec, stopping=Stopping("penalized", None, (Penalty("manual", beta * k),))) for k in (0.9, 1.1)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = matrix(np.array(pdf.sort_values("t")["x"].tolist(), dtype=float))
-        step = 1 if max_rows is None else max(1, -(-len(x) // max_rows))
-        at = np.unique(np.append(np.arange(0, len(x), step), len(x) - 1))
-        cut = x[at]
-        one = lambda p: [int(at[c]) for c in detect(cut, p.detector, p.cost, p.stopping, p.constraints, options=p.options).change_points]
-        found = [one(p) for p in specs]
-        pairs = [tolerance_jaccard(a, b, tolerance) for i, a in enumerate(found) for b in found[i + 1 :]]
-        groups = cluster([(c, v) for v, cs in enumerate(found) for c in cs], tolerance)
-        shifts = []
-        for p, base in zip(specs, found, strict=True):
-            params = COSTS[p.cost](cut).effective
-            shifts += [tolerance_jaccard(base, one(q), tolerance) for q in variants(p, len(cut), params)]
-        mean = lambda v, none: float(np.mean(v)) if v else none
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "stability": mean(pairs, 1.0), "agreement": mean([k / len(specs) for _, k in groups], 1.0), "penalty_sensitivity": 1 - mean(shifts, 1.0)}])
-
-    return s.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, "series_id string, stability double, agreement double, penalty_sensitivity double")
+    return runs.select("series_id", "voter", "change_points").groupBy("series_id").applyInArrow(run, "series_id string, change_point bigint, votes bigint, attempted bigint")
+
+
+def ensemble(s: DataFrame, specs: list, tolerance: int = 3, min_ratio: float = 0.5) -> DataFrame:
+    """Consensus change points: series_id, change_point, votes, attempted. A point needs the votes of min_ratio of all pipelines
+    that were tried on the series, those that failed included."""
+    if not 0 <= min_ratio <= 1:
+        raise InvalidInput(f"the ratio must be from 0 to 1; got {min_ratio}")
+    runs = run_specs(s, _offline(specs, "an ensemble"))
+    return _support(runs, tolerance, True).where(F.col("votes") / F.col("attempted") + 1e-12 >= min_ratio)
+
+
+def thinned(s: DataFrame, stride: int) -> DataFrame:
+    """Every stride-th row and the last one, renumbered, with the place in s as _row; series of up to two rows stay whole."""
+    n = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
+    step = F.when(F.col("_n") > 2, F.lit(stride)).otherwise(F.lit(1))
+    cut = s.join(n, "series_id").withColumn("_step", step).where((F.col("t") % F.col("_step") == 0) | (F.col("t") == F.col("_n") - 1))
+    at = F.expr("t div _step") + F.when(F.col("t") % F.col("_step") == 0, 0).otherwise(1)
+    return cut.select("series_id", at.alias("t"), "x", F.col("t").alias("_row"))
+
+
+def validate(s: DataFrame, specs: list, tolerance: int | None = None, stride: int | None = None) -> DataFrame:
+    """Per series: stability (mean pairwise agreement of the pipelines), agreement (mean support of their clusters), penalty
+    sensitivity (how far each departs from itself at 0.9 and 1.1 times its penalty; null without penalties), how many pipelines
+    ran, and notes on those that did not.
+
+    stride: validate on every stride-th row; change points are told in places of the whole series. The tolerance is the stride
+    unless given, and at least 1. Missing values are filled with the value before, at the start with 0. A series on which no
+    pipeline ran, or only one of several, has no scores.
+    """
+    specs = _offline(specs, "validation")
+    stride = 1 if stride is None else stride
+    if stride < 1:
+        raise InvalidInput("the stride must be at least 1")
+    tolerance = max(stride, 1) if tolerance is None else tolerance
+    rows = thinned(s.select("series_id", "t", "x"), stride)
+    several = isinstance(s.schema["x"].dataType, ArrayType)
+    order = W.partitionBy("series_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c: F.coalesce(F.last(F.when(~(c.isNull() | F.isnan(c)), c), ignorenulls=True).over(order), F.lit(0.0))
+    if several:
+        size = s.select(F.max(F.size("x"))).first()[0] or 0
+        rows = rows.withColumn("x", F.array(*[last(F.get("x", F.lit(i)).cast("double")) for i in range(size)]))
+    else:
+        rows = rows.withColumn("x", last(F.col("x").cast("double")))
+    places = rows.groupBy("series_id").agg(F.max("_row").alias("_last"))
+    runs = run_specs(rows, specs, (1.0, 0.9, 1.1)).join(places, "series_id")
+    runs = runs.withColumn("change_points", F.transform("change_points", lambda c: F.least(c * stride, F.col("_last"))))
+    runs = written(runs.select("series_id", "voter", "scale", "change_points", "note"), "validation")
+    base = runs.where("scale = 1.0")
+    by = base.groupBy("series_id").agg(F.count("change_points").alias("ran"), F.count(F.lit(1)).alias("tried"), F.array_sort(F.collect_list("note")).alias("notes"))
+    own = base.where("change_points is not null").select("series_id", "voter", F.col("change_points").alias("a"))
+    other = own.select("series_id", F.col("voter").alias("_other"), F.col("a").alias("b"))
+    pairs = own.join(other, "series_id").where(F.col("voter") < F.col("_other"))
+    stable = pairs.groupBy("series_id").agg(F.avg(tolerance_jaccard("a", "b", tolerance)).alias("stability"))
+    agreed = _support(base.where("change_points is not null"), tolerance, False).groupBy("series_id").agg(F.avg(F.col("votes") / F.col("attempted")).alias("agreement"))
+    moved = runs.where("scale != 1.0 and change_points is not null").select("series_id", "voter", F.col("change_points").alias("b"))
+    each = own.join(moved, ["series_id", "voter"]).groupBy("series_id", "voter").agg(F.avg(tolerance_jaccard("a", "b", tolerance)).alias("same"), F.count(F.lit(1)).alias("k")).where("k = 2")
+    moves = each.groupBy("series_id").agg(F.avg(1 - F.col("same")).alias("penalty_sensitivity"))
+    out = by.join(stable, "series_id", "left").join(agreed, "series_id", "left").join(moves, "series_id", "left")
+    enough = (F.col("ran") >= F.least(F.col("tried"), F.lit(2))) & (F.col("ran") > 0)
+    score = lambda c, none: F.when(enough, F.coalesce(c, F.lit(none)))
+    return out.select("series_id", score("stability", 1.0).alias("stability"), score("agreement", 1.0).alias("agreement"), F.when(enough, F.col("penalty_sensitivity")).alias("penalty_sensitivity"), "ran", "notes")

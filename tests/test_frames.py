@@ -19,7 +19,7 @@ from driftline.operators import preprocess as R
 from driftline.operators import splits as S
 from driftline.plans import api
 from driftline.plans.recommend import recommend
-from driftline.plans.spec import PipelineSpec, cluster, ensemble, execute, tolerance_jaccard, validate
+from driftline.plans.spec import PipelineSpec, ensemble, execute, validate
 from driftline.queries import catalogue, streams
 from driftline.sources import files
 from driftline.streaming import processors
@@ -129,9 +129,6 @@ def test_truth_of_generators(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("u,v\n1,2\n\n3,4\n")
     assert [r["x"] for r in files.read_csv(spark, str(tmp_path / "a.csv")).orderBy("t").collect()] == [[1.0, 2.0], [3.0, 4.0]]
-    for body in ("1,2\n3\n", "a,b", "1\nb\n"):
-        with pytest.raises(InvalidInput):
-            files.parse_csv(body)
     np.save(tmp_path / "a.npy", np.asfortranarray(np.array([[1, 2], [3, 4]], dtype=">f4")))
     assert [r["x"] for r in files.read_npy(spark, str(tmp_path / "a.npy")).orderBy("t").collect()] == [[1.0, 2.0], [3.0, 4.0]]
     spark.dataSource.register(files.NpyDataSource)
@@ -185,8 +182,6 @@ def test_consensus_and_validation(spark, series):
     assert {(r["change_point"], r["votes"]) for r in ensemble(series, specs).collect()} == {(45, 2)}
     row = validate(series, specs).first()
     assert row["stability"] == 1.0 and row["agreement"] == 1.0 and row["penalty_sensitivity"] == 0.0
-    assert cluster([(10, 0), (11, 1), (30, 0)], 3) == [(11, 2), (30, 1)] or cluster([(10, 0), (11, 1), (30, 0)], 3) == [(10, 2), (30, 1)]
-    assert tolerance_jaccard([], [], 2) == 1.0 and tolerance_jaccard([5], [50], 2) == 0.0
 
 
 def test_advice(spark, series):
