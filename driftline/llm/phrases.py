@@ -38,7 +38,7 @@ from .shingles import mix, runs
 
 LONGEST, LEAST, SCALE, FIRST = 5, 100, 1000, 2000
 #: Bytes of text in a block, words for each range of pairs, rows of an Arrow batch that goes out.
-BLOCK, RANGE, ROWS = 12 << 20, 1_000_000, 20_000
+BLOCK, RANGE, ROWS = 6 << 20, 1_000_000, 20_000
 _U = np.uint64
 #: The characters between pieces, and those between words of a piece.
 _BETWEEN, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -58,12 +58,17 @@ _ARROW = pa.schema(
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers as their first bytes, then their second ones, and so on, which compress: most are small."""
-    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers, 0 or more, as the number of bytes that the largest takes, all first bytes, all second ones, and so on: most
+    numbers are small, so that the later ones compress."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<i8")[:, 0]
 
 
 def parts_of(text: bytes, limit: int = BLOCK, context: int = LONGEST - 1) -> Iterator[tuple[bytes, int]]:
@@ -228,7 +233,7 @@ def _blocks(limit: int, bits: int):
         ids, skip, cut, totals = encoded(parts, bits)
         none = np.zeros(0, np.int64)
         rows = [Block(ids, none, none, none, skip).row(block)]
-        rows += [{"kind": PART, "block": block, "bucket": r, "tokens": words, "counts": planes(count)} for r, words, count in cut]
+        rows += [{"kind": PART, "block": block, "bucket": r, "tokens": words, "counts": planes(count), "n": len(count)} for r, words, count in cut]
         return _table(rows + [{"kind": TOTAL, "text": lang.encode("utf-8", "surrogatepass"), "n": n} for lang, n in totals.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +367,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
         stayed = asked.where(F.col("kind") == STAYED)
         if m == 1:
             # A block's words are numbered from range to range: where those of a range start.
-            sizes = step.where(F.col("kind") == PART).select("block", "bucket", (F.octet_length("counts") / 8).cast("bigint").alias("k"))
+            sizes = step.where(F.col("kind") == PART).select("block", "bucket", F.col("n").alias("k"))
             before = F.coalesce(F.sum("k").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             starts = sizes.select(F.col("block").alias("at"), "bucket", (before + 1).alias("n"))
             back = asked.where(F.col("kind") == REPLY).select(F.col("block").alias("at"), "bucket", "numbers").join(starts, ["at", "bucket"])
