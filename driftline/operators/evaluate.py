@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
+
 
 def _tolerance_match(t: str, d: str, tolerance: int):
     """Matches of two sorted arrays, each point at most once, by one sweep over both: an array fold with a constant state.
@@ -126,7 +128,7 @@ def _changes(steps: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def online_metrics(steps: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per series of steps (series_id, t, alert): detected and missed changes, mean delay (also ARL1), false alarms, their share
+    """Per series of steps (series_id, t, alert): alerts, detected and missed changes, mean delay (also ARL1), false alarms, their share
     of the steps, and ARL0, the mean run between false alarms: the place of the last one over their number, infinite without.
 
     The first alert from a change up to the next one detects it; all other alerts are false. The change an alert belongs
@@ -140,7 +142,8 @@ def online_metrics(steps: DataFrame, truth: DataFrame) -> DataFrame:
     n = steps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     out = n.join(by, "series_id", "left").join(_changes(steps, truth), "series_id", "left").fillna(0, ["detected", "false_alarms", "changes"])
     arl0 = F.when(F.col("false_alarms") > 0, (F.col("last") + 1) / F.col("false_alarms")).otherwise(F.lit(float("inf")))
-    return out.select("series_id", "detected", (F.col("changes") - F.col("detected")).alias("missed"), "mean_delay", "false_alarms", (F.col("false_alarms") / F.col("n")).alias("false_alarm_rate"), arl0.alias("arl0"), F.col("mean_delay").alias("arl1"))
+    alerts_ = (F.col("detected") + F.col("false_alarms")).alias("total_alerts")
+    return out.select("series_id", alerts_, "detected", (F.col("changes") - F.col("detected")).alias("missed"), "mean_delay", "false_alarms", (F.col("false_alarms") / F.col("n")).alias("false_alarm_rate"), arl0.alias("arl0"), F.col("mean_delay").alias("arl1"))
 
 
 def roc(steps: DataFrame, truth: DataFrame) -> DataFrame:
@@ -165,9 +168,14 @@ def roc(steps: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def calibration(p: DataFrame, bins: int = 10) -> DataFrame:
-    """Expected calibration error and Brier score of (family, confidence, correct), by family and overall (family null)."""
-    bins = max(1, min(int(bins), 100))
-    cut = p.withColumn("bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)))
+    """Expected calibration error and Brier score of (family, confidence, correct), by family and overall (family null), in bins
+    of equal width. Confidences outside 0 to 1 and outcomes other than 0 and 1 are errors."""
+    if not 1 <= bins <= 100:
+        raise InvalidInput(f"bins must be from 1 to 100; got {bins}")
+    fits = F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence") & F.col("correct").cast("double").isin(0.0, 1.0)
+    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("confidence")).otherwise(F.raise_error(F.lit("a confidence must be from 0 to 1 and an outcome 0 or 1")).cast("double"))
+    own = p.withColumn("confidence", checked).withColumn("correct", F.col("correct").cast("double"))
+    cut = own.withColumn("bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)))
     sq = (F.col("confidence") - F.col("correct")) * (F.col("confidence") - F.col("correct"))
     by = cut.groupingSets([["family", "bin"], ["bin"]], "family", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg("correct").alias("a"), F.sum(sq).alias("sq"), F.grouping("family").alias("g"))
     return by.groupBy("family", "g").agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"), (F.sum("sq") / F.sum("n")).alias("brier"), F.sum("n").alias("n")).drop("g")

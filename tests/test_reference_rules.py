@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.errors import InvalidInput
 from driftline.operators import diagnostics as P
 from driftline.operators import evaluate as E
 from driftline.operators.offline_kernels import spread
@@ -27,7 +28,7 @@ def test_alerts_worked_out_by_hand(spark):
     got = E.online_metrics(steps(spark, OWN, 0.5), points(spark, [4, 9])).first()
     # False are 1, before any change, and 6, the second one behind the change at 4; the last false one is the seventh step.
     assert (got["detected"], got["missed"], got["false_alarms"], got["mean_delay"], got["arl0"]) == (2, 0, 2, 1.0, 3.5)
-    assert got["false_alarm_rate"] == pytest.approx(2 / 12)
+    assert got["false_alarm_rate"] == pytest.approx(2 / 12) and got["total_alerts"] == 4
 
 
 def test_changes_behind_the_last_step_count_for_nothing(spark):
@@ -63,6 +64,19 @@ def test_tolerance_match_of_many_points(spark):
     assert got["matched"] == 75_000 and got["precision"] == 0.75
 
 
+def test_calibration_in_bins_by_hand(spark):
+    rows = [("f", 0.05, 0), ("f", 0.15, 1), ("f", 1.0, 1), ("g", 0.55, 0)]
+    got = {r["family"]: r for r in E.calibration(spark.createDataFrame(rows, "family string, confidence double, correct int")).collect()}
+    assert got["f"]["ece"] == pytest.approx((0.05 + 0.85 + 0) / 3) and got["g"]["ece"] == pytest.approx(0.55) and got[None]["n"] == 4
+    assert got[None]["brier"] == pytest.approx((0.05**2 + 0.85**2 + 0.55**2) / 4)
+    for bad in [("f", 1.5, 1), ("f", float("nan"), 1), ("f", 0.5, 2), ("f", None, 1)]:
+        with pytest.raises(Exception, match="a confidence must be"):
+            E.calibration(spark.createDataFrame([bad], "family string, confidence double, correct int")).collect()
+    for bins in (0, 101):
+        with pytest.raises(InvalidInput):
+            E.calibration(spark.createDataFrame(rows, "family string, confidence double, correct int"), bins)
+
+
 def series(spark, x, name="a"):
     return spark.createDataFrame([(name, t, None if v is None else float(v)) for t, v in enumerate(x)], "series_id string, t long, x double")
 
