@@ -100,13 +100,15 @@ class Block:
 
     @staticmethod
     def read(row: dict) -> Block:
-        own = [unplaned(row[c]) for c in ("ids", "names", "grams", "gram_names")]
-        skip = np.zeros(len(own[0]), dtype=bool)
+        ids, names, grams, gram_names = (unplaned(row[c]) for c in ("ids", "names", "grams", "gram_names"))
+        skip = np.zeros(len(ids), dtype=bool)
         skip[unplaned(row["skip"])] = True
-        return Block(*own, skip)
+        return Block(ids, names, grams, gram_names, skip) if len(grams) else Block(ids, names, ids, names, skip)
 
     def row(self, block: int) -> dict:
-        return {"kind": STATE, "block": block, "skip": planes(np.nonzero(self.skip)[0]), **{c: planes(getattr(self, c)) for c in ("ids", "names", "grams", "gram_names")}}
+        """The state; phrases of one word, which are the words, are not written twice."""
+        own = self if self.grams is not self.ids else Block(self.ids, self.names, self.ids[:0], self.names[:0], self.skip)
+        return {"kind": STATE, "block": block, "skip": planes(np.nonzero(self.skip)[0]), **{c: planes(getattr(own, c)) for c in ("ids", "names", "grams", "gram_names")}}
 
     def intervals(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of m words both of whose parts of m - 1 words have stayed: first place and count without context of each, all
@@ -337,6 +339,8 @@ def _level(m: int, longest: int, bits: int):
                 names[start : start + len(own)] = own
             grams = np.where(names[found.ids] > 0, found.ids, 0)
             narrow = Block(found.ids, names, grams, names, found.skip).narrowed(grams, names, 1)
+            if narrow is not None:
+                narrow.grams, narrow.gram_names = narrow.ids, narrow.names
         else:
             bucket, _, _, _, order, head, size = found.pairs(m, bits)
             number = _numbers(bucket, back)
