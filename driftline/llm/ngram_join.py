@@ -13,7 +13,9 @@
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing, not even with
 each other; fewer words than the size of a shingle make one shingle; repeated rows are linked if they hold words; a null
-doc_id never names a component that has other ids. Only doc_id and text are read.
+doc_id never names a component that has other ids. Whole texts of any length count; of equal ids or sets the order does not
+matter, since a component is named by its least id; an empty table gives an empty result. Ids are whole numbers: an id that is no
+number is an error of the cast. Only doc_id and text are read.
 """
 
 from __future__ import annotations

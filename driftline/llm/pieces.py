@@ -10,7 +10,8 @@ The ids are those of the model's own byte-fallback BPE: a space in front of a te
 bytes for characters outside the vocabulary. Decoding is exact for every text without U+2581, which reads as a space.
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole;
-repeated rows give equal ids. Columns besides doc_id and text are not read.
+repeated rows give equal ids; paths that tie cannot be, as each prefix has one last piece; an empty table gives an empty
+result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

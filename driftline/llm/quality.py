@@ -6,7 +6,8 @@ posterior of the good class from the difference of the Mahalanobis log densities
 used for the fit.
 
 Defined results: null and empty texts have all-zero statistics and are scored like any text; with labels of one class only,
-all scores are that class; without labels all scores are 0.5; repeated rows score alike; only doc_id, text and the label
+all scores are that class; without labels all scores are 0.5; repeated rows score alike; statistics are of the whole text,
+however long; words that are as frequent as each other count alike; an empty table gives an empty result; only doc_id, text and the label
 are read.
 """
 

@@ -18,7 +18,9 @@ the same document. Equal strings are brought together without comparing shards p
 
 Defined results: a null text is empty; texts shorter than LENGTH stay whole; strings never cross documents. Rows that agree in
 doc_id and text are one document to each other (they stay alike); rows that agree in the id only are ordered by a hash of
-the text; a null id comes after all others. An empty table gives an empty result. Only doc_id and text are read.
+the text; a null id comes after all others. An empty table gives an empty result. A long text is taken in
+pieces that overlap by LENGTH - 1 bytes. Ids are whole numbers: an id that is no number is an error of the cast. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ seen.
 
 Defined results: null and empty texts score as a text without hits; without any labelled row the lexicon is empty and all
 scores are 0; repeated rows score alike; all hits of a text of any length count; entries are chosen by their own counts, so that
-ties need no order; only doc_id, text and the label are read, other columns are ignored.
+ties need no order; an empty table gives an empty result; only doc_id, text and the label are read, other columns are ignored.
 """
 
 from __future__ import annotations
