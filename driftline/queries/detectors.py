@@ -36,7 +36,8 @@ def best_split_lineitem(spark, d):
 
 
 def binseg_levels(spark, d):
-    return S.binseg_levels(T.events(spark, d, long=True), beta=BETA, chunk=CHUNK)
+    """To a greatest depth of 3, which is a setting of the method."""
+    return S.binseg_levels(T.events(spark, d, long=True), beta=BETA, levels=3, chunk=CHUNK)
 
 
 def window_scores(spark, d):
@@ -197,7 +198,7 @@ _BINSEG = f"""WITH RECURSIVE {EVENTS}, {_PREFIX}, f AS (
   SELECT series_id, unnest([s, cut, s]), unnest([cut, e, e]), depth + 1, cut, gained, unnest([true, true, false]) FROM (
     SELECT f.series_id, f.s, f.e, f.depth, p.t AS cut, {_L2_GAIN.format(s="f.s", e="f.e")} AS gained
     FROM f JOIN p ON p.series_id = f.series_id AND p.t >= f.s + 2 AND p.t <= f.e - 2
-    JOIN p b ON b.series_id = f.series_id AND b.t = f.s JOIN p z ON z.series_id = f.series_id AND z.t = f.e WHERE f.open
+    JOIN p b ON b.series_id = f.series_id AND b.t = f.s JOIN p z ON z.series_id = f.series_id AND z.t = f.e WHERE f.open AND f.depth < 3
     QUALIFY row_number() OVER (PARTITION BY f.series_id, f.s, f.e ORDER BY gained DESC, p.t) = 1 AND gained > {BETA}
   )
 ) SELECT series_id, split AS change_point, depth - 1 AS depth, gain FROM f WHERE NOT open"""
