@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import corpus_size, lookup, parallelism, release, table, text_of, workdir, written
+from .common import corpus_size, discard, lookup, parallelism, release, table, text_of, workdir, written
 from .shingles import mix, runs
 
 LONGEST, LEAST, SCALE, FIRST = 5, 100, 1000, 2000
@@ -363,11 +363,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     # A word takes a byte and a space at least.
     bits = max(0, math.ceil(math.log2(max(1, corpus_size(docs)[1] / 2 / RANGE))))
     step = written(rows.mapInArrow(_blocks(limit, bits), _STEP), f"{folder}/level0")
-    totals = step.where(F.col("kind") == TOTAL).groupBy(F.col("text").cast("string").alias("lang")).agg(F.sum("n").alias("n"))
+    totals = written(step.where(F.col("kind") == TOTAL).groupBy(F.col("text").cast("string").alias("lang")).agg(F.sum("n").alias("n")), f"{folder}/totals")
     phrases = []
     for m in range(1, longest + 1):
         sent = step.where(F.col("kind") == PART).select("block", "bucket", *(("tokens",) if m == 1 else ("firsts", "lasts")), "counts")
         asked = written(sent.groupBy("bucket").applyInArrow((_often_words if m == 1 else _often_pairs)(least, bits), _STEP), f"{folder}/ranges{m}")
+        release(spark)
         stayed = asked.where(F.col("kind") == STAYED)
         if m == 1:
             # A block's words are numbered from range to range: where those of a range start.
@@ -387,6 +388,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
         if m < longest:
             state = step.where(F.col("kind") == STATE).select("block", "ids", "names", "grams", "gram_names", "skip")
             step = written(state.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
+            discard(spark, f"{folder}/level{m - 1}")
         release(spark)
     every = phrases[0].select("lang", "phrase", F.lit(1).alias("m"), "f")
     for m, more in enumerate(phrases[1:], 2):
