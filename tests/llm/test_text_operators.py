@@ -391,5 +391,5 @@ def test_pipeline_on_a_small_corpus(spark, monkeypatch):
 
 def test_registry():
     names = queries()
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
