@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from driftline.queries import costs, detectors, streams
@@ -44,3 +45,15 @@ def test_flatten_missing_covers_whole_series(spark):
     got = costs.flatten_missing(spark, SMOKE)
     assert got.count() == T.events(spark, SMOKE).count() > 5 * 60
     assert got.where("t >= 60").where(F.col("x").isNull() != (F.col("t") % 9 == 4)).count() == 0
+
+
+def test_pelt_manual_jump_tries_every_row(spark, tmp_path):
+    draws = [(e, i, 1000.0 if e >= at else 0.0) for i, at in enumerate((7, 11, 18)) for e in range(24)]
+    rows = spark.createDataFrame(draws, "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = detectors.QUERIES["pelt_manual_jump"]
+    got = sorted((r["series_id"], r["change_points"]) for r in query(spark, str(tmp_path)).collect())
+    assert got == [("0", "7"), ("1", "11"), ("2", "18")]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert sorted((r[0], r[3]) for r in con.execute(sql).fetchall()) == got
