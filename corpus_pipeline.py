@@ -9,6 +9,9 @@ one group of exact copies, are linked with nothing, and are taken by no mix, sin
 
 What a stage decides is joined to the texts by id. The lists of ids grow with the input, so these joins are hinted to deal out
 both sides at every size instead of sending a list that happens to be small to all tasks.
+
+Stages that run Python lower spark.sql.execution.arrow.maxRecordsPerBatch of the session, since an executor runs all stages and its
+JVM and Python workers keep the memory that the largest of them took.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, mixing, ngram_join, pieces, quality
-from driftline.llm.common import lookup, table, text_of, workdir, written
+from driftline.llm.common import lookup, small_batches, table, text_of, workdir, written
 
 #: Not in SQL: the classifier is fitted in numpy, and the last stage gives token ids.
 ORACLE_SQL = None
@@ -30,6 +33,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant does not reject."""
+    small_batches(spark)
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
@@ -56,6 +60,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies."""
+    small_batches(spark)
     out = workdir(spark, "stage-near")
     found = written(ngram_join.ngram_join(docs), f"{out}/found")
     # A row without id stays if it is linked with no row that has one.
@@ -93,6 +98,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids and round_trip of each row."""
+    small_batches(spark)
     return pieces.encode(docs, carry=("doc_id", "source"))
 
 

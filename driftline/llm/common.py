@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words everywhere in this subpackage, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of whole texts that go to Python at a time, at most.
+BATCH_ROWS = 500
 
 
 def workdir(spark: SparkSession, label: str) -> str:
@@ -29,6 +31,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session sends at most so many rows to Python at a time. Of whole texts Spark's 10,000 are tens of megabytes,
+    which the JVM holds beside its heap and each Python worker several times over, and which workers that are used again keep."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of what has been written: Spark deletes them once the driver has collected its handles,
     which it would otherwise do at some later time only, while the next stage fills the same disks."""
