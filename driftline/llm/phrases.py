@@ -43,6 +43,7 @@ _U = np.uint64
 #: The characters between pieces, and those between words of a piece.
 _BETWEEN, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + _BETWEEN, bytes(range(97, 123)) + b"\n" * len(_BETWEEN))
+_ZSTD = pa.Codec("zstd", compression_level=3)
 #: Stands for the end of a piece among the words, of which none has a full stop.
 _BREAK = b"."
 
@@ -57,14 +58,26 @@ _ARROW = pa.schema(
 )
 
 
+def packed(data: bytes) -> bytes:
+    """data as it is (after 0) or compressed by zstd (after 1 and its size), whichever is shorter: what is sent between tasks is
+    compressed by Spark's shuffle for speed only, and so takes more disk."""
+    small = _ZSTD.compress(data, asbytes=True)
+    return b"\1" + len(data).to_bytes(4, "little") + small if len(small) + 4 < len(data) else b"\0" + data
+
+
+def unpacked(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[5:], int.from_bytes(data[1:5], "little"), asbytes=True) if data[0] else data[1:]
+
+
 def planes(x: np.ndarray) -> bytes:
     """Whole numbers, 0 or more, as the number of bytes that the largest takes, all first bytes, all second ones, and so on: most
     numbers are small, so that the later ones compress."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return packed(bytes([width]) + x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def unplaned(data: bytes) -> np.ndarray:
+    data = unpacked(data)
     width = data[0]
     out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
@@ -235,7 +248,7 @@ def _blocks(limit: int, bits: int):
         ids, skip, cut, totals = encoded(parts, bits)
         none = np.zeros(0, np.int64)
         rows = [Block(ids, none, none, none, skip).row(block)]
-        rows += [{"kind": PART, "block": block, "bucket": r, "tokens": words, "counts": planes(count), "n": len(count)} for r, words, count in cut]
+        rows += [{"kind": PART, "block": block, "bucket": r, "tokens": packed(words), "counts": planes(count), "n": len(count)} for r, words, count in cut]
         return _table(rows + [{"kind": TOTAL, "text": lang.encode("utf-8", "surrogatepass"), "n": n} for lang, n in totals.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +287,7 @@ def _often_words(least: int, bits: int):
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        lists = [x.as_py().split(b"\n") for x in rows.column("tokens")]
+        lists = [unpacked(x.as_py()).split(b"\n") for x in rows.column("tokens")]
         place: dict[bytes, int] = {}
         every = np.fromiter((place.setdefault(w, len(place)) for own in lists for w in own), np.int64)
         total = np.zeros(len(place), np.int64)
@@ -354,6 +367,16 @@ def _level(m: int, longest: int, bits: int):
     return run
 
 
+def _parted(rows: DataFrame, path: str) -> None:
+    """Write rows with a folder for each of their kinds, so that a kind can be deleted when it has been read for the last time."""
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(path)
+
+
+def _of(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """The rows of one kind, none if there is no folder for it."""
+    return spark.read.schema(_STEP).parquet(path).where(F.col("kind") == kind)
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m, f) of all phrases of up to `longest` words that stand in the texts `least` times or more, exactly, and
     (lang, n), the number of words of each language."""
@@ -362,33 +385,38 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     rows = docs.select(text_of("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     # A word takes a byte and a space at least.
     bits = max(0, math.ceil(math.log2(max(1, corpus_size(docs)[1] / 2 / RANGE))))
-    step = written(rows.mapInArrow(_blocks(limit, bits), _STEP), f"{folder}/level0")
-    totals = written(step.where(F.col("kind") == TOTAL).groupBy(F.col("text").cast("string").alias("lang")).agg(F.sum("n").alias("n")), f"{folder}/totals")
+    _parted(rows.mapInArrow(_blocks(limit, bits), _STEP), f"{folder}/level0")
+    totals = _of(spark, f"{folder}/level0", TOTAL).groupBy(F.col("text").cast("string").alias("lang")).agg(F.sum("n").alias("n"))
+    totals = written(totals, f"{folder}/totals")
     phrases = []
     for m in range(1, longest + 1):
-        sent = step.where(F.col("kind") == PART).select("block", "bucket", *(("tokens",) if m == 1 else ("firsts", "lasts")), "counts")
-        asked = written(sent.groupBy("bucket").applyInArrow((_often_words if m == 1 else _often_pairs)(least, bits), _STEP), f"{folder}/ranges{m}")
+        last, asked = f"{folder}/level{m - 1}", f"{folder}/ranges{m}"
+        parts = _of(spark, last, PART)
+        sent = parts.select("block", "bucket", *(("tokens",) if m == 1 else ("firsts", "lasts")), "counts")
+        _parted(sent.groupBy("bucket").applyInArrow((_often_words if m == 1 else _often_pairs)(least, bits), _STEP), asked)
         release(spark)
-        stayed = asked.where(F.col("kind") == STAYED)
+        stayed, back = _of(spark, asked, STAYED), _of(spark, asked, REPLY).select(F.col("block").alias("at"), "bucket", "numbers")
         if m == 1:
             # A block's words are numbered from range to range: where those of a range start.
-            sizes = step.where(F.col("kind") == PART).select("block", "bucket", F.col("n").alias("k"))
+            sizes = parts.select("block", "bucket", F.col("n").alias("k"))
             before = F.coalesce(F.sum("k").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            starts = sizes.select(F.col("block").alias("at"), "bucket", (before + 1).alias("n"))
-            back = asked.where(F.col("kind") == REPLY).select(F.col("block").alias("at"), "bucket", "numbers").join(starts, ["at", "bucket"])
+            starts = written(sizes.select(F.col("block").alias("at"), "bucket", (before + 1).alias("n")), f"{folder}/starts")
+            back = back.join(starts, ["at", "bucket"])
             quoted = F.split(F.col("text").cast("string"), " ")
             words = stayed.select("number", F.url_decode(quoted[1]).alias("lang"), quoted[0].alias("phrase"), F.col("n").alias("f"))
             phrases.append(words)
         else:
-            back = asked.where(F.col("kind") == REPLY).select(F.col("block").alias("at"), "bucket", "numbers")
             part = phrases[-1].select(F.col("number").alias("first"), "lang", F.col("phrase").alias("head"))
             word = phrases[0].select(F.col("number").alias("last"), F.col("phrase").alias("tail"))
             own = stayed.select("number", "first", "last", F.col("n").alias("f")).join(part, "first").join(word, "last")
             phrases.append(written(own.select("number", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"{folder}/phrases{m}"))
+        # What has been summed is not read again, and the numbers only by the next level.
+        discard(spark, f"{last}/kind={PART}")
         if m < longest:
-            state = step.where(F.col("kind") == STATE).select("block", "ids", "names", "grams", "gram_names", "skip")
-            step = written(state.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
-            discard(spark, f"{folder}/level{m - 1}")
+            state = _of(spark, last, STATE).select("block", "ids", "names", "grams", "gram_names", "skip")
+            _parted(state.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(_level(m, longest, bits), _STEP), f"{folder}/level{m}")
+        discard(spark, last)
+        discard(spark, f"{asked}/kind={REPLY}")
         release(spark)
     every = phrases[0].select("lang", "phrase", F.lit(1).alias("m"), "f")
     for m, more in enumerate(phrases[1:], 2):
