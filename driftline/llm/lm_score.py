@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress, repeat
 
 import numpy as np
@@ -40,9 +40,11 @@ ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Keeps rows of embeddings that were seen a few times only, as most endings of rare words, from learning those places by heart.
 DAMP = 1e-3
 #: Words that are scored at once, words that a task counts (rare ones that it keeps) before it lets them go, characters split at once.
-PIECE, FLUSH, CHARACTERS = 1 << 15, 2_000_000, 1 << 22
+PIECE, FLUSH, CHARACTERS = 1 << 13, 2_000_000, 1 << 22
 #: Words of a block that is trained by itself, at least; weights in a slice, and slices in one mean.
 BLOCK, SLICE, FAN = 2_000_000, 1 << 12, 32
+#: Columns of weights that are updated at once.
+FEW = 4
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -163,108 +165,165 @@ class Spelling:
         return float(self.each(words).sum())
 
 
+class Room:
+    """Arrays that step after step fills anew: fresh ones of this size would cost a fault for each of their pages."""
+
+    def __init__(self):
+        self._held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, rows: int, width: int) -> np.ndarray:
+        """The array of that name, with whatever is in it."""
+        if name not in self._held or self._held[name].size < rows * width:
+            self._held[name] = np.empty(rows * width * 9 // 8, np.float32)
+        return self._held[name][: rows * width].reshape(rows, width)
+
+
 class Network:
     """emb, place (a weight per side position), bias, classes, class bias, words and word bias.
 
-    Texts come as streams of ids with SIDE ids of the edge between them, so that each id is looked up once and the sums over the
-    sides are shifted additions.
+    Texts come as lanes of ids: a stream with SIDE ids of the edge between texts, cut into rows as long as the distance between two
+    places that are predicted, which stand first in their rows. So each id is looked up once, the sums over the sides are additions
+    of shifted lanes, and nothing is summed for places that are not predicted.
     """
 
     def __init__(self, seed: int = 0, classes: int = CLASSES, in_class: int = IN_CLASS):
         draw = np.random.default_rng(seed)
         f = np.float32
-        self.in_class = in_class
+        self.classes, self.in_class, self.room = classes, in_class, Room()
+        #: The layers of the classes and of the words by columns, each with its bias in the last row.
+        self.top, self.low = np.zeros((WIDTH + 1, classes), f), np.zeros((WIDTH + 1, classes * in_class), f)
         self.p = [
             draw.normal(0, 0.1, (in_class * (classes + ENDINGS) + 1, WIDTH)).astype(f),  # words, endings, beyond the ends of a text
             np.ones((len(_OFFSETS), WIDTH), f),
             np.zeros(WIDTH, f),
-            np.zeros((classes, WIDTH), f),
-            np.zeros(classes, f),
-            np.zeros((classes * in_class, WIDTH), f),
-            np.zeros(classes * in_class, f),
+            *(x for layer in (self.top, self.low) for x in (layer[:-1].T, layer[-1])),
         ]
 
+    def __reduce__(self):
+        return _network, (self.classes, self.in_class, self.flat())
+
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p])
 
     def load(self, flat: np.ndarray) -> Network:
         at = 0
-        for i, x in enumerate(self.p):
-            self.p[i] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+        for x in self.p:
+            x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
         return self
 
-    def _hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embeddings of a stream, and the hidden layer at the places, with a 1 for the bias of what follows."""
-        emb = self.p[0].take(stream, axis=0)
-        inner = len(stream) - 2 * SIDE
-        sums = np.zeros((inner, WIDTH), np.float32)
-        for k, off in enumerate(_OFFSETS):
-            sums += emb[SIDE + off : SIDE + off + inner] * self.p[1][k]
-        h = np.ones((len(at), WIDTH + 1), np.float32)
-        np.tanh(sums[at - SIDE] + self.p[2], out=h[:, :-1])
-        return emb, h
-
-    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
-        """The layers of the classes and of the words, each with its bias in the last column."""
-        return tuple(np.concatenate([self.p[i], self.p[i + 1][:, None]], axis=1) for i in (3, 5))
-
-    def stream_log_probability(self, stream: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Of the words at the places of a stream, each given the ids on both its sides. A rare word is alone in its class."""
-        _, h = self._hidden(stream, at)
-        classes, words = self._layers()
-        cls, of = np.divmod(word, self.in_class)
-        out = _log_share(h @ classes.T, cls)
+    def _hidden(self, lanes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The embeddings of each lane, the part of them at each side position, and the hidden layer at the rows, with a 1 for the
+        bias of what follows."""
+        rows, step = lanes.shape
+        emb = self.room.of("emb", step * rows, WIDTH)
+        self.p[0].take(lanes.T.ravel(), axis=0, out=emb, mode="clip")
+        emb = emb.reshape(step, rows, WIDTH)
+        sides = [emb[place] for place in _sides(rows, step)]
+        sums, part = (self.room.of(x, len(sides[0]), WIDTH) for x in ("sums", "part"))
+        np.multiply(sides[0], self.p[1][0], out=sums)
+        for side, weight in zip(sides[1:], self.p[1][1:], strict=True):
+            np.multiply(side, weight, out=part)
+            sums += part
+        if len(at) < len(sums):
+            sums = sums.take(at - _before(step), axis=0, out=part[: len(at)], mode="clip")
+        sums += self.p[2]
+        h = self.room.of("h", len(at), WIDTH + 1)
+        h[:, :-1] = np.tanh(sums, out=sums)
+        h[:, -1] = 1
+        return emb, sides, h
+
+    def _of_classes(self, h: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], None]]:
+        """Room for the logits of the classes, and what fills it."""
+        return self.room.of("classes", len(h), self.classes), lambda z: np.matmul(h, self.top, out=z)
+
+    def _of_words(self, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> tuple[np.ndarray, Callable[[np.ndarray], None]]:
+        """The same for the words in their classes, for rows by class."""
+
+        def fill(z: np.ndarray) -> None:
+            for c, a, b in cuts:
+                np.matmul(h[a:b], self.low[:, c * self.in_class : (c + 1) * self.in_class], out=z[a:b])
+
+        return self.room.of("words", len(h), self.in_class), fill
+
+    def _sorted(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """An order by class of the rows that are not rare, the bounds of each class in it, and these rows. A rare word is alone
+        in its class."""
         order, cuts = _by_class(cls)
-        h, of, more = h[order], of[order], np.zeros(len(out), np.float32)
-        for c, a, b in cuts:
-            if c != RARE:
-                more[a:b] = _log_share(h[a:b] @ words[c * self.in_class : (c + 1) * self.in_class].T, of[a:b])
-        out[order] += more
+        if cuts and cuts[0][0] == RARE:
+            rare = cuts[0][2]
+            order, cuts = order[rare:], [(c, a - rare, b - rare) for c, a, b in cuts[1:]]
+        return order, cuts, h.take(order, axis=0, out=self.room.of("sorted", len(order), WIDTH + 1), mode="clip")
+
+    def stream_log_probability(self, lanes: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of the words at the first places of some rows, each given the ids on both its sides."""
+        h = self._hidden(lanes, at)[-1]
+        cls, of = np.divmod(word, self.in_class)
+        out = _log_share(*self._of_classes(h), cls)
+        order, cuts, h = self._sorted(h, cls)
+        out[order] += _log_share(*self._of_words(h, cuts), of[order])
         return out
 
-    def stream_step(self, stream: np.ndarray, at: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
-        """One Adagrad step on the words at the places of a stream."""
-        emb, h = self._hidden(stream, at)
-        classes, words = self._layers()
+    def stream_step(self, lanes: np.ndarray, at: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
+        """One Adagrad step on the words at the first places of some rows."""
+        rows, step = lanes.shape
+        emb, sides, h = self._hidden(lanes, at)
         scale = np.float32(1 / len(word))
         cls, of = np.divmod(word, self.in_class)
-        z = _share_error(h @ classes.T, cls, scale)
-        back = z @ self.p[3]
-        top, low = z.T @ h, np.zeros_like(words)
-        order, cuts = _by_class(cls)
-        sorted_h, of, more = h[order], of[order], np.zeros_like(back)
+        z = _share_error(*self._of_classes(h), cls, scale)
+        back = np.matmul(z, self.top[:-1].T, out=self.room.of("back", len(h), WIDTH))
+        top, low = h.T @ z, self.room.of("low", *self.low.shape)
+        order, cuts, own_h = self._sorted(h, cls)
+        z = _share_error(*self._of_words(own_h, cuts), of[order], scale)
+        low.fill(0)
+        more = self.room.of("more", len(order), WIDTH)
         for c, a, b in cuts:
-            if c != RARE:
-                own = slice(c * self.in_class, (c + 1) * self.in_class)
-                z = _share_error(sorted_h[a:b] @ words[own].T, of[a:b], scale)
-                low[own] = z.T @ sorted_h[a:b]
-                more[a:b] = z @ self.p[5][own]
+            own = slice(c * self.in_class, (c + 1) * self.in_class)
+            np.matmul(own_h[a:b].T, z[a:b], out=low[:, own])
+            np.matmul(z[a:b], self.low[:-1, own].T, out=more[a:b])
         back[order] += more
-        grad = [None, None, None, top[:, :-1], top[:, -1], low[:, :-1], low[:, -1]]
         h = h[:, :-1]
         back *= 1 - h * h
-        inner = len(stream) - 2 * SIDE
-        spread = np.zeros((inner, WIDTH), np.float32)
-        spread[at - SIDE] = back
-        each, grad[1], grad[2] = np.zeros_like(emb), np.empty_like(self.p[1]), back.sum(axis=0)
-        for k, off in enumerate(_OFFSETS):
-            side = slice(SIDE + off, SIDE + off + inner)
-            each[side] += spread * self.p[1][k]
-            grad[1][k] = np.einsum("nw,nw->w", emb[side], spread)
-        order = np.argsort(stream.astype(np.uint16) if len(self.p[0]) <= 1 << 16 else stream, kind="stable")
-        first = np.nonzero(np.diff(stream[order], prepend=-1))[0]
-        touched, sums = stream[order[first]], np.add.reduceat(each[order], first, axis=0)
-        state[0][touched] += sums * sums
-        self.p[0][touched] -= RATE * sums / (np.sqrt(state[0][touched]) + DAMP)
-        for i in range(1, 7):
-            state[i] += grad[i] * grad[i]
-            self.p[i] -= RATE * grad[i] / (np.sqrt(state[i]) + 1e-4)
+        spread = back
+        if len(at) < len(sides[0]):
+            spread = self.room.of("spread", len(sides[0]), WIDTH)
+            spread.fill(0)
+            spread[at - _before(step)] = back
+        each, part, place = self.room.of("each", step * rows, WIDTH), self.room.of("part", len(spread), WIDTH), np.empty_like(self.p[1])
+        each.fill(0)
+        lane = each.reshape(step, rows, WIDTH)
+        for k, (side, own) in enumerate(zip(sides, _sides(rows, step), strict=True)):
+            lane[own] += np.multiply(spread, self.p[1][k], out=part)
+            place[k] = np.einsum("nw,nw->w", side, spread)
+        ids = lanes.T.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(self.p[0]) <= 1 << 16 else ids, kind="stable")
+        ranked = ids[order]
+        first = np.nonzero(np.diff(ranked, prepend=-1))[0]
+        touched, sums = ranked[first], np.add.reduceat(each.take(order, axis=0, out=emb.reshape(each.shape), mode="clip"), first, axis=0)
+        seen = state[0].take(touched, axis=0)
+        seen += sums * sums
+        state[0][touched] = seen
+        self.p[0][touched] -= RATE * sums / (np.sqrt(seen) + DAMP)
+        for p, grad, seen in zip(self.p[1:], (place, back.sum(axis=0), top[:-1].T, top[-1], low[:-1].T, low[-1]), state[1:], strict=True):
+            self._adagrad(p, grad, seen)
+
+    def _adagrad(self, p: np.ndarray, grad: np.ndarray, seen: np.ndarray) -> None:
+        """Column by column where there are many, so that what a few of them need stays near the processor."""
+        for k in range(0, p.shape[1], FEW) if p.ndim > 1 else [0]:
+            own = (slice(None), slice(k, k + FEW)) if p.ndim > 1 else slice(None)
+            g, s = grad[own], seen[own]
+            x = g * g
+            s += x
+            np.sqrt(s, out=x)
+            x += np.float32(1e-4)
+            np.divide(g, x, out=x)
+            x *= np.float32(RATE)
+            p[own] -= x
 
     def _windows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Single contexts as a stream of their own, and the places in their middle."""
+        """Single contexts as lanes of their own, and the rows in their middle."""
         stream = np.insert(context, SIDE, len(self.p[0]) - 1, axis=1)
-        return stream.ravel(), np.arange(len(context)) * stream.shape[1] + SIDE
+        return stream.reshape(-1, 1), np.arange(len(context)) * stream.shape[1] + SIDE
 
     def log_probability(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Of each word given its context, a row of ids."""
@@ -275,28 +334,48 @@ class Network:
         self.stream_step(*self._windows(context), word, state)
 
 
-def _in_range(z: np.ndarray) -> np.ndarray:
-    """z, less the row's largest value where exp of the plain values could leave the range."""
-    if z.max(initial=0) > 60 or z.min(initial=0) < -60:
-        z -= z.max(axis=1, keepdims=True)
-    return z
+def _network(classes: int, in_class: int, flat: np.ndarray) -> Network:
+    return Network(0, classes, in_class).load(flat)
+
+
+def _before(step: int) -> int:
+    """Rows of lanes before the first that is predicted."""
+    return -(-SIDE // step)
+
+
+def _sides(rows: int, step: int) -> list[tuple[int, slice]]:
+    """For each side position its lane, and the rows there beside all rows that may be predicted."""
+    first, last = _before(step), rows - SIDE // step
+    return [(off % step, slice(first + off // step, last + off // step)) for off in _OFFSETS]
 
 
-def _sums(z: np.ndarray) -> np.ndarray:
-    return z @ np.ones(z.shape[1], z.dtype)
+def _exp(z: np.ndarray, fill: Callable[[np.ndarray], None]) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp of the logits z, in their place, and its sums by row; less the row's largest value, which follows, where plain values
+    could leave the range."""
+    ones = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        sums = np.exp(z, out=z) @ ones
+    if not len(sums) or (sums.min() > 1e-26 and sums.max() < 1e26):
+        return sums, None
+    fill(z)
+    most = z.max(axis=1)
+    z -= most[:, None]
+    return np.exp(z, out=z) @ ones, most
 
 
-def _log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at one place; z is overwritten."""
-    _in_range(z)
+def _log_share(z: np.ndarray, fill: Callable[[np.ndarray], None], of: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row of logits at one place; z is room for the logits."""
+    fill(z)
     out = z[np.arange(len(of)), of]
-    return out - np.log(_sums(np.exp(z, out=z)))
+    sums, most = _exp(z, fill)
+    out -= np.log(sums)
+    return out if most is None else out - most
 
 
-def _share_error(z: np.ndarray, of: np.ndarray, scale: np.float32) -> np.ndarray:
+def _share_error(z: np.ndarray, fill: Callable[[np.ndarray], None], of: np.ndarray, scale: np.float32) -> np.ndarray:
     """The gradient of the scaled loss at the logits, in their place."""
-    np.exp(_in_range(z), out=z)
-    z *= (scale / _sums(z))[:, None]
+    fill(z)
+    z *= (scale / _exp(z, fill)[0])[:, None]
     z[np.arange(len(of)), of] -= scale
     return z
 
@@ -334,7 +413,7 @@ class Words:
         """The ids of all texts' words in a row; for each text, how many, and the log probability of its rare words' spelling."""
         words, of = _split(texts)
         words = words.dictionary_encode()
-        own = words.dictionary.to_pylist()
+        own = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
         if len(self._row) > FLUSH + self.edge:
             self._forget()
         codes = np.fromiter(map(self._code.get, own, repeat(-1)), np.int64, len(own))
@@ -375,26 +454,28 @@ def _encode(words: Words, kind: str):
 
 
 class Streams:
-    """Rows of encoded texts as streams with the edge around each text."""
+    """Rows of encoded texts as lanes with the edge around each text."""
 
     def __init__(self, edge: int):
         self.edge, self.dtype = edge, np.uint16 if edge < 1 << 16 else np.uint32
 
-    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For some rows at a time: the stream, the place of each text's first word, and the lengths."""
+    def of(self, batch: pa.RecordBatch, number: int = 0, step: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For some rows at a time: the lanes, the place of each text's first word in their stream, and the lengths. Of each text
+        the words number, number + step, ... stand first in the rows of the lanes."""
         rows = batch.column("ids").to_pylist()
-        for a, b in _groups([len(r) for r in rows], 4 * PIECE * self.dtype().itemsize):
+        for a, b in _groups([len(r) for r in rows], 16 * PIECE * self.dtype().itemsize):
             ids = np.frombuffer(b"".join(rows[a:b]), self.dtype)
             n = np.array([len(r) for r in rows[a:b]], np.int64) // self.dtype().itemsize
-            start = np.cumsum(n + SIDE) - n
-            stream = np.full(int(n.sum()) + SIDE * (b - a + 1), self.edge, np.int64)
+            room = -(-(n + SIDE) // step) * step
+            start = np.cumsum(room) - room + SIDE + (-SIDE - number) % step
+            stream = np.full(-(-int(start[-1] + n[-1] + SIDE) // step) * step, self.edge, np.int64)
             stream[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-            yield stream, start, n
+            yield stream.reshape(-1, step), start, n
 
 
-def _word_at(stream: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
-    """The targets at the places: any rare word is RARE."""
-    ids = stream[at]
+def _word_at(lanes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """The targets at the first places of the rows: any rare word is RARE."""
+    ids = lanes[at, 0]
     return np.where(ids < words, ids, RARE)
 
 
@@ -415,26 +496,26 @@ def _train(streams: Streams, words: int, shape: tuple[int, int], start: np.ndarr
 
         def learn(least: int) -> None:
             """Step by step over what is held, until fewer than `least` places are left."""
-            stream = np.concatenate([s for s, _ in held])
+            lanes = np.concatenate([s for s, _ in held])
             base = np.cumsum([0] + [len(s) for s, _ in held])[:-1]
             at = np.concatenate([x + k for (_, x), k in zip(held, base, strict=True)])
             done = 0
             while len(at) - done >= least and done < len(at):
                 own = at[done : done + BATCH]
-                low = own[0] - SIDE
-                part = stream[low : own[-1] + SIDE + 1]
+                low = own[0] - _before(rounds)
+                part = lanes[low : own[-1] + SIDE // rounds + 1]
                 net.stream_step(part, own - low, _word_at(part, own - low, words), state)
                 done += len(own)
             held.clear()
             if done < len(at):
-                low = at[done] - SIDE
-                held.append((stream[low:], at[done:] - low))
+                low = at[done] - _before(rounds)
+                held.append((lanes[low:], at[done:] - low))
 
         for batch in batches:
-            for stream, first, n in streams.of(batch):
-                at = np.concatenate([f + targets(k, number, rounds) for f, k in zip(first.tolist(), n.tolist(), strict=True)])
+            for lanes, first, n in streams.of(batch, number, rounds):
+                at = np.concatenate([f + targets(k, number, rounds) for f, k in zip(first.tolist(), n.tolist(), strict=True)]) // rounds
                 if len(at):
-                    held.append((stream, at))
+                    held.append((lanes, at))
                     seen += len(at)
                     if sum(len(x) for _, x in held) >= BATCH:
                         learn(BATCH)
@@ -497,13 +578,13 @@ def _score(streams: Streams, words: int, net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = [np.zeros(0)]
-            for stream, first, n in streams.of(batch):
+            for lanes, first, n in streams.of(batch):
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 log = np.zeros(len(at))
                 for a in range(0, len(at), PIECE):
                     own = at[a : a + PIECE]
                     low = own[0] - SIDE
-                    part = stream[low : own[-1] + SIDE + 1]
+                    part = lanes[low : own[-1] + SIDE + 1]
                     log[a : a + PIECE] = net.stream_log_probability(part, own - low, _word_at(part, own - low, words))
                 sums.append(np.bincount(np.repeat(np.arange(len(n)), n), log, len(n)))
             total = np.concatenate(sums) + batch.column("spelled").to_numpy()
