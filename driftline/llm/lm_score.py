@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +38,10 @@ WIDTH, SIDE = 24, 2
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Keeps rows of embeddings that were seen a few times only, as most endings of rare words, from learning those places by heart.
 DAMP = 1e-3
-#: Words that are scored at once, words that a task counts (rare ones that it keeps) before it lets them go, characters split at once.
+#: Words that are scored at once, words that a task counts before it lets them go, characters split at once.
 PIECE, FLUSH, CHARACTERS = 1 << 13, 2_000_000, 1 << 22
 #: Words of a block that is trained by itself, at least; weights in a slice, and slices in one mean.
 BLOCK, SLICE, FAN = 2_000_000, 1 << 12, 32
-#: Columns of weights that are updated at once.
-FEW = 4
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -135,6 +132,19 @@ class Spelling:
         self.base = 1.0 / (low + 1)
         self.keys = keys[order]
         self.log_p = np.log(self._p(self.keys)) if len(keys) else np.zeros(0)
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.int64)  # the place of a key by its hash; of those with equal hashes, one
+        self.slots[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands among those that were counted, if it is there."""
+        at = self.slots[self._slot(keys)]
+        other = np.nonzero(self.keys[at] != keys)[0]
+        at[other] = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        return at
 
     @staticmethod
     def _find(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -154,7 +164,7 @@ class Spelling:
         """The log probability of each word with its end."""
         keys, of = _spelled(words)
         log = np.empty(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        at = self._place(keys) if len(self.keys) else np.zeros(len(keys), np.int64)
         seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         log[seen] = self.log_p[at[seen]]
         log[~seen] = np.log(self._p(keys[~seen]))
@@ -212,9 +222,9 @@ class Network:
             at += x.size
         return self
 
-    def _hidden(self, lanes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The embeddings of each lane, the part of them at each side position, and the hidden layer at the rows, with a 1 for the
-        bias of what follows."""
+    def _hidden(self, lanes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The embeddings of each lane, the part of them at each side position, the hidden layer at the rows, and the same with a 1
+        for the bias of what follows."""
         rows, step = lanes.shape
         emb = self.room.of("emb", step * rows, WIDTH)
         self.p[0].take(lanes.T.ravel(), axis=0, out=emb, mode="clip")
@@ -231,7 +241,7 @@ class Network:
         h = self.room.of("h", len(at), WIDTH + 1)
         h[:, :-1] = np.tanh(sums, out=sums)
         h[:, -1] = 1
-        return emb, sides, h
+        return emb, sides, sums, h
 
     def _of_classes(self, h: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], None]]:
         """Room for the logits of the classes, and what fills it."""
@@ -267,23 +277,23 @@ class Network:
     def stream_step(self, lanes: np.ndarray, at: np.ndarray, word: np.ndarray, state: list[np.ndarray]) -> None:
         """One Adagrad step on the words at the first places of some rows."""
         rows, step = lanes.shape
-        emb, sides, h = self._hidden(lanes, at)
+        emb, sides, own, h = self._hidden(lanes, at)
         scale = np.float32(1 / len(word))
         cls, of = np.divmod(word, self.in_class)
         z = _share_error(*self._of_classes(h), cls, scale)
         back = np.matmul(z, self.top[:-1].T, out=self.room.of("back", len(h), WIDTH))
         top, low = h.T @ z, self.room.of("low", *self.low.shape)
-        order, cuts, own_h = self._sorted(h, cls)
-        z = _share_error(*self._of_words(own_h, cuts), of[order], scale)
+        order, cuts, sorted_h = self._sorted(h, cls)
+        z = _share_error(*self._of_words(sorted_h, cuts), of[order], scale)
         low.fill(0)
         more = self.room.of("more", len(order), WIDTH)
         for c, a, b in cuts:
-            own = slice(c * self.in_class, (c + 1) * self.in_class)
-            np.matmul(own_h[a:b].T, z[a:b], out=low[:, own])
-            np.matmul(z[a:b], self.low[:-1, own].T, out=more[a:b])
+            part = slice(c * self.in_class, (c + 1) * self.in_class)
+            np.matmul(sorted_h[a:b].T, z[a:b], out=low[:, part])
+            np.matmul(z[a:b], self.low[:-1, part].T, out=more[a:b])
         back[order] += more
-        h = h[:, :-1]
-        back *= 1 - h * h
+        slope = np.multiply(own, own, out=own)
+        back *= np.subtract(1, slope, out=slope)
         spread = back
         if len(at) < len(sides[0]):
             spread = self.room.of("spread", len(sides[0]), WIDTH)
@@ -303,22 +313,12 @@ class Network:
         seen = state[0].take(touched, axis=0)
         seen += sums * sums
         state[0][touched] = seen
-        self.p[0][touched] -= RATE * sums / (np.sqrt(seen) + DAMP)
+        self.p[0][touched] = self.p[0].take(touched, axis=0) - _moved(sums, seen, DAMP, np.empty_like(sums))
         for p, grad, seen in zip(self.p[1:], (place, back.sum(axis=0), top[:-1].T, top[-1], low[:-1].T, low[-1]), state[1:], strict=True):
-            self._adagrad(p, grad, seen)
-
-    def _adagrad(self, p: np.ndarray, grad: np.ndarray, seen: np.ndarray) -> None:
-        """Column by column where there are many, so that what a few of them need stays near the processor."""
-        for k in range(0, p.shape[1], FEW) if p.ndim > 1 else [0]:
-            own = (slice(None), slice(k, k + FEW)) if p.ndim > 1 else slice(None)
-            g, s = grad[own], seen[own]
-            x = g * g
-            s += x
-            np.sqrt(s, out=x)
-            x += np.float32(1e-4)
-            np.divide(g, x, out=x)
-            x *= np.float32(RATE)
-            p[own] -= x
+            p, grad, seen = p.T, grad.T, seen.T  # the large ones lie by columns
+            x = self.room.of("move", 1, p.size).reshape(p.shape)
+            seen += np.multiply(grad, grad, out=x)
+            p -= _moved(grad, seen, 1e-4, x)
 
     def _windows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Single contexts as lanes of their own, and the rows in their middle."""
@@ -334,6 +334,15 @@ class Network:
         self.stream_step(*self._windows(context), word, state)
 
 
+def _moved(grad: np.ndarray, seen: np.ndarray, damp: float, out: np.ndarray) -> np.ndarray:
+    """By how much Adagrad moves weights whose squared gradients have added up to `seen`."""
+    np.sqrt(seen, out=out)
+    out += np.float32(damp)
+    np.divide(grad, out, out=out)
+    out *= np.float32(RATE)
+    return out
+
+
 def _network(classes: int, in_class: int, flat: np.ndarray) -> Network:
     return Network(0, classes, in_class).load(flat)
 
@@ -395,33 +404,27 @@ class Words:
         self.known, self.spelling = known, spelling
         self.words, self.endings = classes * in_class, ENDINGS * in_class
         self.edge = self.words + self.endings
-        self._forget()
-
-    def _forget(self) -> None:
-        self._code, self._row, self._log = dict(self.known), np.arange(self.edge), np.zeros(self.edge)
+        self._names, self._ids = pa.array(list(known), pa.string()), np.array(list(known.values()), np.int64)
 
-    def _learn(self, new: list[str]) -> np.ndarray:
-        """Codes of further rare words: the id and the log probability of the spelling are looked up under them."""
-        codes = np.arange(len(self._row), len(self._row) + len(new))
-        self._code.update(zip(new, codes.tolist(), strict=True))
-        ends = [self.words + zlib.crc32(w[-3:].encode("utf-8", "surrogatepass")) % self.endings for w in new]
-        self._row = np.concatenate([self._row, np.array(ends, np.int64)])
-        self._log = np.concatenate([self._log, self.spelling.each(new)])
-        return codes
+    def _rare(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rare words and the log probability of their spelling."""
+        ends = pc.utf8_slice_codeunits(names, -3).dictionary_encode()
+        own = [self.words + zlib.crc32(e.encode("utf-8", "surrogatepass")) % self.endings for e in ends.dictionary.to_pylist()]
+        return np.array(own, np.int64)[ends.indices.to_numpy()], self.spelling.each(names.to_numpy(zero_copy_only=False).tolist())
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of all texts' words in a row; for each text, how many, and the log probability of its rare words' spelling."""
+        """The ids of all texts' words in a row; for each text, how many, and the log probability of its rare words' spelling.
+        Each distinct word of these texts is looked up or spelled once."""
         words, of = _split(texts)
         words = words.dictionary_encode()
-        own = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
-        if len(self._row) > FLUSH + self.edge:
-            self._forget()
-        codes = np.fromiter(map(self._code.get, own, repeat(-1)), np.int64, len(own))
-        new = codes < 0
-        if new.any():
-            codes[new] = self._learn(list(compress(own, new.tolist())))
-        codes = codes[words.indices.to_numpy()]
-        return self._row[codes], np.bincount(of, minlength=len(texts)), np.bincount(of, self._log[codes], len(texts))
+        found = pc.index_in(words.dictionary, value_set=self._names)
+        rare = found.is_null()
+        ids, log, is_rare = np.empty(len(found), np.int64), np.zeros(len(found)), rare.to_numpy(zero_copy_only=False)
+        ids[~is_rare] = self._ids[found.drop_null().to_numpy()]
+        if is_rare.any():
+            ids[is_rare], log[is_rare] = self._rare(words.dictionary.filter(rare))
+        codes = words.indices.to_numpy()
+        return ids[codes], np.bincount(of, minlength=len(texts)), np.bincount(of, log[codes], len(texts))
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

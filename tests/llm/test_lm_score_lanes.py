@@ -80,3 +80,21 @@ def test_a_step_takes_little_fresh_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 3_000_000
+
+
+def test_rare_words_are_looked_up_and_spelled_as_before():
+    """Endings by their last three characters, spellings by the counts, also of keys that share a place by their hash."""
+    rare = [f"w{i:03d}é" for i in range(400)] + ["ab", "é", "日本語の"]
+    own, n = np.unique(lm_score._spelled(rare)[0], return_counts=True)
+    spelling = lm_score.Spelling(own, n.astype(float))
+    spelling.bits, spelling.slots = 8, np.zeros(256, np.int64)
+    spelling.slots[spelling._slot(own)] = np.arange(len(own))
+    assert len(own) > 256 and (spelling._place(own) == np.arange(len(own))).all()
+    for names in ({"the": 4, "cat": 5}, {}):
+        words = lm_score.Words(names, spelling, 3, 4)
+        ids, sizes, spelled = words.ids(pa.array(["The cat " + " ".join(rare), "", "never\tseen the"]))
+        found = [w.lower() for w in ["the", "cat", *rare, "never", "seen", "the"]]
+        assert sizes.tolist() == [len(rare) + 2, 0, 3]
+        assert ids.tolist() == [names.get(w, words.words + lm_score.zlib.crc32(w[-3:].encode()) % words.endings) for w in found]
+        plain = [0.0 if w in names else float(np.log(spelling._p(lm_score._spelled([w])[0])).sum()) for w in found]
+        assert spelled == pytest.approx([sum(plain[: len(rare) + 2]), 0, sum(plain[len(rare) + 2 :])])
