@@ -68,16 +68,20 @@ def moving_average(half: int, x: str = "x"):
     return F.avg(x).over(ORDERED().rowsBetween(-half, half))
 
 
-def stl_like(s: DataFrame, period: int, rounds: int = 2) -> DataFrame:
+def stl_like(s: DataFrame, period: int, rounds: int = 2, short: str = "error") -> DataFrame:
     """x less a season that is re-estimated from what a moving average leaves; the trend stays in.
 
+    short: error stops at a series that is not longer than the period; keep treats it by the same rule, in which each of its
+    phases has one row, so that it cannot fail the others.
     The window of the average is 2 * period + 1 rows, or the largest odd number of rows that a shorter series has, 3 at least.
     Frames have one width in a plan: places of short series are stretched, so that the same distance spans fewer of their rows.
     A phase without values has the mean 0.
     """
     if period < 2:
         raise InvalidInput("the period must be at least 2")
-    rows = _longer(s, period, "a season")
+    if short not in ("error", "keep"):
+        raise InvalidInput(f"short series are an error or kept; got {short!r}")
+    rows = _longer(s, period, "a season") if short == "error" else s.withColumn("_n", F.count(F.lit(1)).over(SERIES()))
     odd = F.col("_n") - (F.col("_n") % 2 == 0).cast("int")
     half = F.floor(F.greatest(F.lit(3), F.least(F.lit(2 * period + 1), odd)) / 2)
     rows = rows.withColumn("_place", F.col("t") * (F.lit(float(period)) / half)).withColumn("_season", F.lit(0.0)).withColumn("_phase", F.col("t") % period)

@@ -234,8 +234,8 @@ def sampling_interval(spark, d):
 
 
 def deseasonalize_short(spark, d):
-    """Users' series with a period so long that they are shorter than the window of the trend."""
-    return P.stl_like(T.with_gaps(T.events(spark, d, "user_id")), PERIOD).select("series_id", "t", F.round("x", 5).alias("x"))
+    """Users' series with a period so long that they are shorter than the window of the trend; some are shorter than the period."""
+    return P.stl_like(T.with_gaps(T.events(spark, d, "user_id")), PERIOD, short="keep").select("series_id", "t", F.round("x", 5).alias("x"))
 
 
 def gram_linear(spark, d):
