@@ -35,7 +35,7 @@ def compared(xs, *run, **more):
         assert got.objective == pytest.approx(own.objective, rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("name", ["pelt_l2"])
+@pytest.mark.parametrize("name", ["pelt_l2", "fpop_l2"])
 def test_ties_are_those_of_the_sql(spark, tmp_path, name):
     rows = [(i, i % 2, v / 100) for i, v in enumerate(v for v in TIED for _ in range(2))]
     events = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds("event_id"))
