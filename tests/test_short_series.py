@@ -51,3 +51,10 @@ def test_penalized_series_as_each_by_itself():
     for m, pen in ((2, "bic"), (4, 9000.0), (1, "aic")):
         compared(xs, "pelt", "l2", Stopping.of({"pen": pen}), Constraints(min_segment_len=m))
     compared([np.round(x * 100) for x in xs], "fpop", "l2", Stopping.of(None), Constraints(), cost_options={"scale": 100.0})
+
+
+def test_known_numbers_of_change_points_as_each_by_itself():
+    xs = some_series(2, [2, 3, 4, 5, 9, 60, 61, 30, 90, 33, 75, 44, 12]) + [np.full((20, 1), 3.3), np.zeros((5, 1))]
+    xs += [np.concatenate([np.zeros((9, 1)), np.full((9, 1), 5.0), np.zeros((9, 1))])]  # no penalty gives one change point
+    for m, k in ((2, 1), (2, 2), (3, 4), (1, 3)):
+        compared(xs, "pelt", "l2", Stopping.known(k), Constraints(min_segment_len=m))
