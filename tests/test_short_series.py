@@ -58,3 +58,10 @@ def test_known_numbers_of_change_points_as_each_by_itself():
     xs += [np.concatenate([np.zeros((9, 1)), np.full((9, 1), 5.0), np.zeros((9, 1))])]  # no penalty gives one change point
     for m, k in ((2, 1), (2, 2), (3, 4), (1, 3)):
         compared(xs, "pelt", "l2", Stopping.known(k), Constraints(min_segment_len=m))
+
+
+def test_absolute_deviations_as_each_by_itself():
+    xs = some_series(3, [1, 2, 3, 4, 5, 60, 61, 7, 90]) + [np.round(x / 40) for x in some_series(4, [40, 70])] + [np.full((20, 1), 3.3)]
+    for m, rule in ((2, "bic"), (4, 40.0), (1, "aic")):
+        compared(xs, "pelt", "l1", Stopping.of({"pen": rule}), Constraints(min_segment_len=m))
+    compared([x for x in xs if len(x) < 8], "pelt", "l1", Stopping.known(1), Constraints())
