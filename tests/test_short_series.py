@@ -65,3 +65,10 @@ def test_absolute_deviations_as_each_by_itself():
     for m, rule in ((2, "bic"), (4, 40.0), (1, "aic")):
         compared(xs, "pelt", "l1", Stopping.of({"pen": rule}), Constraints(min_segment_len=m))
     compared([x for x in xs if len(x) < 8], "pelt", "l1", Stopping.known(1), Constraints())
+
+
+def test_autoregressions_as_each_by_itself():
+    xs = some_series(5, [1, 5, 6, 7, 8, 11, 12, 13, 40, 61, 33]) + [np.full((30, 1), 3.25), np.zeros((14, 1))]
+    for m, p, rule in ((6, 2, "bic"), (2, 2, "aic"), (6, 3, 4.0)):
+        compared(xs, "pelt", "ar", Stopping.of({"pen": rule}), Constraints(min_segment_len=m), cost_options={"p": p})
+    assert not G.together("pelt", "ar", Stopping.of(None), Constraints(), "balanced", None, {"p": 1})
