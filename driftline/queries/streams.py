@@ -12,10 +12,32 @@ from .base import EVENTS, USERS
 from .detectors import _CUSUM, _arrivals
 
 
+#: Rows of one series that a batch should have at most, since a task sorts them by arrival.
+SERIES_ROWS = 1 << 19
+
+
+def in_order(spark, path: str) -> bool:
+    """Gives the files of a folder times of change that follow their names, as a stream takes files by these times; false on a store
+    that keeps its own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = lambda: sorted(((f.getPath().getName(), f.getModificationTime(), f) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda f: f[0])
+    found = files()
+    last = max((time for _, time, _ in found), default=0)
+    for i, (_, _, f) in enumerate(found):
+        fs.setTimes(f.getPath(), last - 1000 * (len(found) - i), -1)
+    times = [time for _, time, _ in files()]
+    return all(a < b for a, b in zip(times, times[1:], strict=False))
+
+
 def stream_of(spark, rows, out: str, files: int = 3):
-    """rows as a stream: written as a few files in the order of arrival, and read one file a batch."""
-    rows.repartitionByRange(files, "arrival_seq").write.mode("overwrite").parquet(f"{out}/rows")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{out}/rows")
+    """rows as a stream: written as files in the order of arrival. Of short series a few files are read in one batch; if a series has
+    more rows than a task should hold, there are as many files as that asks for, and a batch reads one."""
+    longest = rows.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    batches = -(-longest // SERIES_ROWS)
+    rows.repartitionByRange(max(files, batches), "arrival_seq").write.mode("overwrite").parquet(f"{out}/rows")
+    one = batches > 1 and in_order(spark, f"{out}/rows")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 if one else max(100, batches)).parquet(f"{out}/rows")
 
 
 def _run(spark, rows, detector, **options):
@@ -31,8 +53,8 @@ def stream_cusum(spark, d):
 
 
 def stream_page_hinkley(spark, d):
-    """In hundredths, whose sums are exact."""
-    rows = T.events(spark, d).select("series_id", F.col("t").alias("arrival_seq"), F.col("x_fp").cast("double").alias("x"))
+    """In hundredths, whose sums are exact; series grow with the table."""
+    rows = T.events(spark, d, long=True).select("series_id", F.col("t").alias("arrival_seq"), F.col("x_fp").cast("double").alias("x"))
     return _run(spark, rows, "page_hinkley", delta=50.0, threshold=40000.0).select("series_id", "t", F.round("p_change", 4).alias("p_change"))
 
 

@@ -22,6 +22,8 @@ from ..operators.online_kernels import make_online
 COUNTERS = ("late", "buffered", "reordered", "dropped_oldest", "dropped_newest", "overflow_errors")
 #: The latency of a row is null: rows are taken in batches, whose times the query's progress tells.
 OUTPUT = "series_id string, t bigint, p_change double, alert boolean, alert_reason string, run_length_mode bigint, run_length_mean double, status string, " + ", ".join(f"{c} int" for c in COUNTERS) + ", processing_latency_us bigint"
+#: Output rows that a task holds at a time.
+ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,7 +40,18 @@ class DetectorProcessor(StatefulProcessor):
         model = make_online(self.detector, **self.options)
         if self.state.exists():
             model.load_state(json.loads(self.state.get()[0]))
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        pdf = pd.concat([frame[[c for c in (self.order, "x", "t_ns") if c in frame]] for frame in rows], ignore_index=True).sort_values(self.order, kind="stable")
+        held = None
+        for start in range(0, len(pdf), ROWS):
+            if held is not None:
+                yield held
+            held = self._steps(model, key[0], pdf.iloc[start : start + ROWS])
+        self.state.update((json.dumps(model.save_state()),))
+        if held is not None:
+            yield held
+
+    def _steps(self, model, name: str, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The output rows of some rows; of all rows of a long series at once they would take gigabytes."""
         out = []
         times = pdf["t_ns"].tolist() if "t_ns" in pdf else [None] * len(pdf)
         for x, ts in zip(pdf["x"].tolist(), times, strict=True):
@@ -49,12 +62,11 @@ class DetectorProcessor(StatefulProcessor):
                 if self.strict:
                     raise
                 step = {"t": max(model.t - 1, 0), "p_change": None, "alert": False, "alert_reason": None, "run_length_mode": None, "run_length_mean": None, "status": f"{e.code}: {e}"}
-            out.append({"series_id": key[0], **step, **{c: model.counters[c] - before[c] for c in COUNTERS}, "processing_latency_us": None})
-        self.state.update((json.dumps(model.save_state()),))
+            out.append({"series_id": name, **step, **{c: model.counters[c] - before[c] for c in COUNTERS}, "processing_latency_us": None})
         frame = pd.DataFrame(out)
         for c in ("run_length_mode", "processing_latency_us"):
             frame[c] = frame[c].astype("Int64")
-        yield frame
+        return frame
 
     def close(self) -> None:
         pass
