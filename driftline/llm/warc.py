@@ -2,7 +2,8 @@
 
 1. `write_archives`: a response record for each row, one gzip member a record, through Spark's text writer and so on any store
    that Spark can write to. A member ends in the highest byte of its length, which is zero below 16 MiB: that byte is the writer's
-   line separator. Longer records are written apart, with their own last byte as separator. No member holds MAGIC but at its start.
+   line separator. Longer records are written apart, with their own last byte as separator. No member holds MAGIC but at its start;
+   a record gets a field more (X-Fill) where nothing else helps.
 2. `read_archives`: the files as lines that end at MAGIC, the first bytes of a gzip member, so that a large archive is read by
    many tasks and a task holds a record at a time. A record is decoded, and its payload is hashed.
 3. `deduplicated`: headers, without payloads, are shuffled by payload digest, after a partial maximum in each task; that of
@@ -61,6 +62,23 @@ def member(record: bytes, level: int = LEVEL) -> bytes:
     raise ValueError("no setting gives a member without the first bytes of a member in it")
 
 
+def filled(record: bytes, number: int) -> bytes:
+    """The record with one more field, which says nothing, behind its version."""
+    version, _, rest = record.partition(END.encode())
+    return version + f"{END}X-Fill: {number}{END}".encode() + rest
+
+
+def record_member(record: bytes, level: int = LEVEL) -> bytes:
+    """The WARC record as a member. A member ends in the record's CRC and length, whatever the setting of the compressor: where these
+    hold MAGIC (lengths of 2,187 bytes and CRCs that end in 1F are the usual case, about one record in a million), a field is added."""
+    for number in range(64):
+        try:
+            return member(filled(record, number) if number else record, level)
+        except ValueError:
+            continue
+    return member(record, level)
+
+
 def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     lines = head.decode("utf-8", "replace").split(END)
     return lines[0], {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
@@ -155,7 +173,7 @@ def _lines(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     """Members without their last byte, which is `top`."""
     body, top, size = [], [], 0
     for record in records:
-        packed = member(record)
+        packed = record_member(record)
         body.append(packed[:-1])
         top.append(packed[-1])
         size += len(packed)
