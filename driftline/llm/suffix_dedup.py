@@ -16,6 +16,8 @@ the same document. Equal strings are brought together without comparing shards p
    binary search. Equal hashes stand for equal windows there.
 5. The later places of each class, as spans, are joined to the documents.
 
+The working tables and shuffle files of each step go once the next one is written, so that the disk holds those of one step at a time.
+
 Defined results: a null text is empty; texts shorter than LENGTH stay whole; strings never cross documents. Rows that agree in
 doc_id and text are one document to each other (they stay alike); rows that agree in the id only are ordered by a hash of
 the text; a null id comes after all others. An empty table gives an empty result. A long text is taken in
@@ -28,20 +30,22 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus_size, release, table, text_of, workdir, written
+from .common import corpus_size, discard, release, table, text_of, workdir, written
 from .shingles import mix, runs
 
 LENGTH = 100
 GRAM = 16
 #: Bytes handled at a time within a task (a longer document is taken in overlapping pieces), anchors per packed block,
-#: anchors per hash range when counting, bytes of stretches per shard, slices of a hash range for each of its shards.
-PIECE, BLOCK, RANGE, SHARD, SLICES = 1 << 22, 400_000, 1_000_000, 6_000_000, 4
+#: anchors per hash range when counting, bytes of stretches per shard, slices of a hash range for each of its shards, rounds in which
+#: the hash ranges are dealt to shards (the shuffle holds those of one round beside the table of all), and the same for the documents.
+PIECE, BLOCK, RANGE, SHARD, SLICES, ROUNDS, HALVES = 1 << 22, 400_000, 1_000_000, 6_000_000, 4, 4, 2
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
@@ -558,26 +562,41 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """id, key, starts, ends (arrays of packed offsets) for each document of docs (doc_id, id, key, text) that loses bytes."""
-    out = workdir(docs.sparkSession, "suffix-dedup")
+    spark = docs.sparkSession
+    out = workdir(spark, "suffix-dedup")
     rows, total = corpus_size(docs)
     bits = min(24, max(3, math.ceil(math.log2(max(1, total / 40 / RANGE)))))
     packed = docs.select("id", "key", "text").mapInArrow(_pack_anchors(length, bits), _PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count_anchors, "block string, kind int, bucket int, counts binary, hashes binary, ids binary, keys binary")
     answers = counted.groupBy("block").applyInArrow(_return_bits, "id bigint, key bigint, bits binary")
     answers = written(answers.groupBy("id", "key").agg(F.first("bits").alias("bits")), f"{out}/anchors")
+    release(spark)
     wide = min(24, max(4, math.ceil(math.log2(max(1, total / (shard / 2))))))
-    stretches = docs.select("id", "key", "text").join(answers.hint("shuffle_hash"), ["id", "key"]).mapInArrow(_cut_stretches(length, wide), _STRETCH)
-    stretches = written(stretches, f"{out}/stretches")
-    release(docs.sparkSession)
+    parts = []
+    for k in range(HALVES):
+        some = docs.select("id", "key", "text").where(F.pmod(F.xxhash64("id"), F.lit(HALVES)) == k)
+        some = some.join(answers.hint("shuffle_hash"), ["id", "key"]).mapInArrow(_cut_stretches(length, wide), _STRETCH)
+        parts.append(written(some, f"{out}/stretches/{k}"))
+        release(spark)
+    discard(spark, f"{out}/anchors")
+    stretches = reduce(DataFrame.unionByName, parts)
     # A hash range that is too large is dealt over several shards, block by block.
     large = stretches.groupBy("bucket").agg(F.sum("size").alias("total")).where(F.col("total") > shard).select("bucket", F.ceil(F.col("total") / shard * 2).cast("int").alias("shards"))
     dealt = stretches.join(large, "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("block"), F.col("shards")).cast("int"))
-    found = written(dealt.groupBy("bucket", "shard").applyInArrow(_shard(length), _FOUND), f"{out}/found")
-    release(docs.sparkSession)
+    parts = []
+    for k in range(ROUNDS):
+        some = dealt.where(F.col("bucket") % ROUNDS == k).groupBy("bucket", "shard").applyInArrow(_shard(length), _FOUND)
+        parts.append(written(some, f"{out}/found/{k}"))
+        release(spark)
+    discard(spark, f"{out}/stretches")
+    found = reduce(DataFrame.unionByName, parts)
     merged = found.where("kind = 1").groupBy("bucket", "slice").applyInArrow(_merge(length), _FOUND)
     spans = found.where("kind = 0").select("id", "key", "a", "b").unionByName(merged.select("id", "key", "a", "b"))
-    return written(spans.groupBy("id", "key").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends")), f"{out}/spans")
+    spans = written(spans.groupBy("id", "key").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends")), f"{out}/spans")
+    release(spark)
+    discard(spark, f"{out}/found")
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
